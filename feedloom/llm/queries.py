@@ -21,5 +21,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_substring_dedup": op1_substring_dedup}
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+QUERIES: dict[str, Query] = {"op1_substring_dedup": op1_substring_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}
