@@ -1,15 +1,63 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: language ID, near duplicates, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the caller writes a stage's
+rows as Parquet and reads them again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.llm.common import written
+from feedloom.llm.jaccard import near_duplicates
+from feedloom.llm.langid import UNKNOWN, language_id
+from feedloom.llm.mixing import mix_sources
+from feedloom.llm.packing import pack_documents
+from feedloom.llm.queries import mix_arguments
+from feedloom.llm.substring import substring_dedup
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: a null text, or one without a letter."""
+    return language_id(docs).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near duplicates (five words, 0.8); rows with a null id stay."""
+    parts = near_duplicates(docs, shingle=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(parts, docs["doc_id"] == parts["__id"], "left_anti")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 words and more that an earlier document holds; texts that lose nothing stay as they are."""
+    out = substring_dedup(docs, window=50)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it."""
+    copies = mix_sources(docs, **mix_arguments()).where("mix_copies > 0")
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", by_language), ("near_duplicates", without_near_duplicates), ("substring_dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
 
-STAGES: list = []
+#: SQL can express neither the learned language, nor the tokenizer, nor the packing; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what one stage returns is written and read before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if not k else written(docs), sf_dir)
     return docs

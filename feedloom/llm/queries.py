@@ -27,5 +27,63 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
-QUERIES: dict[str, Query] = {"op1_substring_dedup": op1_substring_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return language_id(docs, train=~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+#: The tree of op10: four domains by the source's number, languages, sources.
+MIX_LEVELS = {"domain": "concat('d', cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4)", "lang": "lang", "source": "source"}
+MIX_WEIGHTS = {("d0",): 0.3, ("d1",): 0.25, ("d2",): 0.25, ("d3",): 0.2}
+LANG_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+
+
+def mix_arguments() -> dict:
+    weights = dict(MIX_WEIGHTS) | {(*d, x): w for d in MIX_WEIGHTS for x, w in LANG_WEIGHTS.items()}
+    return {"levels": {k: F.expr(v) for k, v in MIX_LEVELS.items()}, "weights": weights, "share": 0.8, "max_epochs": 2, "seed": 17}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    out = mix_sources(_table(spark, sf_dir, "documents"), **mix_arguments())
+    return out.select("doc_id", "lang", "source", "mix_tokens", "mix_epochs", "mix_copies", "leaf_budget")
+
+
+def _mix_level(k: int, own: list[str]) -> str:
+    parent = ", ".join(own[:k]) or "0"
+    weight = ["CASE domain WHEN 'd0' THEN 0.3 WHEN 'd1' THEN 0.25 WHEN 'd2' THEN 0.25 WHEN 'd3' THEN 0.2 ELSE 1.0 END", "CASE WHEN domain IN ('d0', 'd1', 'd2', 'd3') AND language = 'en' THEN 0.55 WHEN domain IN ('d0', 'd1', 'd2', 'd3') AND language IN ('fr', 'de', 'es') THEN 0.15 ELSE 1.0 END", "1.0"][k]
+    cols = ", ".join(own[: k + 1])
+    before = "given" if k else "(SELECT least(sum(supply) * 0.8, sum(supply * 2.0)) FROM leaf)"
+    source = f"(SELECT leaf.*, budget AS given FROM leaf JOIN b{k - 1} USING ({', '.join(own[:k])}))" if k else "leaf"
+    return f"""n{k} AS (SELECT {cols}, CAST(sum(supply) * 2.0 AS DOUBLE) AS lim, {"first(given)" if k else before} AS given, CAST({weight} AS DOUBLE) AS w FROM {source} GROUP BY {cols}),
+r{k} AS (SELECT *, lim / w AS ratio, (given - coalesce(sum(lim) OVER (PARTITION BY {parent} ORDER BY lim / w, {own[k]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY {parent} ORDER BY lim / w, {own[k]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM n{k}),
+t{k} AS (SELECT *, min(CASE WHEN lev < ratio THEN lev END) OVER (PARTITION BY {parent}) AS top FROM r{k}),
+b{k} AS (SELECT {cols}, CASE WHEN top IS NULL OR ratio <= top THEN lim ELSE greatest(0.0, top * w) END AS budget FROM t{k})"""
+
+
+def _mix_sql() -> str:
+    own = ["domain", "language", "src"]
+    return f"""WITH base AS (SELECT doc_id, lang, source, CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4.0) AS BIGINT) AS tok,
+ coalesce('d' || (CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) % 4), '(null)') AS domain, coalesce(lang, '(null)') AS language, coalesce(source, '(null)') AS src FROM documents),
+leaf AS (SELECT domain, language, src, CAST(sum(tok) AS DOUBLE) AS supply FROM base GROUP BY ALL HAVING sum(tok) > 0),
+{", ".join(_mix_level(k, own) for k in range(3))},
+plan AS (SELECT leaf.*, budget, CAST(floor(round(budget, 6) / supply) AS INT) AS e FROM leaf JOIN b2 USING (domain, language, src)),
+cut AS (SELECT base.*, budget, e, CAST(floor(round(budget - e * supply, 6)) AS BIGINT) AS rest, md5('17:' || e || ':' || doc_id) AS ord FROM base LEFT JOIN plan USING (domain, language, src)),
+cum AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY domain, language, src ORDER BY ord, doc_id, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cut)
+SELECT doc_id, lang, source, tok AS mix_tokens, coalesce(e, 0) AS mix_epochs, coalesce(e, 0) + CAST(coalesce(before < rest, false) AS INT) AS mix_copies, round(coalesce(budget, 0.0), 3) AS leaf_budget FROM cum"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op5_packing, op9_language_id, op10_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op10_source_mixing": _mix_sql()}
