@@ -24,8 +24,8 @@ GRAM = 3
 LETTERS = 4096
 #: More labels than this are refused: the prototypes go to the driver and to every task.
 MOST_LANGUAGES = 10_000
-#: N-gram vectors kept between rows.
-_KEPT = 40_000
+#: Texts and characters that are bundled at once.
+ROWS, CHARS = 256, 1_000_000
 UNKNOWN = "und"
 
 
@@ -40,75 +40,99 @@ def _letter() -> np.ndarray:
 
 
 @cache
-def _items() -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
+def _items() -> list[np.ndarray]:
+    """The letters' vectors, rotated for each place in an n-gram, last place first."""
+    plain = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
+    return [np.roll(plain, k, axis=1) for k in range(GRAM)]
 
 
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
-    out = np.ones((len(grams), DIMENSIONS), np.int8)
-    for k in range(GRAM):
-        out *= np.roll(_items(), GRAM - 1 - k, axis=1)[grams % LETTERS]
+    out = _items()[0][grams % LETTERS]
+    for k in range(1, GRAM):
         grams = grams // LETTERS
+        out = out * _items()[k][grams % LETTERS]
     return out.astype(np.float32)
 
 
-class Bundler:
-    """Unit document vectors; keeps the vectors of n-grams seen, up to a bound."""
-
-    def __init__(self) -> None:
-        self.keys = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), np.float32)
-
-    def _rows(self, grams: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, grams)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == grams[known]
-        if not known.all():
-            new = grams[~known]
-            if len(self.keys) + len(new) > _KEPT:
-                self.__init__()
-                if len(grams) > _KEPT // 2:
-                    return np.zeros(0, np.int64)
-                new = grams
-            keys = np.concatenate([self.keys, new])
-            order = np.argsort(keys)
-            self.vectors = np.concatenate([self.vectors, gram_vectors(new)])[order]
-            self.keys = keys[order]
-            at = np.searchsorted(self.keys, grams)
-        return at
-
-    def __call__(self, text: str | None) -> np.ndarray | None:
-        """The unit vector of a text; None if it has no letter."""
-        if not text:
-            return None
-        code = _letter()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-        if not code.any():
-            return None
-        gap = code == 0
-        code = np.concatenate([[0], code[~(gap & np.append(True, gap[:-1]))], [0]])
-        gram = code[:-2]
-        for k in range(1, GRAM):
-            gram = gram * LETTERS + code[k : len(code) - GRAM + 1 + k]
-        gram, count = np.unique(gram, return_counts=True)
-        weight = np.sqrt(count.astype(np.float32))
-        rows = self._rows(gram)
-        if len(rows):
-            total = weight @ self.vectors[rows]
-        else:
-            total = sum(weight[a : a + 4096] @ gram_vectors(gram[a : a + 4096]) for a in range(0, len(gram), 4096))
-        return total / max(float(np.linalg.norm(total)), 1e-12)
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter classes of all texts with one 0 for each gap and at each end, and the text each belongs to."""
+    parts = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
+    size = np.array([len(p) + 2 for p in parts])
+    code = np.zeros(int(size.sum()), np.int64)
+    first = np.cumsum(size) - size
+    letter = _letter()
+    for p, a in zip(parts, first.tolist(), strict=True):
+        code[a + 1 : a + 1 + len(p)] = letter[p]
+    owner = np.repeat(np.arange(len(texts)), size)
+    keep = code > 0
+    keep[1:] |= (code[:-1] > 0) | (owner[1:] != owner[:-1])
+    keep[:1] = True
+    return code[keep], owner[keep]
+
+
+def vectors(texts: list[str | None]) -> np.ndarray:
+    """Unit vectors of texts, a row each; zeros for a text without a letter."""
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    code, owner = _codes(texts)
+    if len(code) < GRAM:
+        return out
+    gram = code[: len(code) - GRAM + 1]
+    inside = owner[: len(gram)] == owner[GRAM - 1 :]
+    for k in range(1, GRAM):
+        gram = gram * LETTERS + code[k : len(code) - GRAM + 1 + k]
+    gram, who = gram[inside], owner[: len(inside)][inside]
+    real = gram > 0
+    gram, who = gram[real], who[real]
+    letters, small = np.unique(code), None
+    if len(letters) ** GRAM <= 4_000_000:
+        # few letters: number the n-grams that occur through a table instead of sorting
+        place = np.zeros(LETTERS, np.int64)
+        place[letters] = np.arange(len(letters))
+        small = np.zeros(len(gram), np.int64)
+        rest = gram
+        for k in range(GRAM):
+            small += place[rest % LETTERS] * len(letters) ** k
+            rest = rest // LETTERS
+        there = np.zeros(len(letters) ** GRAM, bool)
+        there[small] = True
+        number = np.cumsum(there) - 1
+        at = number[small]
+        grams = np.zeros(int(there.sum()), np.int64)
+        grams[at] = gram
+    else:
+        grams, at = np.unique(gram, return_inverse=True)
+    for a in range(0, len(grams), 8192):
+        b = min(a + 8192, len(grams))
+        some = (at >= a) & (at < b) if b - a < len(grams) else slice(None)
+        count = np.bincount(who[some] * (b - a) + at[some] - a, minlength=len(texts) * (b - a))
+        out += np.sqrt(count.astype(np.float32)).reshape(len(texts), b - a) @ gram_vectors(grams[a:b])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ROWS texts and CHARS characters, or one longer text."""
+    a = 0
+    while a < len(texts):
+        b, n = a, 0
+        while b < len(texts) and b - a < ROWS and (b == a or n + len(texts[b] or "") <= CHARS):
+            n += len(texts[b] or "")
+            b += 1
+        yield a, b
+        a = b
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bundle, sums = Bundler(), {}
+    sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            v = bundle(text.as_py())
-            if v is not None:
-                lang = lang.as_py()
-                if lang not in sums:
-                    sums[lang] = np.zeros(DIMENSIONS)
-                sums[lang] += v
+        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in _groups(texts):
+            v = vectors(texts[a:b])
+            names, at = np.unique(langs[a:b], return_inverse=True)
+            total = np.zeros((len(names), DIMENSIONS))
+            np.add.at(total, at, v)
+            for name, t in zip(names.tolist(), total, strict=True):
+                sums[name] = sums[name] + t if name in sums else t
+    sums = {k: v for k, v in sums.items() if v.any()}
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "vector"])
 
 
@@ -130,19 +154,16 @@ def prototypes(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[
 
 def _predict(at: int, names: list[str], langs: list[str], matrix: np.ndarray):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundler()
         for batch in batches:
             best, score = [], []
-            for text in batch.column(at):
-                v = bundle(text.as_py()) if langs else None
-                if v is None:
-                    best.append(UNKNOWN)
-                    score.append(0.0)
-                else:
-                    cosine = matrix @ v
-                    k = int(cosine.argmax())
-                    best.append(langs[k])
-                    score.append(min(1.0, max(0.0, float(cosine[k]))))
+            texts = batch.column(at).to_pylist()
+            for a, b in _groups(texts):
+                v = vectors(texts[a:b])
+                cosine = v @ matrix.T if langs else np.zeros((b - a, 1))
+                top = cosine.argmax(axis=1)
+                known = v.any(axis=1) & bool(langs)
+                best += [langs[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), known.tolist(), strict=True)]
+                score += np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0).astype(float).tolist()
             kept = [batch.column(k) for k, c in enumerate(batch.schema.names) if c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=names)
 

@@ -14,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 NULL_KEY = "(null)"
+#: Leaves up to which their plan is broadcast; beyond, Spark joins and splits what is skewed.
+BROADCAST_LEAVES = 100_000
 
 
 def _weight(keys: list[Column], weights: dict[tuple[str, ...], float], default: float) -> Column:
@@ -70,10 +74,11 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[
     keys = [F.coalesce(e.cast("string"), F.lit(NULL_KEY)).alias(h) for h, e in zip(hidden, levels.values(), strict=True)]
     held = [c for c in docs.columns if c not in ("mix_tokens", "mix_epochs", "mix_copies", "leaf_budget")]
     base = docs.select(*held, tokens.cast("long").alias("mix_tokens"), *keys)
-    rough = base.groupBy(*hidden).agg(F.sum("mix_tokens").cast("double").alias("supply")).where("supply > 0")
+    rough = written(base.groupBy(*hidden).agg(F.sum("mix_tokens").cast("double").alias("supply")).where("supply > 0"))
     plan = leaf_budgets(rough, hidden, weights, total, share, max_epochs, default_weight)
     whole = F.floor(F.round(F.col("budget"), 6) / F.col("supply")).cast("int")
-    plan = plan.select(*hidden, "budget", whole.alias("mix_epochs"), F.floor(F.round(F.col("budget") - whole * F.col("supply"), 6)).cast("long").alias("left"))
+    small = written(plan.select(*hidden, "budget", whole.alias("mix_epochs"), F.floor(F.round(F.col("budget") - whole * F.col("supply"), 6)).cast("long").alias("left")))
+    plan = F.broadcast(small) if small.count() <= BROADCAST_LEAVES else small
 
     def keyed(df: DataFrame) -> DataFrame:
         text = F.concat_ws(":", F.lit(str(seed)), F.col("mix_epochs").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -85,7 +90,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[
     until = Window.partitionBy(*hidden).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(until), F.lit(0)))
     ends = parts.where("before < left").groupBy(*hidden).agg(F.max("__part").alias("__end"), F.max(F.struct("__part", "before"))["before"].alias("__before"))
-    ready = ready.join(ends, hidden, "left")
+    ends = written(ends)
+    ready = ready.join(F.broadcast(ends) if ends.count() <= BROADCAST_LEAVES else ends, hidden, "left")
     inside = Window.partitionBy(*hidden, "__part").orderBy("__order", id_col, "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = ready.where("__part = __end").withColumn("__in", F.col("__before") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)) < F.col("left"))
     clear = ready.where("__part <> __end or __end is null").withColumn("__in", F.coalesce(F.col("__part") < F.col("__end"), F.lit(False)))
