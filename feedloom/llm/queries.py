@@ -44,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tree of op10: four domains by the source's number, languages, sources.
-MIX_LEVELS = {"domain": "concat('d', cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4)", "lang": "lang", "source": "source"}
+MIX_LEVELS = {"domain": "concat('d', try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4)", "lang": "lang", "source": "source"}
 MIX_WEIGHTS = {("d0",): 0.3, ("d1",): 0.25, ("d2",): 0.25, ("d3",): 0.2}
 LANG_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 
@@ -76,7 +76,7 @@ b{k} AS (SELECT {cols}, CASE WHEN top IS NULL OR ratio <= top THEN lim ELSE grea
 def _mix_sql() -> str:
     own = ["domain", "language", "src"]
     return f"""WITH base AS (SELECT doc_id, lang, source, CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4.0) AS BIGINT) AS tok,
- coalesce('d' || (CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) % 4), '(null)') AS domain, coalesce(lang, '(null)') AS language, coalesce(source, '(null)') AS src FROM documents),
+ coalesce('d' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4), '(null)') AS domain, coalesce(lang, '(null)') AS language, coalesce(source, '(null)') AS src FROM documents),
 leaf AS (SELECT domain, language, src, CAST(sum(tok) AS DOUBLE) AS supply FROM base GROUP BY ALL HAVING sum(tok) > 0),
 {", ".join(_mix_level(k, own) for k in range(3))},
 plan AS (SELECT leaf.*, budget, CAST(floor(round(budget, 6) / supply) AS INT) AS e FROM leaf JOIN b2 USING (domain, language, src)),
@@ -85,5 +85,48 @@ cum AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY domain, language, src ORD
 SELECT doc_id, lang, source, tok AS mix_tokens, coalesce(e, 0) AS mix_epochs, coalesce(e, 0) + CAST(coalesce(before < rest, false) AS INT) AS mix_copies, round(coalesce(budget, 0.0), 3) AS leaf_budget FROM cum"""
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op5_packing, op9_language_id, op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op10_source_mixing": _mix_sql()}
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import sign_code, top_k_codes
+
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    out = top_k_codes(rows, rows.where("id % 50 = 0"), k=10)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+
+
+OP7_SQL = """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2]))) AS INT) AS distance FROM b q JOIN b c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM r WHERE rank <= 10"""
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+#: Says the rules; aliases (of which these tables hold none) are held against plain Python in the tests.
+OP8_SQL = """WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(action, h, p)),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
+
+_ALL = (op1_substring_dedup, op2_ngram_jaccard_join, op4_nearest_neighbours, op5_packing, op6_lm_scoring, op7_hamming_top_k, op8_url_filters, op9_language_id, op10_source_mixing)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op7_hamming_top_k": OP7_SQL, "op8_url_filters": OP8_SQL, "op10_source_mixing": _mix_sql()}
