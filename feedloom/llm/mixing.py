@@ -36,7 +36,7 @@ def fill(df: DataFrame, parent: list[str], order: str) -> DataFrame:
     level = (F.col("given") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.nullif(F.sum("weight").over(rest), F.lit(0.0))
     df = df.withColumn("level", level)
     whole = Window.partitionBy(*parent)
-    top = F.min(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(whole)
+    top = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole)
     df = df.withColumn("budget", F.when(top.isNull() | (F.col("ratio") <= top), F.when(F.col("weight") > 0, F.col("limit")).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), top * F.col("weight"))))
     return df.drop("ratio", "level")
 

@@ -69,7 +69,7 @@ def _mix_level(k: int, own: list[str]) -> str:
     source = f"(SELECT leaf.*, budget AS given FROM leaf JOIN b{k - 1} USING ({', '.join(own[:k])}))" if k else "leaf"
     return f"""n{k} AS (SELECT {cols}, CAST(sum(supply) * 2.0 AS DOUBLE) AS lim, {"first(given)" if k else before} AS given, CAST({weight} AS DOUBLE) AS w FROM {source} GROUP BY {cols}),
 r{k} AS (SELECT *, lim / w AS ratio, (given - coalesce(sum(lim) OVER (PARTITION BY {parent} ORDER BY lim / w, {own[k]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY {parent} ORDER BY lim / w, {own[k]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM n{k}),
-t{k} AS (SELECT *, min(CASE WHEN lev < ratio THEN lev END) OVER (PARTITION BY {parent}) AS top FROM r{k}),
+t{k} AS (SELECT *, max(CASE WHEN lev <= ratio THEN lev END) OVER (PARTITION BY {parent}) AS top FROM r{k}),
 b{k} AS (SELECT {cols}, CASE WHEN top IS NULL OR ratio <= top THEN lim ELSE greatest(0.0, top * w) END AS budget FROM t{k})"""
 
 
