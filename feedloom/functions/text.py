@@ -60,6 +60,10 @@ def can_post(role: Column, is_creator: Column, access: Column) -> Column:
     return F.when(access == "everyone", F.lit(True)).when(access == "moderators", is_creator | (role == "moderator")).when(access == "creator", is_creator).otherwise(F.lit(False))
 
 
+def _rank(kind: Column, words: Column, at: Column) -> Column:
+    return F.struct(kind.alias("kind"), words.alias("words"), at.alias("at"), F.col("name").alias("name")).alias("rank")
+
+
 def detect_city(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, city, state): whole one- to three-word names first (longest last), then spellings, then names inside words."""
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -67,7 +71,7 @@ def detect_city(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -
     base = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), words.alias("__words"))
     near = F.broadcast(names)
     grams = F.flatten(F.array(*[F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("__words", i, n), " ").alias("g")))).otherwise(F.array().cast("array<struct<n:int,at:int,g:string>>")) for n in (1, 2, 3)]))
-    exact = base.select("__id", F.explode(grams).alias("g")).join(near, F.col("g.g") == F.col("name")).select("__id", F.struct(F.lit(0), F.col("g.n"), F.col("g.at"), "name").alias("rank"), "city", "state")
-    inside = base.join(near, F.contains("__text", "name") & (F.col("variant") | (F.length("name") >= 5))).select("__id", F.struct(F.when(F.col("variant"), 1).otherwise(2), F.lit(0), F.lit(0), "name").alias("rank"), "city", "state")
+    exact = base.select("__id", F.explode(grams).alias("g")).join(near, F.col("g.g") == F.col("name")).select("__id", _rank(F.lit(0), F.col("g.n"), F.col("g.at")), "city", "state")
+    inside = base.join(near, F.contains("__text", "name") & (F.col("variant") | (F.length("name") >= 5))).select("__id", _rank(F.when(F.col("variant"), 1).otherwise(2), F.lit(0), F.lit(0)), "city", "state")
     found = exact.unionByName(inside).groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"))
     return base.select("__id").join(found, "__id", "left").withColumnRenamed("__id", id_col)

@@ -21,16 +21,16 @@ VIEWS: dict[str, str] = {
  LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) p ON p.o_custkey = c_custkey""",
     "posts": """SELECT o_orderkey AS id, o_custkey AS authorId, o_orderdate AS createdAt, o_orderstatus = 'P' AS isShort, o_orderpriority = '5-LOW' AS inCommunity,
  o_orderpriority AS category, lower(o_orderpriority) AS content, coalesce(views, 0) AS views, coalesce(likes, 0) AS likes, coalesce(comments, 0) AS comments, coalesce(shared, 0) AS shared, coalesce(bookmarks, 0) AS bookmarks
- FROM {orders} LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS views, count(*) AS likes, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS comments,
- sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS shared, sum(CASE WHEN l_linenumber > 5 THEN 1 ELSE 0 END) AS bookmarks FROM {lineitem} GROUP BY l_orderkey) c ON c.l_orderkey = o_orderkey""",
+ FROM {orders} LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS views, count(*) AS likes, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS comments,
+ count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS shared, count(CASE WHEN l_linenumber > 5 THEN 1 END) AS bookmarks FROM {lineitem} GROUP BY l_orderkey) c ON c.l_orderkey = o_orderkey""",
     "interactions": """SELECT event_id AS id, user_id AS userId, event_id % (SELECT count(*) FROM {orders}) AS postId,
  CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'liked' WHEN 'signup' THEN 'saved' WHEN 'purchase' THEN 'shared' ELSE 'reported' END AS interactionType, ts AS updatedAt FROM {events}""",
     "post_views": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'read'",
     "post_likes": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'liked'",
     "post_saved": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'saved'",
-    "messages": """SELECT conv_id * 100 + turn AS id, conv_id AS roomId, role AS senderId, text AS content, conv_id * 1000 + turn AS at, turn % 3 = 1 AS isRead, turn % 5 = 4 AS deleted,
+    "messages": """SELECT conv_id * 100 + turn AS id, conv_id AS roomId, role AS senderId, text AS content, conv_id * 1000 + turn AS sentAt, turn % 3 = 1 AS isRead, turn % 5 = 4 AS deleted,
  conv_id % 7 = 0 AND turn % 2 = 0 AS senderDeleted, conv_id % 5 = 0 AND turn % 2 = 1 AS receiverDeleted, CASE WHEN turn >= 2 AND turn % 2 = 0 THEN conv_id * 100 + turn - 3 + turn % 4 END AS replyTo FROM {conversations}""",
-    "reactions": "SELECT id * 10 AS id, id AS messageId, roomId, 'user' AS senderId, 'heart' AS reaction, at + 2 AS at, roomId % 2 = 0 AS isRead FROM {messages} WHERE at % 3 = 2",
+    "reactions": "SELECT id * 10 AS id, id AS messageId, roomId, 'user' AS senderId, 'heart' AS reaction, sentAt + 2 AS sentAt, roomId % 2 = 0 AS isRead FROM {messages} WHERE sentAt % 3 = 2",
     "comments": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS postId, min(l_suppkey) AS authorId, min(l_shipdate) AS createdAt, l_linenumber = 4 AS isPinned,
  CASE WHEN l_linenumber % 3 <> 1 THEN l_orderkey * 10 + l_linenumber - (l_linenumber + 2) % 3 END AS parentId FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "comment_likes": "SELECT user_id AS userId, (event_id % (SELECT count(*) FROM {orders})) * 10 + 1 AS commentId FROM {events} WHERE event_type = 'click'",

@@ -43,14 +43,14 @@ def once(df: DataFrame, keys: list[str], time: str, late: str = "1 day") -> Data
 
 def read_receipts(messages: DataFrame, entered: DataFrame) -> DataFrame:
     """Messages marked read where another member entered the room at or after them."""
-    last = entered.groupBy("roomId", "userId").agg(F.max("at").alias("seen"))
-    hit = messages.join(last, "roomId").where((F.col("userId") != F.col("senderId")) & (F.col("seen") >= F.col("at"))).select("id").distinct()
+    last = entered.groupBy("roomId", "userId").agg(F.max("sentAt").alias("seen"))
+    hit = messages.join(last, "roomId").where((F.col("userId") != F.col("senderId")) & (F.col("seen") >= F.col("sentAt"))).select("id").distinct()
     return messages.join(hit.withColumn("__hit", F.lit(True)), "id", "left").withColumn("isRead", F.col("isRead") | F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def collapsed(df: DataFrame, keys: list[str], time: str, action: str, window: str = "500 milliseconds") -> DataFrame:
     """The last of the actions of each key in each short window."""
-    return _marked(df, time, "10 seconds").groupBy(F.window(F.col(time), window), *keys).agg(F.max_by(action, time).alias(action)).select(*keys, F.col("window.start").alias("at"), action)
+    return _marked(df, time, "10 seconds").groupBy(F.window(F.col(time), window), *keys).agg(F.max_by(action, time).alias(action)).select(*keys, F.col("window.start").alias("window_start"), action)
 
 
 def fan_out(stream: DataFrame, senders: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
