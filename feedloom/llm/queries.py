@@ -85,6 +85,13 @@ cum AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY domain, language, src ORD
 SELECT doc_id, lang, source, tok AS mix_tokens, coalesce(e, 0) AS mix_epochs, coalesce(e, 0) + CAST(coalesce(before < rest, false) AS INT) AS mix_copies, round(coalesce(budget, 0.0), 3) AS leaf_budget FROM cum"""
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import suffix_dedup
+
+    out = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -127,6 +134,6 @@ r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
 
-_ALL = (op1_substring_dedup, op2_ngram_jaccard_join, op4_nearest_neighbours, op5_packing, op6_lm_scoring, op7_hamming_top_k, op8_url_filters, op9_language_id, op10_source_mixing)
+_ALL = (op1_substring_dedup, op2_ngram_jaccard_join, op3_suffix_dedup, op4_nearest_neighbours, op5_packing, op6_lm_scoring, op7_hamming_top_k, op8_url_filters, op9_language_id, op10_source_mixing)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op7_hamming_top_k": OP7_SQL, "op8_url_filters": OP8_SQL, "op10_source_mixing": _mix_sql()}

@@ -52,7 +52,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
-def slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def slices(ids: pa.Array, texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(ids, bytes, offsets, first row) of consecutive rows; a null text is empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     ids = np.asarray(ids.to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -64,7 +64,7 @@ def slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndar
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1
+        to = int(np.searchsorted(off, off[at] + size, side="right")) - 1
         to = min(n, max(at + 1, to))
         yield ids[at:to], buf[off[at] : off[to]], off[at : to + 1] - off[at], at
         at = to

@@ -85,6 +85,26 @@ def test_substring_dedup(spark, docs_dir):
     assert sum(m for _, m, _ in got.values()) > 500
 
 
+def test_suffix_dedup(spark, docs_dir):
+    want = plain_cut({i: t.encode() for i, t in texts(docs_dir, spark).items()}, 50, bytes)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in q.op3_suffix_dedup(spark, docs_dir).collect()}
+    assert got == want
+    assert sum(x[1] for x in got.values()) > 1000
+
+
+def test_merged_order(spark):
+    from feedloom.llm.suffix import merged
+
+    r = np.random.default_rng(5)
+    for length in (21, 24):
+        text = r.integers(0, 2, 400).astype(np.uint8)
+        order, interval = merged(text, length)
+        real = [(p, i) for p, i in zip(order.tolist(), interval.tolist(), strict=True) if p + length <= 400]
+        strings = [bytes(text[p : p + length]) for p, _ in real]
+        assert strings == sorted(strings)
+        assert all((a == b) == (x == y) for a, b, (_, x), (_, y) in zip(strings, strings[1:], real, real[1:]))
+
+
 def components(nodes, links):
     up = {i: i for i in nodes}
 
