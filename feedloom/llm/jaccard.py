@@ -9,8 +9,9 @@ indexed. Long documents, whose pairs would be many, index frequent shingles sing
 kind do both, so no link is lost.
 
 Index entries meet in buckets. Documents that share an entry and have compatible sizes are connected, entry by
-entry (never as pairs), which yields candidate groups; only their members' sets are built again and verified, in
-cells of bounded size, where documents already connected are not compared again. Copies with equal sets and
+entry (never as pairs), which yields candidate groups; only their members' sets are built again. A group that fits a cell of bounded
+size is verified there, where documents already connected are not compared again; a larger one in cells of prefixes,
+whose proposed pairs are then verified. Copies with equal sets and
 equal entries within a slice of rows are settled before any shuffle.
 """
 
@@ -34,7 +35,7 @@ _RANGES = 64
 FREQUENT = 4
 #: Documents of at most so many shingles index pairs of frequent shingles.
 PAIRS_UP_TO = 400
-#: Shingles in a verification cell; larger candidate groups are split into blocks that meet two by two.
+#: Shingles in a verification cell; larger candidate groups are split.
 CELL = 1_500_000
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
@@ -232,10 +233,15 @@ def _build(k: int, classes: np.ndarray):
     return build
 
 
-def linked(ids: np.ndarray, colour: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Labels of the documents of one cell: equal within a connected component, given colours already connected."""
+def linked(ids: np.ndarray, colour: np.ndarray, sets: list[np.ndarray], percent: int, sizes: np.ndarray | None = None, forest: bool = True) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Labels of the documents of one cell: equal within a connected component, given colours already connected.
+
+    With ``sizes``, sets are only the prefixes of sets of these sizes. Pairs whose prefixes share as much as a link needs are
+    then returned unverified: those that would connect something new (a forest), or all between different labels.
+    """
     label = np.unique(colour, return_inverse=True)[1].astype(np.int64)
-    n = np.array([len(t) for t in sets], np.int64)
+    n = np.array([len(t) for t in sets], np.int64) if sizes is None else sizes
+    pairs: list[tuple[int, int]] = []
     order = np.lexsort((ids, n))
     lead = n + (-n * percent // 100) + 1
     size = np.where(n > 0, lead, 0)[order]
@@ -268,20 +274,24 @@ def linked(ids: np.ndarray, colour: np.ndarray, sets: list[np.ndarray], percent:
         for j in order[y[np.argsort(-c[y], kind="stable")]].tolist():
             if label[i] == label[j]:
                 continue
+            if sizes is not None:
+                pairs.append((i, j))
+                if forest:
+                    label[label == label[j]] = label[i]
+                continue
             a, b = sets[i], sets[j]
             at = np.searchsorted(b, a)
             both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
             if 100 * both >= percent * (len(a) + len(b) - both):
                 label[label == label[j]] = label[i]
-    return label
+    return label, pairs
 
 
 def _verify(percent: int):
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("tokens").chunks for x in chunk]
-        colour = table.column("colour").to_numpy() if "colour" in table.column_names else ids
-        label = linked(ids, colour, sets, percent)
+        label, _ = linked(ids, ids, sets, percent)
         low = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(low[label], pa.int64())], schema=LINK)
@@ -289,6 +299,61 @@ def _verify(percent: int):
     return verify
 
 
+def _propose(percent: int, forest: bool):
+    """Pairs of one cell of prefixes that a link may join."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        lead = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("lead").chunks for x in chunk]
+        _, pairs = linked(ids, table.column("colour").to_numpy(), lead, percent, table.column("n").to_numpy(), forest)
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return _link_table(ids[at[:, 0]], ids[at[:, 1]])
+
+    return propose
+
+
+def _compare(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return compare
+
+
+def _wide_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links within groups too large for one cell: (component, blocks, block, id, tokens).
+
+    Cells hold prefixes only, about a seventh of the sets. First a forest of proposed pairs is verified; then, between
+    what is still apart, every proposed pair. A pair that links shares enough of its prefixes to be proposed, so no link
+    between different components is missed.
+    """
+    n = (F.octet_length("tokens") / 8).cast("long")
+    cut = F.least(n, n + F.floor(-n * percent / 100) + 1)
+    parts = F.ceil(F.col("blocks") * ((100 - percent + 2) / 100)).cast("int")
+    lead = sets.select("component", "id", n.alias("n"), F.substring("tokens", F.lit(1), (8 * cut).cast("int")).alias("lead"), parts.alias("parts"), (F.col("block") % parts).alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = lead.select("*", other).select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "n", "lead")
+    tokens = sets.select(F.col("id").alias("__id"), "tokens")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(tokens, pairs["a"] == tokens["__id"]).select("a", "b", F.col("tokens").alias("s")).join(tokens, F.col("b") == F.col("__id")).select("a", "b", "s", "tokens")
+        return written(both.mapInArrow(_compare(percent), "a long, b long"))
+
+    key = ("component", "x", "y")
+    first = verified(cells.withColumn("colour", F.col("id")).groupBy(*key).applyInArrow(_propose(percent, True), "a long, b long"))
+    colours = connected_components(first).select(F.col("node").alias("__c"), F.col("component").alias("colour"))
+    known = cells.join(colours, F.col("id") == F.col("__c"), "left").drop("__c").withColumn("colour", F.coalesce("colour", "id"))
+    rest = verified(known.groupBy(*key).applyInArrow(_propose(percent, False), "a long, b long"))
+    return first.unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of docs with a non-null id.
 
@@ -311,15 +376,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")).cast("int").alias("block")).withColumn("block", F.col("block") % F.col("blocks"))
     sets = members.join(source, "id").select("component", "blocks", "block", "id", "text").mapInArrow(_build(shingle, classes), "component long, blocks int, block int, id long, tokens binary")
     sets = written(sets)
-    cells = written(sets.groupBy("component", "block").applyInArrow(_verify(percent), "a long, b long"))
+    cells = sets.where("blocks = 1").groupBy("component").applyInArrow(_verify(percent), "a long, b long")
+    links = [written(cells)]
     wide = sets.where("blocks > 1")
-    links = [cells]
     if wide.limit(1).count():
-        # blocks of a large group meet two by two; what is connected within a block isn't compared again
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        pairs = wide.join(cells.withColumnRenamed("b", "colour"), wide["id"] == cells["a"]).drop("a").select("*", other).where("other != block")
-        pairs = pairs.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "tokens", "colour")
-        links.append(pairs.groupBy("component", "x", "y").applyInArrow(_verify(percent), "a long, b long"))
+        links.append(_wide_links(wide, percent))
     low = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     copies = rows.join(low, ["n", "f1", "f2"]).select(F.col("id").alias("a"), "b")
     every = copies
