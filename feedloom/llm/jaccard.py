@@ -8,11 +8,13 @@ those is rare, and rare shingles are indexed singly; or both are frequent, and p
 indexed. Long documents, whose pairs would be many, index frequent shingles singly; sizes that could link with either
 kind do both, so no link is lost.
 
-Index entries meet in buckets. Documents that share an entry and have compatible sizes are connected, entry by
-entry (never as pairs), which yields candidate groups; only their members' sets are built again. A group that fits a cell of bounded
+Index entries meet in buckets. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
+a bit for each hash place, flipped by every shingle there, so two of them differ in no more bits than the sets in
+shingles. Each bucket returns what is connected, as stars; components of these are candidate groups, and only
+their members' sets are built again. A group that fits a cell of bounded
 size is verified there, where documents already connected are not compared again; a larger one in cells of prefixes,
-whose proposed pairs are then verified. Copies with equal sets and
-equal entries within a slice of rows are settled before any shuffle.
+whose proposed pairs are then verified. Copies with equal sets
+within a slice of rows are settled before any shuffle.
 """
 
 from __future__ import annotations
@@ -127,22 +129,15 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _links(token: np.ndarray, step: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Connect entries with equal tokens and size steps at most one apart. Also which entries stand for their step."""
-    order = np.lexsort((doc, step, token))
-    t, s, d = token[order], step[order], doc[order]
-    same = (t[1:] == t[:-1]) & (s[1:] - s[:-1] <= 1)
-    on = same & (d[1:] != d[:-1])
-    first = np.ones(len(order), bool)
-    first[1:] = ~((t[1:] == t[:-1]) & (s[1:] == s[:-1]))
-    lead = np.zeros(len(order), bool)
-    lead[order] = first
-    return d[:-1][on], d[1:][on], lead
+def bitmap(t: np.ndarray, percent: int) -> bytes:
+    """One bit for each hash place, flipped by every shingle there; two bitmaps differ in no more bits than the sets do."""
+    want = 3.4 * len(t) * (100 - percent) / (100 + percent)
+    bits = min(max(64, 1 << max(0, int(np.ceil(np.log2(max(want, 1)))))), 1 << 14)
+    at = (mix(t ^ _SINGLE) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
-    ratio = np.log(100 / percent)
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
@@ -159,24 +154,17 @@ def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
                 count = np.array([len(x) for x in found], np.int64)
                 token = np.concatenate(found) if found else np.zeros(0, U64)
                 doc = np.repeat(ids[own], count)
-                step = np.repeat((np.log(np.maximum(n[own], 1)) / ratio).astype(np.int16), count) if own else np.zeros(0, np.int16)
-                a, b, keep = _links(token, step, doc)
-                edges = b""
-                if len(a):
-                    nodes, to = _labels(a, b)
-                    edges = nodes.tobytes() + to.tobytes()
-                token, doc, step = token[keep], doc[keep], step[keep]
                 bucket = (token % U64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
                 to_bucket = [bucket[order[x]] for x in cut[:-1]]
-                blobs = [token[order[x:y]].tobytes() + doc[order[x:y]].tobytes() + step[order[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                blobs = [token[order[x:y]].tobytes() + doc[order[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 rows, m = len(ids), len(blobs)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*to_bucket, *[None] * (rows + 1)], pa.int32()),
-                        pa.array([*blobs, *[None] * rows, edges], pa.binary()),
-                        *(pa.array([*[None] * m, *x.astype(np.int64).tolist(), None], pa.int64()) for x in (ids, n, f1.view(np.int64), f2.view(np.int64))),
+                        pa.array([*to_bucket, *[None] * rows], pa.int32()),
+                        pa.array([*blobs, *[bitmap(t, percent) for t in sets]], pa.binary()),
+                        *(pa.array([*[None] * m, *x.astype(np.int64).tolist()], pa.int64()) for x in (ids, n, f1.view(np.int64), f2.view(np.int64))),
                     ],
                     names=["bucket", "entries", "id", "n", "f1", "f2"],
                 )
@@ -193,31 +181,104 @@ def _link_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket of the index: documents connected by a shared entry, as a star around the smallest."""
-    ts, ds, ss = [], [], []
+    """One bucket of the index: (entry, id) of entries that several documents have."""
+    ts, ds = [], []
     for chunk in table.column("entries").chunks:
         for x in chunk:
             b = x.as_buffer()
-            n = b.size // 18
+            n = b.size // 16
             ts.append(np.frombuffer(b, U64, n))
             ds.append(np.frombuffer(b, np.int64, n, 8 * n))
-            ss.append(np.frombuffer(b, np.int16, n, 16 * n))
-    t, d, s = map(np.concatenate, (ts, ds, ss))
+    t, d = np.concatenate(ts), np.concatenate(ds)
     order = np.argsort(t)
     eq = t[order[1:]] == t[order[:-1]]
     twin = np.zeros(len(t), bool)
     twin[order[1:][eq]] = True
     twin[order[:-1][eq]] = True
-    a, b, _ = _links(t[twin], s[twin], d[twin])
-    return _link_table(*_labels(a, b)) if len(a) else LINK.empty_table()
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column(0):
-            if x.is_valid and x.as_buffer().size:
-                v = np.frombuffer(x.as_buffer(), np.int64)
-                yield from _link_table(v[: len(v) // 2], v[len(v) // 2 :]).to_batches()
+    return pa.Table.from_arrays([pa.array(t[twin].view(np.int64)), pa.array(d[twin])], names=["entry", "id"])
+
+
+#: Documents with one entry up to which pairs are tested at once, and one against all; more are only chained by size.
+PAIRS_OF, ALL_OF = 64, 5_000
+
+
+class _Bitmaps:
+    """Bitmaps of the documents of one bucket, by width; a wider one is folded to a narrower one's width."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray, percent: int) -> None:
+        self.n, self.percent = n, percent
+        self.width = np.array([len(b) for b in raw], np.int64)
+        self.row = {}
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            m = np.stack([np.frombuffer(raw[i], np.uint64) if len(raw[i]) == w else np.bitwise_xor(*np.frombuffer(raw[i], np.uint64).reshape(2, -1)) for i in at.tolist()])
+            place = np.full(len(raw), -1, np.int64)
+            place[at] = np.arange(len(at))
+            self.row[w], self.rows[w] = place, m
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may link, by sizes and bitmaps."""
+        a, b = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        good = 100 * a >= self.percent * b
+        w, wide = np.minimum(self.width[i], self.width[j]), np.maximum(self.width[i], self.width[j])
+        for v in np.unique(w[good]).tolist():
+            at = np.flatnonzero(good & (w == v) & (wide <= 2 * v))
+            for lo in range(0, len(at), 100_000):
+                k = at[lo : lo + 100_000]
+                differ = np.bitwise_count(self.rows[v][self.row[v][i[k]]] ^ self.rows[v][self.row[v][j[k]]]).sum(axis=1, dtype=np.int64)
+                good[k] = differ * (100 + self.percent) <= (100 - self.percent) * (a[k] + b[k])
+        return good
+
+
+def _prune(percent: int):
+    def prune(table: pa.Table) -> pa.Table:
+        """One bucket of shared entries: documents that may link, as stars of connected ones."""
+        entry, ids, n = (table.column(c).to_numpy() for c in ("entry", "id", "n"))
+        docs, first, who = np.unique(ids, return_index=True, return_inverse=True)
+        raw = table.column("bits").take(pa.array(first)).to_pylist()
+        maps = _Bitmaps(raw, n[first], percent)
+        order = np.lexsort((who, n, entry))
+        e, who = entry[order], who[order]
+        new = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+        size = np.diff(np.append(new, len(e)))
+        small = size <= PAIRS_OF
+        ends = np.repeat(new + size, size)
+        at = np.flatnonzero(np.repeat(small, size))
+        later = ends[at] - at - 1
+        pairs = []
+        for lo in range(0, len(at), 200_000):
+            i = np.repeat(at[lo : lo + 200_000], later[lo : lo + 200_000])
+            j = tc.ranges(at[lo : lo + 200_000] + 1, later[lo : lo + 200_000])
+            x, y = who[i], who[j]
+            key = np.unique(np.minimum(x, y) * len(docs) + np.maximum(x, y))
+            x, y = key // len(docs), key % len(docs)
+            good = (x != y) & maps.near(x, y)
+            pairs.append((x[good], y[good]))
+        for a, m in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
+            g = who[a : a + m]
+            if m > ALL_OF:
+                on = 100 * maps.n[g[:-1]] >= percent * maps.n[g[1:]]
+                pairs.append((g[:-1][on], g[1:][on]))
+                continue
+            label = np.arange(m)
+            low = np.searchsorted(maps.n[g], maps.n[g] * percent / 100)
+            for k in range(1, m):
+                y = np.arange(low[k], k)
+                y = y[label[y] != label[k]]
+                if len(y):
+                    y = y[maps.near(np.full(len(y), g[k]), g[y])]
+                    _, one = np.unique(label[y], return_index=True)
+                    for z in y[one].tolist():
+                        pairs.append((g[k : k + 1], g[z : z + 1]))
+                        label[label == label[z]] = label[k]
+        a, b = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
+        if not len(a):
+            return LINK.empty_table()
+        nodes, to = _labels(docs[a], docs[b])
+        return _link_table(nodes, to)
+
+    return prune
 
 
 def _build(k: int, classes: np.ndarray):
@@ -368,9 +429,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = frequency_classes(source, shingle)
     index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long"))
     rows = index.where("id is not null").select("id", "n", "f1", "f2")
-    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    near = index.where("bucket is null and id is null").select("entries").mapInArrow(_unpack, "a long, b long")
-    groups = written(connected_components(met.unionByName(near)))
+    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "entry long, id long")
+    bits = index.where("id is not null").groupBy("id").agg(F.max(F.struct("n", F.col("entries").alias("bits"))).alias("d")).select("id", "d.n", "d.bits")
+    near = met.join(bits, "id").withColumn("bucket", F.pmod(F.xxhash64("entry"), F.lit(buckets))).groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
+    groups = written(connected_components(near))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
     total = groups.join(sizes, groups["node"] == sizes["id"]).groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
     members = groups.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")).cast("int").alias("block")).withColumn("block", F.col("block") % F.col("blocks"))
