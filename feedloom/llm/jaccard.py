@@ -8,7 +8,7 @@ those is rare, and rare shingles are indexed singly; or both are frequent, and p
 indexed. Long documents, whose pairs would be many, index frequent shingles singly; sizes that could link with either
 kind do both, so no link is lost.
 
-Index entries meet in buckets. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
+Index entries meet in buckets; what a document shares in one bucket travels as one row. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
 a bit for each hash place, flipped by every shingle there, so two of them differ in no more bits than the sets in
 shingles. Each bucket returns what is connected, as stars; components of these are candidate groups, and only
 their members' sets are built again. A group that fits a cell of bounded
@@ -39,6 +39,8 @@ FREQUENT = 4
 PAIRS_UP_TO = 400
 #: Shingles in a verification cell; larger candidate groups are split.
 CELL = 1_500_000
+#: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
+BITS = 1 << 12
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
 
@@ -132,7 +134,7 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def bitmap(t: np.ndarray, percent: int) -> bytes:
     """One bit for each hash place, flipped by every shingle there; two bitmaps differ in no more bits than the sets do."""
     want = 3.4 * len(t) * (100 - percent) / (100 + percent)
-    bits = min(max(64, 1 << max(0, int(np.ceil(np.log2(max(want, 1)))))), 1 << 14)
+    bits = min(max(64, 1 << max(0, int(np.ceil(np.log2(max(want, 1)))))), BITS)
     at = (mix(t ^ _SINGLE) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -181,7 +183,7 @@ def _link_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket of the index: (entry, id) of entries that several documents have."""
+    """One bucket of the index: for each document its entries that others have, packed."""
     ts, ds = [], []
     for chunk in table.column("entries").chunks:
         for x in chunk:
@@ -195,7 +197,13 @@ def _meet(table: pa.Table) -> pa.Table:
     twin = np.zeros(len(t), bool)
     twin[order[1:][eq]] = True
     twin[order[:-1][eq]] = True
-    return pa.Table.from_arrays([pa.array(t[twin].view(np.int64)), pa.array(d[twin])], names=["entry", "id"])
+    t, d = t[twin], d[twin]
+    order = np.argsort(d, kind="stable")
+    t, d = t[order], d[order]
+    new = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.append(new, len(t)) * 8), pa.py_buffer(t)])
+    bucket = np.full(len(new), table.column("bucket")[0].as_py(), np.int32)
+    return pa.Table.from_arrays([pa.array(bucket), pa.array(d[new]), packed.cast(pa.binary())], names=["bucket", "id", "shared"])
 
 
 #: Documents with one entry up to which pairs are tested at once, and one against all; more are only chained by size.
@@ -234,11 +242,11 @@ class _Bitmaps:
 def _prune(percent: int):
     def prune(table: pa.Table) -> pa.Table:
         """One bucket of shared entries: documents that may link, as stars of connected ones."""
-        entry, ids, n = (table.column(c).to_numpy() for c in ("entry", "id", "n"))
-        docs, first, who = np.unique(ids, return_index=True, return_inverse=True)
-        raw = table.column("bits").take(pa.array(first)).to_pylist()
-        maps = _Bitmaps(raw, n[first], percent)
-        order = np.lexsort((who, n, entry))
+        docs, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        maps = _Bitmaps(table.column("bits").to_pylist(), n, percent)
+        shared = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("shared").chunks for x in chunk]
+        who, entry = np.repeat(np.arange(len(docs)), [len(x) for x in shared]), np.concatenate(shared)
+        order = np.lexsort((who, n[who], entry))
         e, who = entry[order], who[order]
         new = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
         size = np.diff(np.append(new, len(e)))
@@ -348,10 +356,15 @@ def linked(ids: np.ndarray, colour: np.ndarray, sets: list[np.ndarray], percent:
     return label, pairs
 
 
-def _verify(percent: int):
+def _verify(k: int, percent: int, classes: np.ndarray):
+    """One candidate group that fits a cell: its texts to links."""
+
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("tokens").chunks for x in chunk]
+        sets = []
+        for batch in table.select(["id", "text"]).to_batches():
+            for _, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
+                sets += ordered_sets(*shingles(buf, off, k), classes)
         label, _ = linked(ids, ids, sets, percent)
         low = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
@@ -429,20 +442,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = frequency_classes(source, shingle)
     index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long"))
     rows = index.where("id is not null").select("id", "n", "f1", "f2")
-    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "entry long, id long")
+    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "bucket int, id long, shared binary")
     bits = index.where("id is not null").groupBy("id").agg(F.max(F.struct("n", F.col("entries").alias("bits"))).alias("d")).select("id", "d.n", "d.bits")
-    near = met.join(bits, "id").withColumn("bucket", F.pmod(F.xxhash64("entry"), F.lit(buckets))).groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
+    near = met.join(bits, "id").groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
     groups = written(connected_components(near))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
     total = groups.join(sizes, groups["node"] == sizes["id"]).groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
-    members = groups.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")).cast("int").alias("block")).withColumn("block", F.col("block") % F.col("blocks"))
-    sets = members.join(source, "id").select("component", "blocks", "block", "id", "text").mapInArrow(_build(shingle, classes), "component long, blocks int, block int, id long, tokens binary")
-    sets = written(sets)
-    cells = sets.where("blocks = 1").groupBy("component").applyInArrow(_verify(percent), "a long, b long")
-    links = [written(cells)]
-    wide = sets.where("blocks > 1")
+    members = written(groups.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")).cast("int").alias("block")).withColumn("block", F.col("block") % F.col("blocks")))
+    fit = members.where("blocks = 1").join(source, "id").select("component", "id", "text")
+    links = [written(fit.groupBy("component").applyInArrow(_verify(shingle, percent, classes), "a long, b long"))]
+    wide = members.where("blocks > 1")
     if wide.limit(1).count():
-        links.append(_wide_links(wide, percent))
+        sets = wide.join(source, "id").select("component", "blocks", "block", "id", "text").mapInArrow(_build(shingle, classes), "component long, blocks int, block int, id long, tokens binary")
+        links.append(_wide_links(written(sets), percent))
     low = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     copies = rows.join(low, ["n", "f1", "f2"]).select(F.col("id").alias("a"), "b")
     every = copies
