@@ -14,7 +14,7 @@ shingles. Each bucket returns what is connected, as stars; components of these a
 their members' sets are built again. A group that fits a cell of bounded
 size is verified there, where documents already connected are not compared again; a larger one in cells of prefixes,
 whose proposed pairs are then verified. Copies with equal sets
-within a slice of rows are settled before any shuffle.
+within a slice of rows are settled before any shuffle; of those left, one goes on to the buckets' pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ FREQUENT = 4
 #: Documents of at most so many shingles index pairs of frequent shingles.
 PAIRS_UP_TO = 400
 #: Shingles in a verification cell; larger candidate groups are split.
-CELL = 1_500_000
+CELL = 4_000_000
 #: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
 BITS = 1 << 12
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -443,7 +443,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long"))
     rows = index.where("id is not null").select("id", "n", "f1", "f2")
     met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "bucket int, id long, shared binary")
-    bits = index.where("id is not null").groupBy("id").agg(F.max(F.struct("n", F.col("entries").alias("bits"))).alias("d")).select("id", "d.n", "d.bits")
+    # equal sets have equal entries, so the smallest id of each stands for all of them
+    bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("d.id", "n", "d.bits")
     near = met.join(bits, "id").groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
     groups = written(connected_components(near))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
