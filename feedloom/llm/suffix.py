@@ -108,13 +108,14 @@ def merged(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     wide[:-1] = (wide[:-1] << 8) | text[1:]
     order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     rounds = [1] * (length % 2) + [2] * (length // 2)
-    for step in rounds:
+    for first, step in zip([True] + [False] * len(rounds), rounds, strict=False):
         symbols = wide if step == 2 else text.astype(np.uint16)
         before = order - step
         inside = before >= 0
         tail = np.arange(n - step, n, dtype=np.int32)
         before = np.concatenate([tail, before[inside]])
-        old = np.concatenate([np.full(step, -1, np.int32), interval[inside]])
+        # a tail is apart from all others, but for the first round, where it is as long as they are
+        old = np.concatenate([np.full(step, 0 if first else -1, np.int32), interval[inside]])
         by = np.argsort(symbols[before], kind="stable")
         order, old = before[by], old[by]
         symbol = symbols[order]

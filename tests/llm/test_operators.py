@@ -98,6 +98,7 @@ def test_merged_order(spark):
     r = np.random.default_rng(5)
     for length in (21, 24):
         text = r.integers(0, 2, 400).astype(np.uint8)
+        text[-length:] = text[:length]
         order, interval = merged(text, length)
         real = [(p, i) for p, i in zip(order.tolist(), interval.tolist(), strict=True) if p + length <= 400]
         strings = [bytes(text[p : p + length]) for p, _ in real]
