@@ -2,14 +2,15 @@
 
 A document's suffixes, cut to ``length`` bytes, are dealt out so that equal ones meet: each elects the ``GRAM``-byte string in
 it with the smallest hash, and goes to that string's bucket; neighbours that elect one string at one place travel as one
-piece of text. Each slice of rows is a shard. In a bucket, pieces whose elected string no other piece has are done, and equal
+piece of text. Five bytes of the string's hash and its place go first; text follows only for strings that several documents
+elect. Each slice of rows is a shard. In a bucket, pieces whose elected string no other piece has are done, and equal
 pieces need one comparison. The others are merged as Holt and McMillan merge the transforms of string collections: the suffixes
 of all shards start interleaved in any order, and each round puts every suffix, in the order so far, into the bucket of the
 symbol that precedes it - its entry in the transform. After k rounds the interleave is sorted by the first k symbols; a
 border between neighbours appears in the round of their common prefix. No suffixes are compared or sorted anew. The rounds
 stop at ``length`` bytes, where the intervals without a border are the repeated strings; two bytes make a symbol.
 
-Scale. Text travels about four times, compressed. Equal pieces of one slice are settled before the shuffle, so a
+Scale. Texts travel once by id, a few bytes for each piece, and the pieces whose string is repeated, compressed. Equal pieces of one slice are settled before the shuffle, so a
 passage in a third of all documents is sent once per slice. Buckets follow spark.sql.shuffle.partitions.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,37 +64,123 @@ def pieces(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     return gram[place[new]], place[new], at[new], np.diff(np.append(new, len(at))), pre
 
 
+KEYS = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("found", pa.binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("pieces", pa.binary()), ("found", pa.binary())])
+FLAG = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int16()), ("lead", pa.int16())])
+#: Bytes of an elected string's hash that its bucket sees; equal ones of different strings only send text in vain.
+_KEY_BYTES = 5
 
 
-def _send(length: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on; small values leave planes of zeros."""
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _unplane(b: bytes, dtype: type, n: int, at: int) -> tuple[np.ndarray, int]:
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T.copy().view(dtype).reshape(n), at + n * width
+
+
+def _packed(key: np.ndarray, doc: np.ndarray, local: np.ndarray, count: np.ndarray, lead: np.ndarray) -> bytes:
+    new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    runs = np.diff(np.append(new, len(doc))).astype(np.int32)
+    tops = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 8 - _KEY_BYTES :].tobytes()
+    return np.array([len(doc), len(new)], np.int64).tobytes() + b"".join((_planes(doc[new]), _planes(runs), _planes(local.astype(np.int32)), _planes(count.astype(np.int16)), _planes(lead.astype(np.int16)), tops))
+
+
+def _unpacked(b: bytes) -> tuple[np.ndarray, ...]:
+    n, m = np.frombuffer(b, np.int64, 2).tolist()
+    doc, at = _unplane(b, np.int64, m, 16)
+    runs, at = _unplane(b, np.int32, m, at)
+    local, at = _unplane(b, np.int32, n, at)
+    count, at = _unplane(b, np.int16, n, at)
+    lead, at = _unplane(b, np.int16, n, at)
+    key = np.zeros((n, 8), np.uint8)
+    key[:, 8 - _KEY_BYTES :] = np.frombuffer(b, np.uint8, n * _KEY_BYTES, at).reshape(n, _KEY_BYTES)
+    return key.view(U64).reshape(n), np.repeat(doc, runs), local, count, lead
+
+
+def _by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = (key % U64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _row(bucket: int, raw: bytes) -> tuple[int, int, bytes, bytes]:
+    return bucket, len(raw), pa.compress(raw, codec="zstd", asbytes=True), b""
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _elect(length: int, buckets: int):
+    """Texts to their pieces' keys and places; pieces that an earlier document of the slice holds whole are found."""
+
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1), _SLICE):
                 key, place, first, count, pre = pieces(buf, off, length)
                 if not len(key):
                     continue
                 row = np.searchsorted(off, first, side="right") - 1
-                doc, local = ids[row], first - off[row]
-                whole = mix(tc.span(pre, first, first + count + length - 1) ^ (count.astype(U64) << U64(32)) ^ (place - first).astype(U64))
+                doc, local, lead = ids[row], first - off[row], place - first
+                whole = mix(tc.span(pre, first, first + count + length - 1) ^ (count.astype(U64) << U64(32)) ^ lead.astype(U64))
                 gone = repeated(whole, doc)
-                found = b""
-                if gone.any():
-                    owner = np.flatnonzero(gone)
-                    found = _bytes(doc[owner], local[owner], count[owner])
-                    key, place, first, count, doc, local = (x[~gone] for x in (key, place, first, count, doc, local))
-                bucket = (key % U64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                rows = []
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    i = order[a:b]
-                    text = buf[tc.ranges(first[i], count[i] + length - 1)]
-                    raw = _bytes(doc[i], local[i].astype(np.int32), count[i].astype(np.int16), (place[i] - first[i]).astype(np.int16)) + text.tobytes()
-                    rows.append((int(bucket[i[0]]), len(raw), pa.compress(raw, codec="zstd", asbytes=True), b""))
+                found = _bytes(doc[gone], local[gone], count[gone]) if gone.any() else b""
+                key, doc, local, count, lead = (x[~gone] for x in (key, doc, local, count, lead))
+                rows = [_row(k, _packed(key[i], doc[i], local[i], count[i], lead[i])) for k, i in _by_bucket(key, buckets)]
                 if found:
                     rows.append((int(ids[0]) % buckets, 0, b"", found))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT.types, strict=True)], schema=SENT)
+                yield _batch(rows, KEYS)
+
+    return elect
+
+
+def _flag(table: pa.Table) -> pa.Table:
+    """One bucket of keys: the pieces whose elected string several documents hold, and those found before (lead -1)."""
+    out = [(d, a, c, np.full(len(d), -1)) for d, a, c in _known(table)]
+    blobs = [pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for n, x in zip(table.column("size").to_pylist(), table.column("keys").to_pylist(), strict=True) if n]
+    if blobs:
+        key, doc, *rest = (np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True))
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        several = np.minimum.reduceat(doc[order], new) != np.maximum.reduceat(doc[order], new)
+        on = np.sort(order[np.repeat(several, np.diff(np.append(new, len(order))))])
+        out.append((doc[on], *(c[on] for c in rest)))
+    if not out:
+        return FLAG.empty_table()
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), t, safe=False) for c, t in zip(zip(*out, strict=True), FLAG.types, strict=True)], schema=FLAG)
+
+
+def _send(length: int, buckets: int, at_id: int, at_text: int, at_flags: int):
+    """Rows with flags to the text of their flagged pieces."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, buf, off, at in tc.slices(batch.column(at_id).cast(pa.int64()).fill_null(0), batch.column(at_text).cast(pa.large_binary())):
+                flags = batch.column(at_flags).slice(at, len(ids))
+                row = np.repeat(np.arange(len(ids)), pc.list_value_length(flags).fill_null(0).to_numpy())
+                flag = flags.flatten().to_numpy()
+                order = np.lexsort((flag, row))
+                row, flag = row[order], flag[order]
+                local, count, lead = flag >> 32, flag >> 16 & 0xFFFF, (flag & 0xFFFF) - 1
+                inside = local + count + length - 1 <= np.diff(off)[row]
+                row, local, count, lead = row[inside], local[inside], count[inside], lead[inside]
+                doc, known, rows = ids[row], lead < 0, []
+                if known.any():
+                    rows.append((int(ids[0]) % buckets, 0, b"", _bytes(doc[known], local[known], count[known])))
+                doc, local, count, lead, first = doc[~known], local[~known], count[~known], lead[~known], (off[row] + local)[~known]
+                gram = np.zeros(len(first), U64)
+                for k, power in enumerate(tc.powers(tc.BASE, GRAM)):
+                    gram += _TABLE[buf[first + lead + k]] * power
+                for k, i in _by_bucket(mix(gram), buckets):
+                    text = buf[tc.ranges(first[i], count[i] + length - 1)]
+                    rows.append(_row(k, _bytes(doc[i], local[i].astype(np.int32), count[i].astype(np.int16), lead[i].astype(np.int16)) + text.tobytes()))
+                if rows:
+                    yield _batch(rows, SENT)
 
     return send
 
@@ -125,12 +213,17 @@ def merged(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, interval
 
 
-def _open(table: pa.Table) -> tuple[list, list[np.ndarray]]:
+def _known(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
     out: list[tuple[np.ndarray, ...]] = []
     for x in table.column("found").to_pylist():
         if x:
             n = int(np.frombuffer(x, np.int64, 1)[0])
             out.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
+    return out
+
+
+def _open(table: pa.Table) -> tuple[list, list[np.ndarray]]:
+    out = _known(table)
     cols: list[list[np.ndarray]] = [[], [], [], [], []]
     for size, x in zip(table.column("size").to_pylist(), table.column("pieces").to_pylist(), strict=True):
         if size:
@@ -209,9 +302,10 @@ def _cut(length: int, at_text: int, at_found: int, names: list[str], keep: list[
                 runs: list[dict] = []
                 if f.is_valid and b:
                     gone = np.zeros(len(b) + 1, np.int32)
-                    at = f.values.field("at").to_numpy().astype(np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + f.values.field("windows").to_numpy() + length - 1, -1)
+                    run = f.values.to_numpy()
+                    at = run >> 32
+                    np.add.at(gone, np.minimum(at, len(b)), 1)
+                    np.add.at(gone, np.minimum(at + (run & 0xFFFFFFFF) + length - 1, len(b)), -1)
                     edge = np.flatnonzero(np.diff((np.cumsum(gone[:-1]) > 0).astype(np.int8), prepend=0, append=0)).tolist()
                     parts, to = [], 0
                     for a, e in zip(edge[::2], edge[1::2], strict=True):
@@ -237,19 +331,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id; strings are judged on
     the input, never cross documents, and may overlap. A cut may fall inside a UTF-8 character, so what is left is bytes.
 
-    Null text: no bytes. Null id: the row takes no part and loses nothing. Repeated ids count as one document. Repeats inside
-    one document stay. Empty input: no rows. Input columns of the four output names are replaced; others pass through.
+    Null text: no bytes. Null id: the row takes no part and loses nothing. Repeated ids count as one document; should their
+    texts differ, what goes from one goes from the same places of the others. Repeats inside one document stay. Empty input: no rows. Input columns of the four output names are replaced; others pass through.
     """
     if not GRAM < length <= 30_000:
         raise ValueError(f"length must be over {GRAM} and at most 30,000")
     buckets = buckets or 4 * default_parallelism(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sent = source.mapInArrow(_send(length, buckets), "bucket int, size long, pieces binary, found binary")
-    found = sent.groupBy("bucket").applyInArrow(_settle(length), "id long, at int, windows int")
-    found = found.groupBy("id").agg(F.collect_list(F.struct("at", "windows")).alias("__found")).withColumnRenamed("id", "__id")
     ours = {f.name for f in OUTPUT}
     held = [c for c in docs.columns if c not in ours or c in (id_col, text_col)]
-    base = docs.select(*held)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    keys = source.mapInArrow(_elect(length, buckets), "bucket int, size long, keys binary, found binary")
+    flags = keys.groupBy("bucket").applyInArrow(_flag, "id long, at int, windows short, lead short")
+    flags = flags.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead + 1")).alias("__flags")).withColumnRenamed("id", "__id")
+    # both joins take the rows by id from one and the same exchange
+    base = docs.select(*held).repartition(default_parallelism(docs.sparkSession), F.col(id_col).cast("long"))
+    flagged = base.join(flags, base[id_col].cast("long") == flags["__id"], "left")
+    sent = flagged.mapInArrow(_send(length, buckets, len(held), held.index(text_col), len(held) + 1), "bucket int, size long, pieces binary, found binary")
+    found = sent.groupBy("bucket").applyInArrow(_settle(length), "id long, at int, windows int")
+    found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).withColumnRenamed("id", "__id")
     joined = base.join(found, base[id_col].cast("long") == found["__id"], "left").drop("__id")
     keep = [k for k, c in enumerate(held) if c not in ours]
     schema = T.StructType([*(base.schema.fields[k] for k in keep), *OUTPUT])
