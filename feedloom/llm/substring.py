@@ -246,8 +246,8 @@ def _cut(window: int, at_id: int, at_text: int, at_found: int, schema: pa.Schema
                 if f.is_valid and len(w):
                     gone = np.zeros(len(w) + 1, np.int32)
                     at = f.values.field("at").to_numpy().astype(np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + f.values.field("windows").to_numpy() + window - 1, -1)
+                    np.add.at(gone, np.minimum(at, len(w)), 1)
+                    np.add.at(gone, np.minimum(at + f.values.field("windows").to_numpy() + window - 1, len(w)), -1)
                     flag = np.cumsum(gone[:-1]) > 0
                     edge = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0, append=0))
                     parts, to = [], 0
@@ -286,7 +286,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id; windows are judged on the input. kept_text joins the other words by one space.
 
     Null text: no words, kept_text empty. Null id: the row takes no part and loses nothing. Repeated ids count
-    as one document. Repeats inside one document stay. Texts shorter than the window stay (white space is still
+    as one document; should their texts differ, what goes from one goes from the same places of the others. Repeats inside one document stay. Texts shorter than the window stay (white space is still
     made single). Empty input: no rows. Input columns of the four output names are replaced; others pass through.
     """
     found = repeated_windows(docs, id_col, text_col, window, buckets).groupBy("id").agg(F.collect_list(F.struct("at", "windows")).alias("__found")).withColumnRenamed("id", "__id")

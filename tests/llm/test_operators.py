@@ -370,3 +370,14 @@ def test_pipeline(spark, sf_dir):
     mixed = p.mixed(spark, cut, sf_dir)
     assert mixed.columns == docs.columns and 0 < mixed.count()
     assert p.packed(spark, mixed, sf_dir).count() > 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    from feedloom.llm.substring import substring_dedup
+    from feedloom.llm.suffix import suffix_dedup
+
+    long = " ".join(f"x{k}" for k in range(70))
+    rows = spark.createDataFrame([(1, long), (2, "short"), (2, "head " + long), (2, None), (None, long)], "doc_id long, text string")
+    none = [(None, 0), (1, 0), (2, 0), (2, 0)]
+    for out, gone in ((suffix_dedup(rows), len(long)), (substring_dedup(rows), 70)):
+        assert sorted(((r["doc_id"], r["n_removed"]) for r in out.collect()), key=str) == sorted([*none, (2, gone)], key=str)
