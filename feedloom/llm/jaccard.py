@@ -40,7 +40,7 @@ PAIRS_UP_TO = 400
 #: Shingles in a verification cell; larger candidate groups are split.
 CELL = 4_000_000
 #: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
-BITS = 1 << 12
+BITS = 1 << 14
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
 
@@ -133,7 +133,7 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bitmap(t: np.ndarray, percent: int) -> bytes:
     """One bit for each hash place, flipped by every shingle there; two bitmaps differ in no more bits than the sets do."""
-    want = 3.4 * len(t) * (100 - percent) / (100 + percent)
+    want = 14 * len(t) * (100 - percent) / (100 + percent)
     bits = min(max(64, 1 << max(0, int(np.ceil(np.log2(max(want, 1)))))), BITS)
     at = (mix(t ^ _SINGLE) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
