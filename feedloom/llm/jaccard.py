@@ -8,7 +8,8 @@ those is rare, and rare shingles are indexed singly; or both are frequent, and p
 indexed. Long documents, whose pairs would be many, index frequent shingles singly; sizes that could link with either
 kind do both, so no link is lost.
 
-Index entries meet in buckets; what a document shares in one bucket travels as one row. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
+Index entries meet in buckets, under the hash of their set and with its size: equal sets count once, and an entry that
+no other set of a fitting size has goes no further. What a set shares in one bucket travels as one row. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
 a bit for each hash place, flipped by every shingle there, so two of them differ in no more bits than the sets in
 shingles. Each bucket returns what is connected, as stars; components of these are candidate groups, and only
 their members' sets are built again. A group that fits a cell of bounded
@@ -41,6 +42,8 @@ PAIRS_UP_TO = 400
 CELL = 4_000_000
 #: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
 BITS = 1 << 14
+#: Steps of a size's logarithm in the index, and bytes of an entry's hash; entries that fall together are told apart later.
+SIZE_STEPS, ENTRY_BYTES = 2000, 5
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
 
@@ -139,6 +142,25 @@ def bitmap(t: np.ndarray, percent: int) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _pack(token: np.ndarray, of: np.ndarray, key: np.ndarray, code: np.ndarray) -> bytes:
+    """Entries of one bucket, those of a set together: how many sets, their names, size codes and counts, then the entries."""
+    new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    count = np.diff(np.append(new, len(of))).astype(np.uint32)
+    sets = of[new]
+    low = token.view(np.uint8).reshape(-1, 8)[:, 8 - ENTRY_BYTES :]
+    return b"".join([np.int64(len(sets)).tobytes(), key[sets].tobytes(), code[sets].tobytes(), count.tobytes(), low.tobytes()])
+
+
+def _unpack(b: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each packed entry with its set's name and size code."""
+    m = int(np.frombuffer(b, np.int64, 1)[0])
+    key, code, count = np.frombuffer(b, U64, m, 8), np.frombuffer(b, np.uint16, m, 8 + 8 * m), np.frombuffer(b, np.uint32, m, 8 + 10 * m)
+    low = np.frombuffer(b, np.uint8, -1, 8 + 14 * m).reshape(-1, ENTRY_BYTES)
+    token = np.zeros((len(low), 8), np.uint8)
+    token[:, :ENTRY_BYTES] = low
+    return token.view(U64).reshape(-1), np.repeat(key, count), np.repeat(code, count)
+
+
 def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,16 +173,16 @@ def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
                 lead: dict[tuple[int, int, int], int] = {}
                 for i in np.argsort(ids, kind="stable").tolist():
                     lead.setdefault((int(n[i]), int(f1[i]), int(f2[i])), i)
-                own = [i for i in lead.values() if n[i] > 1]
-                found = [entries(sets[i], percent) for i in own]
-                count = np.array([len(x) for x in found], np.int64)
+                own = np.array([i for i in lead.values() if n[i] > 1], np.int64)
+                found = [entries(sets[i], percent) for i in own.tolist()]
                 token = np.concatenate(found) if found else np.zeros(0, U64)
-                doc = np.repeat(ids[own], count)
+                of = np.repeat(np.arange(len(own)), [len(x) for x in found])
+                key, code = f1[own], np.floor(np.log(n[own]) * SIZE_STEPS).astype(np.uint16)
                 bucket = (token % U64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
                 to_bucket = [bucket[order[x]] for x in cut[:-1]]
-                blobs = [token[order[x:y]].tobytes() + doc[order[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                blobs = [_pack(token[order[x:y]], of[order[x:y]], key, code) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 rows, m = len(ids), len(blobs)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -182,28 +204,28 @@ def _link_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a[on], pa.int64()), pa.array(b[on], pa.int64())], schema=LINK)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """One bucket of the index: for each document its entries that others have, packed."""
-    ts, ds = [], []
-    for chunk in table.column("entries").chunks:
-        for x in chunk:
-            b = x.as_buffer()
-            n = b.size // 16
-            ts.append(np.frombuffer(b, U64, n))
-            ds.append(np.frombuffer(b, np.int64, n, 8 * n))
-    t, d = np.concatenate(ts), np.concatenate(ds)
-    order = np.argsort(t)
-    eq = t[order[1:]] == t[order[:-1]]
-    twin = np.zeros(len(t), bool)
-    twin[order[1:][eq]] = True
-    twin[order[:-1][eq]] = True
-    t, d = t[twin], d[twin]
-    order = np.argsort(d, kind="stable")
-    t, d = t[order], d[order]
-    new = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-    packed = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.append(new, len(t)) * 8), pa.py_buffer(t)])
-    bucket = np.full(len(new), table.column("bucket")[0].as_py(), np.int32)
-    return pa.Table.from_arrays([pa.array(bucket), pa.array(d[new]), packed.cast(pa.binary())], names=["bucket", "id", "shared"])
+def _meet(percent: int):
+    apart = int(SIZE_STEPS * np.log(100 / percent)) + 2
+
+    def meet(table: pa.Table) -> pa.Table:
+        """One bucket of the index: for each set its entries that another set of a fitting size has, packed."""
+        t, f, c = (np.concatenate(x) for x in zip(*(_unpack(x.as_buffer()) for chunk in table.column("entries").chunks for x in chunk), strict=True))
+        order = np.lexsort((f, c, t))
+        t, f, c = t[order], f[order], c[order].astype(np.int64)
+        own = np.append(True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]))
+        t, f, c = t[own], f[own], c[own]
+        # within an entry sizes ascend, so the nearest size stands beside
+        near = (t[1:] == t[:-1]) & (c[1:] - c[:-1] <= apart)
+        on = np.append(False, near) | np.append(near, False)
+        t, f = t[on], f[on]
+        order = np.argsort(f, kind="stable")
+        t, f = t[order], f[order]
+        new = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+        packed = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.append(new, len(t)) * 8), pa.py_buffer(t)])
+        bucket = np.full(len(new), table.column("bucket")[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(bucket), pa.array(f[new].view(np.int64)), packed.cast(pa.binary())], names=["bucket", "f", "shared"])
+
+    return meet
 
 
 #: Documents with one entry up to which pairs are tested at once, and one against all; more are only chained by size.
@@ -442,10 +464,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = frequency_classes(source, shingle)
     index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long"))
     rows = index.where("id is not null").select("id", "n", "f1", "f2")
-    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet, "bucket int, id long, shared binary")
-    # equal sets have equal entries, so the smallest id of each stands for all of them
-    bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("d.id", "n", "d.bits")
-    near = met.join(bits, "id").groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
+    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(percent), "bucket int, f long, shared binary")
+    # entries are filed under a set's hash; the smallest id of equal sets stands for all of them
+    bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("f1", "d.id", "n", "d.bits")
+    near = met.join(bits, met["f"] == bits["f1"]).select("bucket", "id", "n", "bits", "shared").groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
     groups = written(connected_components(near))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
     total = groups.join(sizes, groups["node"] == sizes["id"]).groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
