@@ -42,6 +42,8 @@ PAIRS_UP_TO = 400
 CELL = 4_000_000
 #: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
 BITS = 1 << 14
+#: Bits for each shingle in which two linked sets of one size may differ, half of them in either.
+BITS_PER = 7
 #: Steps of a size's logarithm in the index, and bytes of an entry's hash; entries that fall together are told apart later.
 SIZE_STEPS, ENTRY_BYTES = 2000, 5
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -136,7 +138,7 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bitmap(t: np.ndarray, percent: int) -> bytes:
     """One bit for each hash place, flipped by every shingle there; two bitmaps differ in no more bits than the sets do."""
-    want = 14 * len(t) * (100 - percent) / (100 + percent)
+    want = BITS_PER * len(t) * (100 - percent) / (100 + percent)
     bits = min(max(64, 1 << max(0, int(np.ceil(np.log2(max(want, 1)))))), BITS)
     at = (mix(t ^ _SINGLE) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -285,23 +287,35 @@ def _prune(percent: int):
             x, y = key // len(docs), key % len(docs)
             good = (x != y) & maps.near(x, y)
             pairs.append((x[good], y[good]))
+        label, met = np.arange(len(docs)), set()
+        if pairs:
+            x, to = _labels(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+            label[x] = to
         for a, m in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
             g = who[a : a + m]
+            if (name := g.tobytes()) in met:
+                continue
+            met.add(name)
             if m > ALL_OF:
                 on = 100 * maps.n[g[:-1]] >= percent * maps.n[g[1:]]
                 pairs.append((g[:-1][on], g[1:][on]))
                 continue
-            label = np.arange(m)
             low = np.searchsorted(maps.n[g], maps.n[g] * percent / 100)
+            own = label[g]
+            apart = len(np.unique(own))
             for k in range(1, m):
-                y = np.arange(low[k], k)
-                y = y[label[y] != label[k]]
+                if apart == 1:
+                    break
+                y = np.flatnonzero(own[low[k] : k] != own[k]) + low[k]
                 if len(y):
                     y = y[maps.near(np.full(len(y), g[k]), g[y])]
-                    _, one = np.unique(label[y], return_index=True)
+                    _, one = np.unique(own[y], return_index=True)
                     for z in y[one].tolist():
                         pairs.append((g[k : k + 1], g[z : z + 1]))
-                        label[label == label[z]] = label[k]
+                        label[label == own[z]] = own[k]
+                        apart -= 1
+                    if len(one):
+                        own = label[g]
         a, b = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
         if not len(a):
             return LINK.empty_table()
