@@ -20,6 +20,7 @@ within a slice of rows are settled before any shuffle; of those left, one goes o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,13 +70,13 @@ def _count(k: int):
                 total += np.bincount((h >> U64(64 - CLASS_BITS)).astype(np.int64), minlength=CLASSES)
         if total.any():
             rows = total.astype(np.uint32).reshape(_RANGES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["range", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["range", "counts"])
 
     return count
 
 
 def _total(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
     return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
