@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +382,41 @@ def test_repeated_ids_with_different_texts(spark):
     none = [(None, 0), (1, 0), (2, 0), (2, 0)]
     for out, gone in ((suffix_dedup(rows), len(long)), (substring_dedup(rows), 70)):
         assert sorted(((r["doc_id"], r["n_removed"]) for r in out.collect()), key=str) == sorted([*none, (2, gone)], key=str)
+
+
+def test_jaccard_index_entries_survive_packing():
+    from feedloom.llm import jaccard
+
+    r = np.random.default_rng(5)
+    key, code = r.integers(0, 2**63, 4).astype(np.uint64), np.array([7, 0, 65535, 9], np.uint16)
+    of, token = np.array([0, 0, 2, 3, 3, 3]), r.integers(0, 2**63, 6).astype(np.uint64)
+    t, f, c = jaccard._unpack(pa.py_buffer(jaccard._pack(token, of, key, code)))
+    assert (f == key[of]).all() and (c == code[of]).all()
+    assert (t == token >> np.uint64(64 - 8 * jaccard.ENTRY_BYTES)).all()
+
+
+@pytest.mark.parametrize("pairs_of, all_of", [(64, 5_000), (1, 5_000), (1, 2)])
+def test_jaccard_bucket_keeps_every_link(monkeypatch, pairs_of, all_of):
+    from feedloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PAIRS_OF", pairs_of)
+    monkeypatch.setattr(jaccard, "ALL_OF", all_of)
+    r, percent = random.Random(7), 80
+    base = [r.sample(range(10**6), r.randint(20, 90)) for _ in range(6)]
+    plain = [set(r.choice(base)) | set(r.sample(range(10**6), r.randint(0, 12))) for _ in range(60)]
+    plain += [set(plain[0]), set(r.sample(range(10**6), 30))]
+    sets = [np.sort(jaccard.mix(np.array(sorted(x), np.uint64)) >> np.uint64(8)) for x in plain]
+    found = [jaccard.entries(t, percent) for t in sets]
+    n = np.array([len(t) for t in sets])
+    key, code = np.array([jaccard.mix(t).sum() for t in sets], np.uint64), np.floor(np.log(n) * jaccard.SIZE_STEPS).astype(np.uint16)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in found])
+    met = jaccard._meet(percent)(pa.table({"bucket": pa.array([3], pa.int32()), "entries": pa.array([jaccard._pack(np.concatenate(found), of, key, code)], pa.binary())}))
+    at = {int(k): i for i, k in reversed(list(enumerate(key.view(np.int64))))}
+    on = [at[f] for f in met.column("f").to_pylist()]
+    table = pa.table({"id": pa.array(on, pa.int64()), "n": pa.array(n[on]), "bits": pa.array([jaccard.bitmap(sets[i], percent) for i in on], pa.binary()), "shared": met.column("shared")})
+    stars = jaccard._prune(percent)(table)
+    got = components(range(len(plain)), list(zip(stars.column("a").to_pylist(), stars.column("b").to_pylist(), strict=True)))
+    links = [(i, j) for i in set(on) for j in set(on) if i < j and 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j])]
+    assert len(links) > 20 and all(got[i] == got[j] for i, j in links)
+    apart = {at[int(k)] for k in key.view(np.int64)} - set(on)
+    assert all(100 * len(plain[i] & plain[j]) < percent * len(plain[i] | plain[j]) for i in apart for j in at.values() if i != j)
