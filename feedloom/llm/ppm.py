@@ -3,8 +3,11 @@
 Training counts every symbol after every context of three bytes; shorter contexts are its sums. The trie is scored
 by PPM: a symbol seen in the longest context has probability count / (n + distinct); an escape, distinct / (n +
 distinct), leads to the next shorter context, where symbols seen in the longer one are excluded; what no context has
-seen is uniform over the symbols left. Byte 0xFF, which UTF-8 doesn't use, stands before and after every text. All this is
-worked out once, into a table of log probabilities by context and symbol, so that scoring is one lookup a byte.
+seen is uniform over the symbols left. Byte 0xFF, which UTF-8 doesn't use, stands before and after every text. For frequent
+contexts this is worked out once, into a table of log probabilities by context and symbol, so that scoring is one lookup
+a byte. The other contexts of three bytes stay in the trie, in the shared folder, in parts by the hash of their last two
+bytes: documents send what they hold after such contexts to the parts, which send each document its sum. So every
+counted context scores, and only where that happens depends on its frequency.
 
 The unigram baseline needs the training count of every word of every document. Documents send their distinct words, with
 counts, to buckets by hash; a bucket sums the training counts and sends each document its share, so no vocabulary is ever
@@ -24,8 +27,8 @@ from . import textcore as tc
 from .common import default_parallelism, written
 from .textcore import U64, mix
 
-#: Contexts of three bytes that the model keeps, the most frequent of each of PARTS parts; two bytes and fewer: all.
-CONTEXTS, PARTS = 49_152, 64
+#: Contexts of three bytes in the table on every task, the most frequent of each part; the others are met in their parts.
+CONTEXTS = 49_152
 EDGE = 255
 _END = mix(np.array([0x5EED0FE0D], U64))[0]
 
@@ -55,42 +58,70 @@ def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[new], (np.add.reduceat(counts[order], new) if len(k) else counts)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for batch in batches:
-        for _, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
-            context, symbol, _ = _grams(buf, off)
-            k = np.sort((context << np.uint32(8)) | symbol)
-            new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            keys, counts = _tally(np.append(keys, k[new]), np.append(counts, np.diff(np.append(new, len(k)))))
-    part = ((keys >> np.uint32(8)) & np.uint32(0xFFFF)) % np.uint32(PARTS)
-    for p in np.unique(part).tolist():
-        on = part == p
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys[on].tobytes()], pa.binary()), pa.array([counts[on].tobytes()], pa.binary())], names=["part", "keys", "counts"])
+def _part_of(parts: int) -> np.ndarray:
+    """The part of each context's last two bytes."""
+    return (mix(np.arange(65_536, dtype=U64)) % U64(parts)).astype(np.int32)
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One part of the trie: all contexts of two bytes, and the most frequent ones of three."""
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-    keys, counts = _tally(keys, counts)
-    two, n2 = _tally(keys & np.uint32(0xFFFFFF), counts)
-    context, n = _tally(keys >> np.uint32(8), counts)
-    keep = np.sort(context[np.lexsort((context, -n))[: CONTEXTS // PARTS]])
-    at = np.searchsorted(keep, keys >> np.uint32(8))
-    on = (at < len(keep)) & (keep[np.minimum(at, len(keep) - 1)] == keys >> np.uint32(8))
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "three": pa.array([keys[on].tobytes()], pa.binary()), "n3": pa.array([counts[on].tobytes()], pa.binary()), "two": pa.array([two.tobytes()], pa.binary()), "n2": pa.array([n2.tobytes()], pa.binary())})
+def _count(parts: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
+                context, symbol, _ = _grams(buf, off)
+                k = np.sort((context << np.uint32(8)) | symbol)
+                new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                keys, counts = _tally(np.append(keys, k[new]), np.append(counts, np.diff(np.append(new, len(k)))))
+        part = _part_of(parts)[(keys >> np.uint32(8)) & np.uint32(0xFFFF)]
+        for p in np.unique(part).tolist():
+            on = part == p
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys[on].tobytes()], pa.binary()), pa.array([counts[on].tobytes()], pa.binary())], names=["part", "keys", "counts"])
 
+    return count
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
+TRIE = "part int, three binary, n3 binary, two binary, n2 binary, rare binary, rare_keys binary, rare_counts binary"
 
-def train(texts: DataFrame) -> Model:
-    """4-byte and 3-byte strings and their counts, from (id, text); at most CONTEXTS + 65,536 contexts, 256 symbols each."""
-    rows = texts.mapInArrow(_count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(_merge, "part int, three binary, n3 binary, two binary, n2 binary").collect()
+
+def _merge(most: int):
+    def merge(table: pa.Table) -> pa.Table:
+        """One part of the trie: contexts of two bytes, the ``most`` frequent ones of three, and the rare ones of three."""
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        keys, counts = _tally(keys, counts)
+        two, n2 = _tally(keys & np.uint32(0xFFFFFF), counts)
+        context, n = _tally(keys >> np.uint32(8), counts)
+        order = np.lexsort((context, -n))
+        rare = np.sort(context[order[most:]])
+        on = ~np.isin(keys >> np.uint32(8), rare)
+        held = (keys[on], counts[on], two, n2, rare, keys[~on], counts[~on])
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names=[x.split()[0] for x in TRIE.split(", ")])
+
+    return merge
+
+
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def trie(texts: DataFrame, parts: int) -> DataFrame:
+    """The parts of the trie of (id, text), in the shared folder."""
+    counted = texts.mapInArrow(_count(parts), "part int, keys binary, counts binary")
+    return written(counted.groupBy("part").applyInArrow(_merge(CONTEXTS // parts), TRIE))
+
+
+def gathered(parts: DataFrame) -> Model:
+    """Strings of 4 bytes (of at most CONTEXTS contexts) and of 3 with their counts, and a bit for each rare context."""
+    rows = parts.select("part", "three", "n3", "two", "n2", "rare").collect()
     rows.sort(key=lambda r: r["part"])
     join = lambda c, t: np.frombuffer(b"".join(r[c] for r in rows), t)
-    return join("three", np.uint32), join("n3", np.int64), join("two", np.uint32), join("n2", np.int64)
+    rare = np.zeros(1 << 24, bool)
+    rare[join("rare", np.uint32)] = True
+    return join("three", np.uint32), join("n3", np.int64), join("two", np.uint32), join("n2", np.int64), np.packbits(rare)
+
+
+def train(texts: DataFrame) -> Model:
+    """What every task holds of the trie of (id, text)."""
+    return gathered(trie(texts, default_parallelism(texts.sparkSession)))
 
 
 def _rows(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +149,20 @@ def _blend(counts: np.ndarray, seen: np.ndarray, lower: list[np.ndarray]) -> np.
     return np.where(left, escape - np.log10(np.maximum(left.sum(axis=1, keepdims=True), 1)), out).astype(np.float32)
 
 
+def _shortest(two: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Counts after each context of one byte."""
+    out = np.zeros((256, 256))
+    np.add.at(out, ((two >> np.uint32(8)) & np.uint32(255), two & np.uint32(255)), n2)
+    return out
+
+
 class Table:
-    """The model's log10 probabilities: a row for each context of three bytes."""
+    """The model's log10 probabilities: a row for each context of three bytes, but -1 for the rare ones, which add 0."""
 
     def __init__(self, model: Model) -> None:
-        three, n3, two, n2 = model
+        three, n3, two, n2, rare = model
         c2, m2 = _rows(two, n2)
-        m1 = np.zeros((256, 256))
-        np.add.at(m1, (c2 & np.uint32(255)).astype(np.int64), m2)
+        m1 = _shortest(two, n2)
         m0 = m1.sum(axis=0, keepdims=True)
         c3, m3 = _rows(three, n3)
         parts = [_blend(m1, m1 > 0, [np.broadcast_to(m0, m1.shape)])]
@@ -142,10 +179,13 @@ class Table:
         two_row[c2] = 256 + np.arange(len(c2), dtype=np.int32)
         self.row = np.tile(two_row, 256)
         self.row[c3] = 256 + len(c2) + np.arange(len(c3), dtype=np.int32)
+        self.row[np.flatnonzero(np.unpackbits(rare))] = -1
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         context, symbol, _ = _grams(buf, off)
-        value = self.log[self.row[context], symbol].astype(np.float64)
+        row = self.row[context]
+        value = self.log[row, symbol].astype(np.float64)
+        value[row < 0] = 0
         first = off[:-1] + np.arange(len(off) - 1)
         return np.add.reduceat(value, first)
 
@@ -161,11 +201,94 @@ def _score(model: Model, mark: bytes):
                 _tables[mark] = Table(model)
             for ids, buf, off, at in tc.slices(batch.column(0), batch.column(1)):
                 part = batch.slice(at, len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(_tables[mark].score(buf, off))], names=["id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(_tables[mark].score(buf, off))], names=["id", "held_out", "text_hash", "score"])
 
     return score
 
 
+def _rare_grams(rare: np.ndarray, parts: int):
+    """What each document of a slice holds after rare contexts, to the parts of those, with its id and its text's hash."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_rare, part_of = np.unpackbits(rare).astype(bool), _part_of(parts)
+        for batch in batches:
+            hashes = batch.column(3).to_numpy(zero_copy_only=False)
+            for ids, buf, off, first in tc.slices(batch.column(0), batch.column(1)):
+                context, symbol, row = _grams(buf, off)
+                on = np.flatnonzero(is_rare[context])
+                if not len(on):
+                    continue
+                k, count = np.unique((row[on].astype(U64) << U64(32)) | ((context[on] << np.uint32(8)) | symbol[on]).astype(U64), return_counts=True)
+                doc, gram = (k >> U64(32)).astype(np.int32), k.astype(np.uint32)
+                part = part_of[(gram >> np.uint32(8)) & np.uint32(0xFFFF)]
+                by = np.argsort(part, kind="stable")
+                cut = np.append(np.flatnonzero(np.diff(part[by], prepend=-1)), len(by))
+                text_hash = hashes[first : first + len(ids)]
+                out = []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    i = by[a:b]
+                    who, at = np.unique(doc[i], return_inverse=True)
+                    out.append((int(part[i[0]]), ids[who].tobytes(), text_hash[who].tobytes(), at.astype(np.int32).tobytes(), gram[i].tobytes(), count[i].astype(np.int32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=["part", "ids", "hashes", "docs", "grams", "counts"])
+
+    return grams
+
+
+RARE = "part int, ids binary, hashes binary, sums binary"
+
+
+def _rare(m1: np.ndarray, parts: int):
+    def rare(sent: pa.Table, trie: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in RARE.split(", ")]
+        types = (pa.int32(), *(pa.binary(),) * 3)
+        if not sent.num_rows or not trie.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        col = {c: sent.column(c).to_pylist() for c in ("ids", "hashes", "docs", "grams", "counts")}
+        ids, hashes = (np.concatenate([np.frombuffer(x, np.int64) for x in col[c]]) for c in ("ids", "hashes"))
+        base = np.cumsum([0, *(len(x) // 8 for x in col["ids"])])[:-1]
+        doc = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(col["docs"], base.tolist(), strict=True)])
+        gram = np.concatenate([np.frombuffer(x, np.uint32) for x in col["grams"]])
+        count = np.concatenate([np.frombuffer(x, np.int32) for x in col["counts"]])
+        # rows of equal id and text hold the same and share one sum
+        order = np.lexsort((hashes, ids))
+        once = np.zeros(len(ids), bool)
+        once[order] = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0))
+        on = once[doc]
+        doc, count = doc[on], count[on]
+        keys, at = np.unique(gram[on], return_inverse=True)
+        three, n3, two, n2 = (np.frombuffer(trie.column(c)[0].as_py(), t) for c, t in (("rare_keys", np.uint32), ("rare_counts", np.int64), ("two", np.uint32), ("n2", np.int64)))
+        c2, m2 = _rows(two, n2)
+        context = keys >> np.uint32(8)
+        c3, m0 = np.unique(context), m1.sum(axis=0, keepdims=True)
+        value = np.empty(len(keys))
+        for lo in range(0, len(c3), 4096):
+            c = c3[lo : lo + 4096]
+            a = np.searchsorted(three, c << np.uint32(8))
+            k = tc.ranges(a, np.searchsorted(three, (c << np.uint32(8)) | np.uint32(255), side="right") - a)
+            m = np.zeros((len(c), 256))
+            m[np.searchsorted(c, three[k] >> np.uint32(8)), three[k] & np.uint32(255)] = n3[k]
+            log = _blend(m, m > 0, [m2[np.searchsorted(c2, c & np.uint32(0xFFFF))], m1[(c & np.uint32(255)).astype(np.int64)], np.broadcast_to(m0, m.shape)])
+            i = slice(*np.searchsorted(context, [c[0], c[-1] + np.uint32(1)]))
+            value[i] = log[np.searchsorted(c, context[i]), keys[i] & np.uint32(255)]
+        total = np.bincount(doc, weights=count * value[at], minlength=len(ids))
+        who = np.flatnonzero(once)
+        part = (mix(ids[who].astype(U64)) % U64(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(part[by], prepend=-1)), len(by))
+        rows = [(int(part[by[a]]), *(x[who[by[a:b]]].tobytes() for x in (ids, hashes, total))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return rare
+
+
+def _gather_rare(table: pa.Table) -> pa.Table:
+    ids, hashes, sums = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("hashes", np.int64), ("sums", np.float64)))
+    order = np.lexsort((hashes, ids))
+    ids, hashes = ids[order], hashes[order]
+    new = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(hashes) != 0)))
+    return pa.table({"id": ids[new], "text_hash": hashes[new], "rare": np.add.reduceat(sums[order], new)})
+
+
 def _words(buckets: int):
     """Distinct words of each document of a slice, to the buckets of their hashes, with the documents' ids and roles."""
 
@@ -246,10 +369,17 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     buckets = buckets or default_parallelism(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")).where("id is not null")
-    model = train(source.where("not held_out").select("id", "text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(text).alias("text_hash")).where("id is not null")
+    parts = trie(source.where("not held_out").select("id", "text"), buckets)
+    model = gathered(parts)
     mark = b"".join(str(hash(x.tobytes())).encode() for x in model)
-    scored = source.mapInArrow(_score(model, mark), "id long, held_out boolean, score double")
+    scored = source.mapInArrow(_score(model, mark), "id long, held_out boolean, text_hash long, score double")
+    if model[4].any():
+        held = source.mapInArrow(_rare_grams(model[4], buckets), "part int, ids binary, hashes binary, docs binary, grams binary, counts binary")
+        met = held.groupBy("part").cogroup(parts.select("part", "rare_keys", "rare_counts", "two", "n2").groupBy("part")).applyInArrow(_rare(_shortest(model[2], model[3]), buckets), RARE)
+        rare = met.groupBy("part").applyInArrow(_gather_rare, "id long, text_hash long, rare double")
+        scored = scored.join(rare, ["id", "text_hash"], "left").withColumn("score", F.col("score") + F.coalesce("rare", F.lit(0.0)))
     sent = source.mapInArrow(_words(buckets), "bucket int, ids binary, roles binary, hashes binary, docs binary, counts binary")
     shared = written(sent.groupBy("bucket").applyInArrow(_share(buckets), SHARE))
     total, kinds = shared.where("part is null").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()

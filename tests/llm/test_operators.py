@@ -420,3 +420,41 @@ def test_jaccard_bucket_keeps_every_link(monkeypatch, pairs_of, all_of):
     assert len(links) > 20 and all(got[i] == got[j] for i, j in links)
     apart = {at[int(k)] for k in key.view(np.int64)} - set(on)
     assert all(100 * len(plain[i] & plain[j]) < percent * len(plain[i] | plain[j]) for i in apart for j in at.values() if i != j)
+
+
+@pytest.mark.parametrize("contexts", [49_152, 64, 0])
+def test_ppm_scores_rare_contexts(spark, monkeypatch, contexts):
+    """Far more contexts end in one letter than a part once held."""
+    from feedloom.llm import ppm
+
+    monkeypatch.setattr(ppm, "CONTEXTS", contexts)
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, "".join(r.choice(letters) + r.choice(letters) + "a" + r.choice("xyz") for _ in range(400))) for i in range(20)]
+    rows += [(3, rows[5][1]), (4, rows[4][1]), (50, "日本 " + rows[7][1][:90]), (51, None)]
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for i, x in rows:
+        s = b"\xff\xff\xff" + (x or "").encode() + b"\xff"
+        for k in range(3, len(s)) if i < 50 else ():
+            for o in range(4):
+                counts[o][s[k - o : k]][s[k]] += 1
+
+    def plain(context, symbol):
+        seen, p = set(), 1.0
+        for o in (3, 2, 1, 0):
+            c = {k: n for k, n in counts[o][context[3 - o :]].items() if k not in seen}
+            total = sum(c.values()) + len(c)
+            if symbol in c:
+                return p * c[symbol] / total
+            seen |= set(c)
+            p *= len(c) / total if c else 1
+        return p / (256 - len(seen))
+
+    want = []
+    for i, x in rows:
+        s = b"\xff\xff\xff" + (x or "").encode() + b"\xff"
+        want.append((i, sum(np.log10(plain(s[k - 3 : k], s[k])) for k in range(3, len(s)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["score"]) for r in ppm.score_documents(docs, F.col("doc_id") >= 50).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4)
