@@ -10,7 +10,7 @@ name; consecutive windows with the same elected symbol form one record, keyed by
 within ``EDGE`` of it. Records with equal keys meet in one bucket, where the windows' own hashes verify
 which of them repeat and which document is the smallest.
 
-Scale. One record stands for about 17 words and holds four bytes a window. Copies within a slice of rows are
+Scale. One record stands for about 17 words and holds eight bytes a window, its whole hash. Copies within a slice of rows are
 settled before the shuffle, so a passage that stands in a third of all documents is sent once per slice. A bucket's
 size follows from the data and spark.sql.shuffle.partitions. Only documents' own spans return to them.
 """
@@ -175,12 +175,11 @@ def _send(window: int, buckets: int):
                 bucket = (key % U64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                mini = (whole >> U64(32)).astype(np.uint32)
                 out_b, out_r = [], []
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     i = order[a:b]
                     out_b.append(bucket[i[0]])
-                    out_r.append(_bytes(key[i], doc[i], local[i].astype(np.int32), count[i].astype(np.int32), mini[tc.ranges(first[i], count[i])]))
+                    out_r.append(_bytes(key[i], doc[i], local[i].astype(np.int32), count[i].astype(np.int32), whole[tc.ranges(first[i], count[i])]))
                 if found:
                     out_b.append(int(ids[0]) % buckets)
                     out_r.append(b"")
@@ -200,7 +199,7 @@ def _settle(table: pa.Table) -> pa.Table:
         if x:
             n = int(np.frombuffer(x, np.int64, 1)[0])
             out.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
-    keys, docs, locs, counts, minis = [], [], [], [], []
+    keys, docs, locs, counts, wholes = [], [], [], [], []
     for chunk in table.column("records").chunks:
         for x in chunk:
             b = x.as_buffer()
@@ -210,9 +209,9 @@ def _settle(table: pa.Table) -> pa.Table:
                 docs.append(np.frombuffer(b, np.int64, n, 8 + 8 * n))
                 locs.append(np.frombuffer(b, np.int32, n, 8 + 16 * n))
                 counts.append(np.frombuffer(b, np.int32, n, 8 + 20 * n))
-                minis.append(np.frombuffer(b, np.uint32, -1, 8 + 24 * n))
+                wholes.append(np.frombuffer(b, U64, -1, 8 + 24 * n))
     if keys:
-        key, doc, loc, count, mini = map(np.concatenate, (keys, docs, locs, counts, minis))
+        key, doc, loc, count, whole = map(np.concatenate, (keys, docs, locs, counts, wholes))
         order = np.argsort(key)
         s = key[order]
         eq = s[1:] == s[:-1]
@@ -225,7 +224,7 @@ def _settle(table: pa.Table) -> pa.Table:
             at = tc.ranges(first, count[t].astype(np.int64))
             owner = np.repeat(t, count[t])
             place = loc[owner] + at - np.repeat(first, count[t])
-            gone = repeated(mix(key[owner] ^ (mini[at].astype(U64) << U64(32))), doc[owner])
+            gone = repeated(mix(key[owner] ^ whole[at]), doc[owner])
             out.append(_joined(doc[owner[gone]], place[gone].astype(np.int64)))
     if not out:
         return FOUND.empty_table()

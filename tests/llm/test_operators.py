@@ -458,3 +458,13 @@ def test_ppm_scores_rare_contexts(spark, monkeypatch, contexts):
     got = sorted((r["doc_id"], r["score"]) for r in ppm.score_documents(docs, F.col("doc_id") >= 50).collect())
     assert [i for i, _ in got] == [i for i, _ in sorted(want)]
     assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4)
+
+
+@pytest.mark.parametrize("pair", [(721, 223654), (85080, 105278)])
+def test_windows_with_half_a_hash_in_common_are_not_repeats(spark, pair):
+    """Windows under one key whose hashes agree in their upper 32 bits only."""
+    from feedloom.llm.substring import substring_dedup
+
+    rows = [(i, f"n{k} " + " ".join(f"t{j}" for j in range(49))) for i, k in enumerate(pair)]
+    docs = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup(docs, window=50).collect()) == [(0, 0), (1, 0), (2, 50)]
