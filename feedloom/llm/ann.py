@@ -4,7 +4,8 @@ Each table hashes a unit vector to floor((a.x + b) / w) for a few Gaussian direc
 buckets in the order of their estimated success: the sum of squared distances from its projections to the slots'
 borders, smallest first. Candidates of all tables are merged and ranked by the exact cosine of the original vectors.
 Every row is indexed; nothing is learned from the data. A bucket is cut into blocks of bounded size, which all
-its queries visit, so a hot bucket is spread and stays whole; a block returns at most k rows a query.
+its queries visit, so a hot bucket is spread and stays whole; a block returns at most k rows a query. Queries that found
+fewer than k rows are compared with all rows of their length, in blocks too.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def _rank(k: int):
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = 6, hashes: int = 4, width: float = 1.2, probes: int = 80) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the k rows of largest cosine that were found, ties to the smaller id.
+    """(query_id, rank, vec_id, score): for each query the k rows of largest cosine that were found (all, if fewer), ties to the smaller id.
 
     A row isn't its own neighbour. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do null ids; vectors of different lengths are never compared. Equal rows that are repeated count once. Empty
@@ -125,14 +126,29 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
 
     schema = "dims int, table int, bucket long, id long, vector binary"
     key = ["dims", "table", "bucket"]
-    index = written(clean(rows).mapInArrow(_hash(tables, hashes, width, 0), schema))
-    blocks = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    whole = written(clean(rows).mapInArrow(_hash(tables, hashes, width, 0), schema))
+    blocks = whole.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wide = written(blocks.where("blocks > 1"))
     probed = clean(queries).mapInArrow(_hash(tables, hashes, width, probes), schema)
     n = F.coalesce(F.col("blocks"), F.lit(1))
-    index = index.join(wide, key, "left").withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int")).drop("blocks")
+    index = whole.join(wide, key, "left").withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int")).drop("blocks")
     probed = probed.join(wide, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
     key = [*key, "block"]
-    met = index.groupBy(*key).cogroup(probed.groupBy(*key)).applyInArrow(_rank(k), "query_id long, vec_id long, score double")
+    near = "query_id long, vec_id long, score double"
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def ranked(met: DataFrame) -> DataFrame:
+        return met.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = written(ranked(index.groupBy(*key).cogroup(probed.groupBy(*key)).applyInArrow(_rank(k), near)))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = written(clean(queries).join(full, "id", "left_anti").distinct())
+    if short.isEmpty():
+        return found
+    rows = whole.where(F.col("table") == 0).select("dims", "id", "vector").distinct()
+    size = written(rows.groupBy("dims").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    rows = rows.join(F.broadcast(size), "dims").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    asked = short.join(F.broadcast(size), "dims").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    scanned = rows.groupBy("dims", "block").cogroup(asked.groupBy("dims", "block")).applyInArrow(_rank(k), near)
+    kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return kept.unionByName(ranked(scanned))

@@ -468,3 +468,30 @@ def test_windows_with_half_a_hash_in_common_are_not_repeats(spark, pair):
     rows = [(i, f"n{k} " + " ".join(f"t{j}" for j in range(49))) for i, k in enumerate(pair)]
     docs = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string").repartition(3)
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup(docs, window=50).collect()) == [(0, 0), (1, 0), (2, 50)]
+
+
+def test_nearest_rows_are_filled(spark, monkeypatch):
+    """Opposite vectors, and an outlier before copies in few buckets: all candidates, or k."""
+    from feedloom.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    x = np.random.default_rng(8).standard_normal((40, 64))
+    rows = [(2 * i + s, ((1 - 2 * s) * v).tolist()) for i, v in enumerate(x[:2]) for s in (0, 1)]
+    few = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in ann.nearest(few, few, k=5).collect())
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3}
+    copies = np.array([x[2]] * 120 + [x[3]] * 120)
+    far = np.array([-x[2] - x[3], *-copies[::60], *x[4:]])
+    y = np.concatenate([copies, far])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(copies)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(240 + i, v.tolist()) for i, v in enumerate(far)] + [(999, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.nearest(table, asked, k=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"]))
+        s = y[r["query_id"]] @ y[r["vec_id"]] / np.linalg.norm(y[r["query_id"]]) / np.linalg.norm(y[r["vec_id"]])
+        assert abs(s - r["score"]) < 1e-9
+    assert sorted(found) == list(range(240, 240 + len(far)))
+    for i in found:
+        assert [r for r, _ in found[i]] == [1, 2, 3, 4, 5] and len({v for _, v in found[i]}) == 5
+    many = few.unionByName(few.where("vec_id < 2").crossJoin(spark.range(9)).drop("id"))
+    assert Counter(r["query_id"] for r in ann.nearest(many, few, k=5).collect()) == got
