@@ -1,7 +1,8 @@
 """URL filters with redirect equivalence, in DataFrame operations only.
 
 Rules name a host and a path prefix; the longest rule that fits a URL decides. Pages also state other names of
-themselves: canonical links and refresh redirects, and a table of redirects may be given. Connected components over
+themselves: canonical links and refresh redirects, taken relative to the page's URL (<base> isn't read), and a table of
+redirects may be given. Connected components over
 those edges are sets of aliases. A URL that no rule fits takes its aliases' decision: allowed if a rule allows one of
 them, else blocked if a rule blocks one, else ``default``. So blocks spread to aliases, and an explicit allow has
 precedence, on the URL itself and among aliases.
@@ -44,20 +45,44 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its segments "." and ".." worked out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))))
+    open_end = path.rlike(r"/\.\.?$") & (F.size(kept) > 0)
+    worked = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), worked).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    """What two URLs of one page share: host, path and query, without the scheme and the fragment."""
+    """What two URLs of one page share: host, path without dot segments and query, without the scheme and the fragment."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    path, question = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*(.*)", 1)
+    return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", "/").otherwise(F.concat(_without_dots(path), question))))
+
+
+def _resolved(base: Column, target: Column) -> Column:
+    """The URL that a page at ``base`` means by ``target``; null for schemes without "//", as in mailto:."""
+    scheme = F.concat(F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.lit(":"))
+    site, path = F.concat(scheme, F.lit("//"), host_of(base)), path_of(base)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), target))
+        .when(target.startswith("#"), base)
+        .otherwise(F.concat(site, folder, target))
+    )
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b): a page's URL and a canonical or refresh target that it states."""
     html = F.col(html_col)
-    named = pages.where(html.contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url_col).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t"))
+    named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url_col).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t"))
     named = named.where("u is not null and t <> ''")
-    scheme = F.regexp_extract("u", r"(?s)^(.*?)://", 1)
-    target = F.when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), "t")).when(F.col("t").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("u")), "t")).otherwise(F.col("t"))
-    return named.select(_node(F.col("u")).alias("a"), _node(target).alias("b")).where("a is not null and b is not null")
+    return named.select(_node(F.col("u")).alias("a"), _node(_resolved(F.col("u"), F.col("t"))).alias("b")).where("a is not null and b is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

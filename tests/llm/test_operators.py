@@ -495,3 +495,28 @@ def test_nearest_rows_are_filled(spark, monkeypatch):
         assert [r for r, _ in found[i]] == [1, 2, 3, 4, 5] and len({v for _, v in found[i]}) == 5
     many = few.unionByName(few.where("vec_id < 2").crossJoin(spark.range(9)).drop("id"))
     assert Counter(r["query_id"] for r in ann.nearest(many, few, k=5).collect()) == got
+
+
+def test_url_aliases_in_any_case_and_relative(spark):
+    from feedloom.llm import urls
+
+    pages = [
+        (1, "https://a.org/d/e/f?q#z", '<LINK REL="CANONICAL" HREF="https://m.net/es/1">'),
+        (2, "https://b.org/", '<link rel="Canonical" href="https://m.net/es/1">'),
+        (3, "https://c.org/d/e/f", '<link rel="canonical" href="page.html">'),
+        (4, "https://c.org/d/e/f2", '<link rel="canonical" href="../x/./y">'),
+        (5, "https://c.org/d/e/f3?a", '<META HTTP-EQUIV="Refresh" CONTENT="0; URL=?id=1">'),
+        (6, "https://c.org", '<link rel="canonical" href="top/">'),
+        (7, "https://c.org/d/up", '<link rel="canonical" href="../..">'),
+        (8, "https://c.org/mail", '<link rel="canonical" href="mailto:x@m.net">'),
+        (9, "https://c.org/same", '<link rel="canonical" href="#part">'),
+        (10, "https://c.org/go", '<link rel="canonical" href="../go2?to=https://m.net/es/1">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = sorted((r["a"], r["b"]) for r in urls.alias_edges(df, "url", "html").collect() if r["a"] != r["b"])
+    assert edges == sorted([
+        ("a.org/d/e/f?q", "m.net/es/1"), ("b.org/", "m.net/es/1"), ("c.org/d/e/f", "c.org/d/e/page.html"), ("c.org/d/e/f2", "c.org/d/x/y"),
+        ("c.org/d/e/f3?a", "c.org/d/e/f3?id=1"), ("c.org/", "c.org/top/"), ("c.org/d/up", "c.org/"), ("c.org/go", "c.org/go2?to=https://m.net/es/1"),
+    ])
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, [("block", "net", "/es/"), ("block", "c.org", "/d/x/")]).collect()}
+    assert [i for i, v in sorted(verdicts.items()) if v == "block"] == [1, 2, 4]
