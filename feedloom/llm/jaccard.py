@@ -11,7 +11,9 @@ kind do both, so no link is lost.
 Index entries meet in buckets, under the hash of their set and with its size: equal sets count once, and an entry that
 no other set of a fitting size has goes no further. What a set shares in one bucket travels as one row. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
 a bit for each hash place, flipped by every shingle there, so two of them differ in no more bits than the sets in
-shingles. Each bucket returns what is connected, as stars; components of these are candidate groups, and only
+shingles. Each bucket returns what is connected, as stars. The buckets go in rounds, one in eight of them first: what a round connects has one colour
+in the next, which returns stars of colours only, so that near copies that share many entries are not said to be
+connected once for each of them. Components of these are candidate groups, and only
 their members' sets are built again. A group that fits a cell of bounded
 size is verified there, where documents already connected are not compared again; a larger one in cells of prefixes,
 whose proposed pairs are then verified. Copies with equal sets
@@ -41,10 +43,14 @@ FREQUENT = 4
 PAIRS_UP_TO = 400
 #: Shingles in a verification cell; larger candidate groups are split.
 CELL = 4_000_000
+#: Documents of a cell, the last ones gone through, with which the next is compared at once.
+RECENT = 3
 #: Bits of a bitmap at most; documents of many more shingles are told apart by their verification alone.
 BITS = 1 << 14
 #: Bits for each shingle in which two linked sets of one size may differ, half of them in either.
 BITS_PER = 7
+#: A round takes the buckets whose number these divide, the last one all that are left.
+ROUNDS = (8, 1)
 #: Steps of a size's logarithm in the index, and bytes of an entry's hash; entries that fall together are told apart later.
 SIZE_STEPS, ENTRY_BYTES = 2000, 5
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -187,13 +193,14 @@ def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
                 to_bucket = [bucket[order[x]] for x in cut[:-1]]
                 blobs = [_pack(token[order[x:y]], of[order[x:y]], key, code) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 rows, m = len(ids), len(blobs)
+                first_of = np.array([ids[lead[int(n[i]), int(f1[i]), int(f2[i])]] for i in range(rows)], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*to_bucket, *[None] * rows], pa.int32()),
                         pa.array([*blobs, *[bitmap(t, percent) for t in sets]], pa.binary()),
-                        *(pa.array([*[None] * m, *x.astype(np.int64).tolist()], pa.int64()) for x in (ids, n, f1.view(np.int64), f2.view(np.int64))),
+                        *(pa.array([*[None] * m, *x.astype(np.int64).tolist()], pa.int64()) for x in (ids, n, f1.view(np.int64), f2.view(np.int64), first_of)),
                     ],
-                    names=["bucket", "entries", "id", "n", "f1", "f2"],
+                    names=["bucket", "entries", "id", "n", "f1", "f2", "lead"],
                 )
 
     return index
@@ -266,8 +273,8 @@ class _Bitmaps:
 
 def _prune(percent: int):
     def prune(table: pa.Table) -> pa.Table:
-        """One bucket of shared entries: documents that may link, as stars of connected ones."""
-        docs, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        """One bucket of shared entries: colours whose documents may link, as stars of connected ones."""
+        docs, n, colour = (table.column(c).to_numpy() for c in ("id", "n", "colour"))
         maps = _Bitmaps(table.column("bits").to_pylist(), n, percent)
         shared = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("shared").chunks for x in chunk]
         who, entry = np.repeat(np.arange(len(docs)), [len(x) for x in shared]), np.concatenate(shared)
@@ -280,18 +287,24 @@ def _prune(percent: int):
         at = np.flatnonzero(np.repeat(small, size))
         later = ends[at] - at - 1
         pairs = []
+        _, first, own = np.unique(colour, return_index=True, return_inverse=True)
+        label = first[own]
         for lo in range(0, len(at), 200_000):
             i = np.repeat(at[lo : lo + 200_000], later[lo : lo + 200_000])
             j = tc.ranges(at[lo : lo + 200_000] + 1, later[lo : lo + 200_000])
             x, y = who[i], who[j]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
             key = np.unique(np.minimum(x, y) * len(docs) + np.maximum(x, y))
             x, y = key // len(docs), key % len(docs)
-            good = (x != y) & maps.near(x, y)
+            good = maps.near(x, y)
             pairs.append((x[good], y[good]))
-        label, met = np.arange(len(docs)), set()
+        met = set()
         if pairs:
-            x, to = _labels(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
-            label[x] = to
+            x, to = _labels(*(label[np.concatenate(c)] for c in zip(*pairs, strict=True)))
+            joined = np.arange(len(docs))
+            joined[x] = to
+            label = joined[label]
         for a, m in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
             g = who[a : a + m]
             if (name := g.tobytes()) in met:
@@ -318,10 +331,10 @@ def _prune(percent: int):
                     if len(one):
                         own = label[g]
         a, b = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
-        if not len(a):
+        a, b = colour[a], colour[b]
+        if not (a != b).any():
             return LINK.empty_table()
-        nodes, to = _labels(docs[a], docs[b])
-        return _link_table(nodes, to)
+        return _link_table(*_labels(a, b))
 
     return prune
 
@@ -364,32 +377,58 @@ def linked(ids: np.ndarray, colour: np.ndarray, sets: list[np.ndarray], percent:
     start, first = np.append(new, len(st)), np.concatenate([[0], np.cumsum(size)])
     rank = np.empty(len(st), np.int64)
     rank[by] = np.arange(len(st))
+    members: dict[int, list[int]] = {}
+    for i, own in enumerate(label.tolist()):
+        members.setdefault(own, []).append(i)
+    seen: dict[int, int] = {}  # labels of the documents gone through, with their numbers
+
+    def join(i: int, j: int) -> None:
+        """The smaller label's documents take the larger one's."""
+        few, many = sorted((int(label[i]), int(label[j])), key=lambda k: len(members[k]))
+        label[members[few]] = many
+        members[many] += members.pop(few)
+        if few in seen:
+            seen[many] = seen.get(many, 0) + seen.pop(few)
+
+    def links(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        at = np.searchsorted(b, a)
+        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
     for x in range(len(order)):
+        i = int(order[x])
+        if not size[x]:
+            continue
+        if sizes is None:
+            # among near copies one of the last few is enough; if that joins all so far, nothing is left to look for
+            for j in order[max(0, x - RECENT) : x].tolist():
+                if label[i] != label[j] and 100 * n[j] >= percent * n[i] > 0 and links(i, j):
+                    join(i, j)
+        seen[int(label[i])] = seen.get(int(label[i]), 0) + 1
+        if len(seen) == 1:
+            continue
         g, up = of[first[x] : first[x + 1]], rank[first[x] : first[x + 1]]
         count = up - start[g]
         busy = count > 0
         if not busy.any():
             continue
         near = sw[tc.ranges(start[g[busy]], count[busy])]
+        near = near[label[order[near]] != label[i]]
         c = np.bincount(near, minlength=x)
         y = np.flatnonzero(c)
-        i = order[x]
         j = order[y]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        y = y[(100 * n[j] >= percent * n[i]) & (label[j] != label[i]) & (c[y] >= need - np.maximum(n[i] - lead[i], n[j] - lead[j]))]
+        y = y[(100 * n[j] >= percent * n[i]) & (c[y] >= need - np.maximum(n[i] - lead[i], n[j] - lead[j]))]
         for j in order[y[np.argsort(-c[y], kind="stable")]].tolist():
             if label[i] == label[j]:
                 continue
             if sizes is not None:
                 pairs.append((i, j))
                 if forest:
-                    label[label == label[j]] = label[i]
-                continue
-            a, b = sets[i], sets[j]
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                label[label == label[j]] = label[i]
+                    join(i, j)
+            elif links(i, j):
+                join(i, j)
     return label, pairs
 
 
@@ -471,19 +510,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links, a row's own id at least. Words are lower-cased (A-Z) runs
     of bytes outside white space; a text of fewer words than a shingle is one shingle. Null, empty and blank texts
     have no shingles and link with nothing. Rows with a null id are left out. Repeated ids: each row is returned,
-    with the component of the id. Empty input: no rows. Other columns of docs are not read.
+    with the component of the id. Empty input: no rows. Other columns of docs are not read. Only percentages over 50
+    are taken: two sets that link then share two shingles, which the index rests on.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100: below, sets that link need not share two shingles")
     spark = docs.sparkSession
     buckets = buckets or 2 * default_parallelism(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     classes = frequency_classes(source, shingle)
-    index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long"))
-    rows = index.where("id is not null").select("id", "n", "f1", "f2")
-    met = index.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(percent), "bucket int, f long, shared binary")
+    index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long, lead long"))
+    rows = index.where("id is not null").select("id", "n", "f1", "f2", "lead")
     # entries are filed under a set's hash; the smallest id of equal sets stands for all of them
     bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("f1", "d.id", "n", "d.bits")
-    near = met.join(bits, met["f"] == bits["f1"]).select("bucket", "id", "n", "bits", "shared").groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
-    groups = written(connected_components(near))
+    stars = None
+    left = F.col("bucket").isNotNull()
+    for divisor in ROUNDS:
+        met = index.where(left & (F.col("bucket") % divisor == 0)).select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(percent), "bucket int, f long, shared binary")
+        left = left & (F.col("bucket") % divisor != 0)
+        coloured = bits.withColumn("colour", F.col("id")) if stars is None else bits.join(stars.select(F.col("a").alias("id"), F.col("b").alias("colour")), "id", "left").withColumn("colour", F.coalesce("colour", "id"))
+        met = met.join(coloured, met["f"] == coloured["f1"]).select("bucket", "id", "n", "bits", "shared", "colour")
+        near = met.groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
+        near = near if stars is None else near.unionByName(stars)
+        stars = written(connected_components(near).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    groups = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
     total = groups.join(sizes, groups["node"] == sizes["id"]).groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
     members = written(groups.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")).cast("int").alias("block")).withColumn("block", F.col("block") % F.col("blocks")))
@@ -493,9 +543,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if wide.limit(1).count():
         sets = wide.join(source, "id").select("component", "blocks", "block", "id", "text").mapInArrow(_build(shingle, classes), "component long, blocks int, block int, id long, tokens binary")
         links.append(_wide_links(written(sets), percent))
-    low = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
-    copies = rows.join(low, ["n", "f1", "f2"]).select(F.col("id").alias("a"), "b")
-    every = copies
+    # equal sets: within a slice to the slice's first, only those to the first of all
+    leads = rows.where("n > 0 and id = lead").select("id", "n", "f1", "f2")
+    low = leads.groupBy("n", "f1", "f2").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
+    copies = leads.join(low, ["n", "f1", "f2"]).select(F.col("id").alias("a"), "b")
+    every = copies.unionByName(rows.where("n > 0 and id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")))
     for x in links:
         every = every.unionByName(x)
     parts = connected_components(every)

@@ -384,6 +384,35 @@ def test_repeated_ids_with_different_texts(spark):
         assert sorted(((r["doc_id"], r["n_removed"]) for r in out.collect()), key=str) == sorted([*none, (2, gone)], key=str)
 
 
+def test_jaccard_refuses_low_percentages(spark):
+    from feedloom.llm.jaccard import near_duplicates
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a b")], "doc_id long, text string")
+    for percent in (50, 0, 101):
+        with pytest.raises(ValueError):
+            near_duplicates(docs, shingle=1, percent=percent)
+    assert {r["component_id"] for r in near_duplicates(docs, shingle=1, percent=51).collect()} == {1, 2}
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    """Hundreds of near copies that share entries with a second group, equal copies over slices, null and repeated ids."""
+    from feedloom.llm.jaccard import near_duplicates
+
+    r = random.Random(12)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(400):
+        w = list(base[i % 2])
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(400 + i, rows[0][1]) for i in range(150)] + [(None, rows[0][1]), (600, None), (600, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(docs, shingle=3, percent=70).collect()}
+    want = plain_near({i: t or "" for i, t in rows if i is not None}, 3, 70)
+    assert got == {i: c for i, (_, c) in want.items()} and len(set(want.values())) > 2
+
+
 def test_jaccard_index_entries_survive_packing():
     from feedloom.llm import jaccard
 
@@ -413,9 +442,14 @@ def test_jaccard_bucket_keeps_every_link(monkeypatch, pairs_of, all_of):
     met = jaccard._meet(percent)(pa.table({"bucket": pa.array([3], pa.int32()), "entries": pa.array([jaccard._pack(np.concatenate(found), of, key, code)], pa.binary())}))
     at = {int(k): i for i, k in reversed(list(enumerate(key.view(np.int64))))}
     on = [at[f] for f in met.column("f").to_pylist()]
-    table = pa.table({"id": pa.array(on, pa.int64()), "n": pa.array(n[on]), "bits": pa.array([jaccard.bitmap(sets[i], percent) for i in on], pa.binary()), "shared": met.column("shared")})
+    table = pa.table({"id": pa.array(on, pa.int64()), "n": pa.array(n[on]), "bits": pa.array([jaccard.bitmap(sets[i], percent) for i in on], pa.binary()), "shared": met.column("shared"), "colour": pa.array(on, pa.int64())})
     stars = jaccard._prune(percent)(table)
     got = components(range(len(plain)), list(zip(stars.column("a").to_pylist(), stars.column("b").to_pylist(), strict=True)))
+    # with the colours of what is connected nothing is said again; with those of half of it, the rest
+    for known in (got, {i: got[i] if i % 2 else i for i in got}):
+        again = jaccard._prune(percent)(table.set_column(table.schema.get_field_index("colour"), "colour", pa.array([known[i] for i in on], pa.int64())))
+        links = list(zip(again.column("a").to_pylist(), again.column("b").to_pylist(), strict=True))
+        assert components(range(len(plain)), [*links, *known.items()]) == got and (known is not got or not links)
     links = [(i, j) for i in set(on) for j in set(on) if i < j and 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j])]
     assert len(links) > 20 and all(got[i] == got[j] for i, j in links)
     apart = {at[int(k)] for k in key.view(np.int64)} - set(on)
