@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are no keywords.
+#: What marks words, and what that scores; words that are no keywords.
+MARKED = (("hashtags", "#", 100), ("mentions", "@", 80))
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with")
 
 
@@ -28,6 +29,17 @@ def description_keywords(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\s,]+"), lambda w: F.length(w) > 3)
 
 
+def keyword_matrix(texts: DataFrame, text_col: str, least: int = 3) -> DataFrame:
+    """(bucket, score, word): ten points for every use of a keyword, by which it has its bucket; hashtags and mentions once each, with fixed scores."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    words = texts.select(F.explode(tokens(F.col(text_col), least)).alias("word")).groupBy("word").agg((10 * F.count("*")).alias("score"))
+    out = words.select(F.col("score").cast("string").alias("bucket"), "score", "word")
+    for bucket, mark, score in MARKED:
+        marked = texts.select(F.explode(F.regexp_extract_all(low, F.lit(f"({mark}[a-z0-9_]+)"), F.lit(1))).alias("word")).distinct()
+        out = out.unionByName(marked.select(F.lit(bucket).alias("bucket"), F.lit(score).cast("long").alias("score"), "word"))
+    return out
+
+
 def share_found(text: Column, words: Column) -> Column:
     """Fraction of words that the text contains; 0 for no words."""
     return F.coalesce(F.size(F.filter(words, lambda w: F.contains(text, w))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
@@ -51,27 +63,55 @@ def media_url(base: str, name: Column, kind: Column) -> Column:
 
 
 def similar(a: Column, b: Column, threshold: float = 0.3) -> Column:
-    """Edit distance within a share of the longer length: near the fuzzy search's threshold, not its scoring."""
+    """Whether the text a holds something like b: a stretch as long as b (or all of a, if shorter) within that share of b's length by edit distance.
+
+    Near the fuzzy search's threshold, not its scoring.
+    """
     a, b = F.lower(a), F.lower(b)
-    return F.contains(a, b) | (F.levenshtein(a, b) <= threshold * F.greatest(F.length(a), F.length(b)))
+    n, m = F.length(a), F.length(b)
+    near = F.exists(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.levenshtein(F.substr(a, i, m), b) <= threshold * m)
+    return F.contains(a, b) | near
 
 
 def can_post(role: Column, is_creator: Column, access: Column) -> Column:
-    return F.when(access == "everyone", F.lit(True)).when(access == "moderators", is_creator | (role == "moderator")).when(access == "creator", is_creator).otherwise(F.lit(False))
+    """By the community's access type: everyone; the creator, admins and moderators; the creator and admins. Unknown roles aren't let in."""
+    leads = is_creator | F.coalesce(role == "admin", F.lit(False))
+    return F.when(access == "everyone", F.lit(True)).when(access == "moderators", leads | F.coalesce(role == "moderator", F.lit(False))).when(access == "creator", leads).otherwise(F.lit(False))
 
 
 def _rank(kind: Column, words: Column, at: Column) -> Column:
     return F.struct(kind.alias("kind"), words.alias("words"), at.alias("at"), F.col("name").alias("name")).alias("rank")
 
 
+#: Names up to which the dictionary is broadcast.
+BROADCAST_NAMES = 100_000
+
+
 def detect_city(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, city, state): whole one- to three-word names first (longest last), then spellings, then names inside words."""
+    """(id, city, state): names marked ``first`` anywhere in the text, then whole one- to three-word names (fewer words
+    first, then the earliest), then spellings, then names inside words.
+
+    names is a table of name, city, state, variant and perhaps first. Whole names are looked up by an equi-join on the
+    text's n-grams; only texts without one are searched for names inside words. Null text: no city. Rows of an equal id share one answer.
+    """
+    if "first" not in names.columns:
+        names = names.withColumn("first", F.lit(False))
+    near = F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.filter(F.split(text, "[^a-z]+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"""[\s,.!?;:(){}'"\[\]-]+"""), lambda w: w != "")
     base = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), words.alias("__words"))
-    near = F.broadcast(names)
-    grams = F.flatten(F.array(*[F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("__words", i, n), " ").alias("g")))).otherwise(F.array().cast("array<struct<n:int,at:int,g:string>>")) for n in (1, 2, 3)]))
-    exact = base.select("__id", F.explode(grams).alias("g")).join(near, F.col("g.g") == F.col("name")).select("__id", _rank(F.lit(0), F.col("g.n"), F.col("g.at")), "city", "state")
-    inside = base.join(near, F.contains("__text", "name") & (F.col("variant") | (F.length("name") >= 5))).select("__id", _rank(F.when(F.col("variant"), 1).otherwise(2), F.lit(0), F.lit(0)), "city", "state")
-    found = exact.unionByName(inside).groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"))
-    return base.select("__id").join(found, "__id", "left").withColumnRenamed("__id", id_col)
+    empty = F.array().cast("array<struct<n:int,at:int,g:string>>")
+
+    def of(n: int) -> Column:
+        gram = lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("__words", i, n), " ").alias("g"))
+        return F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), gram)).otherwise(empty)
+
+    grams = F.flatten(F.array(of(1), of(2), of(3)))
+    exact = base.select("__id", F.explode(grams).alias("g")).where(F.length("g.g") >= 3).join(near, F.col("g.g") == F.col("name")).select("__id", _rank(F.lit(0), F.col("g.n"), F.col("g.at")), "city", "state")
+    exact = exact.groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"), F.min("rank").alias("rank"))
+    rest = base.join(exact.select(F.col("__id").alias("__x")), F.col("__id") == F.col("__x"), "left_anti")
+    inside = rest.join(near.where(F.col("variant") | (F.length("name") >= 5)), F.contains("__text", "name")).select("__id", _rank(F.when(F.col("variant"), 1).otherwise(2), F.lit(0), F.lit(0)), "city", "state")
+    always = base.join(near.where("first"), F.contains("__text", "name")).select("__id", _rank(F.lit(-1), F.lit(0), F.lit(0)), "city", "state")
+    found = exact.select("__id", "rank", "city", "state").unionByName(inside).unionByName(always)
+    found = found.groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"))
+    return base.select("__id").join(found.withColumnRenamed("__id", "__f"), F.col("__id") == F.col("__f"), "left").select(F.col("__id").alias(id_col), "city", "state")

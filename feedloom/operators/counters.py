@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Counter column of a post: the interaction that counts, and whether a user counts once.
@@ -31,3 +31,15 @@ def follow_counts(follows: DataFrame) -> DataFrame:
 
 def member_counts(memberships: DataFrame) -> DataFrame:
     return memberships.where("status = 'active'").groupBy("community_id").agg(F.count_distinct("user_id").alias("member_count"))
+
+
+def author_counts(posts: DataFrame, stories: DataFrame) -> DataFrame:
+    """(id, posts): posts, shorts and stories of everyone who has any."""
+    made = posts.select(F.col("authorId").alias("id")).unionByName(stories.select(F.col("userId").alias("id")))
+    return made.where("id is not null").groupBy("id").agg(F.count("*").alias("posts"))
+
+
+def tag_counts(posts: DataFrame, tags: Column) -> DataFrame:
+    """(tag, n): how many posts use each tag, in lower case; a post counts once however often it says it."""
+    used = posts.select(F.explode(F.array_distinct(F.transform(tags, F.lower))).alias("tag"))
+    return used.groupBy("tag").agg(F.count("*").alias("n"))

@@ -65,8 +65,25 @@ def in_stored_order(lists: DataFrame, items: str, rows: DataFrame, key: str) ->
     return out.join(rows, F.col("__id") == rows[key]).withColumn("place", F.col("__pos") + 1).drop("__pos", "__id")
 
 
-def ring(people: DataFrame, order: list[str]) -> DataFrame:
-    """Each id's previous and next on a closed ring in the given order; one bounded list per call."""
-    by = Window.orderBy(*order)
+def ring(people: DataFrame, order: list[str], owner: list[str] | None = None) -> DataFrame:
+    """Each id's previous and next on a closed ring in the given order, for each owner's list (one list if none is named)."""
+    keys = [F.col(c) for c in owner or []]
+    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return people.select("id", F.coalesce(F.lag("id").over(by), F.last("id").over(whole)).alias("prev_id"), F.coalesce(F.lead("id").over(by), F.first("id").over(whole)).alias("next_id"))
+    return people.select(*keys, "id", F.coalesce(F.lag("id").over(by), F.last("id").over(whole)).alias("prev_id"), F.coalesce(F.lead("id").over(by), F.first("id").over(whole)).alias("next_id"))
+
+
+def numbered_newest(df: DataFrame, time: str, id_: str, name: str) -> DataFrame:
+    """Rows with their number from 1, newest first, ties to the larger id; rows without a time come last.
+
+    Hours are counted first, and only their counts are summed in one place; rows are ordered within their hour. So no task
+    orders more than an hour's rows.
+    """
+    hour = F.date_trunc("hour", F.col(time))
+    count = df.groupBy(hour.alias("__h")).agg(F.count("*").alias("__c"))
+    before = Window.orderBy(F.col("__h").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    count = count.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    rows = df.withColumn("__hour", hour)
+    rows = rows.join(count.drop("__c"), rows["__hour"].eqNullSafe(count["__h"])).drop("__h")
+    inside = Window.partitionBy("__hour").orderBy(F.col(time).desc(), F.col(id_).desc())
+    return rows.withColumn(name, F.col("__before") + F.row_number().over(inside)).drop("__hour", "__before")

@@ -19,32 +19,33 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def shorts_feed(posts: DataFrame, users: DataFrame, follows: DataFrame, views: DataFrame, viewer: int, interests: list[str], as_of: str, cursor: str, limit: int = 10, fresh_cap: int = 3) -> DataFrame:
-    """(place, id, tier, score): fresh, then half of the free slots followed, then discovery, then viewed filler.
+def shorts_feed(posts: DataFrame, users: DataFrame, follows: DataFrame, views: DataFrame, viewer: int, interests: list[str], as_of: str, cursor: str, limit: int = 10, fresh_cap: int = 3, named: int | None = None) -> DataFrame:
+    """(place, id, tier, score): a named short, fresh ones, half of the free slots followed, then discovery, then viewed filler.
 
-    Each tier is picked by recency (then larger id) and ordered by score inside. Quotas follow from how many rows the
-    tiers before yielded; they are window sums over at most ``limit`` candidates a tier, so one plan does it all.
+    Each tier is picked by recency (then larger id) and ordered by score inside. Posts are read once: of followed,
+    other and viewed ones the newest limit + fresh_cap (and the named one) go on, which hold every row that can be picked; the quotas are window sums over those few.
     """
-    shorts = posts.where("isShort and not inCommunity").where(F.col("authorId") != viewer)
+    shorts = posts.where("isShort").where(((F.col("authorId") != viewer) & ~F.col("inCommunity")) | (F.col("id") == F.lit(named)) if named is not None else (F.col("authorId") != viewer) & ~F.col("inCommunity"))
     seen = views.where(F.col("userId") == viewer).select(F.col("postId").alias("id"))
     shorts = rel.flag(shorts, seen, {"id": "id"}, "viewed")
     shorts = rel.flag(shorts, rel.following(follows, viewer), {"authorId": "id"}, "followed")
-    fresh = ~F.col("viewed") & (F.col("createdAt") > F.lit(cursor).cast("timestamp_ntz"))
+    asked = F.col("id") == F.lit(named) if named is not None else F.lit(False)
     newest = [F.col("createdAt").desc(), F.col("id").desc()]
-    first = top(shorts.where(fresh), fresh_cap, *newest).withColumn("tier", F.lit(1))
-    rest = shorts.join(first.select(F.col("id").alias("__f")), F.col("id") == F.col("__f"), "left_anti")
-    pools = first
-    for tier, cond in ((2, ~F.col("viewed") & F.col("followed")), (3, ~F.col("viewed") & ~F.col("followed")), (4, F.col("viewed"))):
-        pools = pools.unionByName(top(rest.where(cond), limit, *newest).withColumn("tier", F.lit(tier)))
+    few = shorts.withColumn("tier", F.when(asked, 0).when(F.col("viewed"), 4).when(F.col("followed"), 2).otherwise(3))
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy("tier").orderBy(*newest))).where(F.col("__n") <= limit + fresh_cap)
+    fresh = F.col("tier").isin(2, 3) & (F.col("createdAt") > F.lit(cursor).cast("timestamp_ntz"))
+    few = few.withColumn("__fresh", fresh).withColumn("__n", F.row_number().over(Window.partitionBy("__fresh").orderBy(*newest)))
+    pools = few.withColumn("tier", F.when(F.col("__fresh") & (F.col("__n") <= fresh_cap), 1).otherwise(F.col("tier"))).drop("__n", "__fresh")
     pools = pools.withColumn("nth", F.row_number().over(Window.partitionBy("tier").orderBy(*newest)))
     whole = Window.partitionBy(F.lit(0))
-    have = {t: F.sum((F.col("tier") == t).cast("int")).over(whole) for t in (1, 2, 3)}
+    have = {t: F.sum((F.col("tier") == t).cast("int")).over(whole) for t in (0, 1, 2, 3)}
     pools = pools.withColumns({f"n{t}": h for t, h in have.items()})
-    two = F.least(F.col("n2"), F.ceil((F.lit(limit) - F.col("n1")) / 2))
-    three = F.least(F.col("n3"), F.lit(limit) - F.col("n1") - two)
-    quota = F.when(F.col("tier") == 1, F.col("n1")).when(F.col("tier") == 2, two).when(F.col("tier") == 3, three).otherwise(F.lit(limit) - F.col("n1") - two - three)
+    free = F.lit(limit) - F.col("n0") - F.col("n1")
+    two = F.least(F.col("n2"), F.ceil(free / 2))
+    three = F.least(F.col("n3"), free - two)
+    quota = F.when(F.col("tier") < 2, F.lit(limit)).when(F.col("tier") == 2, two).when(F.col("tier") == 3, three).otherwise(free - two - three)
     picked = with_author(pools.where(F.col("nth") <= quota), users)
-    boost = F.when(F.col("tier") == 1, 0.2).when(F.col("tier") < 4, 0.1).otherwise(0.0)
+    boost = F.when(F.col("tier") == 1, 0.2).when(F.col("tier").isin(2, 3), 0.1).otherwise(0.0)
     score = rk.shorts_score(rk.age_hours(F.col("createdAt"), as_of), F.col("category").isin(*interests), boost)
     picked = picked.withColumn("score", F.round(score, 6))
     by = Window.partitionBy(F.lit(0)).orderBy("tier", F.col("score").desc(), "id")
@@ -87,10 +88,15 @@ def quick_picks(posts: DataFrame, views: DataFrame, viewer: int, as_of: str, lim
     return top(recent.join(seen, F.col("id") == F.col("__v"), "left_anti"), limit, F.col("createdAt").desc(), F.col("id").desc()).select("id", "createdAt")
 
 
-def community_page(links: DataFrame, posts: DataFrame, users: DataFrame, likes: DataFrame, viewer: int, community: int, limit: int = 10) -> DataFrame:
-    """Posts of a community that aren't removed or short, pinned first, then newest, with the author and a like flag."""
+def community_page(links: DataFrame, posts: DataFrame, users: DataFrame, likes: DataFrame, saved: DataFrame, viewer: int, community: int, page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of a community's posts that aren't removed or short, pinned first, then newest, with the author, the viewer's
+    like and save, and how many posts, pages and further rows there are."""
     shown = links.where((F.col("community_id") == community) & ~F.col("removed")).join(posts.where("not isShort"), F.col("post_id") == F.col("id"))
-    shown = top(shown, limit, F.col("pinned").desc(), F.col("date_posted").desc(), F.col("id").desc())
+    total = F.broadcast(shown.agg(F.count("*").alias("total")))
+    order = (F.col("pinned").desc(), F.col("date_posted").desc(), F.col("id").desc())
+    shown = shown.orderBy(*order).offset((page - 1) * limit).limit(limit)
     shown = rel.flag(shown, likes.where(F.col("userId") == viewer), {"id": "postId"}, "isLiked")
+    shown = rel.flag(shown, saved.where(F.col("userId") == viewer), {"id": "postId"}, "isSaved")
     a = users.select(F.col("id").alias("author_id"), "username", "verified")
-    return shown.join(a, F.col("authorId") == F.col("author_id"), "left").select("id", "pinned", "date_posted", "username", "verified", "isLiked")
+    shown = shown.join(a, F.col("authorId") == F.col("author_id"), "left").join(total, F.lit(True))
+    return shown.select("id", "pinned", "date_posted", "username", "verified", "isLiked", "isSaved", "total", F.ceil(F.col("total") / limit).alias("pages"), (F.col("total") > page * limit).alias("hasMore"))

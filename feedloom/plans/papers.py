@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -14,27 +14,30 @@ from .feeds import with_author
 def candidates(papers: DataFrame, posts: DataFrame, views: DataFrame, as_of: str, per_post: int = 3, days: int | None = None) -> DataFrame:
     """(paper columns, post columns): each paper's newest unviewed posts, per_post times as many as it prints.
 
-    Only the newest posts can matter: a paper needs per_post * postCount beyond those its author has viewed, so posts are cut
-    to that many before they meet the papers, and the pool is small whatever the number of posts.
+    Posts are numbered newest first. A paper that wants k posts takes the first k numbers and one more for each post its author
+    has viewed among those; so papers and posts meet by an equi-join on the number, and a paper is joined with few
+    more posts than it gets, however many posts there are and however much its author reads.
     """
     pool = posts.where("not isShort").where(F.col("createdAt") <= F.lit(as_of).cast("timestamp_ntz"))
     if days is not None:
         pool = pool.where(F.col("createdAt") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+    pool = rel.numbered_newest(pool, "createdAt", "id", "__number")
     readers = papers.select(F.col("authorId").alias("userId")).distinct()
     seen = views.join(readers, "userId", "left_semi").select(F.col("userId").alias("__u"), F.col("postId").alias("__v")).distinct()
-    most = papers.agg(F.coalesce(F.max("postCount"), F.lit(0))).first()[0] * per_post
-    most += seen.groupBy("__u").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    pool = pool.orderBy(F.col("createdAt").desc(), F.col("id").desc()).limit(most)
-    p = papers.select(*[F.col(c).alias(f"paper_{c}") for c in papers.columns])
-    pairs = p.join(F.broadcast(pool), F.lit(True))
-    pairs = pairs.join(seen, (F.col("paper_authorId") == F.col("__u")) & (F.col("id") == F.col("__v")), "left_anti")
-    by = Window.partitionBy("paper_id").orderBy(F.col("createdAt").desc(), F.col("id").desc())
-    return pairs.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= per_post * F.col("paper_postCount")).drop("__n")
+    seen = seen.join(pool.select(F.col("id").alias("__p"), "__number"), F.col("__v") == F.col("__p")).select("__u", F.col("__number").alias("__seen"))
+    # unviewed posts before each viewed one
+    seen = seen.withColumn("__before", F.col("__seen") - F.row_number().over(Window.partitionBy("__u").orderBy("__seen")))
+    p = papers.select(*[F.col(c).alias(f"paper_{c}") for c in papers.columns]).withColumn("__want", per_post * F.coalesce("paper_postCount", F.lit(0)))
+    skipped = p.join(seen, (F.col("paper_authorId") == F.col("__u")) & (F.col("__before") < F.col("__want"))).groupBy(F.col("paper_id").alias("__i")).agg(F.count("*").alias("__skipped"))
+    last = (F.col("__want") + F.coalesce("__skipped", F.lit(0))).cast("long")
+    slots = p.join(skipped, F.col("paper_id") == F.col("__i"), "left").where("__want > 0").withColumn("__number", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    slots = slots.join(seen.select("__u", "__seen"), (F.col("paper_authorId") == F.col("__u")) & (F.col("__number") == F.col("__seen")), "left_anti")
+    return slots.drop("__want", "__i", "__skipped").join(pool, "__number").drop("__number")
 
 
 def _scored(pairs: DataFrame, users: DataFrame, follows: DataFrame) -> DataFrame:
     df = with_author(pairs, users)
-    reader = users.select(F.col("id").alias("__r"), F.col("state").alias("reader_state"))
+    reader = users.select(F.col("id").alias("__r"), F.col("state").alias("reader_state"), F.col("interest").alias("reader_interest"))
     df = df.join(reader, F.col("paper_authorId") == F.col("__r"), "left").drop("__r")
     df = rel.flag(df, follows, {"paper_authorId": "followerId", "authorId": "followingId"}, "followed")
     words = text.description_keywords(F.col("paper_description"))
@@ -46,14 +49,33 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.col("paper_postCount")).select("paper_id", "place", "id", "score")
 
 
+def topic_share(content: Column, topics: Column) -> Column:
+    """Share of a list of topics that the text contains; 0 for no list."""
+    return F.coalesce(F.size(F.filter(topics, lambda t: F.contains(content, F.lower(t)))) / F.nullif(F.size(topics), F.lit(0)), F.lit(0.0))
+
+
+def metadata_score(meta: str, interests: Column) -> Column:
+    """English 0.3, an interest of the reader within the audience 0.3, news intent 0.2, a focus 0.2."""
+    m = F.col(meta)
+    part = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
+    meets = F.exists(interests, lambda i: F.contains(F.lower(m["audience"]), F.lower(i)))
+    return part(m["language"] == "english", 0.3) + part(meets, 0.3) + part(m["intent_type"].isin("news", "informational"), 0.2) + part(m["focus_level"].isin("high", "medium"), 0.2)
+
+
 def recommend(papers: DataFrame, posts: DataFrame, users: DataFrame, follows: DataFrame, views: DataFrame, as_of: str) -> DataFrame:
-    """(paper_id, place, id, score): the posts of every paper, best first."""
+    """(paper_id, place, id, score): the posts of every paper, best first.
+
+    papers has a struct ``metadata`` as functions.replies.metadata gives it: primary and secondary topics, regions, excluded
+    topics, language, audience, intent and focus. Missing parts count as empty.
+    """
     df = _scored(candidates(papers, posts, views, as_of), users, follows)
-    found = F.contains(F.col("content"), F.col("paper_topic")).cast("double")
-    context = F.least(F.col("keyword_share") + 0.3 * found, F.lit(1.0))
-    region = F.when(F.col("author_state") == F.col("reader_state"), 1.0).otherwise(0.0)
-    allowed = F.when(F.coalesce(F.contains(F.col("content"), F.col("paper_excluded")), F.lit(False)), 0.1).otherwise(1.0)
-    score = rk.paper_score(rk.age_hours(F.col("createdAt"), as_of), context, region, F.lit(0.0), F.col("followed"), allowed)
+    content, meta = F.lower(F.coalesce("content", F.lit(""))), F.col("paper_metadata")
+    context = F.least(F.col("keyword_share") + 0.3 * topic_share(content, meta["primary_topics"]) + 0.1 * topic_share(content, meta["secondary_topics"]), F.lit(1.0))
+    named = lambda state: F.coalesce(F.array_contains(meta["regions"]["states"], state.cast("string")), F.lit(False))
+    region = F.when(F.col("author_state") == F.col("reader_state"), 1.0).when(F.col("author_state").isNotNull() & F.col("reader_state").isNotNull() & (named(F.col("reader_state")) | named(F.col("author_state"))), 0.7).otherwise(0.0)
+    allowed = F.when(F.coalesce(F.exists(meta["excluded_topics"], lambda t: F.contains(content, F.lower(t))), F.lit(False)), 0.1).otherwise(1.0)
+    interests = F.filter(F.array("reader_interest"), lambda x: x.isNotNull())
+    score = rk.paper_score(rk.age_hours(F.col("createdAt"), as_of), context, region, metadata_score("paper_metadata", interests), F.col("followed"), allowed)
     return _ranked(df.withColumn("score", F.round(score, 6)))
 
 

@@ -47,8 +47,20 @@ def story_tray(users: DataFrame, follows: DataFrame, stories: DataFrame, views:
     return tray.select(F.row_number().over(by).alias("place"), F.col("userId").alias("id"), "stories", "viewedAll", "latest")
 
 
-def user_stories(stories: DataFrame, views: DataFrame, owner: int, viewer: int) -> DataFrame:
-    """A user's stories with the viewer's flag and how many others viewed each."""
-    own = stories.where(F.col("userId") == owner)
+def user_stories(stories: DataFrame, views: DataFrame, likes: DataFrame, elements: DataFrame, follows: DataFrame, owner: int, viewer: int, as_of: str) -> DataFrame:
+    """A user's stories of 24 hours, newest first: the viewer's view and like, how many others viewed each, its elements from back
+    to front (absent positions are 0), and whose stories stand before and after the owner's on the viewer's ring (self, then
+    followees by id; null where the owner isn't on it)."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    own = stories.where((F.col("userId") == owner) & (F.col("createdAt") >= now - F.expr("INTERVAL 24 HOURS")) & (F.col("createdAt") <= now))
     own = rel.flag(own, views.where(F.col("userId") == viewer), {"storyId": "storyId"}, "isViewed")
-    return rel.counted(own, views.where(F.col("userId") != owner).distinct(), "storyId", "storyId", "views").select("storyId", "createdAt", "isViewed", "views")
+    own = rel.flag(own, likes.where(F.col("userId") == viewer), {"storyId": "storyId"}, "isLiked")
+    own = rel.counted(own, views.where(F.col("userId") != owner).distinct(), "storyId", "storyId", "views")
+    part = F.struct("z_index", F.col("element_type").alias("type"), F.coalesce("position_x", F.lit(0)).alias("x"), F.coalesce("position_y", F.lit(0)).alias("y"))
+    nested = elements.groupBy(F.col("storyId").alias("__s")).agg(F.sort_array(F.collect_list(part)).alias("elements"))
+    own = own.join(nested, F.col("storyId") == F.col("__s"), "left")
+    people = rel.following(follows, viewer).where(F.col("id") != viewer).select("id", F.lit(1).alias("__later")).unionByName(follows.sparkSession.createDataFrame([(viewer, 0)], "id long, __later int"))
+    near = rel.ring(people, ["__later", "id"]).where(F.col("id") == owner).withColumnRenamed("id", "__o")
+    out = own.join(F.broadcast(near), F.col("userId") == F.col("__o"), "left")
+    empty = F.array().cast(nested.schema["elements"].dataType)
+    return out.select("storyId", "createdAt", "isViewed", "isLiked", "views", F.coalesce("elements", empty).alias("elements"), "prev_id", "next_id")

@@ -38,13 +38,22 @@ VIEWS: dict[str, str] = {
  CASE WHEN event_type = 'signup' THEN NULL ELSE (event_id * 3) % (2 * (SELECT count(*) FROM {orders})) END AS reference_id, event_id % 4 = 0 AS is_read, ts AS createdAt FROM {events}""",
     "stories": "SELECT event_id AS storyId, user_id AS userId, ts AS createdAt FROM {events} WHERE event_type = 'purchase'",
     "story_views": "SELECT user_id AS userId, (event_id * 7) % (SELECT count(*) FROM {events}) AS storyId FROM {events} WHERE event_type = 'view'",
+    "story_likes": "SELECT user_id AS userId, (event_id * 11) % (SELECT count(*) FROM {events}) AS storyId FROM {events} WHERE event_type = 'click'",
+    "story_elements": "SELECT storyId, k AS z_index, CASE WHEN (storyId + k) % 2 = 0 THEN 'text' ELSE 'image' END AS element_type, storyId % 300 AS position_x, CASE WHEN k = 2 THEN NULL ELSE k * 10 END AS position_y FROM {stories} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) ks",
+    "post_relations": "SELECT o_orderkey AS ancestorId, o_orderkey + 1 AS descendantId, 1 AS depth FROM {orders} WHERE o_orderpriority = '2-HIGH' UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM {orders}",
     "communities": "SELECT n_nationkey AS id, n_name AS name, n_nationkey AS creator_id, CASE n_nationkey % 3 WHEN 0 THEN 'everyone' WHEN 1 THEN 'creator' ELSE 'moderators' END AS post_access_type, CASE n_nationkey % 4 WHEN 0 THEN 'private' ELSE 'public' END AS visibility FROM {nation}",
     "memberships": "SELECT c_custkey AS user_id, c_nationkey AS community_id, CASE WHEN c_custkey % 10 = 0 THEN 'moderator' ELSE 'member' END AS role, CASE WHEN c_custkey % 11 = 0 THEN 'left' WHEN c_custkey % 23 = 0 THEN 'banned' ELSE 'active' END AS status FROM {customer}",
     "community_posts": "SELECT c_nationkey AS community_id, o_orderkey AS post_id, o_orderdate AS date_posted, o_orderkey % 13 = 0 AS pinned, o_orderkey % 17 = 0 AS removed FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '5-LOW'",
-    "papers": """SELECT p_partkey AS id, p_name AS title, p_partkey % (SELECT count(*) FROM {customer}) AS authorId, concat(CAST(1 + p_size % 12 AS STRING), CASE WHEN p_size % 2 = 0 THEN ':00 ' ELSE ':30 ' END, CASE WHEN p_size > 25 THEN 'PM' ELSE 'AM' END) AS deliveryTime,
+    "papers": """SELECT *, concat('```json ', chr(123), '"primary_topics": ["', topic, '", "specified"], "secondary_topics": ["', second, '"], "regions": ', chr(123), '"states": ["', stateNamed, '"]', chr(125),
+ ', "excluded_topics": [', coalesce(concat('"' || excluded, '"'), ''), '], "language": "', language, '", "audience": ', coalesce('"' || audience || '"', 'null'), ', "intent_type": "', intent, '", "focus_level": "', focus, '"', chr(125), ' ```') AS reply,
+ CASE postCount % 4 WHEN 0 THEN concat('```json ["', topic, '", "', second, '", "', language, '", "', intent, '", "', focus, '", "', stateNamed, '"] ```') WHEN 1 THEN concat('  ["', topic, '"] ') WHEN 2 THEN '[]' ELSE 'I am sorry' END AS categoriesReply
+ FROM (SELECT p_partkey AS id, p_name AS title, p_partkey % (SELECT count(*) FROM {customer}) AS authorId, concat(CAST(1 + p_size % 12 AS STRING), CASE WHEN p_size % 2 = 0 THEN ':00 ' ELSE ':30 ' END, CASE WHEN p_size > 25 THEN 'PM' ELSE 'AM' END) AS deliveryTime,
  10 + p_size % 20 AS postCount, CASE WHEN p_size % 10 = 9 THEN 'paused' ELSE 'active' END AS status, CASE WHEN p_size % 7 = 6 THEN 'pending' ELSE 'completed' END AS processingStatus, p_size % 8 = 7 AS deleted,
  CASE p_size % 4 WHEN 0 THEN 'Daily urgent news' WHEN 1 THEN 'all the high medium news' WHEN 2 THEN 'specified things, specified' ELSE 'a low bar' END AS description,
- CASE p_size % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'high' ELSE 'medium' END AS topic, CASE WHEN p_size % 5 = 0 THEN 'specified' END AS excluded FROM {part}""",
+ CASE p_size % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'high' ELSE 'medium' END AS topic, CASE WHEN p_size % 5 = 0 THEN 'specified' END AS excluded,
+ CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'medium' END AS second, CAST(p_size % 25 AS STRING) AS stateNamed, CASE WHEN p_size % 2 = 0 THEN 'english' ELSE 'hindi' END AS language,
+ CASE p_size % 3 WHEN 0 THEN 'Building trade' WHEN 1 THEN 'machinery and household' END AS audience, CASE p_size % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'informational' ELSE 'analysis' END AS intent,
+ CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'broad' ELSE 'medium' END AS focus FROM {part}) p""",
     "editions": """SELECT p_partkey * 10 + k AS id, p_partkey AS paperId, CASE k WHEN 0 THEN DATE '2024-01-14' WHEN 1 THEN DATE '2024-01-15' ELSE DATE '2024-01-01' END AS paperDate,
  concat(CAST(1 + p_size % 12 AS STRING), ':00 ', CASE WHEN p_size > 25 THEN 'PM' ELSE 'AM' END) AS deliveryTime, CASE WHEN (p_partkey + k) % 2 = 0 THEN 'scheduled' ELSE 'delivered' END AS status, p_partkey % 3 = 0 AS isRead,
  p_partkey % (SELECT count(*) FROM {orders}) AS p1, (p_partkey * 7 + 3) % (2 * (SELECT count(*) FROM {orders})) AS p2, (p_partkey * 13 + 5) % (SELECT count(*) FROM {orders}) AS p3
@@ -103,10 +112,16 @@ def oracle(body: str, ctes: str = "") -> str:
 
 
 #: Cities, their states and other spellings that text is searched for; a sample that a caller replaces.
-CITIES = (("bengaluru", "Karnataka", ("bangalore",)), ("mysuru", "Karnataka", ("mysore",)), ("belagavi", "Karnataka", ("belgaum",)), ("mumbai", "Maharashtra", ("bombay",)), ("pune", "Maharashtra", ("poona",)), ("new delhi", "Delhi", ("delhi",)), ("chennai", "Tamil Nadu", ("madras",)), ("kolkata", "West Bengal", ("calcutta",)), ("hyderabad", "Telangana", ()), ("navi mumbai", "Maharashtra", ()))
-
-
-def gazetteer(spark: SparkSession) -> DataFrame:
-    """(name, city, state, variant): every spelling of every city."""
-    rows = [(n, city, state, n != city) for city, state, others in CITIES for n in (city, *others)]
-    return spark.createDataFrame(rows, "name string, city string, state string, variant boolean").select("*", (F.size(F.split("name", " "))).alias("words"))
+CITIES = (("bengaluru", "Karnataka", ("bangalore",)), ("mysuru", "Karnataka", ("mysore",)), ("belagavi", "Karnataka", ("belgaum", "belgavi", "belgam")), ("mumbai", "Maharashtra", ("bombay",)), ("pune", "Maharashtra", ("poona",)), ("new delhi", "Delhi", ("delhi",)), ("chennai", "Tamil Nadu", ("madras",)), ("kolkata", "West Bengal", ("calcutta",)), ("hyderabad", "Telangana", ()), ("navi mumbai", "Maharashtra", ()))
+#: Fixed value: a city whose spellings count wherever they stand, before all others.
+FIRST_CITY = "belagavi"
+
+
+def gazetteer(spark: SparkSession, cities: tuple = CITIES, path: str | None = None) -> DataFrame:
+    """(name, city, state, variant, first): every spelling of every city; from a Parquet table of (city, state, spellings) where a path is given."""
+    if path is not None:
+        rows = spark.read.parquet(path).select(F.lower("city").alias("city"), "state", F.coalesce("spellings", F.array()).alias("o"))
+    else:
+        rows = spark.createDataFrame([(c, s, list(o)) for c, s, o in cities], "city string, state string, o array<string>")
+    names = rows.select("city", "state", F.explode(F.concat(F.array("city"), F.transform("o", F.lower))).alias("name"))
+    return names.select("name", "city", "state", (F.col("name") != F.col("city")).alias("variant"), (F.col("city") == FIRST_CITY).alias("first"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
+from threading import Lock
 from typing import Any
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -31,9 +35,9 @@ def presence(df: DataFrame, user: str, delta: Any) -> DataFrame:
     return df.groupBy(user).agg(F.sum(delta).alias("open")).withColumn("online", F.col("open") > 0)
 
 
-def last_value(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """The last value of each key; a null removes it."""
-    return df.groupBy(*keys).agg(F.max_by(value, order).alias(value)).where(F.col(value).isNotNull())
+def last_value(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
+    """The last value of each key by the order's columns, which should be total; a null removes it."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last")).select(*keys, F.col("__last")[value].alias(value)).where(F.col(value).isNotNull())
 
 
 def once(df: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
@@ -42,15 +46,22 @@ def once(df: DataFrame, keys: list[str], time: str, late: str = "1 day") -> Data
 
 
 def read_receipts(messages: DataFrame, entered: DataFrame) -> DataFrame:
-    """Messages marked read where another member entered the room at or after them."""
+    """Messages marked read where another member entered the room at or after them.
+
+    Only the last entry of any member and the last one of anybody else matter, so a room's messages meet one row.
+    """
     last = entered.groupBy("roomId", "userId").agg(F.max("sentAt").alias("seen"))
-    hit = messages.join(last, "roomId").where((F.col("userId") != F.col("senderId")) & (F.col("seen") >= F.col("sentAt"))).select("id").distinct()
-    return messages.join(hit.withColumn("__hit", F.lit(True)), "id", "left").withColumn("isRead", F.col("isRead") | F.coalesce("__hit", F.lit(False))).drop("__hit")
+    order = Window.partitionBy("roomId").orderBy(F.col("seen").desc(), "userId")
+    two = last.withColumn("__n", F.row_number().over(order)).where("__n <= 2")
+    two = two.groupBy(F.col("roomId").alias("__room")).agg(F.max(F.when(F.col("__n") == 1, F.struct("userId", "seen"))).alias("__a"), F.max(F.when(F.col("__n") == 2, F.col("seen"))).alias("__b"))
+    df = messages.join(two, F.col("roomId") == F.col("__room"), "left")
+    seen = F.when(F.col("__a.userId") != F.col("senderId"), F.col("__a.seen")).otherwise(F.col("__b"))
+    return df.withColumn("isRead", F.col("isRead") | F.coalesce(seen >= F.col("sentAt"), F.lit(False))).drop("__room", "__a", "__b")
 
 
-def collapsed(df: DataFrame, keys: list[str], time: str, action: str, window: str = "500 milliseconds") -> DataFrame:
-    """The last of the actions of each key in each short window."""
-    return _marked(df, time, "10 seconds").groupBy(F.window(F.col(time), window), *keys).agg(F.max_by(action, time).alias(action)).select(*keys, F.col("window.start").alias("window_start"), action)
+def collapsed(df: DataFrame, keys: list[str], time: str, action: str, id_: str, window: str = "500 milliseconds") -> DataFrame:
+    """The last of the actions of each key in each short window, by time and id."""
+    return _marked(df, time, "10 seconds").groupBy(F.window(F.col(time), window), *keys).agg(F.max_by(action, F.struct(time, id_)).alias(action)).select(*keys, F.col("window.start").alias("window_start"), action)
 
 
 def fan_out(stream: DataFrame, senders: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
@@ -68,17 +79,17 @@ class Inactivity(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Any], timer_values: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[Row]:
         for _ in rows:
             pass
-        now = timer_values.getCurrentProcessingTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs()
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         self.last.update((now,))
         self.handle.registerTimer(now + self.gap_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         last = self.last.get()[0]
         self.last.clear()
         yield Row(key=str(key[0]), last=last)
@@ -90,3 +101,39 @@ class Inactivity(StatefulProcessor):
 def inactive(stream: DataFrame, key: str, gap_ms: int = 20 * 60 * 1000) -> DataFrame:
     """(key, last): exact alerts by a timer for each key, on processing time. Needs the RocksDB state store."""
     return stream.groupBy(key).transformWithState(Inactivity(gap_ms), "key string, last long", "Append", "ProcessingTime")
+
+
+@dataclass
+class Job:
+    """What runs at some minutes of the hour (all hours, or the named ones) in the editions' zone."""
+
+    name: str
+    minute: int
+    run: Callable[[str], Any]
+    hours: frozenset[int] | None = None
+
+
+class Schedule:
+    """Calls the jobs that are due at a time; a job that is still running is passed over, and a minute counts once.
+
+    The clock is the caller's: ``tick`` takes the time in UTC, so a trigger, a cron line or a test may drive it.
+    """
+
+    def __init__(self, jobs: list[Job], zone: str) -> None:
+        self.jobs, self.zone = jobs, ZoneInfo(zone)
+        self.busy: dict[str, Lock] = {j.name: Lock() for j in jobs}
+        self.done: dict[str, str] = {}
+
+    def tick(self, now_utc: str) -> dict[str, Any]:
+        """What each due job returned; jobs that run already are left out."""
+        local = datetime.fromisoformat(now_utc).replace(tzinfo=timezone.utc).astimezone(self.zone)
+        out, mark = {}, local.strftime("%Y-%m-%d %H:%M")
+        for j in self.jobs:
+            due = local.minute == j.minute and (j.hours is None or local.hour in j.hours)
+            if due and self.done.get(j.name) != mark and self.busy[j.name].acquire(blocking=False):
+                try:
+                    self.done[j.name] = mark
+                    out[j.name] = j.run(now_utc)
+                finally:
+                    self.busy[j.name].release()
+        return out

@@ -132,3 +132,115 @@ def test_fan_out(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(got) == [(1, "Ann"), (2, None)]
+
+
+def test_cities(spark):
+    """Marked names anywhere, whole words before pairs, the earliest first, then spellings, then inside words."""
+    from feedloom.sources.tables import gazetteer
+
+    cases = {"from Poona today": "pune", "NEW DELHI and Mumbai": "new delhi", "mumbai, new delhi": "mumbai", "xmysorex": "mysuru", "navi mumbai, pune": "mumbai", "nothing": None, "prebombay": "mumbai", "pune xbelgaumx": "belagavi", "xpunex": None, "xhyderabadx": "hyderabad", "": None, None: None, "(chennai)": "chennai"}
+    docs = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
+    got = {r["i"]: r["city"] for r in text.detect_city(docs, gazetteer(spark), "i", "t").collect()}
+    assert got == {i: c for i, c in enumerate(cases.values())}
+
+
+def test_postable_roles(spark):
+    rows = [(role, own, access) for role in ("admin", "moderator", "member", None) for own in (True, False) for access in ("everyone", "moderators", "creator", "other")]
+    got = spark.createDataFrame(rows, "role string, own boolean, access string").withColumn("can", text.can_post(F.col("role"), F.col("own"), F.col("access"))).collect()
+    for r in got:
+        lead = r["own"] or r["role"] == "admin"
+        assert r["can"] == {"everyone": True, "moderators": lead or r["role"] == "moderator", "creator": lead, "other": False}[r["access"]]
+
+
+def test_replies(spark):
+    from feedloom.functions import replies
+
+    cases = {'```json\n["a", "b"]\n```': ["a", "b"], '  ["x"] ': ["x"], "```\n[]```": ["General"], '["1","2","3","4","5","6"]': list("12345"), '{"a": 1}': ["General"], "sorry": ["General"], "": ["General"], None: ["General"], '["a", ': ["General"]}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, r string")
+    assert {r["i"]: r["c"] for r in df.select("i", replies.categories(F.col("r")).alias("c")).collect()} == dict(enumerate(cases.values()))
+    made = '```json {"summary": "s", "primary_topics": ["p"], "regions": {"states": ["Goa"], "global_scope": true}, "audience": null, "odd": 1} ```'
+    m = spark.createDataFrame([(made,), ("[1]",), (None,), ("{broken",)], "r string").select(replies.metadata(F.col("r")).alias("m")).collect()
+    assert (m[0]["m"]["summary"], m[0]["m"]["primary_topics"], m[0]["m"]["regions"]["states"], m[0]["m"]["secondary_topics"], m[0]["m"]["audience"]) == ("s", ["p"], ["Goa"], None, None)
+    assert [r["m"] for r in m[1:]] == [None] * 3
+
+
+def test_upsert_takes_the_last_of_a_key(spark):
+    target = spark.createDataFrame([(1, "a", 0), (None, "n", 0)], "k long, v string, at int")
+    new = spark.createDataFrame([(1, "c", 2), (1, "b", 3), (2, "x", 1), (2, "y", 1), (None, "m", 5)], "k long, v string, at int")
+    got = {r["k"]: r["v"] for r in dml.upsert(target, new, ["k"], order=[F.desc("at"), F.desc("v")]).collect()}
+    assert got == {1: "b", 2: "y", None: "m"}
+
+
+def test_last_actions_break_ties_by_id(spark):
+    rows = [(1, 5, 1, True), (1, 5, 2, False), (2, 5, 4, True), (2, 5, 3, False), (3, 1, 1, None)]
+    df = spark.createDataFrame(rows, "k long, at long, id long, on boolean")
+    assert [r["k"] for r in dml.last_action(df, ["k"], "at", "id", F.col("on")).collect()] == [2]
+    assert {r["k"]: r["on"] for r in activity.last_value(df, ["k"], "on", "at", "id").collect()} == {1: False, 2: True}
+
+
+def test_transaction_is_whole_or_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    one = {"a": spark.range(3).toDF("x"), "b": spark.range(2).toDF("y")}
+    held = dml.transaction(one, folder)
+    assert (held["a"].count(), held["b"].count()) == (3, 2)
+    with pytest.raises(Exception):
+        dml.transaction({"a": spark.range(9).toDF("x"), "b": spark.range(1).select(F.raise_error(F.lit("no")).alias("y"))}, folder)
+    now = dml.committed(spark, folder, ["a", "b"])
+    assert (now["a"].count(), now["b"].count()) == (3, 2)
+    dml.transaction({"a": spark.range(7).toDF("x"), "b": now["b"]}, folder)
+    assert dml.committed(spark, folder, ["a", "b"])["a"].count() == 7
+
+
+def test_schema_change(spark):
+    df = spark.createDataFrame([(1, "creator_only", "p"), (2, "everyone", "q")], "id int, access string, old string")
+    got = dml.renamed_columns(df, drop=["old", "absent"], rename={"access": "post_access"}, add={"summary": F.lit("")}, values={"access": {"creator_only": "creator"}})
+    assert got.columns == ["id", "post_access", "summary"] and [r["post_access"] for r in got.orderBy("id").collect()] == ["creator", "everyone"]
+
+
+def test_schedule_runs_each_minute_once_and_passes_over_busy_jobs():
+    seen = []
+    jobs = [activity.Job("make", 55, lambda now: seen.append(("make", now))), activity.Job("clean", 0, lambda now: seen.append(("clean", now)), frozenset({2}))]
+    plan = activity.Schedule(jobs, dates.ZONE)
+    plan.tick("2024-01-15 08:25:00")  # 13:55 in the editions' zone
+    plan.tick("2024-01-15 08:25:40")
+    plan.tick("2024-01-15 08:26:00")
+    plan.tick("2024-01-14 20:30:00")  # 02:00
+    assert [n for n, _ in seen] == ["make", "clean"]
+    inner = []
+    again = activity.Schedule([activity.Job("long", 0, lambda now: inner.append(again.tick("2024-01-01 01:30:00")))], "Asia/Kolkata")
+    again.tick("2024-01-01 00:30:00")
+    assert inner == [{}]
+
+
+def test_read_receipts_by_members(spark):
+    m = spark.createDataFrame([(1, 1, "a", 10, False), (2, 1, "b", 10, False), (3, 1, "c", 30, True), (4, 2, "a", 5, False)], "id long, roomId long, senderId string, sentAt long, isRead boolean")
+    e = spark.createDataFrame([(1, "a", 20), (1, "a", 12), (1, "b", 8)], "roomId long, userId string, sentAt long")
+    assert {r["id"]: r["isRead"] for r in activity.read_receipts(m, e).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_paper_candidates_skip_what_was_viewed(spark):
+    from feedloom.plans import papers
+
+    posts = spark.createDataFrame([(i, False) for i in range(40)], "id long, isShort boolean").withColumn("createdAt", F.timestamp_seconds(F.floor(F.col("id") / 3) * 3000).cast("timestamp_ntz"))
+    p = spark.createDataFrame([(1, 7, 2), (2, 8, 1), (3, 7, 30), (4, 9, 0), (5, None, 1)], "id long, authorId long, postCount int")
+    views = spark.createDataFrame([(7, 39), (7, 38), (7, 36), (7, 36), (7, 2), (8, 0)], "userId long, postId long")
+    got = papers.candidates(p, posts, views, "2030-01-01").groupBy("paper_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("i")).collect()
+    unseen = [i for i in range(39, -1, -1) if i not in (39, 38, 36, 2)]
+    assert {r["paper_id"]: r["i"] for r in got} == {1: unseen[:6], 2: [39, 38, 37], 3: unseen[:90], 5: [39, 38, 37]}
+
+
+def test_inactivity_alerts(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",)], "k string").write.json(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = activity.event_stream(spark, f"{tmp_path}/in", "k string", "json")
+        run = activity.inactive(stream, "k", 1).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+        for _ in range(60):
+            run.awaitTermination(1)
+            if spark.table("idle").count() >= 2:
+                break
+        run.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert sorted(r["key"] for r in spark.table("idle").collect()) == ["a", "b"]
