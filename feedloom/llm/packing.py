@@ -11,6 +11,7 @@ bounded size; only the last window of a piece is open and goes into the next.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -36,7 +37,8 @@ MARKS = b".,;:!?|*#%&$@-_()[]\""
 class WordTokenizer:
     """Ids of a word-level BPE file as the ``tokenizers`` library gives them, with words' ids kept.
 
-    Texts fall into words at ASCII white space, which the file drops, so a word's ids don't depend on its neighbours.
+    The file's added tokens are taken out of a text first, as they stand; what is between
+    falls into words at ASCII white space, which the file drops, so a word's ids don't depend on its neighbours.
     Words that weren't met are normalised and split as the file says, and merged by rank.
     """
 
@@ -45,6 +47,7 @@ class WordTokenizer:
 
         import regex
         import tiktoken
+        import tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -53,11 +56,17 @@ class WordTokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed":
             raise ValueError("another kind of tokenizer file")
+        self.library = tokenizers.Tokenizer.from_file(path)
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         plain = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        if max(vocab.values()) > 65535:
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("another kind of added token")
+        self.added = {t.encode(): np.array([k], np.uint16).tobytes() for t, k in special.items()}
+        self.taken_out = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=lambda t: (-len(t), t))) + b")") if self.added else None
+        self.marks = sorted({t[:2] for t in self.added})
+        if max(*vocab.values(), *special.values()) > 65_535:
             raise ValueError("more than 65,536 ids")
         ranks = {}
         for token, k in vocab.items():
@@ -65,7 +74,7 @@ class WordTokenizer:
                 last = token.endswith(end)
                 ranks[bytes(plain[c] for c in token.removesuffix(end)) + b"\xff" * last] = k
         self.encode = tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.ends_sentence = np.zeros(max(vocab.values()) + 2, bool)
+        self.ends_sentence = np.zeros(65_536, bool)
         for token, k in vocab.items():
             if token.endswith(end) and set(token.removesuffix(end)) & set(".!?"):
                 self.ends_sentence[k] = True
@@ -79,6 +88,8 @@ class WordTokenizer:
         else:
             text = word.decode("utf-8", "replace")
             if not text.isascii():
+                if any(unicodedata.category(c) == "Cn" for c in text):  # characters newer than Python's tables
+                    return self.library.encode(text, add_special_tokens=False).ids
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             text = text.lower()
             begin = text[: len(text) - len(tail)]
@@ -90,7 +101,12 @@ class WordTokenizer:
     def __call__(self, text: bytes) -> np.ndarray:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, text.split())), np.uint16)
+        if any(m in text for m in self.marks):
+            return np.frombuffer(b"".join(self.added[p] if p in self.added else self._plain(p) for p in self.taken_out.split(text)), np.uint16)
+        return np.frombuffer(self._plain(text), np.uint16)
+
+    def _plain(self, text: bytes) -> bytes:
+        return b"".join(map(self.kept.__getitem__, text.split()))
 
 
 class _Kept(dict):

@@ -198,15 +198,10 @@ def test_hamming_top_k(spark, vectors_dir):
     assert not got
 
 
-def test_packing(spark, docs_dir):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    want = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in texts(docs_dir, spark).items()}
+def packed_pieces_are_whole(rows, want):
+    """Every id in one piece, the library's ids in each, sequences without gaps and in document order."""
     pieces, seqs = defaultdict(list), defaultdict(list)
-    for r in q.op5_packing(spark, docs_dir).collect():
+    for r in rows:
         ids = want[r["doc_id"]]
         part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
         assert len(part) == 4 * r["length"] > 0 and zlib.crc32(part) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
@@ -224,6 +219,38 @@ def test_packing(spark, docs_dir):
         assert order == sorted(order)
 
 
+def test_packing(spark, docs_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in texts(docs_dir, spark).items()}
+    packed_pieces_are_whole(q.op5_packing(spark, docs_dir).collect(), want)
+
+
+def test_packing_odd_texts(spark, tmp_path, monkeypatch):
+    """Added tokens inside texts, null and repeated ids, texts longer than a piece, bytes of every kind, clashing columns."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from feedloom.llm import packing
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(9)
+    odd = ["hello <|endoftext|> world", "x<|startoftext|><|endoftext|>y", "<|ENDOFTEXT|> a<|endoftext|>", "<|<|endoftext|>|>", "<|end oftext|>", "it's<|endoftext|>'s", "é<|endoftext|>\u0301 x", "", None, " \n", "\u2028a\u00a0b\u3000c", "İ ΑΣ ß ﬁ"]
+    odd += ["".join(chr(r.choice([r.randrange(1, 128), r.randrange(128, 0x500), r.randrange(0x2000, 0x3100), r.randrange(0x1F300, 0x1F600)])) for _ in range(r.randrange(200))) for _ in range(60)]
+    odd += [" ".join(r.choice(["word", "other.", "end!", "<|endoftext|>"]) for _ in range(20_000))]
+    rows = [(i, t, 5, "x") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Length int, sequence_id string").repartition(3)
+    want = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(odd)}
+    monkeypatch.setattr(packing, "PIECE", 5_000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed_pieces_are_whole(packing.pack_documents(docs, path).collect(), want)
+    same = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "c d e"), (3, "c d e"), (3, None)], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["start"], x["length"], x["doc_tokens"]) for x in packing.pack_documents(same, path).collect())
+    assert got == {(None, 0, 3, 3): 2, (3, 0, 4, 4): 2, (3, 0, 1, 1): 1}
+
+
 def test_windows_are_optimal():
     from feedloom.llm.packing import boundaries, windows
 
