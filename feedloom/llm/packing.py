@@ -190,10 +190,11 @@ def _pack(path: str, length: int, end_id: int):
             owner = np.searchsorted(ends, a, side="right")
             seq = np.searchsorted(cuts, a, side="right")
             begin = ends - np.array([len(x[3]) for x in line])
-            doc, before, size = (np.array([x[k] for x in line], np.int64) for k in range(3))
+            before, size = (np.array([x[k] for x in line], np.int64) for k in (1, 2))
+            doc = pa.array([x[0] for x in line], pa.int64())
             raw = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            out = [doc[owner], a - begin[owner] + before[owner], b - a, np.array(crc, np.int64), size[owner], seq + sequence, a - starts[seq] if len(starts) else a]
+            out = [a - begin[owner] + before[owner], b - a, np.array(crc, np.int64), size[owner], seq + sequence, a - starts[seq] if len(starts) else a]
             sequence += len(cuts)
             rest, to = [], 0
             for (d, s, n, v), e in zip(line, ends.tolist(), strict=True):
@@ -202,7 +203,7 @@ def _pack(path: str, length: int, end_id: int):
                     rest.append((d, s + skip, n, v[skip:]))
                 to = e
             line, held = rest, len(ids) - done
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), pa.int64()) for x in out], names=[c.split()[0] for c in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays([doc.take(pa.array(owner)), *(pa.array(x.astype(np.int64), pa.int64()) for x in out)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
