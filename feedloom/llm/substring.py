@@ -1,18 +1,25 @@
 """Substring dedup by recompression: repeated passages of at least ``window`` words keep one copy.
 
-Method. Every text is a sequence of word hashes. Rounds of restricted recompression name runs of equal
-symbols and pairs of neighbouring symbols; a name is a 64-bit hash of what it stands for, so all tasks give
-the same name to the same thing without talking to each other. A round only joins symbols of at most
-``limit`` words, and whether a boundary survives a round depends on at most ``limit`` words on either side.
-After all rounds a boundary is therefore settled by ``EDGE`` words around it, and equal windows show the same
-symbols in their interior, whatever surrounds them. Each window elects the interior symbol of the smallest
+Method. Every text is a sequence of word hashes. Rounds of recompression name runs of equal symbols and pairs of
+neighbouring symbols; a name is a 64-bit hash of what it stands for, so all tasks give the same name to the same thing,
+and an exchange by name is where equal things meet. A round only joins symbols of at most ``limit`` words, and the
+limits grow: whether a boundary survives is settled by so many words on either side as the limits add up to, so equal
+passages show the same symbols in their interior, whatever surrounds them.
+
+High symbols. After all rounds a symbol holds up to ``2 * HIGH[-1]`` words. Spans of SPAN neighbouring symbols (whole texts of
+fewer) meet by their names in a first exchange; those that a smaller document holds too, verified by a second, independent
+hash of all their words, are repeated as a whole, and with them every window inside. So long repeats cost a few
+records for each hundred words.
+
+Low symbols. What is left - the ends of long repeats, shorter ones, and text that occurs once - is looked for by the symbols
+of the first rounds. After them a boundary is settled by ``EDGE`` words. Each window elects the interior symbol of the smallest
 name; consecutive windows with the same elected symbol form one record, keyed by that symbol and the words
 within ``EDGE`` of it. Records with equal keys meet in one bucket, where the windows' own hashes verify
-which of them repeat and which document is the smallest.
+which of them repeat and which document is the smallest. A document's smallest holder is never settled before, so nothing is lost.
 
-Scale. One record stands for about 17 words and holds eight bytes a window, its whole hash. Copies within a slice of rows are
-settled before the shuffle, so a passage that stands in a third of all documents is sent once per slice. A bucket's
-size follows from the data and spark.sql.shuffle.partitions. Only documents' own spans return to them.
+Scale. One record stands for about 17 words and holds eight bytes a window, its whole hash; equality rests on that and the key,
+128 bits. Copies within a slice of rows are settled before each exchange, so a passage that stands in a third of all documents is sent once per
+slice. A bucket's size follows from the data and spark.sql.shuffle.partitions. Texts travel once, by id; only documents' own spans return to them.
 """
 
 from __future__ import annotations
@@ -21,34 +28,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import default_parallelism
+from .common import default_parallelism, written
 from .textcore import U64, mix
 
 #: (kind, most words of a symbol that may be joined), in order.
 ROUNDS = (("run", 2), ("pair", 1), ("pair", 1), ("pair", 2), ("pair", 2))
 EDGE = sum(n for _, n in ROUNDS)
 LONGEST = 2 * max(n for _, n in ROUNDS)
-_SALT = tc._rng.integers(1, 2**63, (len(ROUNDS), 3), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Limits of the later rounds: twice pairs and once runs of each.
+HIGH = (4, 8, 16, 32)
+HIGH_ROUNDS = (*ROUNDS, *((kind, n) for n in HIGH for kind in ("pair", "run", "pair")))
+#: Neighbouring high symbols that meet as one.
+SPAN = 3
+_SALT = tc._rng.integers(1, 2**63, (len(HIGH_ROUNDS), 3), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
-def recompress(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def recompress(h: np.ndarray, bounds: np.ndarray, rounds: tuple[tuple[str, int], ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Names and start positions of the symbols left after all rounds; no symbol crosses one of bounds."""
     name, start = h.copy(), np.arange(len(h))
     head = np.zeros(len(h) + 1, bool)
     head[bounds] = True
     head = head[:-1]
-    for k, (kind, limit) in enumerate(ROUNDS):
+    for k, (kind, limit) in enumerate(rounds):
         if len(name) < 2:
             break
         length = np.diff(np.append(start, len(h)))
         keep = np.ones(len(name), bool)
         if kind == "pair":
-            low = (name >> U64(7 * k + 3)) & U64(1) == 0
+            low = (name >> U64((7 * k + 3) % 61)) & U64(1) == 0
             fits = length <= limit
             at = np.flatnonzero(low[:-1] & fits[:-1] & ~low[1:] & fits[1:] & ~head[1:])
             name[at] = mix(name[at] * _SALT[k, 0] + name[at + 1] * _SALT[k, 1] + _SALT[k, 2])
@@ -67,14 +80,43 @@ def recompress(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return name, start
 
 
-def records(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Windows of each row in runs that share an elected symbol.
+def spans(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Name, words' hash, first word and number of words of each row's spans of SPAN high symbols, at least a window long."""
+    name, start = recompress(h, bounds, HIGH_ROUNDS)
+    first = np.searchsorted(start, bounds[:-1])
+    end = np.searchsorted(start, bounds[1:])
+    at = tc.ranges(first, np.where(end > first, np.maximum(end - first - SPAN + 1, 1), 0))
+    to = np.minimum(at + SPAN, np.repeat(end, np.where(end > first, np.maximum(end - first - SPAN + 1, 1), 0)))
+    begin, stop = start[at], np.append(start, len(h))[to]
+    long = stop - begin >= window
+    at, to, begin, stop = at[long], to[long], begin[long], stop[long]
+    return tc.span(tc.prefix(name), at, to) ^ (to - at).astype(U64), tc.span(tc.prefix(h), begin, stop), begin, stop - begin
+
+
+def covered(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that overlap or touch, made one."""
+    if not len(doc):
+        return doc, at, windows
+    order = np.lexsort((at, doc))
+    doc, at, end = doc[order], at[order], (at + windows)[order]
+    which = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(which * wide + end) - which * wide
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > reach[:-1])))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], at[new], reach[last] - at[new]
+
+
+def records(h: np.ndarray, bounds: np.ndarray, window: int, settled: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Windows of each row, but those settled, in runs that share an elected symbol.
 
     Returns key, first window and windows of each run, and the hash of every window by its first word.
     """
     n, none = len(h), np.zeros(0, np.int64)
     rows = np.diff(bounds)
     at = tc.ranges(bounds[:-1], np.maximum(rows - window + 1, 0))
+    if settled is not None:
+        at = at[~settled[at]]
     if not len(at):
         return none.astype(U64), none, none, none.astype(U64)
     name, start = recompress(h, bounds)
@@ -136,15 +178,95 @@ def _bytes(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays[0])], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
 
 
+FOUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
 SENT = pa.schema([("bucket", pa.int32()), ("records", pa.binary()), ("found", pa.binary())])
 
 
-def _send(window: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(rows: list[tuple[int, bytes]], found: bytes, spare: int) -> pa.RecordBatch:
+    """Rows of records by bucket, and what was found at once."""
+    rows = [(b, r, b"") for b, r in rows] + ([(spare, b"", found)] if found else [])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT.types, strict=True)], schema=SENT)
+
+
+def _high(window: int, buckets: int):
+    def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of high symbols to buckets by name; of equal ones of a slice only the smallest document's."""
         for batch in batches:
             for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
                 start, end, bounds = tc.words(buf, off)
-                key, first, count, whole = records(tc.word_hashes(buf, start, end), bounds, window)
+                name, words, first, size = spans(tc.word_hashes(buf, start, end), bounds, window)
+                if not len(name):
+                    continue
+                row = np.searchsorted(bounds, first, side="right") - 1
+                doc, local = ids[row], first - bounds[row]
+                gone = repeated(mix(name ^ mix(words)), doc)
+                found = _bytes(*covered(doc[gone], local[gone], size[gone] - window + 1)) if gone.any() else b""
+                name, words, doc, local, size = (x[~gone] for x in (name, words, doc, local, size))
+                bucket = (name % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+                rows = [(int(bucket[order[a]]), _bytes(name[i], words[i], doc[i], local[i].astype(np.int32), size[i].astype(np.int32))) for a, b in zip(edge[:-1], edge[1:], strict=True) for i in (order[a:b],)]
+                yield _sent(rows, found, int(ids[0]) % buckets)
+
+    return high
+
+
+def _found_table(out: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    if not out:
+        return FOUND.empty_table()
+    return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
+
+
+def _known(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    out = []
+    for x in table.column("found").to_pylist():
+        if x:
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            out.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
+    return out
+
+
+def _meet(window: int):
+    def meet(table: pa.Table) -> pa.Table:
+        """One bucket of spans: those whose name and words a smaller document holds, as runs of windows."""
+        out, cols = _known(table), [[], [], [], [], []]
+        for x in table.column("records").to_pylist():
+            if x:
+                n = int(np.frombuffer(x, np.int64, 1)[0])
+                for c, t, at in zip(cols, (U64, U64, np.int64, np.int32, np.int32), (8, 8 + 8 * n, 8 + 16 * n, 8 + 24 * n, 8 + 28 * n), strict=True):
+                    c.append(np.frombuffer(x, t, n, at))
+        if cols[0]:
+            name, words, doc, local, size = map(np.concatenate, cols)
+            order = np.lexsort((doc, words, name))
+            name, words, doc, local, size = (x[order] for x in (name, words, doc, local, size))
+            new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (words[1:] != words[:-1])))
+            gone = doc > np.repeat(doc[new], np.diff(np.append(new, len(doc))))
+            out.append(covered(doc[gone], local[gone].astype(np.int64), size[gone].astype(np.int64) - window + 1))
+        return _found_table(out)
+
+    return meet
+
+
+def _settled(held: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
+    """Whether the window at each word of a slice is settled, by the rows' lists of (at, windows) in one number."""
+    out = np.zeros(int(bounds[-1]) + 1, np.int32)
+    row = np.repeat(np.arange(len(held)), pc.list_value_length(held).fill_null(0).to_numpy())
+    run = held.flatten().to_numpy()
+    at, end = bounds[row] + (run >> 32), bounds[row + 1]
+    np.add.at(out, np.minimum(at, end), 1)
+    np.add.at(out, np.minimum(at + (run & 0xFFFFFFFF), end), -1)
+    return np.cumsum(out)[:-1] > 0
+
+
+def _send(window: int, buckets: int, at_id: int, at_text: int, at_settled: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(at_id).is_valid()
+            batch = batch.filter(known)
+            for ids, buf, off, at_row in tc.slices(batch.column(at_id).cast(pa.int64()), batch.column(at_text)):
+                start, end, bounds = tc.words(buf, off)
+                settled = _settled(batch.column(at_settled).slice(at_row, len(ids)), bounds)
+                key, first, count, whole = records(tc.word_hashes(buf, start, end), bounds, window, settled)
                 if not len(key):
                     continue
                 row = np.searchsorted(bounds, first, side="right") - 1
@@ -175,30 +297,15 @@ def _send(window: int, buckets: int):
                 bucket = (key % U64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                out_b, out_r = [], []
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    i = order[a:b]
-                    out_b.append(bucket[i[0]])
-                    out_r.append(_bytes(key[i], doc[i], local[i].astype(np.int32), count[i].astype(np.int32), whole[tc.ranges(first[i], count[i])]))
-                if found:
-                    out_b.append(int(ids[0]) % buckets)
-                    out_r.append(b"")
-                f = [b""] * (len(out_b) - bool(found)) + [found] * bool(found)
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_r, pa.binary()), pa.array(f, pa.binary())], schema=SENT)
+                rows = [(int(bucket[order[a]]), _bytes(key[i], doc[i], local[i].astype(np.int32), count[i].astype(np.int32), whole[tc.ranges(first[i], count[i])])) for a, b in zip(edge[:-1], edge[1:], strict=True) for i in (order[a:b],)]
+                yield _sent(rows, found, int(ids[0]) % buckets)
 
     return send
 
 
-FOUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
-
-
 def _settle(table: pa.Table) -> pa.Table:
     """One bucket: verify windows under equal keys, return runs of repeated windows."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for x in table.column("found").to_pylist():
-        if x:
-            n = int(np.frombuffer(x, np.int64, 1)[0])
-            out.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
+    out = _known(table)
     keys, docs, locs, counts, wholes = [], [], [], [], []
     for chunk in table.column("records").chunks:
         for x in chunk:
@@ -226,12 +333,10 @@ def _settle(table: pa.Table) -> pa.Table:
             place = loc[owner] + at - np.repeat(first, count[t])
             gone = repeated(mix(key[owner] ^ whole[at]), doc[owner])
             out.append(_joined(doc[owner[gone]], place[gone].astype(np.int64)))
-    if not out:
-        return FOUND.empty_table()
-    return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
+    return _found_table(out)
 
 
-def _cut(window: int, at_id: int, at_text: int, at_found: int, schema: pa.Schema):
+def _cut(window: int, at_text: int, at_found: int, keep: list[int], schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(at_found)
@@ -244,9 +349,9 @@ def _cut(window: int, at_id: int, at_text: int, at_found: int, schema: pa.Schema
                 runs: list[dict] = []
                 if f.is_valid and len(w):
                     gone = np.zeros(len(w) + 1, np.int32)
-                    at = f.values.field("at").to_numpy().astype(np.int64)
-                    np.add.at(gone, np.minimum(at, len(w)), 1)
-                    np.add.at(gone, np.minimum(at + f.values.field("windows").to_numpy() + window - 1, len(w)), -1)
+                    run = f.values.to_numpy()
+                    np.add.at(gone, np.minimum(run >> 32, len(w)), 1)
+                    np.add.at(gone, np.minimum((run >> 32) + (run & 0xFFFFFFFF) + window - 1, len(w)), -1)
                     flag = np.cumsum(gone[:-1]) > 0
                     edge = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0, append=0))
                     parts, to = [], 0
@@ -258,9 +363,8 @@ def _cut(window: int, at_id: int, at_text: int, at_found: int, schema: pa.Schema
                 n_removed.append(n_words[-1] - len(w))
                 kept.append(b" ".join(w))
                 spans.append(runs)
-            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, schema.field("removed_spans").type), pa.array(kept, pa.binary()).cast(pa.string())]
-            held = [c for k, c in enumerate(batch.columns) if k != at_found and batch.schema.names[k] in schema.names]
-            yield pa.RecordBatch.from_arrays([*held, *new], names=schema.names)
+            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, schema.field("removed_spans").type), pa.array(kept, pa.binary()).view(pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new], names=schema.names)
 
     return cut
 
@@ -268,14 +372,7 @@ def _cut(window: int, at_id: int, at_text: int, at_found: int, schema: pa.Schema
 OUTPUT = (T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("words", T.IntegerType())]))), T.StructField("kept_text", T.StringType()))
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, buckets: int | None = None) -> DataFrame:
-    """(id, at, windows): runs of windows that also start in a document with a smaller id."""
-    if window < 2 * EDGE + 2 * LONGEST - 1:
-        raise ValueError(f"window must be at least {2 * EDGE + 2 * LONGEST - 1} words")
-    buckets = buckets or 2 * default_parallelism(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sent = source.mapInArrow(_send(window, buckets), "bucket int, records binary, found binary")
-    return sent.groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
+_RUN = "shiftleft(cast(at as bigint), 32) + windows"
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, buckets: int | None = None) -> DataFrame:
@@ -286,16 +383,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text: no words, kept_text empty. Null id: the row takes no part and loses nothing. Repeated ids count
     as one document; should their texts differ, what goes from one goes from the same places of the others. Repeats inside one document stay. Texts shorter than the window stay (white space is still
-    made single). Empty input: no rows. Input columns of the four output names are replaced; others pass through.
+    made single). Bytes that are no UTF-8 are words like others. Empty input: no rows. Input columns of the four output names, in any case, are replaced; others pass through.
     """
-    found = repeated_windows(docs, id_col, text_col, window, buckets).groupBy("id").agg(F.collect_list(F.struct("at", "windows")).alias("__found")).withColumnRenamed("id", "__id")
-    held = [c for c in docs.columns if c not in {f.name for f in OUTPUT} or c in (id_col, text_col)]
-    kept = docs.select(*held)
-    joined = kept.join(found, kept[id_col].cast("long") == found["__id"], "left").drop("__id")
-    at_id, at_text, at_found = held.index(id_col), held.index(text_col), len(held)
-    fields = [f for f in kept.schema.fields if f.name not in {x.name for x in OUTPUT}]
-    out = T.StructType([*fields, *OUTPUT])
+    if window < 2 * EDGE + 2 * LONGEST - 1:
+        raise ValueError(f"window must be at least {2 * EDGE + 2 * LONGEST - 1} words")
+    parts = default_parallelism(docs.sparkSession)
+    buckets = buckets or 2 * parts
+    ours = {f.name for f in OUTPUT}
+    held = [c for c in docs.columns if c.lower() not in ours or c in (id_col, text_col)]
+    inside = [f"__{k}" for k in range(len(held))]
+    at_id, at_text, extra = held.index(id_col), held.index(text_col), len(held)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    high = source.mapInArrow(_high(window, buckets), "bucket int, records binary, found binary").groupBy("bucket").applyInArrow(_meet(window), "id long, at int, windows int")
+    high = written(high)
+    # all joins take the rows by id from one and the same exchange
+    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)]).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, F.col(inside[at_id]).cast("long"))
+
+    def with_runs(found: DataFrame) -> DataFrame:
+        runs = found.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.expr(_RUN)).alias("__runs"))
+        return base.join(runs, base[inside[at_id]].cast("long") == runs["__id"], "left").drop("__id")
+
+    sent = with_runs(high).mapInArrow(_send(window, buckets, at_id, at_text, extra), "bucket int, records binary, found binary")
+    low = sent.groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
+    keep = [k for k, c in enumerate(held) if c.lower() not in ours]
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(out)
-    return joined.mapInArrow(_cut(window, at_id, at_text, at_found, schema), out)
+    out = T.StructType([*(T.StructField(held[k], docs.schema[held[k]].dataType) for k in keep), *OUTPUT])
+    return with_runs(high.unionByName(low)).mapInArrow(_cut(window, at_text, extra, keep, to_arrow_schema(out)), out)
