@@ -1,17 +1,21 @@
 """Suffix dedup by merging shard Burrows-Wheeler transforms: repeated strings of ``length`` bytes keep one copy.
 
-A document's suffixes, cut to ``length`` bytes, are dealt out so that equal ones meet: each elects the ``GRAM``-byte string in
-it with the smallest hash, and goes to that string's bucket; neighbours that elect one string at one place travel as one
-piece of text. Five bytes of the string's hash and its place go first; text follows only for strings that several documents
-elect. Each slice of rows is a shard. In a bucket, pieces whose elected string no other piece has are done, and equal
-pieces need one comparison. The others are merged as Holt and McMillan merge the transforms of string collections: the suffixes
-of all shards start interleaved in any order, and each round puts every suffix, in the order so far, into the bucket of the
-symbol that precedes it - its entry in the transform. After k rounds the interleave is sorted by the first k symbols; a
-border between neighbours appears in the round of their common prefix. No suffixes are compared or sorted anew. The rounds
-stop at ``length`` bytes, where the intervals without a border are the repeated strings; two bytes make a symbol.
-
-Scale. Texts travel once by id, a few bytes for each piece, and the pieces whose string is repeated, compressed. Equal pieces of one slice are settled before the shuffle, so a
-passage in a third of all documents is sent once per slice. Buckets follow spark.sql.shuffle.partitions.
+A document's suffixes are dealt out so that those that are equal in their first ``length`` bytes meet: each elects the ``GRAM``-byte
+string in it with the smallest hash, and goes to that string's bucket; neighbours that elect one string at one place
+travel as one piece of text. Hashes of elected strings and pieces go first. Pieces that a smaller document holds whole are
+found by them, and text follows only for strings that different pieces of several documents elect.
+
+Each slice of rows is a shard. It sorts the suffixes of its pieces once and sends their transform: the byte before each
+suffix, in suffix order; the text itself is not sent. A bucket merges the shards' transforms as Holt and McMillan do: the entries of
+all shards start interleaved in any order, each shard's in its own; a round goes through the interleave and puts every entry's
+predecessor behind those of its byte. After k rounds the interleave is sorted by the first k bytes, the entries of a shard still
+stand in its own order, and a border between neighbours has appeared in the round of their common prefix. No suffixes are compared or sorted
+anew. The rounds stop at ``length`` bytes, where the intervals without a border are the repeated strings; walking each transform
+back from the ends of its pieces says which suffix an entry is.
+
+Scale. Texts travel once by id, some bytes for each piece, and the transforms, compressed. Equal pieces of one slice are
+settled before the shuffle, so a passage in a third of all documents is sent once per slice. Buckets follow
+spark.sql.shuffle.partitions.
 """
 
 from __future__ import annotations
@@ -26,14 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import default_parallelism
+from .common import default_parallelism, written
 from .substring import FOUND, _bytes, _joined, repeated
 from .textcore import U64, mix
 
 GRAM = 20
 _SLICE = 1_000_000
-#: Bytes of pieces that are merged at once; elected strings are kept whole, so a group may be longer.
-MERGE = 8_000_000
 _TABLE = tc._BYTE
 
 
@@ -65,7 +67,7 @@ def pieces(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
 
 
 KEYS = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("found", pa.binary())])
-SENT = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("pieces", pa.binary()), ("found", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("pieces", pa.binary())])
 FLAG = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int16()), ("lead", pa.int16())])
 #: Bytes of an elected string's hash that its bucket sees; equal ones of different strings only send text in vain.
 _KEY_BYTES = 5
@@ -81,11 +83,11 @@ def _unplane(b: bytes, dtype: type, n: int, at: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T.copy().view(dtype).reshape(n), at + n * width
 
 
-def _packed(key: np.ndarray, doc: np.ndarray, local: np.ndarray, count: np.ndarray, lead: np.ndarray) -> bytes:
+def _packed(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, local: np.ndarray, count: np.ndarray, lead: np.ndarray) -> bytes:
     new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     runs = np.diff(np.append(new, len(doc))).astype(np.int32)
     tops = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 8 - _KEY_BYTES :].tobytes()
-    return np.array([len(doc), len(new)], np.int64).tobytes() + b"".join((_planes(doc[new]), _planes(runs), _planes(local.astype(np.int32)), _planes(count.astype(np.int16)), _planes(lead.astype(np.int16)), tops))
+    return np.array([len(doc), len(new)], np.int64).tobytes() + b"".join((_planes(doc[new]), _planes(runs), _planes(local.astype(np.int32)), _planes(count.astype(np.int16)), _planes(lead.astype(np.int16)), whole.tobytes(), tops))
 
 
 def _unpacked(b: bytes) -> tuple[np.ndarray, ...]:
@@ -95,9 +97,11 @@ def _unpacked(b: bytes) -> tuple[np.ndarray, ...]:
     local, at = _unplane(b, np.int32, n, at)
     count, at = _unplane(b, np.int16, n, at)
     lead, at = _unplane(b, np.int16, n, at)
+    whole = np.frombuffer(b, U64, n, at)
+    at += 8 * n
     key = np.zeros((n, 8), np.uint8)
     key[:, 8 - _KEY_BYTES :] = np.frombuffer(b, np.uint8, n * _KEY_BYTES, at).reshape(n, _KEY_BYTES)
-    return key.view(U64).reshape(n), np.repeat(doc, runs), local, count, lead
+    return key.view(U64).reshape(n), whole, np.repeat(doc, runs), local, count, lead
 
 
 def _by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -130,8 +134,8 @@ def _elect(length: int, buckets: int):
                 whole = mix(tc.span(pre, first, first + count + length - 1) ^ (count.astype(U64) << U64(32)) ^ lead.astype(U64))
                 gone = repeated(whole, doc)
                 found = _bytes(doc[gone], local[gone], count[gone]) if gone.any() else b""
-                key, doc, local, count, lead = (x[~gone] for x in (key, doc, local, count, lead))
-                rows = [_row(k, _packed(key[i], doc[i], local[i], count[i], lead[i])) for k, i in _by_bucket(key, buckets)]
+                key, whole, doc, local, count, lead = (x[~gone] for x in (key, whole, doc, local, count, lead))
+                rows = [_row(k, _packed(key[i], whole[i], doc[i], local[i], count[i], lead[i])) for k, i in _by_bucket(key, buckets)]
                 if found:
                     rows.append((int(ids[0]) % buckets, 0, b"", found))
                 yield _batch(rows, KEYS)
@@ -140,79 +144,146 @@ def _elect(length: int, buckets: int):
 
 
 def _flag(table: pa.Table) -> pa.Table:
-    """One bucket of keys: the pieces whose elected string several documents hold, and those found before (lead -1)."""
+    """One bucket of keys: pieces that a smaller document holds whole or that were found before (lead -1), and those to be merged:
+    of strings that several documents elect in different pieces."""
     out = [(d, a, c, np.full(len(d), -1)) for d, a, c in _known(table)]
     blobs = [pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for n, x in zip(table.column("size").to_pylist(), table.column("keys").to_pylist(), strict=True) if n]
     if blobs:
-        key, doc, *rest = (np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True))
-        order = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        several = np.minimum.reduceat(doc[order], new) != np.maximum.reduceat(doc[order], new)
-        on = np.sort(order[np.repeat(several, np.diff(np.append(new, len(order))))])
-        out.append((doc[on], *(c[on] for c in rest)))
+        key, whole, doc, *rest = (np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True))
+        order = np.lexsort((doc, whole, key))
+        k, w, d = key[order], whole[order], doc[order]
+        head = np.append(True, k[1:] != k[:-1])
+        first_of = head | np.append(True, w[1:] != w[:-1])
+        piece = np.flatnonzero(first_of)
+        gone = d != np.repeat(d[piece], np.diff(np.append(piece, len(d))))
+        new = np.flatnonzero(head)
+        size = np.diff(np.append(new, len(d)))
+        kinds = np.add.reduceat(first_of.astype(np.int64), new)
+        low = np.minimum.reduceat(d, new), np.maximum.reduceat(np.where(gone, np.iinfo(np.int64).min, d), new)
+        several = np.repeat((kinds > 1) & (low[0] != low[1]), size) & ~gone
+        for on, known in ((order[gone], True), (order[several], False)):
+            place, count, lead = (c[on] for c in rest)
+            out.append((doc[on], place, count, np.full(len(on), -1) if known else lead))
     if not out:
         return FLAG.empty_table()
     return pa.Table.from_arrays([pa.array(np.concatenate(c), t, safe=False) for c, t in zip(zip(*out, strict=True), FLAG.types, strict=True)], schema=FLAG)
 
 
+def transforms(text: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transforms of the pieces of each group, one after another, and where each piece's group begins.
+
+    text holds the pieces, of ``size`` bytes each, one after another, groups in order. Each piece ends with a mark of its own, smaller than
+    all bytes and in the pieces' order. A transform holds the byte before each suffix in suffix order, plus one; 0 where a piece begins.
+    """
+    m, n = len(size), len(text) + len(size)
+    end = np.cumsum(size + 1) - 1
+    inside = np.ones(n, bool)
+    inside[end] = False
+    symbol = np.zeros(n, np.int64)
+    symbol[inside] = text.astype(np.int64) + 1
+    owner = np.repeat(group, size + 1)
+    rank = np.where(inside, symbol + m, 0)
+    rank[end] = np.arange(m)
+    rank += owner * (m + 258)
+    width, longest = 1, int(size.max()) + 1
+    while True:
+        order = np.argsort(rank)
+        r = rank[order]
+        dense = np.cumsum(np.append(True, r[1:] != r[:-1])) - 1
+        rank = np.empty(n, np.int64)
+        rank[order] = dense
+        if width >= longest or dense[-1] == n - 1:
+            break
+        # beyond a piece's mark nothing counts: what holds the mark is already apart from all others
+        rank = rank * n + rank[np.minimum(np.arange(n) + width, n - 1)]
+        width *= 2
+    before = np.zeros(n, np.uint16)
+    before[1:] = symbol[:-1]
+    out = np.empty(n, np.uint16)
+    out[rank] = before
+    first = np.concatenate([[0], np.cumsum(np.bincount(group, weights=size + 1, minlength=int(group[-1]) + 1))]).astype(np.int64)
+    return out, first
+
+
+def merged(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards (transform, sizes of its pieces) to the interval of each suffix: equal for suffixes equal in their first ``length`` bytes.
+
+    Suffixes are given shard by shard, piece by piece, from the first to the mark at the end. Also returned is the rank of each
+    in the merged order of the first ``length`` bytes. Only the transforms are read; suffixes that end before ``length`` bytes are in an interval of their own.
+    """
+    bwt = np.concatenate([x for x, _ in shards])
+    n, sizes = len(bwt), np.concatenate([x for _, x in shards]).astype(np.int64)
+    pieces, many = np.array([len(x) for _, x in shards]), np.array([len(x) for x, _ in shards])
+    base = np.cumsum(many) - many
+    shard = np.repeat(np.arange(len(shards)), many)
+    # where each entry's predecessor stands in its own shard: bytes in order, equal ones as they come, after the marks
+    by = np.argsort(bwt, kind="stable")
+    by = by[np.argsort(shard[by].astype(np.uint16) if len(shards) < 65_536 else shard[by], kind="stable")]
+    by = by[bwt[by] > 0]
+    back = np.full(n, -1, np.int64)
+    real = tc.ranges(base + pieces, many - pieces)
+    back[by] = real
+    marks = tc.ranges(base, pieces)
+    # which suffix an entry is: back from every piece's mark
+    suffix, at, left, place = np.empty(n, np.int64), marks.copy(), sizes.copy(), np.cumsum(sizes + 1) - 1
+    while len(at):
+        suffix[at] = place
+        on = left > 0
+        at, place, left = back[at[on]], place[on] - 1, left[on] - 1
+    order, interval = np.arange(n), np.zeros(n, np.int32)
+    for k in range(length):
+        c = bwt[order]
+        some = np.flatnonzero(c)
+        some = some[np.argsort(c[some], kind="stable")]
+        c, old = c[some], interval[some]
+        order = np.concatenate([marks, back[order[some]]])
+        border = np.ones(n, bool)
+        border[len(marks) + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
+        interval = np.cumsum(border, dtype=np.int32)
+    out, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    out[suffix[order]] = interval
+    rank[suffix[order]] = np.arange(n)
+    return out, rank
+
+
 def _send(length: int, buckets: int, at_id: int, at_text: int, at_flags: int):
-    """Rows with flags to the text of their flagged pieces."""
+    """Rows with flags to the transforms of their flagged pieces, one for each bucket and slice."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, buf, off, at in tc.slices(batch.column(at_id).cast(pa.int64()).fill_null(0), batch.column(at_text).cast(pa.large_binary())):
+            for ids, buf, off, at in tc.slices(batch.column(at_id).cast(pa.int64()).fill_null(0), batch.column(at_text).cast(pa.large_binary()), _SLICE):
                 flags = batch.column(at_flags).slice(at, len(ids))
                 row = np.repeat(np.arange(len(ids)), pc.list_value_length(flags).fill_null(0).to_numpy())
                 flag = flags.flatten().to_numpy()
                 order = np.lexsort((flag, row))
                 row, flag = row[order], flag[order]
-                local, count, lead = flag >> 32, flag >> 16 & 0xFFFF, (flag & 0xFFFF) - 1
+                local, count, lead = flag >> 32, flag >> 16 & 0xFFFF, flag & 0xFFFF
                 inside = local + count + length - 1 <= np.diff(off)[row]
                 row, local, count, lead = row[inside], local[inside], count[inside], lead[inside]
-                doc, known, rows = ids[row], lead < 0, []
-                if known.any():
-                    rows.append((int(ids[0]) % buckets, 0, b"", _bytes(doc[known], local[known], count[known])))
-                doc, local, count, lead, first = doc[~known], local[~known], count[~known], lead[~known], (off[row] + local)[~known]
+                if not len(row):
+                    continue
+                first = off[row] + local
                 gram = np.zeros(len(first), U64)
                 for k, power in enumerate(tc.powers(tc.BASE, GRAM)):
                     gram += _TABLE[buf[first + lead + k]] * power
-                for k, i in _by_bucket(mix(gram), buckets):
-                    text = buf[tc.ranges(first[i], count[i] + length - 1)]
-                    rows.append(_row(k, _bytes(doc[i], local[i].astype(np.int32), count[i].astype(np.int16), lead[i].astype(np.int16)) + text.tobytes()))
-                if rows:
-                    yield _batch(rows, SENT)
+                bucket = (mix(gram) % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, row, local, count, first = bucket[order], row[order], local[order], count[order], first[order]
+                head = np.append(True, bucket[1:] != bucket[:-1])
+                size = count + length - 1
+                out, begin = transforms(buf[tc.ranges(first, size)], size, np.cumsum(head) - 1)
+                edge = np.append(np.flatnonzero(head), len(bucket))
+                rows = []
+                for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    bwt = out[begin[k] : begin[k + 1]]
+                    # a byte each, and the places where a piece begins: 0 there
+                    raw = _bytes(ids[row[a:b]], local[a:b].astype(np.int32), count[a:b].astype(np.int16), np.flatnonzero(bwt == 0).astype(np.int32)) + (np.maximum(bwt, np.uint16(1)) - np.uint16(1)).astype(np.uint8).tobytes()
+                    rows.append(_row(int(bucket[a]), raw)[:3])
+                yield _batch(rows, SENT)
 
     return send
 
 
-def merged(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of the text in the order of their first ``length`` bytes, and the interval that each is in.
-
-    Right for suffixes followed by ``length`` bytes of their own piece; the others only fill places.
-    """
-    n = len(text)
-    wide = np.zeros(n, np.uint16)
-    wide[:] = text
-    wide[:-1] = (wide[:-1] << 8) | text[1:]
-    order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    rounds = [1] * (length % 2) + [2] * (length // 2)
-    for first, step in zip([True] + [False] * len(rounds), rounds, strict=False):
-        symbols = wide if step == 2 else text.astype(np.uint16)
-        before = order - step
-        inside = before >= 0
-        tail = np.arange(n - step, n, dtype=np.int32)
-        before = np.concatenate([tail, before[inside]])
-        # a tail is apart from all others, but for the first round, where it is as long as they are
-        old = np.concatenate([np.full(step, 0 if first else -1, np.int32), interval[inside]])
-        by = np.argsort(symbols[before], kind="stable")
-        order, old = before[by], old[by]
-        symbol = symbols[order]
-        border = np.ones(n, bool)
-        border[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        interval = np.cumsum(border, dtype=np.int32)
-    return order, interval
-
-
 def _known(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
     out: list[tuple[np.ndarray, ...]] = []
     for x in table.column("found").to_pylist():
@@ -222,67 +293,30 @@ def _known(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def _open(table: pa.Table) -> tuple[list, list[np.ndarray]]:
-    out = _known(table)
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    for size, x in zip(table.column("size").to_pylist(), table.column("pieces").to_pylist(), strict=True):
-        if size:
-            b = pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
-            n = int(np.frombuffer(b, np.int64, 1)[0])
-            for k, (t, a) in enumerate(((np.int64, 8), (np.int32, 8 + 8 * n), (np.int16, 8 + 12 * n), (np.int16, 8 + 14 * n))):
-                cols[k].append(np.frombuffer(b, t, n, a))
-            cols[4].append(np.frombuffer(b, np.uint8, -1, 8 + 16 * n))
-    return out, [np.concatenate(c) for c in cols] if cols[0] else []
-
-
 def _settle(length: int):
     def settle(table: pa.Table) -> pa.Table:
-        out, cols = _open(table)
-        if cols:
-            doc, loc, count, place, text = cols
-            count, loc = count.astype(np.int64), loc.astype(np.int64)
-            size = count + length - 1
-            start = np.cumsum(size) - size
-            parts = np.flatnonzero(np.diff(start // 16_000_000, prepend=-1))
-            key, whole = np.empty(len(doc), U64), np.empty(len(doc), U64)
-            for a, b in zip(parts, np.append(parts[1:], len(doc)), strict=True):
-                s = start[a:b] - start[a]
-                pre = _prefix(text[start[a] : start[b - 1] + size[b - 1]])
-                key[a:b] = tc.span(pre, s + place[a:b], s + place[a:b] + GRAM)
-                whole[a:b] = mix(tc.span(pre, s, s + size[a:b]) ^ (count[a:b].astype(U64) << U64(32)) ^ place[a:b].astype(U64))
-            # equal pieces: only the smallest document's goes on
-            gone = repeated(whole, doc)
-            if gone.any():
-                out.append((doc[gone], loc[gone], count[gone]))
-            left = np.flatnonzero(~gone)
-            order = left[np.argsort(key[left], kind="stable")]
-            k = key[order]
-            new = np.append(True, k[1:] != k[:-1])
-            alone = new & np.append(new[1:], True)
-            order, new = order[~alone], new[~alone]
-            # whole groups of one elected string, up to MERGE bytes at once
-            group = np.flatnonzero(new)
-            fill = np.cumsum(size[order])
-            at = 0
-            while at < len(group):
-                base = fill[group[at]] - size[order[group[at]]]
-                to = max(at + 1, int(np.searchsorted(fill[group], base + MERGE, side="right")))
-                i = order[group[at] : group[to] if to < len(group) else len(order)]
-                at = to
-                joined = text[tc.ranges(start[i], size[i])]
-                begin = np.cumsum(size[i]) - size[i]
-                rank, interval = merged(joined, length)
-                mark = np.zeros(len(joined), np.int64)
-                real = tc.ranges(begin, count[i])
-                owner = np.repeat(np.arange(len(i)), count[i])
-                mark[rank] = interval
-                twin = repeated(mark[real].astype(U64), doc[i][owner])
-                if twin.any():
-                    o = owner[twin]
-                    out.append(_joined(doc[i][o], loc[i][o] + real[twin] - begin[o]))
-        if not out:
+        """One bucket: its shards' transforms merged; the suffixes whose first bytes a smaller document holds."""
+        docs, locs, counts, shards = [], [], [], []
+        for size, x in zip(table.column("size").to_pylist(), table.column("pieces").to_pylist(), strict=True):
+            b = pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
+            n = int(np.frombuffer(b, np.int64, 1)[0])
+            docs.append(np.frombuffer(b, np.int64, n, 8))
+            locs.append(np.frombuffer(b, np.int32, n, 8 + 8 * n))
+            counts.append(np.frombuffer(b, np.int16, n, 8 + 12 * n))
+            starts = np.frombuffer(b, np.int32, n, 8 + 14 * n)
+            bwt = np.frombuffer(b, np.uint8, -1, 8 + 18 * n).astype(np.uint16) + np.uint16(1)
+            bwt[starts] = 0
+            shards.append((bwt, counts[-1].astype(np.int64) + length - 1))
+        doc, loc, count = np.concatenate(docs), np.concatenate(locs).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        interval, _ = merged(shards, length)
+        begin = np.cumsum(count + length) - (count + length)
+        owner = np.repeat(np.arange(len(doc)), count)
+        real = tc.ranges(begin, count)
+        twin = repeated(interval[real].astype(U64), doc[owner])
+        if not twin.any():
             return FOUND.empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
+        o = owner[twin]
+        return pa.Table.from_arrays([pa.array(x.astype(t)) for x, t in zip(_joined(doc[o], loc[o] + real[twin] - begin[o]), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
 
     return settle
 
@@ -341,13 +375,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = [c for c in docs.columns if c not in ours or c in (id_col, text_col)]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     keys = source.mapInArrow(_elect(length, buckets), "bucket int, size long, keys binary, found binary")
-    flags = keys.groupBy("bucket").applyInArrow(_flag, "id long, at int, windows short, lead short")
-    flags = flags.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead + 1")).alias("__flags")).withColumnRenamed("id", "__id")
+    judged = written(keys.groupBy("bucket").applyInArrow(_flag, "id long, at int, windows short, lead short"))
+    flags = judged.where("lead >= 0").groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead")).alias("__flags")).withColumnRenamed("id", "__id")
     # both joins take the rows by id from one and the same exchange
     base = docs.select(*held).repartition(default_parallelism(docs.sparkSession), F.col(id_col).cast("long"))
-    flagged = base.join(flags, base[id_col].cast("long") == flags["__id"], "left")
-    sent = flagged.mapInArrow(_send(length, buckets, len(held), held.index(text_col), len(held) + 1), "bucket int, size long, pieces binary, found binary")
+    flagged = base.join(flags, base[id_col].cast("long") == flags["__id"])
+    sent = flagged.mapInArrow(_send(length, 2 * buckets, len(held), held.index(text_col), len(held) + 1), "bucket int, size long, pieces binary")
     found = sent.groupBy("bucket").applyInArrow(_settle(length), "id long, at int, windows int")
+    found = found.unionByName(judged.where("lead < 0").select("id", "at", F.col("windows").cast("int").alias("windows")))
     found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).withColumnRenamed("id", "__id")
     joined = base.join(found, base[id_col].cast("long") == found["__id"], "left").drop("__id")
     keep = [k for k, c in enumerate(held) if c not in ours]
