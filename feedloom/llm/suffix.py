@@ -10,8 +10,8 @@ suffix, in suffix order; the text itself is not sent. A bucket merges the shards
 all shards start interleaved in any order, each shard's in its own; a round goes through the interleave and puts every entry's
 predecessor behind those of its byte. After k rounds the interleave is sorted by the first k bytes, the entries of a shard still
 stand in its own order, and a border between neighbours has appeared in the round of their common prefix. No suffixes are compared or sorted
-anew. The rounds stop at ``length`` bytes, where the intervals without a border are the repeated strings; walking each transform
-back from the ends of its pieces says which suffix an entry is.
+anew. An interval of one document is done and leaves the interleave. The rounds stop at ``length`` bytes, where the intervals left
+are the repeated strings; walking each transform back from the ends of its pieces says which suffix an entry is.
 
 Scale. Texts travel once by id, some bytes for each piece, and the transforms, compressed. Equal pieces of one slice are
 settled before the shuffle, so a passage in a third of all documents is sent once per slice. Buckets follow
@@ -205,11 +205,12 @@ def transforms(text: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[n
     return out, first
 
 
-def merged(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shards (transform, sizes of its pieces) to the interval of each suffix: equal for suffixes equal in their first ``length`` bytes.
+def merged(shards: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose first ``length`` bytes several owners' pieces hold, in the merged order, and the interval of each.
 
-    Suffixes are given shard by shard, piece by piece, from the first to the mark at the end. Also returned is the rank of each
-    in the merged order of the first ``length`` bytes. Only the transforms are read; suffixes that end before ``length`` bytes are in an interval of their own.
+    shards: transform and sizes of its pieces; owner: whose each piece is. Suffixes are numbered shard by shard, piece by piece,
+    from the first to the mark at the end. Only the transforms are read. An interval of one owner has no repeat, whatever
+    comes later; it drops out of the interleave, as do the entries before it, so a round goes through what is still open.
     """
     bwt = np.concatenate([x for x, _ in shards])
     n, sizes = len(bwt), np.concatenate([x for _, x in shards]).astype(np.int64)
@@ -220,39 +221,42 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np
     by = np.argsort(bwt, kind="stable")
     by = by[np.argsort(shard[by].astype(np.uint16) if len(shards) < 65_536 else shard[by], kind="stable")]
     by = by[bwt[by] > 0]
-    back = np.full(n, -1, np.int64)
-    real = tc.ranges(base + pieces, many - pieces)
-    back[by] = real
-    marks = tc.ranges(base, pieces)
-    # which suffix an entry is: back from every piece's mark
-    suffix, at, left, place = np.empty(n, np.int64), marks.copy(), sizes.copy(), np.cumsum(sizes + 1) - 1
+    back = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
+    back[by] = tc.ranges(base + pieces, many - pieces)
+    # which suffix an entry is, and whose: back from every piece's mark
+    suffix, whose = np.empty(n, back.dtype), np.empty(n, np.int32)
+    at, left, place, who = tc.ranges(base, pieces), sizes.copy(), np.cumsum(sizes + 1) - 1, np.unique(owner, return_inverse=True)[1].astype(np.int32)
     while len(at):
-        suffix[at] = place
+        suffix[at], whose[at] = place, who
         on = left > 0
-        at, place, left = back[at[on]], place[on] - 1, left[on] - 1
-    order, interval = np.arange(n), np.zeros(n, np.int32)
-    for k in range(length):
+        at, place, left, who = back[at[on]], place[on] - 1, left[on] - 1, who[on]
+    order, interval = np.arange(n, dtype=back.dtype), np.zeros(n, np.int32)
+    for _ in range(length):
         c = bwt[order]
         some = np.flatnonzero(c)
         some = some[np.argsort(c[some], kind="stable")]
-        c, old = c[some], interval[some]
-        order = np.concatenate([marks, back[order[some]]])
-        border = np.ones(n, bool)
-        border[len(marks) + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        c, order, interval = c[some], back[order[some]], interval[some]
+        border = np.ones(len(some), bool)
+        border[1:] = (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])
+        other = whose[order]
+        several = np.zeros(len(some), bool)
+        several[1:] = ~border[1:] & (other[1:] != other[:-1])
+        first = np.flatnonzero(border)
         interval = np.cumsum(border, dtype=np.int32)
-    out, rank = np.empty(n, np.int64), np.empty(n, np.int64)
-    out[suffix[order]] = interval
-    rank[suffix[order]] = np.arange(n)
-    return out, rank
+        live = np.repeat(np.logical_or.reduceat(several, first), np.diff(np.append(first, len(some))))
+        order, interval = order[live], interval[live]
+    return suffix[order].astype(np.int64), interval.astype(np.int64)
 
 
-def _send(length: int, buckets: int, at_id: int, at_text: int, at_flags: int):
+def _send(length: int, buckets: int):
     """Rows with flags to the transforms of their flagged pieces, one for each bucket and slice."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, buf, off, at in tc.slices(batch.column(at_id).cast(pa.int64()).fill_null(0), batch.column(at_text).cast(pa.large_binary()), _SLICE):
-                flags = batch.column(at_flags).slice(at, len(ids))
+            for ids, buf, off, at in tc.slices(batch.column(0), batch.column(1), _SLICE):
+                flags = batch.column(2).slice(at, len(ids))
                 row = np.repeat(np.arange(len(ids)), pc.list_value_length(flags).fill_null(0).to_numpy())
                 flag = flags.flatten().to_numpy()
                 order = np.lexsort((flag, row))
@@ -308,15 +312,14 @@ def _settle(length: int):
             bwt[starts] = 0
             shards.append((bwt, counts[-1].astype(np.int64) + length - 1))
         doc, loc, count = np.concatenate(docs), np.concatenate(locs).astype(np.int64), np.concatenate(counts).astype(np.int64)
-        interval, _ = merged(shards, length)
+        place, interval = merged(shards, doc, length)
         begin = np.cumsum(count + length) - (count + length)
-        owner = np.repeat(np.arange(len(doc)), count)
-        real = tc.ranges(begin, count)
-        twin = repeated(interval[real].astype(U64), doc[owner])
+        owner = np.searchsorted(begin, place, side="right") - 1
+        twin = repeated(interval.astype(U64), doc[owner])
         if not twin.any():
             return FOUND.empty_table()
         o = owner[twin]
-        return pa.Table.from_arrays([pa.array(x.astype(t)) for x, t in zip(_joined(doc[o], loc[o] + real[twin] - begin[o]), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
+        return pa.Table.from_arrays([pa.array(x.astype(t)) for x, t in zip(_joined(doc[o], loc[o] + place[twin] - begin[o]), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
 
     return settle
 
@@ -366,25 +369,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the input, never cross documents, and may overlap. A cut may fall inside a UTF-8 character, so what is left is bytes.
 
     Null text: no bytes. Null id: the row takes no part and loses nothing. Repeated ids count as one document; should their
-    texts differ, what goes from one goes from the same places of the others. Repeats inside one document stay. Empty input: no rows. Input columns of the four output names are replaced; others pass through.
+    texts differ, what goes from one goes from the same places of the others. Repeats inside one document stay. Empty input: no rows. Input columns of the four output names, in any case, are replaced; others pass through.
     """
     if not GRAM < length <= 30_000:
         raise ValueError(f"length must be over {GRAM} and at most 30,000")
     buckets = buckets or 4 * default_parallelism(docs.sparkSession)
     ours = {f.name for f in OUTPUT}
-    held = [c for c in docs.columns if c not in ours or c in (id_col, text_col)]
+    held = [c for c in docs.columns if c.lower() not in ours or c in (id_col, text_col)]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     keys = source.mapInArrow(_elect(length, buckets), "bucket int, size long, keys binary, found binary")
     judged = written(keys.groupBy("bucket").applyInArrow(_flag, "id long, at int, windows short, lead short"))
-    flags = judged.where("lead >= 0").groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead")).alias("__flags")).withColumnRenamed("id", "__id")
-    # both joins take the rows by id from one and the same exchange
-    base = docs.select(*held).repartition(default_parallelism(docs.sparkSession), F.col(id_col).cast("long"))
-    flagged = base.join(flags, base[id_col].cast("long") == flags["__id"])
-    sent = flagged.mapInArrow(_send(length, 2 * buckets, len(held), held.index(text_col), len(held) + 1), "bucket int, size long, pieces binary")
+    flags = judged.where("lead >= 0").groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead")).alias("__flags")).select(F.col("id").cast("string").alias("__key"), "__flags")
+    # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
+    inside = [f"__{k}" for k in range(len(held))]
+    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
+    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[held.index(text_col)], F.col(inside[held.index(text_col)]).cast("string"))
+    base = base.repartition(default_parallelism(docs.sparkSession), "__key")
+    own = [F.col(i) for i in inside]
+    flagged = base.join(flags, "__key").select(F.col(inside[held.index(id_col)]).cast("long").alias("id"), F.col(inside[held.index(text_col)]).alias("text"), "__flags")
+    sent = flagged.mapInArrow(_send(length, 2 * buckets), "bucket int, size long, pieces binary")
     found = sent.groupBy("bucket").applyInArrow(_settle(length), "id long, at int, windows int")
     found = found.unionByName(judged.where("lead < 0").select("id", "at", F.col("windows").cast("int").alias("windows")))
-    found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).withColumnRenamed("id", "__id")
-    joined = base.join(found, base[id_col].cast("long") == found["__id"], "left").drop("__id")
-    keep = [k for k, c in enumerate(held) if c not in ours]
-    schema = T.StructType([*(base.schema.fields[k] for k in keep), *OUTPUT])
+    found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).select(F.col("id").cast("string").alias("__key"), "__found")
+    joined = base.join(found, "__key", "left").select(*own, "__found")
+    keep = [k for k, c in enumerate(held) if c.lower() not in ours]
+    schema = T.StructType([*(T.StructField(held[k], docs.schema[held[k]].dataType) for k in keep), *OUTPUT])
     return joined.mapInArrow(_cut(length, held.index(text_col), len(held), schema.names, keep), schema)
