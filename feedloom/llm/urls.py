@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components
 
-#: Rules become one expression; more than this many are refused.
+#: A list of rules becomes one expression; more than this many are to be given as a table.
 MOST_RULES = 2_000
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -35,7 +35,7 @@ def path_of(url: Column) -> Column:
 def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, action) of the longest rule that fits; of equally long ones an allow, then the first in order."""
     if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+        raise ValueError(f"more than {MOST_RULES} rules: give a table of action, host, path")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]))
     none = F.lit(None).cast("string")
     out = F.struct(none.alias("rule"), none.alias("action"))
@@ -45,6 +45,39 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
+#: Entities that stand in the attributes of links.
+ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+
+
+def _plain(target: Column) -> Column:
+    """The target with its entities resolved, &amp; last, without white space around."""
+    for entity, c in ENTITIES.items():
+        target = F.replace(target, F.lit(entity), F.lit(c))
+    return F.trim(target)
+
+
+def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (host, path, once each) with struct(rule, action) as decide gives it, for a table of rules (action, host, path).
+
+    A URL meets the rules of its host's suffixes by an equi-join; those whose path it doesn't start with drop out.
+    """
+    labels = F.split("host", r"\.")
+    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    wide = urls.where("host <> ''").select("host", "path", F.explode(suffix).alias("__h"))
+    r = rules.select("action", F.col("host").alias("__rule_host"), F.col("path").alias("__rule_path")).distinct()
+    met = wide.join(r, F.col("__h") == F.col("__rule_host")).where(F.startswith("path", F.col("__rule_path")))
+    rule = F.concat("__rule_host", "__rule_path")
+    first = F.struct((-F.length(rule)).alias("n"), (F.col("action") != "allow").alias("a"), rule.alias("r"))
+    return met.groupBy("host", "path").agg(F.min_by(F.struct(rule.alias("rule"), "action"), first).alias("__d"))
+
+
+def _judged(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """df (host, path, ...) with __d, what the rules say of each row."""
+    if isinstance(rules, list):
+        return df.withColumn("__d", decide(F.col("host"), F.col("path"), rules))
+    return df.join(decided(df.select("host", "path").distinct(), rules), ["host", "path"], "left")
+
+
 def _without_dots(path: Column) -> Column:
     """The path with its segments "." and ".." worked out."""
     parts = F.split(path, "/")
@@ -78,22 +111,23 @@ def _resolved(base: Column, target: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): a page's URL and a canonical or refresh target that it states."""
+    """(a, b): a page's URL and each canonical or refresh target that it states."""
     html = F.col(html_col)
-    named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url_col).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t"))
-    named = named.where("u is not null and t <> ''")
+    links = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url_col).alias("u"), F.explode(F.array_distinct(links)).alias("t"))
+    named = named.withColumn("t", _plain(F.col("t"))).where("u is not null and t <> ''")
     return named.select(_node(F.col("u")).alias("a"), _node(_resolved(F.col("u"), F.col("t"))).alias("b")).where("a is not null and b is not null")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict) of every row of pages.
 
-    ``rules`` are (action, host, path prefix); ``redirects`` has from_url and to_url. Null URL or one without "://":
+    ``rules`` are (action, host, path prefix), a list or a table of these columns; ``redirects`` has from_url and to_url. Null URL or one without "://":
     host and path are empty, no rule fits, the verdict is ``default``. Null html states nothing. Repeated URLs and
-    repeated edges count once. Empty pages: no rows. Other columns aren't read.
+    repeated edges count once; every row of pages is returned, also of repeated or null ids. Empty pages: no rows. Other columns aren't read.
     """
-    parsed = pages.select(F.col(id_col), F.col(url_col).alias("__url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    parsed = parsed.withColumn("__d", decide(F.col("host"), F.col("path"), rules))
+    parsed = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parsed = _judged(parsed, rules)
     edges = []
     if html_col is not None:
         edges.append(alias_edges(pages, url_col, html_col))
@@ -103,10 +137,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     if edges:
         parts = connected_components(reduce(DataFrame.unionByName, edges))
         h, p = F.regexp_extract("node", r"(?s)^([^/?#]*)", 1), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)
-        judged = parts.withColumn("action", decide(h, p, rules)["action"])
+        judged = _judged(parts.withColumns({"host": h, "path": p}), rules).withColumn("action", F.col("__d.action"))
         spread = judged.groupBy("component").agg(F.when(F.bool_or(F.col("action") == "allow"), "allow").when(F.bool_or(F.col("action") == "block"), "block").alias("spread")).where("spread is not null")
         found = parts.join(spread, "component").select("node", "spread")
         parsed = parsed.withColumn("__node", _node(F.col("__url")))
         parsed = parsed.join(found, parsed["__node"] == found["node"], "left")
         verdict = F.coalesce(verdict, F.col("spread"))
-    return parsed.select(id_col, "host", "path", F.col("__d.rule").alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+    return parsed.select(F.col("__id").alias(id_col), "host", "path", F.col("__d.rule").alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
