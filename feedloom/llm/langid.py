@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 512
 GRAM = 3
@@ -121,10 +122,15 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _texts(column: pa.Array) -> list[str | None]:
+    """Strings of a column of bytes; what is no UTF-8 is replaced."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts, langs = _texts(batch.column(0)), _texts(batch.column(1))
         for a, b in _groups(texts):
             v = vectors(texts[a:b])
             names, at = np.unique(langs[a:b], return_inverse=True)
@@ -156,7 +162,7 @@ def _predict(at: int, names: list[str], langs: list[str], matrix: np.ndarray):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score = [], []
-            texts = batch.column(at).to_pylist()
+            texts = _texts(batch.column(at))
             for a, b in _groups(texts):
                 v = vectors(texts[a:b])
                 cosine = v @ matrix.T if langs else np.zeros((b - a, 1))
@@ -164,7 +170,7 @@ def _predict(at: int, names: list[str], langs: list[str], matrix: np.ndarray):
                 known = v.any(axis=1) & bool(langs)
                 best += [langs[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), known.tolist(), strict=True)]
                 score += np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0).astype(float).tolist()
-            kept = [batch.column(k) for k, c in enumerate(batch.schema.names) if c in names]
+            kept = [batch.column(k) for k in range(at)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return predict
@@ -176,10 +182,11 @@ def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Learns from the rows where ``train`` holds (all by default) and text and lang are not null. lang_pred is a learned
     language, or ``und`` where the text is null or has no letter, or nothing could be learned; score is the cosine,
     cut to 0 to 1 (0 for und). Equal cosines: the first language in order. Input columns named lang_pred or score
-    are replaced. Empty input: no rows.
+    (in any case) are replaced. Bytes that are no UTF-8 are no letters. Repeated ids: each row for itself. Empty input: no rows.
     """
     langs, matrix = prototypes(docs.where(train) if train is not None else docs, text_col, lang_col)
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields] + ["lang_pred string", "score double"])
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "score")]
+    fields = [docs.schema[c] for c in keep]
+    source = docs.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(_predict(len(keep), [*keep, "lang_pred", "score"], langs, matrix), schema)
