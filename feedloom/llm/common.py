@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local run (tests) gets a new local folder;
+    on a cluster that is an error, since executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,7 +40,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) of every node of the undirected edges; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: every step takes a minimum per node, which Spark combines
-    before its shuffle, and joins it back, so that a hub of any degree is never gathered. Nulls and loops
+    before its shuffle, and joins it back; the rows of a hub meet one row there, sorted and not held, and adaptive execution
+    splits a partition that a hub makes too large. Nulls and loops
     carry no link and are left out; an empty input gives an empty result. Each round is written to the shared
     folder; the rounds grow with the logarithm of the longest path.
     """

@@ -29,10 +29,14 @@ FOUND = pa.schema([("query_id", pa.int64()), ("distance", pa.int32()), ("id", pa
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
-    """Bit i is set where component i is above 0; null for a null vector or one with a null or non-finite component."""
+    """Bit i is set where component i is above 0; null for a null vector or one with a null or non-finite component.
+
+    A vector of more components than there are bits fails the query: a code of its first ones would be another measure.
+    """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     terms = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.when(vector.isNull() | bad | (F.size(vector) == 0), F.lit(None).cast("long")).otherwise(F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    long = F.raise_error(F.concat(F.lit(f"a code of {bits} bits can't hold a vector of length "), F.size(vector).cast("string"))).cast("long")
+    return F.when(F.size(vector) > bits, long).when(vector.isNull() | bad | (F.size(vector) == 0), F.lit(None).cast("long")).otherwise(F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
 def _masks(width: int, radius: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,12 +108,17 @@ def test_merged_transforms():
             assert first.tolist() == [0, len(bwt)] and (bwt == 0).sum() == len(texts)
             shards.append((bwt, np.array([len(t) for t in texts])))
             strings += [t[i : i + length] if i + length <= len(t) else None for t in texts for i in range(len(t) + 1)]
-        interval, rank = merged(shards, length)
-        real = [i for i, s in enumerate(strings) if s is not None]
-        by = sorted(real, key=lambda i: rank[i])
-        assert [strings[i] for i in by] == sorted(strings[i] for i in real)
-        assert len({(strings[i], interval[i]) for i in real}) == len({strings[i] for i in real}) == len({interval[i] for i in real})
-        assert not {interval[i] for i in real} & {interval[i] for i in range(len(strings)) if strings[i] is None}
+        owner = np.array([r.randrange(4) for _, size in shards for _ in size])
+        place, interval = merged(shards, owner, length)
+        whose = [int(o) for o, t in zip(owner, [t for _, size in shards for t in size]) for _ in range(int(t) + 1)]
+        held = defaultdict(set)
+        for i, x in enumerate(strings):
+            held[x].add(whose[i])
+        want = {i for i, x in enumerate(strings) if x is not None and len(held[x]) > 1}
+        assert set(place.tolist()) == want and len(place) == len(want) and want
+        found = [strings[i] for i in place.tolist()]
+        assert found == sorted(found)
+        assert len(set(zip(found, interval.tolist()))) == len(set(found)) == len(set(interval.tolist()))
 
 
 def test_transforms_of_groups_stand_alone():
@@ -631,6 +637,105 @@ def test_nearest_rows_are_filled(spark, monkeypatch):
     assert Counter(r["query_id"] for r in ann.nearest(many, few, k=5).collect()) == got
 
 
+def test_nearest_on_the_table_and_odd_vectors(spark, tmp_path):
+    """Recall on a whole table of the driver's; huge, tiny, repeated and differing rows of one id, clashing columns."""
+    from feedloom.llm import ann
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = defaultdict(set)
+    for r in ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    held = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect() if r["embedding"]}
+    ids, y = np.array(list(held)), np.stack(list(held.values()))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hit = total = 0
+    for i, found in got.items():
+        s = y @ y[np.flatnonzero(ids == i)[0]]
+        s[ids == i] = -9
+        hit, total = hit + len(found & set(ids[np.lexsort((ids, -s))[:5]].tolist())), total + 5
+    assert total == 5 * sum(i % 50 == 0 for i in held) and hit / total >= 0.9
+    odd = [(0, [1e300, 1e300], 1.0), (1, [1e-300, 1e-300], 2.0), (2, [1.0, 0.0], 3.0), (2, [0.0, 1.0], 3.0), (2, [1.0, 1.0], 3.0), (3, [-1e308, -1e308], 1.0), (4, [0.0, -0.0], 1.0), (5, [1.0], 1.0)]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>, score double")
+    near = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 12)) for r in ann.nearest(df, df.where("vec_id in (0, 5)"), k=2).collect()}
+    assert near == {(0, 1): (1, 1.0), (0, 2): (2, 1.0)}
+
+
+def test_url_rules_as_a_table(spark):
+    from feedloom.llm import urls
+
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "x.com", "/a"), ("allow", "com", "/abc"), ("block", "com", "/abc")]
+    names = ["example.com", "www.example.com", "a.www.example.com", "m.net", "net", "xnet", "x.com", "y.x.com", "com", ""]
+    pages = [(i, f"http://{h}{p}" if h else None) for i, (h, p) in enumerate((h, p) for h in names for p in ("", "/", "/en/q", "/es/", "/abc", "/a?b"))]
+    df = spark.createDataFrame([*pages, (None, "http://m.net/es/"), (0, pages[0][1])], "page_id long, url string")
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    a, b = (sorted(map(tuple, urls.filter_urls(df, r, html_col=None).collect()), key=str) for r in (rules, table))
+    assert a == b and len(a) == len(pages) + 2 and sum(r[4] == "block" for r in a) > 5
+
+
+def test_url_links_of_any_number_and_entities(spark):
+    from feedloom.llm import urls
+
+    pages = [(1, "https://a.org/1", '<link rel="canonical" href="https://b.org/?x=1&amp;y=2"><LINK REL=canonical HREF=https://c.org/z ><meta http-equiv=refresh content="0;url=/there">'), (2, "https://b.org/?x=1&y=2", None), (3, "https://m.net/es/1", '<link rel="canonical" href="https://c.org/z">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = {(r["a"], r["b"]) for r in urls.alias_edges(df, "url", "html").collect()}
+    assert edges == {("a.org/1", "b.org/?x=1&y=2"), ("a.org/1", "c.org/z"), ("a.org/1", "a.org/there"), ("m.net/es/1", "c.org/z")}
+    assert [r["verdict"] for r in urls.filter_urls(df, [("block", "net", "/es/")]).orderBy("page_id").collect()] == ["block"] * 3
+
+
+def test_sign_codes_refuse_longer_vectors(spark):
+    from feedloom.llm.hamming import sign_code
+
+    df = spark.createDataFrame([([1.0, -1.0, 0.0],), (None,), ([float("nan")],), ([],)], "v array<double>")
+    assert [r["c"] for r in df.select(sign_code(F.col("v"), 3).alias("c")).collect()] == [1, None, None, None]
+    with pytest.raises(Exception, match="length 3"):
+        df.select(sign_code(F.col("v"), 2)).collect()
+
+
+def plain_profiles(rows, texts):
+    """Letter-trigram profiles by dictionaries and single vectors: language prototypes and each text's best cosine."""
+    from feedloom.llm import langid as li
+
+    def vector(t):
+        line = "".join(chr(0) if unicodedata.category(c)[0] != "L" else c for c in (t or "").lower())
+        classes = [0 if c == chr(0) else ord(c) % (li.LETTERS - 1) + 1 for c in chr(0) + line + chr(0)]
+        classes = [c for k, c in enumerate(classes) if c or not k or classes[k - 1]]
+        grams = Counter(tuple(classes[k : k + 3]) for k in range(len(classes) - 2))
+        v = np.zeros(li.DIMENSIONS)
+        for g, n in grams.items():
+            bound = np.ones(li.DIMENSIONS)
+            for k, c in enumerate(reversed(g)):
+                bound *= li._items()[k][c]
+            v += np.sqrt(n) * bound
+        return v / (np.linalg.norm(v) or 1) if any(classes) else v * 0
+
+    made = defaultdict(lambda: np.zeros(li.DIMENSIONS))
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            made[lang] += vector(t)
+    names = sorted(k for k, v in made.items() if v.any())
+    unit = np.stack([made[k] / np.linalg.norm(made[k]) for k in names])
+    out = []
+    for t in texts:
+        v = vector(t)
+        s = unit @ v
+        out.append((names[int(s.argmax())], float(np.clip(s.max(), 0, 1))) if v.any() else ("und", 0.0))
+    return out
+
+
+def test_language_profiles_equal_plain_ones(spark):
+    from feedloom.llm.langid import language_id
+
+    r = random.Random(4)
+    syllables = {"aa": ["ka", "to", "ri", "Éa"], "bb": ["sch", "ung", "ö", "ein"], "cc": ["日本", "語", "ß", "x"]}
+    rows = [(i % 25, " ".join("".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4))) + r.choice(["", ".", " 12"]) for _ in range(r.randint(1, 30))), k, "s", 0.5) for i in range(60) for k in [r.choice(list(syllables))]]
+    rows += [(60, None, "aa", "s", 0.1), (61, "", None, "s", 0.1), (62, "12 !?", "bb", None, 0.1), (None, "katori", None, None, 0.1), (63, "sch " * 40_000, "bb", None, 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Lang_Pred string, Score double").repartition(3)
+    got = sorted(((x["doc_id"], x["text"], x["lang_pred"], round(x["score"], 3)) for x in language_id(docs).select("doc_id", "text", "lang_pred", "score").collect()), key=str)
+    want = plain_profiles([(x[1], x[2]) for x in rows], [x[1] for x in rows])
+    assert got == sorted(((x[0], x[1], w[0], round(w[1], 3)) for x, w in zip(rows, want)), key=str)
+    assert {x.lang_pred for x in language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
 def test_url_aliases_in_any_case_and_relative(spark):
     from feedloom.llm import urls
 
