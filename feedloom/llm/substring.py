@@ -11,15 +11,17 @@ fewer) meet by their names in a first exchange; those that a smaller document ho
 hash of all their words, are repeated as a whole, and with them every window inside. So long repeats cost a few
 records for each hundred words.
 
-Low symbols. What is left - the ends of long repeats, shorter ones, and text that occurs once - is looked for by the symbols
+Low symbols. The ends of long repeats, shorter ones, and text that occurs once are told apart by the symbols
 of the first rounds. After them a boundary is settled by ``EDGE`` words. Each window elects the interior symbol of the smallest
 name; consecutive windows with the same elected symbol form one record, keyed by that symbol and the words
-within ``EDGE`` of it. Records with equal keys meet in one bucket, where the windows' own hashes verify
-which of them repeat and which document is the smallest. A document's smallest holder is never settled before, so nothing is lost.
-
-Scale. One record stands for about 17 words and holds eight bytes a window, its whole hash; equality rests on that and the key,
-128 bits. Copies within a slice of rows are settled before each exchange, so a passage that stands in a third of all documents is sent once per
-slice. A bucket's size follows from the data and spark.sql.shuffle.partitions. Texts travel once, by id; only documents' own spans return to them.
+within ``EDGE`` of it. Records meet by key in the same exchange, with a hash of all their words: a record that a smaller
+document holds whole is repeated; one whose key no other document has is not. For those left, of several documents and different words, a second
+exchange takes the windows' own hashes, without windows that are settled, and finds the smallest document of each. Equality rests on
+128 bits, the key and a hash of the words. A window's smallest holder is never settled before, so nothing is lost.
+
+Scale. One record stands for about 17 words. Copies within a slice of rows are settled before the first exchange, so a passage that stands
+in a third of all documents is sent once per slice. A bucket's size follows from the data and spark.sql.shuffle.partitions. Texts
+travel once, by id; only documents' own spans return to them.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ LONGEST = 2 * max(n for _, n in ROUNDS)
 HIGH = (4, 8, 16, 32)
 HIGH_ROUNDS = (*ROUNDS, *((kind, n) for n in HIGH for kind in ("pair", "run", "pair")))
 #: Neighbouring high symbols that meet as one.
-SPAN = 3
+SPAN = 6
 _SALT = tc._rng.integers(1, 2**63, (len(HIGH_ROUNDS), 3), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
@@ -81,7 +83,7 @@ def recompress(h: np.ndarray, bounds: np.ndarray, rounds: tuple[tuple[str, int],
 
 
 def spans(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Name, words' hash, first word and number of words of each row's spans of SPAN high symbols, at least a window long."""
+    """Name, words' hash, first window and windows of each row's spans of SPAN high symbols, at least a window long."""
     name, start = recompress(h, bounds, HIGH_ROUNDS)
     first = np.searchsorted(start, bounds[:-1])
     end = np.searchsorted(start, bounds[1:])
@@ -90,7 +92,7 @@ def spans(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, .
     begin, stop = start[at], np.append(start, len(h))[to]
     long = stop - begin >= window
     at, to, begin, stop = at[long], to[long], begin[long], stop[long]
-    return tc.span(tc.prefix(name), at, to) ^ (to - at).astype(U64), tc.span(tc.prefix(h), begin, stop), begin, stop - begin
+    return tc.span(tc.prefix(name), at, to) ^ (to - at).astype(U64), tc.span(tc.prefix(h), begin, stop), begin, stop - begin - window + 1
 
 
 def covered(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,22 +109,15 @@ def covered(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.nd
     return doc[new], at[new], reach[last] - at[new]
 
 
-def records(h: np.ndarray, bounds: np.ndarray, window: int, settled: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Windows of each row, but those settled, in runs that share an elected symbol.
-
-    Returns key, first window and windows of each run, and the hash of every window by its first word.
-    """
+def records(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Windows of each row in runs that share an elected symbol: key, hash of all words, first window and windows of each run."""
     n, none = len(h), np.zeros(0, np.int64)
     rows = np.diff(bounds)
     at = tc.ranges(bounds[:-1], np.maximum(rows - window + 1, 0))
-    if settled is not None:
-        at = at[~settled[at]]
     if not len(at):
-        return none.astype(U64), none, none, none.astype(U64)
+        return none.astype(U64), none.astype(U64), none, none
     name, start = recompress(h, bounds)
     pre = tc.prefix(h)
-    whole = np.zeros(n, U64)
-    whole[at] = tc.span(pre, at, at + window)
     edge = np.zeros(n + 1, np.int64)
     edge[start] = 1
     edge[n] = 1
@@ -146,7 +141,8 @@ def records(h: np.ndarray, bounds: np.ndarray, window: int, settled: np.ndarray
     begin = start[symbol]
     end = np.append(start, n)[symbol + 1]
     key = mix(name[symbol] * BASE_A ^ tc.span(pre, begin - EDGE, end + EDGE))
-    return key, at[new], count, whole
+    first = at[new]
+    return key, tc.span(pre, first, first + count + window - 1) ^ count.astype(U64), first, count
 
 
 BASE_A = U64(0xD6E8FEB86659FD93)
@@ -179,72 +175,85 @@ def _bytes(*arrays: np.ndarray) -> bytes:
 
 
 FOUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
-SENT = pa.schema([("bucket", pa.int32()), ("records", pa.binary()), ("found", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("spans", pa.binary()), ("records", pa.binary()), ("found", pa.binary())])
+WINDOWS = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
 
 
-def _sent(rows: list[tuple[int, bytes]], found: bytes, spare: int) -> pa.RecordBatch:
-    """Rows of records by bucket, and what was found at once."""
-    rows = [(b, r, b"") for b, r in rows] + ([(spare, b"", found)] if found else [])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT.types, strict=True)], schema=SENT)
+def _by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = (key % U64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
 
 
-def _high(window: int, buckets: int):
-    def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of high symbols to buckets by name; of equal ones of a slice only the smallest document's."""
+def _elect(window: int, buckets: int):
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of high symbols and records of low ones to buckets by name and key; of equal ones of a slice only the smallest document's."""
         for batch in batches:
             for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
                 start, end, bounds = tc.words(buf, off)
-                name, words, first, size = spans(tc.word_hashes(buf, start, end), bounds, window)
-                if not len(name):
-                    continue
-                row = np.searchsorted(bounds, first, side="right") - 1
-                doc, local = ids[row], first - bounds[row]
-                gone = repeated(mix(name ^ mix(words)), doc)
-                found = _bytes(*covered(doc[gone], local[gone], size[gone] - window + 1)) if gone.any() else b""
-                name, words, doc, local, size = (x[~gone] for x in (name, words, doc, local, size))
-                bucket = (name % U64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                rows = [(int(bucket[order[a]]), _bytes(name[i], words[i], doc[i], local[i].astype(np.int32), size[i].astype(np.int32))) for a, b in zip(edge[:-1], edge[1:], strict=True) for i in (order[a:b],)]
-                yield _sent(rows, found, int(ids[0]) % buckets)
-
-    return high
-
-
-def _found_table(out: list[tuple[np.ndarray, ...]]) -> pa.Table:
-    if not out:
-        return FOUND.empty_table()
-    return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
+                h = tc.word_hashes(buf, start, end)
+                rows: dict[int, list[bytes]] = {}
+                found = []
+                for kind, (name, words, first, size) in enumerate((spans(h, bounds, window), records(h, bounds, window))):
+                    row = np.searchsorted(bounds, first, side="right") - 1
+                    doc, local = ids[row], first - bounds[row]
+                    gone = repeated(mix(name ^ mix(words)), doc)
+                    found.append((doc[gone], local[gone], size[gone]))
+                    name, words, doc, local, size = (x[~gone] for x in (name, words, doc, local, size))
+                    for k, i in _by_bucket(name, buckets):
+                        rows.setdefault(k, [b"", b""])[kind] = _bytes(name[i], words[i], doc[i], local[i].astype(np.int32), size[i].astype(np.int32))
+                known = covered(*map(np.concatenate, zip(*found, strict=True)))
+                out = [(k, *r, b"") for k, r in rows.items()] + ([(int(ids[0]) % buckets, b"", b"", _bytes(*known))] if len(known[0]) else [])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
+
+    return elect
+
+
+JUDGED = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("key", pa.int64())])
+
+
+def _opened(blobs: list[bytes]) -> list[np.ndarray]:
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    for x in blobs:
+        if x:
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            for c, t, at in zip(cols, (U64, U64, np.int64, np.int32, np.int32), (8, 8 + 8 * n, 8 + 16 * n, 8 + 24 * n, 8 + 28 * n), strict=True):
+                c.append(np.frombuffer(x, t, n, at))
+    return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (U64, U64, np.int64, np.int32, np.int32), strict=True)]
 
 
-def _known(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
-    out = []
+def _meet(table: pa.Table) -> pa.Table:
+    """One bucket: runs of windows that are repeated (no key), and records whose windows are to be compared (with their key)."""
+    found, compared = [], []
     for x in table.column("found").to_pylist():
         if x:
             n = int(np.frombuffer(x, np.int64, 1)[0])
-            out.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
-    return out
-
-
-def _meet(window: int):
-    def meet(table: pa.Table) -> pa.Table:
-        """One bucket of spans: those whose name and words a smaller document holds, as runs of windows."""
-        out, cols = _known(table), [[], [], [], [], []]
-        for x in table.column("records").to_pylist():
-            if x:
-                n = int(np.frombuffer(x, np.int64, 1)[0])
-                for c, t, at in zip(cols, (U64, U64, np.int64, np.int32, np.int32), (8, 8 + 8 * n, 8 + 16 * n, 8 + 24 * n, 8 + 28 * n), strict=True):
-                    c.append(np.frombuffer(x, t, n, at))
-        if cols[0]:
-            name, words, doc, local, size = map(np.concatenate, cols)
-            order = np.lexsort((doc, words, name))
-            name, words, doc, local, size = (x[order] for x in (name, words, doc, local, size))
-            new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (words[1:] != words[:-1])))
-            gone = doc > np.repeat(doc[new], np.diff(np.append(new, len(doc))))
-            out.append(covered(doc[gone], local[gone].astype(np.int64), size[gone].astype(np.int64) - window + 1))
-        return _found_table(out)
-
-    return meet
+            found.append(tuple(np.frombuffer(x, np.int64, n, 8 + 8 * n * k) for k in range(3)))
+    for kind in ("spans", "records"):
+        name, words, doc, local, size = _opened(table.column(kind).to_pylist())
+        if not len(name):
+            continue
+        order = np.lexsort((doc, words, name))
+        name, words, doc, local, size = (x[order] for x in (name, words, doc, local, size))
+        head = np.append(True, name[1:] != name[:-1])
+        equal = head | np.append(True, words[1:] != words[:-1])
+        new = np.flatnonzero(equal)
+        gone = doc > np.repeat(doc[new], np.diff(np.append(new, len(doc))))
+        found.append((doc[gone], local[gone].astype(np.int64), size[gone].astype(np.int64)))
+        if kind == "records":
+            first = np.flatnonzero(head)
+            many = np.diff(np.append(first, len(doc)))
+            least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(np.where(gone, np.iinfo(np.int64).min, doc), first)
+            on = np.repeat((np.add.reduceat(equal.astype(np.int64), first) > 1) & (least != most), many) & ~gone
+            compared = [doc[on], local[on], size[on], name[on].view(np.int64)]
+    runs = covered(*map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
+    compared = compared or [np.zeros(0, np.int64)] * 4
+    none = pa.nulls(len(runs[0]), pa.int64())
+    columns = [pa.array(np.concatenate([a, b]).astype(t)) for a, b, t in zip(runs, compared, (np.int64, np.int32, np.int32), strict=False)]
+    return pa.Table.from_arrays([*columns, pa.concat_arrays([none, pa.array(compared[3], pa.int64())])], schema=JUDGED)
 
 
 def _settled(held: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
@@ -258,82 +267,50 @@ def _settled(held: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(out)[:-1] > 0
 
 
-def _send(window: int, buckets: int, at_id: int, at_text: int, at_settled: int):
+def _send(window: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, text, runs, records to compare) to the hashes of those records' windows that aren't settled, by key."""
         for batch in batches:
-            known = batch.column(at_id).is_valid()
-            batch = batch.filter(known)
-            for ids, buf, off, at_row in tc.slices(batch.column(at_id).cast(pa.int64()), batch.column(at_text)):
+            for ids, buf, off, at_row in tc.slices(batch.column(0), batch.column(1)):
                 start, end, bounds = tc.words(buf, off)
-                settled = _settled(batch.column(at_settled).slice(at_row, len(ids)), bounds)
-                key, first, count, whole = records(tc.word_hashes(buf, start, end), bounds, window, settled)
-                if not len(key):
+                settled = _settled(batch.column(2).slice(at_row, len(ids)), bounds)
+                held = batch.column(3).slice(at_row, len(ids))
+                row = np.repeat(np.arange(len(ids)), pc.list_value_length(held).fill_null(0).to_numpy())
+                local, count, key = (held.flatten().field(c).to_numpy() for c in ("at", "windows", "key"))
+                inside = local.astype(np.int64) + count + window - 1 <= np.diff(bounds)[row]
+                row, local, count, key = row[inside], local[inside].astype(np.int64), count[inside].astype(np.int64), key[inside].view(U64)
+                at, owner = tc.ranges(bounds[row] + local, count), np.repeat(np.arange(len(row)), count)
+                at, owner = at[~settled[at]], owner[~settled[at]]
+                if not len(at):
                     continue
-                row = np.searchsorted(bounds, first, side="right") - 1
-                doc, local = ids[row], first - bounds[row]
-                # copies within this slice: only windows of the smallest document go on
-                order = np.argsort(key)
-                s = key[order]
-                twin = np.zeros(len(key), bool)
-                eq = s[1:] == s[:-1]
-                twin[order[1:][eq]] = True
-                twin[order[:-1][eq]] = True
-                found = b""
-                if twin.any():
-                    t = np.flatnonzero(twin)
-                    at = tc.ranges(first[t], count[t])
-                    owner = np.repeat(t, count[t])
-                    gone = repeated(mix(key[owner] ^ whole[at]), doc[owner])
-                    if gone.any():
-                        found = _bytes(*_joined(doc[owner[gone]], local[owner[gone]] + at[gone] - first[owner[gone]]))
-                    at, owner = at[~gone], owner[~gone]
-                    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1))
-                    o, f = owner[new], at[new]
-                    rest = np.flatnonzero(~twin)
-                    key, doc = np.append(key[rest], key[o]), np.append(doc[rest], doc[o])
-                    local = np.append(local[rest], local[o] + f - first[o])
-                    first = np.append(first[rest], f)
-                    count = np.append(count[rest], np.diff(np.append(new, len(at))))
-                bucket = (key % U64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                rows = [(int(bucket[order[a]]), _bytes(key[i], doc[i], local[i].astype(np.int32), count[i].astype(np.int32), whole[tc.ranges(first[i], count[i])])) for a, b in zip(edge[:-1], edge[1:], strict=True) for i in (order[a:b],)]
-                yield _sent(rows, found, int(ids[0]) % buckets)
+                new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1))
+                size, first, o = np.diff(np.append(new, len(at))), at[new], owner[new]
+                whole = np.zeros(len(start), U64)
+                whole[at] = tc.span(tc.prefix(tc.word_hashes(buf, start, end)), at, at + window)
+                rows = [(k, _bytes(key[o[i]], ids[row[o[i]]], (first[i] - bounds[row[o[i]]]).astype(np.int32), size[i].astype(np.int32), whole[tc.ranges(first[i], size[i])])) for k, i in _by_bucket(key[o], buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), WINDOWS.types, strict=True)], schema=WINDOWS)
 
     return send
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """One bucket: verify windows under equal keys, return runs of repeated windows."""
-    out = _known(table)
+    """One bucket: windows compared under equal keys, runs of repeated windows returned."""
     keys, docs, locs, counts, wholes = [], [], [], [], []
-    for chunk in table.column("records").chunks:
-        for x in chunk:
-            b = x.as_buffer()
-            if b.size:
-                n = int(np.frombuffer(b, np.int64, 1)[0])
-                keys.append(np.frombuffer(b, U64, n, 8))
-                docs.append(np.frombuffer(b, np.int64, n, 8 + 8 * n))
-                locs.append(np.frombuffer(b, np.int32, n, 8 + 16 * n))
-                counts.append(np.frombuffer(b, np.int32, n, 8 + 20 * n))
-                wholes.append(np.frombuffer(b, U64, -1, 8 + 24 * n))
-    if keys:
-        key, doc, loc, count, whole = map(np.concatenate, (keys, docs, locs, counts, wholes))
-        order = np.argsort(key)
-        s = key[order]
-        eq = s[1:] == s[:-1]
-        twin = np.zeros(len(key), bool)
-        twin[order[1:][eq]] = True
-        twin[order[:-1][eq]] = True
-        t = np.flatnonzero(twin)
-        if len(t):
-            first = (np.cumsum(count) - count)[t]
-            at = tc.ranges(first, count[t].astype(np.int64))
-            owner = np.repeat(t, count[t])
-            place = loc[owner] + at - np.repeat(first, count[t])
-            gone = repeated(mix(key[owner] ^ whole[at]), doc[owner])
-            out.append(_joined(doc[owner[gone]], place[gone].astype(np.int64)))
-    return _found_table(out)
+    for x in table.column("records").to_pylist():
+        n = int(np.frombuffer(x, np.int64, 1)[0])
+        keys.append(np.frombuffer(x, U64, n, 8))
+        docs.append(np.frombuffer(x, np.int64, n, 8 + 8 * n))
+        locs.append(np.frombuffer(x, np.int32, n, 8 + 16 * n))
+        counts.append(np.frombuffer(x, np.int32, n, 8 + 20 * n))
+        wholes.append(np.frombuffer(x, U64, -1, 8 + 24 * n))
+    key, doc, loc, count, whole = map(np.concatenate, (keys, docs, locs, counts, wholes))
+    owner = np.repeat(np.arange(len(key)), count)
+    place = loc[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.lexsort((doc[owner], whole, key[owner]))
+    k, w, d = key[owner][order], whole[order], doc[owner][order]
+    new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])))
+    gone = order[d > np.repeat(d[new], np.diff(np.append(new, len(d))))]
+    return pa.Table.from_arrays([pa.array(x.astype(t)) for x, t in zip(_joined(doc[owner[gone]], place[gone].astype(np.int64)), (np.int64, np.int32, np.int32), strict=True)], schema=FOUND)
 
 
 def _cut(window: int, at_text: int, at_found: int, keep: list[int], schema: pa.Schema):
@@ -372,9 +349,6 @@ def _cut(window: int, at_text: int, at_found: int, keep: list[int], schema: pa.S
 OUTPUT = (T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("words", T.IntegerType())]))), T.StructField("kept_text", T.StringType()))
 
 
-_RUN = "shiftleft(cast(at as bigint), 32) + windows"
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, buckets: int | None = None) -> DataFrame:
     """All rows of docs with n_words, n_removed, removed_spans (word positions) and kept_text.
 
@@ -394,19 +368,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = [f"__{k}" for k in range(len(held))]
     at_id, at_text, extra = held.index(id_col), held.index(text_col), len(held)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    high = source.mapInArrow(_high(window, buckets), "bucket int, records binary, found binary").groupBy("bucket").applyInArrow(_meet(window), "id long, at int, windows int")
-    high = written(high)
-    # all joins take the rows by id from one and the same exchange
-    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)]).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, F.col(inside[at_id]).cast("long"))
-
-    def with_runs(found: DataFrame) -> DataFrame:
-        runs = found.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.expr(_RUN)).alias("__runs"))
-        return base.join(runs, base[inside[at_id]].cast("long") == runs["__id"], "left").drop("__id")
-
-    sent = with_runs(high).mapInArrow(_send(window, buckets, at_id, at_text, extra), "bucket int, records binary, found binary")
-    low = sent.groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
+    met = source.mapInArrow(_elect(window, buckets), "bucket int, spans binary, records binary, found binary").groupBy("bucket").applyInArrow(_meet, "id long, at int, windows int, key long")
+    judged = written(met)
+    # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
+    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
+    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, "__key")
+    run, record = F.when(F.col("key").isNull(), F.expr("shiftleft(cast(at as bigint), 32) + windows")), F.when(F.col("key").isNotNull(), F.struct("at", "windows", "key"))
+    own = judged.groupBy("id").agg(F.collect_list(run).alias("__runs"), F.collect_list(record).alias("__records")).where(F.size("__records") > 0)
+    compared = base.join(own.select(F.col("id").cast("string").alias("__key"), "__runs", "__records"), "__key")
+    compared = compared.select(F.col(inside[at_id]).cast("long").alias("id"), F.col(inside[at_text]).alias("text"), "__runs", "__records")
+    low = compared.mapInArrow(_send(window, buckets), "bucket int, records binary").groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
+    found = judged.where("key is null").select("id", "at", "windows").unionByName(low)
+    found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).select(F.col("id").cast("string").alias("__key"), "__found")
+    joined = base.join(found, "__key", "left").select(*[F.col(i) for i in inside], "__found")
     keep = [k for k, c in enumerate(held) if c.lower() not in ours]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType([*(T.StructField(held[k], docs.schema[held[k]].dataType) for k in keep), *OUTPUT])
-    return with_runs(high.unionByName(low)).mapInArrow(_cut(window, at_text, extra, keep, to_arrow_schema(out)), out)
+    return joined.mapInArrow(_cut(window, at_text, extra, keep, to_arrow_schema(out)), out)

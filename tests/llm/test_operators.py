@@ -584,8 +584,8 @@ def test_high_symbols_reveal_long_repeats(spark, monkeypatch):
     name, words, first, size = substring.spans(tc.word_hashes(buf, start, end), bounds, 50)
     row = np.searchsorted(bounds, first, side="right") - 1
     both = np.isin(name, name[row == 0]) & np.isin(words, words[row == 0]) & (row == 1)
-    _, at, windows = substring.covered(row[both], first[both], size[both] - 49)
-    assert len(at) == 1 and windows[0] > 4300 and both.sum() < 400
+    _, at, windows = substring.covered(row[both], first[both], size[both])
+    assert len(at) <= 8 and windows.sum() > 4000 and both.sum() < 400
 
 
 def test_covered_runs():
