@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import column
+
 DIMENSIONS = 512
 GRAM = 3
 #: Letters share a vector when their code points agree modulo this.
@@ -187,6 +189,6 @@ def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs, matrix = prototypes(docs.where(train) if train is not None else docs, text_col, lang_col)
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "score")]
     fields = [docs.schema[c] for c in keep]
-    source = docs.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
+    source = docs.select(*[column(c).alias(f"__{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(_predict(len(keep), [*keep, "lang_pred", "score"], langs, matrix), schema)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, written
 
 NULL_KEY = "(null)"
 #: Leaves up to which their plan is broadcast; beyond, Spark joins and splits what is skewed.
@@ -66,14 +66,17 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[
     prefix: rows go in while the tokens before them are fewer than what is left. Order: md5 of seed, epoch and id, then
     id; rows of equal id and tokens are taken together if their order allows. Tokens default to a quarter of the text's
     bytes, rounded up; null text: 0 tokens, never in a prefix of 0. Null keys form a child "(null)"; rows with a null id
-    order last by an empty id. Empty input: no rows. Input columns with the names above are replaced.
+    order last by an empty id. Repeated ids: each row for itself. Empty input: no rows.
+    Input columns with the names above, in any case, are replaced.
     """
     tokens = tokens if tokens is not None else F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
     names = list(levels)
     hidden = [f"__l{i}" for i in range(len(names))]
     keys = [F.coalesce(e.cast("string"), F.lit(NULL_KEY)).alias(h) for h, e in zip(hidden, levels.values(), strict=True)]
-    held = [c for c in docs.columns if c not in ("mix_tokens", "mix_epochs", "mix_copies", "leaf_budget")]
-    base = docs.select(*held, tokens.cast("long").alias("mix_tokens"), *keys)
+    held = [c for c in docs.columns if c.lower() not in ("mix_tokens", "mix_epochs", "mix_copies", "leaf_budget")]
+    names_in = [f"__c{k}" for k in range(len(held))]
+    own_id = names_in[held.index(id_col)]
+    base = docs.select(*[column(c).alias(i) for c, i in zip(held, names_in, strict=True)], tokens.cast("long").alias("mix_tokens"), *keys)
     rough = written(base.groupBy(*hidden).agg(F.sum("mix_tokens").cast("double").alias("supply")).where("supply > 0"))
     plan = leaf_budgets(rough, hidden, weights, total, share, max_epochs, default_weight)
     whole = F.floor(F.round(F.col("budget"), 6) / F.col("supply")).cast("int")
@@ -81,7 +84,7 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[
     plan = F.broadcast(small) if small.count() <= BROADCAST_LEAVES else small
 
     def keyed(df: DataFrame) -> DataFrame:
-        text = F.concat_ws(":", F.lit(str(seed)), F.col("mix_epochs").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+        text = F.concat_ws(":", F.lit(str(seed)), F.col("mix_epochs").cast("string"), F.coalesce(F.col(own_id).cast("string"), F.lit("")))
         return df.withColumn("__order", F.md5(text.cast("binary"))).withColumn("__part", F.substring("__order", 1, 3))
 
     on = hidden
@@ -92,8 +95,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[
     ends = parts.where("before < left").groupBy(*hidden).agg(F.max("__part").alias("__end"), F.max(F.struct("__part", "before"))["before"].alias("__before"))
     ends = written(ends)
     ready = ready.join(F.broadcast(ends) if ends.count() <= BROADCAST_LEAVES else ends, hidden, "left")
-    inside = Window.partitionBy(*hidden, "__part").orderBy("__order", id_col, "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*hidden, "__part").orderBy("__order", own_id, "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = ready.where("__part = __end").withColumn("__in", F.col("__before") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)) < F.col("left"))
     clear = ready.where("__part <> __end or __end is null").withColumn("__in", F.coalesce(F.col("__part") < F.col("__end"), F.lit(False)))
     out = edge.unionByName(clear)
-    return out.select(*held, "mix_tokens", F.coalesce("mix_epochs", F.lit(0)).alias("mix_epochs"), (F.coalesce("mix_epochs", F.lit(0)) + F.col("__in").cast("int")).alias("mix_copies"), F.round(F.coalesce("budget", F.lit(0.0)), 3).alias("leaf_budget"))
+    return out.select(*[F.col(i).alias(c) for c, i in zip(held, names_in, strict=True)], "mix_tokens", F.coalesce("mix_epochs", F.lit(0)).alias("mix_epochs"), (F.coalesce("mix_epochs", F.lit(0)) + F.col("__in").cast("int")).alias("mix_copies"), F.round(F.coalesce("budget", F.lit(0.0)), 3).alias("leaf_budget"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import default_parallelism, written
+from .common import column, default_parallelism, written
 from .textcore import U64, mix
 
 #: (kind, most words of a symbol that may be joined), in order.
@@ -372,7 +372,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged = written(met)
     # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
-    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, "__key")
+    base = docs.select(*[column(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, "__key")
     run, record = F.when(F.col("key").isNull(), F.expr("shiftleft(cast(at as bigint), 32) + windows")), F.when(F.col("key").isNotNull(), F.struct("at", "windows", "key"))
     own = judged.groupBy("id").agg(F.collect_list(run).alias("__runs"), F.collect_list(record).alias("__records")).where(F.size("__records") > 0)
     compared = base.join(own.select(F.col("id").cast("string").alias("__key"), "__runs", "__records"), "__key")

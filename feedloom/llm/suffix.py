@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import default_parallelism, written
+from .common import column, default_parallelism, written
 from .substring import FOUND, _bytes, _joined, repeated
 from .textcore import U64, mix
 
@@ -383,7 +383,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
     inside = [f"__{k}" for k in range(len(held))]
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
-    base = docs.select(*[F.col(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[held.index(text_col)], F.col(inside[held.index(text_col)]).cast("string"))
+    base = docs.select(*[column(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[held.index(text_col)], F.col(inside[held.index(text_col)]).cast("string"))
     base = base.repartition(default_parallelism(docs.sparkSession), "__key")
     own = [F.col(i) for i in inside]
     flagged = base.join(flags, "__key").select(F.col(inside[held.index(id_col)]).cast("long").alias("id"), F.col(inside[held.index(text_col)]).alias("text"), "__flags")

@@ -432,23 +432,132 @@ def test_empty_tables(spark, empty_dir, name):
     assert q.QUERIES[name](spark, empty_dir).count() == 0
 
 
-def test_pipeline(spark, sf_dir):
+LONG = " ".join(f"word{k % 9973} and{k % 17}" for k in range(330_000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Null and repeated ids, bytes that are no UTF-8, texts over a slice, ties, columns that clash with outputs and helpers in any case."""
+    rows = [(i, t, lang, src) for i, (t, lang, src) in enumerate([("a b c d e", "en", "src1"), ("", "en", "src1"), (None, None, None), (" \n\t", "fr", None), ("a b c d e", "en", "src1"), ("%bad%", "en", "src2"), ("été " * 80, "fr", "src2"), (LONG, "en", "src1"), (LONG, "en", "src1")])]
+    rows += [(None, "a b c d e", "en", "src1"), (None, None, None, None), (6, "été " * 80, "fr", "src2"), (0, "other words here", "en", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df = df.withColumn("text", F.when(F.col("text") == "%bad%", F.expr("cast(unhex('66FF20C32820" + "61FE20" * 70 + "') as string)")).otherwise(F.col("text")))
+    clash = ["N_Words", "kept_text", "n_bytes", "Removed_Spans", "mix_Tokens", "budget", "left", "weight", "__text", "__id", "__found", "__key", "__0", "a.b", "score", "Lang_Pred", "held_out", "component_id", "length", "start", "n", "id"]
+    for k, c in enumerate(clash):
+        df = df.withColumn(c, F.lit(k))
+    path = str(tmp_path_factory.mktemp("odd"))
+    df.repartition(3).write.parquet(f"{path}/documents.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet"), path
+
+
+def as_bytes(df):
+    return [(r["doc_id"], bytes(r["b"]) if r["b"] is not None else None) for r in df.select("doc_id", F.col("text").cast("binary").alias("b")).collect()]
+
+
+def test_odd_documents_are_cut(spark, odd):
+    from feedloom.llm.substring import substring_dedup
+    from feedloom.llm.suffix import suffix_dedup
+
+    docs, _ = odd
+    held = as_bytes(docs)
+    for out, size, made in ((substring_dedup(docs), lambda b: len(b.split()), 4), (suffix_dedup(docs), len, 4)):
+        assert len(out.columns) == len(set(c.lower() for c in out.columns)) and {"a.b", "__key", "budget"} <= set(out.columns)
+        got = Counter((r["doc_id"], r[2], r[3]) for r in out.select("doc_id", "lang", out.columns[-4], out.columns[-3]).collect())
+        # only the second long text repeats 50 words or bytes of a smaller document; rows of one id are one document
+        assert got == Counter((i, size(b or b""), size(b) if i == 8 else 0) for i, b in held)
+    kept = {r["doc_id"]: bytes(r["k"]) for r in substring_dedup(docs).select("doc_id", F.col("kept_text").cast("binary").alias("k")).collect()}
+    assert kept[5] == dict(held)[5].strip() and kept[8] == b""
+
+
+def test_odd_documents_are_compared_and_scored(spark, odd):
+    from feedloom.llm import jaccard, langid, mixing, packing, ppm
+
+    docs, path = odd
+    held = as_bytes(docs)
+    near = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+    assert near == Counter((i, {4: 0, 8: 7}.get(i, i)) for i, _ in held if i is not None)
+    lang = langid.language_id(docs)
+    assert lang.count() == len(held) and len({c.lower() for c in lang.columns}) == len(lang.columns)
+    assert {r["doc_id"]: r["lang_pred"] for r in lang.where("doc_id in (1, 3, 7)").collect()} == {1: "und", 3: "und", 7: "en"}
+    scored = ppm.score_documents(docs, F.col("doc_id") == 4).collect()
+    assert Counter(r["doc_id"] for r in scored) == Counter(i for i, _ in held if i is not None)
+    assert len({round(r["score"], 9) for r in scored if r["doc_id"] == 0}) == 2 and all(np.isfinite(r["score"]) for r in scored)
+    assert {r["n_tokens"] for r in scored if r["doc_id"] == 7} == {len(LONG.split()) + 1}
+    mixed = mixing.mix_sources(docs, **q.mix_arguments())
+    assert mixed.count() == len(held) and {"budget", "left", "weight", "a.b"} <= set(mixed.columns)
+    spent = {(r["doc_id"], r["mix_tokens"]): r["mix_copies"] for r in mixed.collect()}
+    assert spent[(None, 0)] == 0 and {t for (i, t) in spent if i == 7} == {-(-len(LONG) // 4)}
+    import public_tokenizers
+
+    pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(i for i, _ in held)
+    assert all(sum(r["length"] for r in pieces if r["doc_id"] == i) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == i) for i in (1, 5, 7, 8))
+
+
+def test_odd_documents_go_through_the_pipeline(spark, odd):
+    import corpus_pipeline as p
+
+    docs, path = odd
+    rows = docs
+    for name, stage in p.STAGES[:-1]:
+        rows = stage(spark, rows, path)
+        assert rows.columns == docs.columns, name
+        rows = p.written(rows)
+    assert p.packed(spark, rows, path).where("doc_id = 7").count() > 0
+    assert sorted(r["doc_id"] for r in p.by_language(spark, docs, path).where("doc_id is not null").collect()) == [0, 0, 4, 5, 6, 6, 7, 8]
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, path).count() == 0
+    untaught = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert p.by_language(spark, untaught, path).count() == p.by_language(spark, docs, path).count()
+
+
+def test_foreign_text_is_dropped(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    foreign = docs.limit(2).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.lit("日本語の文章はここにあります。" * 20), "lang": F.lit(None).cast("string")})
+    kept = p.by_language(spark, docs.unionByName(foreign), sf_dir)
+    assert kept.where("doc_id >= 1000000000").count() == 0 and kept.count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_pipeline_equals_plain_stages(spark, docs_dir):
+    """run() as a whole: three stages in plain Python, the mixing by its SQL, the packing by the tokenizers' library."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
-    kept = p.by_language(spark, docs, sf_dir)
-    assert kept.columns == docs.columns and kept.count() == 120
-    near = p.without_near_duplicates(spark, kept, sf_dir)
-    t = {r["doc_id"]: r["text"] for r in kept.collect()}
-    assert {r["doc_id"] for r in near.collect()} == {i for i, (_, c) in plain_near(t, 5, 80).items() if c == i}
-    cut = p.without_repeats(spark, near, sf_dir)
-    t = {r["doc_id"]: r["text"] for r in near.collect()}
-    want = plain_cut({i: x.encode().split() for i, x in t.items()}, 50, b" ".join)
-    assert cut.columns == docs.columns
-    assert {r["doc_id"]: hashlib.sha256(" ".join(r["text"].split(" ")).encode()).hexdigest() if want[r["doc_id"]][1] else r["text"] for r in cut.collect()} == {i: want[i][3] if want[i][1] else x for i, x in t.items()}
-    mixed = p.mixed(spark, cut, sf_dir)
-    assert mixed.columns == docs.columns and 0 < mixed.count()
-    assert p.packed(spark, mixed, sf_dir).count() > 0
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet").collect()
+    t = {r["doc_id"]: r for r in docs if r["text"] is not None and any(c.isalpha() for c in r["text"])}
+    t = {i: t[i] for i, (_, c) in plain_near({i: r["text"] for i, r in t.items()}, 5, 80).items() if c == i}
+    words = {i: r["text"].encode().split() for i, r in t.items()}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][k : k + 50]), i)
+    left = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        left[i] = b" ".join(x for x, g in zip(w, gone) if not g).decode() if any(gone) else t[i]["text"]
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": list(left), "text": list(left.values()), "lang": [t[i]["lang"] for i in left], "source": [t[i]["source"] for i in left]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    copies = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, mix_copies FROM ({q.ORACLE_SQL['op10_source_mixing']})").fetchall()}
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter({i: n * (len(tok.encode(left[i], add_special_tokens=False).ids) + 1) for i, n in copies.items() if n})
+    got = Counter()
+    for r in p.run(spark, docs_dir).collect():
+        got[r["doc_id"]] += r["length"]
+        ids = tok.encode(left[r["doc_id"]], add_special_tokens=False).ids + [1]
+        assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+    assert got == want and len(left) < len(docs) and any(n > 1 for n in copies.values())
 
 
 def test_repeated_ids_with_different_texts(spark):
