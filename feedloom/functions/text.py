@@ -57,6 +57,11 @@ def room_key(a: Column, b: Column) -> Column:
     return F.array_join(F.array_sort(F.array(a, b)), "_")
 
 
+def seeded_id(key: Column, seed: int, length: int = 16) -> Column:
+    """An id that looks random and is the same for a key and seed in every run and on every task."""
+    return F.substring(F.md5(F.concat(F.lit(f"id:{seed}:"), key.cast("string")).cast("binary")), 1, length)
+
+
 def media_url(base: str, name: Column, kind: Column) -> Column:
     folder = F.when(kind == "image", "images").when(kind == "video", "videos").otherwise("files")
     return F.when(name.isNull() | (name == ""), F.lit(None).cast("string")).when(name.startswith("http"), name).otherwise(F.concat_ws("/", F.lit(base), folder, name))

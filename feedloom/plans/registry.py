@@ -737,10 +737,17 @@ def fn_array(t):
     return t.editions.select("id", F.array_contains(a, F.col("p1")).alias("has"), F.array_position(a, F.col("p3")).alias("pos"), F.size(F.array_distinct(a)).alias("kinds"), a[1].alias("second"), F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other, CAST(len(json_keys(props)) AS INT) + 1 AS entries, event_type || '=' || json_extract_string(props, '$.k') AS entry FROM events")
 def fn_json_map(t):
     p = F.from_json("props", "k long, missing string")
-    return t.events.select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], F.lit("none")).alias("other"))
+    held = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.concat(F.lit("type:"), "event_type"), F.lit("1")))
+    entry = F.concat_ws("=", "event_type", F.try_element_at(held, F.lit("k")))
+    return t.events.select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], F.lit("none")).alias("other"), F.size(held).alias("entries"), entry.alias("entry"))
+
+
+@query("SELECT event_id, substr(md5('id:5:' || event_id), 1, 16) AS token FROM events")
+def fn_random_ids(t):
+    return t.events.select("event_id", text.seeded_id(F.col("event_id"), 5).alias("token"))
 
 
 @query("SELECT id, CASE WHEN v > 999 THEN format('{:.1f}', v / 1000.0) || 'k' ELSE CAST(v AS VARCHAR) END AS shown FROM (SELECT id, views * 10 + 5 AS v FROM posts)")

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from time import sleep
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +66,19 @@ VIEWS: dict[str, str] = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 64, **options: str) -> DataFrame:
-    """A database table, read in ranges of ``key`` where one is given."""
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 64, attempts: int = 5, wait: float = 1.0, **options: str) -> DataFrame:
+    """A database table, read in ranges of ``key`` where one is given. A connection that fails is tried again, each time after twice the wait."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if key is not None and bounds is not None:
         reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
+    for n in range(attempts):
+        try:
+            return reader.load()
+        except (Py4JJavaError, PySparkException):
+            if n + 1 == attempts:
+                raise
+            sleep(wait * 2**n)
+    raise ValueError("attempts must be at least 1")
 
 
 def register(spark: SparkSession, sf_dir: str) -> list[str]:
