@@ -19,6 +19,10 @@ document holds whole is repeated; one whose key no other document has is not. Fo
 exchange takes the windows' own hashes, without windows that are settled, and finds the smallest document of each. Equality rests on
 128 bits, the key and a hash of the words. A window's smallest holder is never settled before, so nothing is lost.
 
+Hot keys. A phrase that very many documents hold, each in other surroundings, gives one key to very many records. A slice that has
+HOT of them sends one mark to the key's bucket and passes its records by; with a mark, all records of the key are compared, and
+their windows are dealt by their own hashes. So neither exchange gathers what a hot key has.
+
 Scale. One record stands for about 17 words. Copies within a slice of rows are settled before the first exchange, so a passage that stands
 in a third of all documents is sent once per slice. A bucket's size follows from the data and spark.sql.shuffle.partitions. Texts
 travel once, by id; only documents' own spans return to them.
@@ -46,6 +50,8 @@ LONGEST = 2 * max(n for _, n in ROUNDS)
 #: Limits of the later rounds: twice pairs and once runs of each.
 HIGH = (4, 8, 16, 32)
 HIGH_ROUNDS = (*ROUNDS, *((kind, n) for n in HIGH for kind in ("pair", "run", "pair")))
+#: Different records of one key in a slice from which the key counts as hot.
+HOT = 16
 #: Neighbouring high symbols that meet as one.
 SPAN = 6
 _SALT = tc._rng.integers(1, 2**63, (len(HIGH_ROUNDS), 3), dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -175,7 +181,7 @@ def _bytes(*arrays: np.ndarray) -> bytes:
 
 
 FOUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
-SENT = pa.schema([("bucket", pa.int32()), ("spans", pa.binary()), ("records", pa.binary()), ("found", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("spans", pa.binary()), ("records", pa.binary()), ("found", pa.binary()), ("passed", pa.binary())])
 WINDOWS = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
 
 
@@ -202,17 +208,26 @@ def _elect(window: int, buckets: int):
                     gone = repeated(mix(name ^ mix(words)), doc)
                     found.append((doc[gone], local[gone], size[gone]))
                     name, words, doc, local, size = (x[~gone] for x in (name, words, doc, local, size))
+                    if kind:
+                        _, at, many = np.unique(name, return_inverse=True, return_counts=True)
+                        hot = many[at] >= HOT
+                        passed = _bytes(name[hot], doc[hot], local[hot].astype(np.int32), size[hot].astype(np.int32)) if hot.any() else b""
+                        marks = np.unique(name[hot])
+                        none = np.zeros(len(marks), np.int64)
+                        name, words, doc, local, size = (np.append(x[~hot], y) for x, y in ((name, marks), (words, none.view(U64)), (doc, none), (local, none), (size, none)))
                     for k, i in _by_bucket(name, buckets):
                         rows.setdefault(k, [b"", b""])[kind] = _bytes(name[i], words[i], doc[i], local[i].astype(np.int32), size[i].astype(np.int32))
                 known = covered(*map(np.concatenate, zip(*found, strict=True)))
-                out = [(k, *r, b"") for k, r in rows.items()] + ([(int(ids[0]) % buckets, b"", b"", _bytes(*known))] if len(known[0]) else [])
+                out = [(k, *r, b"", b"") for k, r in rows.items()]
+                if len(known[0]) or passed:
+                    out.append((int(mix(ids[:1].view(U64))[0] % U64(buckets)), b"", b"", _bytes(*known) if len(known[0]) else b"", passed))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     return elect
 
 
-JUDGED = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("key", pa.int64())])
+JUDGED = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("key", pa.int64()), ("spread", pa.bool_())])
 
 
 def _opened(blobs: list[bytes]) -> list[np.ndarray]:
@@ -226,8 +241,14 @@ def _opened(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket: runs of windows that are repeated (no key), and records whose windows are to be compared (with their key)."""
+    """One bucket: runs of windows that are repeated (no key), and records whose windows are to be compared (with their key; a hot
+    key's are spread)."""
     found, compared = [], []
+    for x in table.column("passed").to_pylist():
+        if x:
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            key, doc, local, size = (np.frombuffer(x, t, n, at) for t, at in ((np.int64, 8), (np.int64, 8 + 8 * n), (np.int32, 8 + 16 * n), (np.int32, 8 + 20 * n)))
+            compared.append((doc, local, size, key, np.ones(n, bool)))
     for x in table.column("found").to_pylist():
         if x:
             n = int(np.frombuffer(x, np.int64, 1)[0])
@@ -241,19 +262,21 @@ def _meet(table: pa.Table) -> pa.Table:
         head = np.append(True, name[1:] != name[:-1])
         equal = head | np.append(True, words[1:] != words[:-1])
         new = np.flatnonzero(equal)
-        gone = doc > np.repeat(doc[new], np.diff(np.append(new, len(doc))))
+        mark = size == 0
+        gone = (doc > np.repeat(doc[new], np.diff(np.append(new, len(doc))))) & ~mark
         found.append((doc[gone], local[gone].astype(np.int64), size[gone].astype(np.int64)))
         if kind == "records":
             first = np.flatnonzero(head)
             many = np.diff(np.append(first, len(doc)))
             least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(np.where(gone, np.iinfo(np.int64).min, doc), first)
-            on = np.repeat((np.add.reduceat(equal.astype(np.int64), first) > 1) & (least != most), many) & ~gone
-            compared = [doc[on], local[on], size[on], name[on].view(np.int64)]
+            hot = np.logical_or.reduceat(mark, first)
+            on = np.repeat((np.add.reduceat(equal.astype(np.int64), first) > 1) & (least != most) | hot, many) & ~gone & ~mark
+            compared.append((doc[on], local[on], size[on], name[on].view(np.int64), np.repeat(hot, many)[on]))
     runs = covered(*map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
-    compared = compared or [np.zeros(0, np.int64)] * 4
-    none = pa.nulls(len(runs[0]), pa.int64())
-    columns = [pa.array(np.concatenate([a, b]).astype(t)) for a, b, t in zip(runs, compared, (np.int64, np.int32, np.int32), strict=False)]
-    return pa.Table.from_arrays([*columns, pa.concat_arrays([none, pa.array(compared[3], pa.int64())])], schema=JUDGED)
+    rest = [np.concatenate(c) for c in zip(*compared, strict=True)] if compared else [np.zeros(0, np.int64)] * 5
+    columns = [pa.array(np.concatenate([a, b]).astype(t)) for a, b, t in zip(runs, rest, (np.int64, np.int32, np.int32), strict=False)]
+    key, spread = pa.concat_arrays([pa.nulls(len(runs[0]), pa.int64()), pa.array(rest[3], pa.int64())]), np.append(np.zeros(len(runs[0]), bool), rest[4].astype(bool))
+    return pa.Table.from_arrays([*columns, key, pa.array(spread)], schema=JUDGED)
 
 
 def _settled(held: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
@@ -277,17 +300,21 @@ def _send(window: int, buckets: int):
                 held = batch.column(3).slice(at_row, len(ids))
                 row = np.repeat(np.arange(len(ids)), pc.list_value_length(held).fill_null(0).to_numpy())
                 local, count, key = (held.flatten().field(c).to_numpy() for c in ("at", "windows", "key"))
+                spread = held.flatten().field("spread").to_numpy(zero_copy_only=False)
                 inside = local.astype(np.int64) + count + window - 1 <= np.diff(bounds)[row]
                 row, local, count, key = row[inside], local[inside].astype(np.int64), count[inside].astype(np.int64), key[inside].view(U64)
+                spread = spread[inside]
                 at, owner = tc.ranges(bounds[row] + local, count), np.repeat(np.arange(len(row)), count)
                 at, owner = at[~settled[at]], owner[~settled[at]]
                 if not len(at):
                     continue
-                new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1))
+                # a hot key's windows are records of their own
+                new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1) | spread[owner])
                 size, first, o = np.diff(np.append(new, len(at))), at[new], owner[new]
                 whole = np.zeros(len(start), U64)
                 whole[at] = tc.span(tc.prefix(tc.word_hashes(buf, start, end)), at, at + window)
-                rows = [(k, _bytes(key[o[i]], ids[row[o[i]]], (first[i] - bounds[row[o[i]]]).astype(np.int32), size[i].astype(np.int32), whole[tc.ranges(first[i], size[i])])) for k, i in _by_bucket(key[o], buckets)]
+                to = np.where(spread[o], whole[first], key[o])
+                rows = [(k, _bytes(key[o[i]], ids[row[o[i]]], (first[i] - bounds[row[o[i]]]).astype(np.int32), size[i].astype(np.int32), whole[tc.ranges(first[i], size[i])])) for k, i in _by_bucket(to, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), WINDOWS.types, strict=True)], schema=WINDOWS)
 
     return send
@@ -368,12 +395,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = [f"__{k}" for k in range(len(held))]
     at_id, at_text, extra = held.index(id_col), held.index(text_col), len(held)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    met = source.mapInArrow(_elect(window, buckets), "bucket int, spans binary, records binary, found binary").groupBy("bucket").applyInArrow(_meet, "id long, at int, windows int, key long")
+    met = source.mapInArrow(_elect(window, buckets), "bucket int, spans binary, records binary, found binary, passed binary").groupBy("bucket").applyInArrow(_meet, "id long, at int, windows int, key long, spread boolean")
     judged = written(met)
     # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
     base = docs.select(*[column(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, "__key")
-    run, record = F.when(F.col("key").isNull(), F.expr("shiftleft(cast(at as bigint), 32) + windows")), F.when(F.col("key").isNotNull(), F.struct("at", "windows", "key"))
+    run, record = F.when(F.col("key").isNull(), F.expr("shiftleft(cast(at as bigint), 32) + windows")), F.when(F.col("key").isNotNull(), F.struct("at", "windows", "key", "spread"))
     own = judged.groupBy("id").agg(F.collect_list(run).alias("__runs"), F.collect_list(record).alias("__records")).where(F.size("__records") > 0)
     compared = base.join(own.select(F.col("id").cast("string").alias("__key"), "__runs", "__records"), "__key")
     compared = compared.select(F.col(inside[at_id]).cast("long").alias("id"), F.col(inside[at_text]).alias("text"), "__runs", "__records")

@@ -697,6 +697,27 @@ def test_high_symbols_reveal_long_repeats(spark, monkeypatch):
     assert len(at) <= 8 and windows.sum() > 4000 and both.sum() < 400
 
 
+@pytest.mark.parametrize("hot", [16, 2])
+def test_hot_phrases_are_spread(spark, monkeypatch, hot):
+    """A phrase of 30 words in hundreds of documents, each in other surroundings, some of them shared; slices with many and with one."""
+    from feedloom.llm import substring
+
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    phrase, before, after = [word() for _ in range(30)], [[word() for _ in range(30)] for _ in range(4)], [[word() for _ in range(30)] for _ in range(4)]
+    t = {}
+    for i in range(300):
+        a = r.choice(before) if r.random() < 0.3 else [word() for _ in range(30)]
+        b = r.choice(after) if r.random() < 0.3 else [word() for _ in range(30)]
+        t[i * 11 % 301] = a + phrase + b
+    want = {i: (n, m, s) for i, (n, m, _, s) in plain_cut({i: " ".join(x).encode().split() for i, x in t.items()}, 50, b" ".join).items()}
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in t.items()], "doc_id long, text string")
+    docs = rows.where("doc_id < 3").repartition(3).union(rows.where("doc_id >= 3").coalesce(1))
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], hashlib.sha256(x["kept_text"].encode()).hexdigest()) for x in substring.substring_dedup(docs).collect()}
+    assert got == want and sum(m for _, m, _ in got.values()) > 1000
+
+
 def test_covered_runs():
     from feedloom.llm.substring import covered
 
