@@ -224,13 +224,15 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray, lengt
     back = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
     back[by] = tc.ranges(base + pieces, many - pieces)
     # which suffix an entry is, and whose: back from every piece's mark
-    suffix, whose = np.empty(n, back.dtype), np.empty(n, np.int32)
+    suffix, whose, enters = np.empty(n, back.dtype), np.empty(n, np.int32), np.zeros(n, bool)
     at, left, place, who = tc.ranges(base, pieces), sizes.copy(), np.cumsum(sizes + 1) - 1, np.unique(owner, return_inverse=True)[1].astype(np.int32)
     while len(at):
-        suffix[at], whose[at] = place, who
+        suffix[at], whose[at], enters[at] = place, who, left >= length
         on = left > 0
         at, place, left, who = back[at[on]], place[on] - 1, left[on] - 1, who[on]
-    order, interval = np.arange(n, dtype=back.dtype), np.zeros(n, np.int32)
+    # only entries with ``length`` bytes before them are still there after as many rounds
+    order = np.flatnonzero(enters).astype(back.dtype)
+    interval = np.zeros(len(order), np.int32)
     for _ in range(length):
         c = bwt[order]
         some = np.flatnonzero(c)
