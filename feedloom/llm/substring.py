@@ -50,6 +50,8 @@ LONGEST = 2 * max(n for _, n in ROUNDS)
 #: Limits of the later rounds: twice pairs and once runs of each.
 HIGH = (4, 8, 16, 32)
 HIGH_ROUNDS = (*ROUNDS, *((kind, n) for n in HIGH for kind in ("pair", "run", "pair")))
+#: Bytes of text that a task works on at once, or one longer text.
+SLICE = 1_000_000
 #: Different records of one key in a slice from which the key counts as hot.
 HOT = 16
 #: Neighbouring high symbols that meet as one.
@@ -197,7 +199,7 @@ def _elect(window: int, buckets: int):
     def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans of high symbols and records of low ones to buckets by name and key; of equal ones of a slice only the smallest document's."""
         for batch in batches:
-            for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
+            for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1), SLICE):
                 start, end, bounds = tc.words(buf, off)
                 h = tc.word_hashes(buf, start, end)
                 rows: dict[int, list[bytes]] = {}
@@ -294,7 +296,7 @@ def _send(window: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (id, text, runs, records to compare) to the hashes of those records' windows that aren't settled, by key."""
         for batch in batches:
-            for ids, buf, off, at_row in tc.slices(batch.column(0), batch.column(1)):
+            for ids, buf, off, at_row in tc.slices(batch.column(0), batch.column(1), SLICE):
                 start, end, bounds = tc.words(buf, off)
                 settled = _settled(batch.column(2).slice(at_row, len(ids)), bounds)
                 held = batch.column(3).slice(at_row, len(ids))
