@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_dirs: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local run (tests) gets a new local folder;
-    on a cluster that is an error, since executors would each write to a disk of their own."""
+    on a cluster that is an error, since executors would each write to a disk of their own. The session has a folder of its own there, which is deleted when it ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -19,13 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/feedloom-{spark.sparkContext.applicationId}"
+    if own not in _own_dirs:
+        # results read these tables as long as the session lives, so they go with it
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _own_dirs.add(own)
+    return own
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
