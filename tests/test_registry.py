@@ -271,3 +271,18 @@ def test_shorts_feed_with_a_named_short(spark):
     tiers = [t for _, t in out.values()]
     # two fresh ones that aren't viewed or the viewer's own, half of the five free places followed, the rest discovery
     assert tiers == [0, 1, 1, 2, 2, 2, 3, 3] and {i for i, t in out.values() if t == 1} == {26, 25} and {i for i, t in out.values() if t == 2} == {21, 17, 13}
+
+
+def test_blobs_round_trip(spark, tmp_path):
+    from feedloom.sources import blobs
+
+    made = spark.createDataFrame([("a.png", bytearray(b"\x00\xff" * 9)), ("b.txt", bytearray(b"")), (None, bytearray(b"x")), ("c.png", None)], "name string, content binary")
+    placed = {r["name"]: r["path"] for r in blobs.write_blobs(made, f"file://{tmp_path}/store").collect()}
+    assert placed == {n: f"file://{tmp_path}/store/{n}" for n in ("a.png", "b.txt")}
+    held = {r["name"]: (r["length"], bytes(r["content"])) for r in blobs.read_blobs(spark, f"file://{tmp_path}/store").collect()}
+    assert held == {"a.png": (18, b"\x00\xff" * 9), "b.txt": (0, b"")}
+    assert [r["name"] for r in blobs.read_blobs(spark, f"file://{tmp_path}/store", "*.png").select("name", "length").collect()] == ["a.png"]
+    (tmp_path / "file").write_text("no folder")
+    again = blobs.write_blobs(made, f"file://{tmp_path}/file/x", fallback=f"file://{tmp_path}/second").collect()
+    assert {r["path"] for r in again} == {f"file://{tmp_path}/second/a.png", f"file://{tmp_path}/second/b.txt"}
+    assert [r["path"] for r in blobs.write_blobs(made, f"file://{tmp_path}/file/x").collect()] == [None, None]
