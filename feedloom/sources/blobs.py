@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def read_blobs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(name, path, length, content) of the files below a folder whose names fit; content is only read where it is asked for."""
+    """(name, path, length, content) of the files below a folder whose names fit; content is only read where it is asked for.
+    Empty files have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "content")
 
