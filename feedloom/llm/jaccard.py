@@ -3,10 +3,11 @@
 A document is the set of its ``shingle``-word shingles. Two documents link when their Jaccard similarity is at
 least ``percent`` / 100. Shingles are put in one global order, rare before frequent; how frequent comes from
 a sketch of ``CLASSES`` hash classes counted over all documents, whose size is fixed. Two sets that link share
-at least two shingles among their first n - ceil(t n) + 2 in that order (the prefix, extended by one). Either one of
-those is rare, and rare shingles are indexed singly; or both are frequent, and pairs of frequent shingles are
-indexed. Long documents, whose pairs would be many, index frequent shingles singly; sizes that could link with either
-kind do both, so no link is lost.
+at least e shingles among their first n - ceil(t n) + e in that order (the prefix, extended by e - 1). Either one of
+those is rare, and rare shingles are indexed singly; or all are frequent, and pairs of frequent shingles are
+indexed. Documents of up to PAIRS_UP_TO shingles extend by one and index every pair. For larger ones e grows with the size, by classes of
+sizes, and shingles fall into e - 1 groups by hash: of e that are shared two are in one group, so only pairs within groups are
+indexed, a few for each shingle. A document is indexed for every class that it could link with, so no link is lost.
 
 Index entries meet in buckets, under the hash of their set and with its size: equal sets count once, and an entry that
 no other set of a fitting size has goes no further. What a set shares in one bucket travels as one row. Among documents that share an entry, those may link whose sizes and bitmaps allow it: a bitmap has
@@ -39,8 +40,9 @@ CLASSES = 1 << CLASS_BITS
 _RANGES = 64
 #: A class is frequent when it holds so many times the mean number of shingles.
 FREQUENT = 4
-#: Documents of at most so many shingles index pairs of frequent shingles.
-PAIRS_UP_TO = 400
+#: Documents of at most so many shingles index all pairs of frequent shingles; each class of sizes above is twice as large,
+#: and extends the prefix by one shingle for so many of it.
+PAIRS_UP_TO, EXTENDED = 400, 8
 #: Shingles in a verification cell; larger candidate groups are split.
 CELL = 4_000_000
 #: Documents of a cell, the last ones gone through, with which the next is compared at once.
@@ -108,19 +110,41 @@ def ordered_sets(h: np.ndarray, first: np.ndarray, classes: np.ndarray) -> list[
     return out
 
 
+def size_class(n: int) -> int:
+    """0 for sets whose pairs are all indexed, then one for each doubling of the size."""
+    return 0 if n <= PAIRS_UP_TO else 1 + ((n - 1) // PAIRS_UP_TO).bit_length() - 1
+
+
+def extended(k: int, percent: int) -> int:
+    """Shingles that two sets of class k share in their prefixes, when those are as much longer, less one."""
+    return 2 if not k else max(2, (PAIRS_UP_TO << (k - 1)) * (100 - percent) // (100 * EXTENDED))
+
+
+def _pairs(often: np.ndarray, groups: int, k: int) -> np.ndarray:
+    """Entries of all pairs within the groups of class k."""
+    if groups > 1:
+        group = mix(often ^ _SINGLE) % U64(groups)
+        order = np.argsort(group, kind="stable")
+        often, group = often[order], group[order]
+        size = np.bincount(np.unique(group, return_inverse=True)[1])
+        later = np.repeat(np.cumsum(size), size) - np.arange(len(often)) - 1
+        i, j = np.repeat(np.arange(len(often)), later), tc.ranges(np.arange(len(often)) + 1, later)
+    else:
+        i, j = np.triu_indices(len(often), 1)
+    return mix(often[i] * _PAIR ^ mix(often[j]) ^ U64(k))
+
+
 def entries(t: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of one ordered set of at least two shingles."""
-    n = len(t)
-    lead = t[: n + (-n * percent // 100) + 2]
-    rare = int(np.searchsorted(lead, U64(1) << U64(56)))
-    often, out = lead[rare:], [mix(lead[:rare])]
-    if len(often):
-        if n <= PAIRS_UP_TO and len(often) > 1:
-            i, j = np.triu_indices(len(often), 1)
-            out.append(mix(often[i] * _PAIR ^ mix(often[j])))
-        if 100 * n > percent * PAIRS_UP_TO:
-            out.append(mix(often ^ _SINGLE))
-    return np.concatenate(out)
+    n, rare, out = len(t), 0, []
+    for k in range(size_class(-(-n * percent // 100)), size_class(n * 100 // percent) + 1):
+        e = extended(k, percent)
+        lead = t[: n + (-n * percent // 100) + e]
+        first = int(np.searchsorted(lead, U64(1) << U64(56)))
+        rare = max(rare, first)
+        if len(lead) - first > 1:
+            out.append(_pairs(lead[first:], e - 1, k))
+    return np.concatenate([mix(t[:rare]), *out])
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

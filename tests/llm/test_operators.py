@@ -571,6 +571,28 @@ def test_repeated_ids_with_different_texts(spark):
         assert sorted(((r["doc_id"], r["n_removed"]) for r in out.collect()), key=str) == sorted([*none, (2, gone)], key=str)
 
 
+@pytest.mark.parametrize("up_to, extended", [(400, 4), (40, 4), (8, 1), (8, 40)])
+def test_jaccard_entries_meet(monkeypatch, up_to, extended):
+    """Any two sets that link have an entry in common: all frequent, all rare or mixed, over the borders of classes."""
+    from feedloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PAIRS_UP_TO", up_to)
+    monkeypatch.setattr(jaccard, "EXTENDED", extended)
+    assert [jaccard.size_class(n) for n in (up_to, up_to + 1, 2 * up_to, 2 * up_to + 1, 4 * up_to, 4 * up_to + 1)] == [0, 1, 1, 2, 2, 3]
+    r = random.Random(3)
+    for often in (0.0, 0.7, 1.0):
+        for _ in range(120):
+            percent = r.choice([55, 80, 85, 95])
+            union = [r.getrandbits(50) | ((1 << 56) * r.randint(1, 9) if r.random() < often else 0) for _ in range(r.randint(3, 2 * max(up_to, 60)))]
+            both = -(-percent * len(union) // 100)
+            a = union[:both] + [x for x in union[both:] if r.random() < 0.5]
+            b = union[:both] + [x for x in union[both:] if x not in a]
+            x, y = (np.array(sorted(set(z)), np.uint64) for z in (a, b))
+            if min(len(x), len(y)) < 2 or 100 * both < percent * len(set(a) | set(b)):
+                continue
+            assert np.isin(jaccard.entries(x, percent), jaccard.entries(y, percent)).any()
+
+
 def test_jaccard_refuses_low_percentages(spark):
     from feedloom.llm.jaccard import near_duplicates
 
