@@ -80,6 +80,12 @@ def src9_describe(t):
     return t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in t.region.schema.fields], "name string, kind string")
 
 
+@query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
+def src10_event_source(t):
+    stream = activity.event_stream(t.spark, t.sf_dir, t.events.schema, names="events.parquet")
+    return activity.drained(stream, dml.scratch_folder(t.spark)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 _CITY_ROWS = ", ".join(f"('{n}', '{c}', '{s}', {str(n != c).lower()})" for c, s, o in CITIES for n in (c, *o))
 
 

@@ -15,9 +15,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
-def event_stream(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files: int = 16) -> DataFrame:
-    """Files that arrive in a folder, as a stream."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
+def event_stream(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files: int = 16, names: str = "*") -> DataFrame:
+    """Files that arrive in a folder, those whose names fit, as a stream."""
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).option("pathGlobFilter", names).load(path)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream holds now, each event once, written to a folder and read back; run again on that folder it adds what has come since."""
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/data")
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
 def _marked(df: DataFrame, time: str, late: str) -> DataFrame:
