@@ -62,11 +62,11 @@ def home_feed(posts: DataFrame, users: DataFrame, follows: DataFrame, viewer: in
     mine = rel.following(follows, viewer).unionByName(spark.createDataFrame([(i,) for i in (*priority, viewer)], "id long")).distinct()
     base = rel.flag(base, mine, {"authorId": "id"}, "mine")
     newest = [F.col("createdAt").desc(), F.col("id").desc()]
-    main = top(base.where("mine"), limit, *newest).select("*", F.lit(False).alias("isBackfill"), F.lit(0.0).alias("score"))
-    pool = with_author(top(base.where("not mine"), 3 * limit, *newest), users)
+    # posts are read once: the newest of either kind go on
+    few = base.withColumn("__n", F.row_number().over(Window.partitionBy("mine").orderBy(*newest))).where(F.col("__n") <= 3 * limit).where(~F.col("mine") | (F.col("__n") <= limit))
+    few = with_author(few, users).withColumn("isBackfill", ~F.col("mine"))
     score = rk.backfill_score(rk.age_hours(F.col("createdAt"), as_of), F.col("authorId").isin(*priority) if priority else F.lit(False))
-    pool = pool.withColumn("score", F.round(score, 6)).withColumn("isBackfill", F.lit(True))
-    both = main.unionByName(pool.select(*main.columns))
+    both = few.withColumn("score", F.when(F.col("mine"), 0.0).otherwise(F.round(score, 6)))
     order = Window.partitionBy(F.lit(0)).orderBy("isBackfill", F.col("score").desc(), *newest)
     return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("place", "id", "isBackfill", "score")
 
