@@ -292,14 +292,14 @@ def _settled(held: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(out)[:-1] > 0
 
 
-def _send(window: int, buckets: int):
+def _send(window: int, buckets: int, at_id: int, at_text: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (id, text, runs, records to compare) to the hashes of those records' windows that aren't settled, by key."""
+        """Rows, their runs and their records to compare, to the hashes of those records' windows that aren't settled, by key."""
         for batch in batches:
-            for ids, buf, off, at_row in tc.slices(batch.column(0), batch.column(1), SLICE):
+            for ids, buf, off, at_row in tc.slices(batch.column(at_id).cast(pa.int64()), batch.column(at_text), SLICE):
                 start, end, bounds = tc.words(buf, off)
-                settled = _settled(batch.column(2).slice(at_row, len(ids)), bounds)
-                held = batch.column(3).slice(at_row, len(ids))
+                settled = _settled(batch.column(batch.num_columns - 2).slice(at_row, len(ids)), bounds)
+                held = batch.column(batch.num_columns - 1).slice(at_row, len(ids))
                 row = np.repeat(np.arange(len(ids)), pc.list_value_length(held).fill_null(0).to_numpy())
                 local, count, key = (held.flatten().field(c).to_numpy() for c in ("at", "windows", "key"))
                 spread = held.flatten().field("spread").to_numpy(zero_copy_only=False)
@@ -399,14 +399,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     met = source.mapInArrow(_elect(window, buckets), "bucket int, spans binary, records binary, found binary, passed binary").groupBy("bucket").applyInArrow(_meet, "id long, at int, windows int, key long, spread boolean")
     judged = written(met)
-    # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
+    # both joins take the rows by id from one and the same exchange: its key is never null, so that neither join filters before it, and both take all columns
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
     base = docs.select(*[column(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[at_text], F.col(inside[at_text]).cast("string")).repartition(parts, "__key")
     run, record = F.when(F.col("key").isNull(), F.expr("shiftleft(cast(at as bigint), 32) + windows")), F.when(F.col("key").isNotNull(), F.struct("at", "windows", "key", "spread"))
     own = judged.groupBy("id").agg(F.collect_list(run).alias("__runs"), F.collect_list(record).alias("__records")).where(F.size("__records") > 0)
     compared = base.join(own.select(F.col("id").cast("string").alias("__key"), "__runs", "__records"), "__key")
-    compared = compared.select(F.col(inside[at_id]).cast("long").alias("id"), F.col(inside[at_text]).alias("text"), "__runs", "__records")
-    low = compared.mapInArrow(_send(window, buckets), "bucket int, records binary").groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
+    low = compared.select(*inside, "__runs", "__records").mapInArrow(_send(window, buckets, at_id, at_text), "bucket int, records binary").groupBy("bucket").applyInArrow(_settle, "id long, at int, windows int")
     found = judged.where("key is null").select("id", "at", "windows").unionByName(low)
     found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).select(F.col("id").cast("string").alias("__key"), "__found")
     joined = base.join(found, "__key", "left").select(*[F.col(i) for i in inside], "__found")

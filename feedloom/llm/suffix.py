@@ -252,13 +252,13 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray, lengt
     return suffix[order].astype(np.int64), interval.astype(np.int64)
 
 
-def _send(length: int, buckets: int):
+def _send(length: int, buckets: int, at_id: int, at_text: int):
     """Rows with flags to the transforms of their flagged pieces, one for each bucket and slice."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, buf, off, at in tc.slices(batch.column(0), batch.column(1), _SLICE):
-                flags = batch.column(2).slice(at, len(ids))
+            for ids, buf, off, at in tc.slices(batch.column(at_id).cast(pa.int64()), batch.column(at_text), _SLICE):
+                flags = batch.column(batch.num_columns - 1).slice(at, len(ids))
                 row = np.repeat(np.arange(len(ids)), pc.list_value_length(flags).fill_null(0).to_numpy())
                 flag = flags.flatten().to_numpy()
                 order = np.lexsort((flag, row))
@@ -382,14 +382,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = source.mapInArrow(_elect(length, buckets), "bucket int, size long, keys binary, found binary")
     judged = written(keys.groupBy("bucket").applyInArrow(_flag, "id long, at int, windows short, lead short"))
     flags = judged.where("lead >= 0").groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows * 65536L + lead")).alias("__flags")).select(F.col("id").cast("string").alias("__key"), "__flags")
-    # both joins take the rows by id from one and the same exchange; its key is never null, so that neither join filters before it
+    # both joins take the rows by id from one and the same exchange: its key is never null, so that neither join filters before it, and both take all columns
     inside = [f"__{k}" for k in range(len(held))]
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__key")
     base = docs.select(*[column(c).alias(i) for c, i in zip(held, inside, strict=True)], key).withColumn(inside[held.index(text_col)], F.col(inside[held.index(text_col)]).cast("string"))
     base = base.repartition(default_parallelism(docs.sparkSession), "__key")
     own = [F.col(i) for i in inside]
-    flagged = base.join(flags, "__key").select(F.col(inside[held.index(id_col)]).cast("long").alias("id"), F.col(inside[held.index(text_col)]).alias("text"), "__flags")
-    sent = flagged.mapInArrow(_send(length, 2 * buckets), "bucket int, size long, pieces binary")
+    flagged = base.join(flags, "__key").select(*own, "__flags")
+    sent = flagged.mapInArrow(_send(length, 2 * buckets, held.index(id_col), held.index(text_col)), "bucket int, size long, pieces binary")
     found = sent.groupBy("bucket").applyInArrow(_settle(length), "id long, at int, windows int")
     found = found.unionByName(judged.where("lead < 0").select("id", "at", F.col("windows").cast("int").alias("windows")))
     found = found.groupBy("id").agg(F.collect_list(F.expr("shiftleft(cast(at as bigint), 32) + windows")).alias("__found")).select(F.col("id").cast("string").alias("__key"), "__found")
