@@ -156,31 +156,28 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
-def _best(k: int, qs: np.ndarray, qv: np.ndarray, ids: np.ndarray, x: np.ndarray, unit_x: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """The k rows of largest cosine for each query, exact scores, ties to the smaller id."""
+def _best(k: int, qs: np.ndarray, qv: np.ndarray, ids: np.ndarray, x: np.ndarray, unit_x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Query, row and exact score of the k rows of largest cosine for each query, and of all that tie with the last."""
     near = unit(qv) @ unit_x.T
     near[qs[:, None] == ids[None, :]] = -2
     # rows of a repeated id may stand before others, but only one of them counts
     few = min(k + len(ids) - len(np.unique(ids)), len(ids))
-    floor = -np.partition(-near, few - 1, axis=1)[:, few - 1] - 1e-12
-    out = []
-    for i in range(len(qs)):
-        at = np.flatnonzero((near[i] >= floor[i]) & (near[i] > -2))
-        exact = cosines(np.broadcast_to(qv[i], (len(at), qv.shape[1])), x[at])
-        best = np.lexsort((ids[at], -exact))
-        best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])][:k]
-        out.append((np.full(len(best), qs[i]), ids[at[best]], exact[best]))
-    return out
+    floor = np.partition(near, len(ids) - few, axis=1)[:, len(ids) - few] - 1e-12
+    q, r = np.nonzero((near >= floor[:, None]) & (near > -2))
+    return qs[q], ids[r], cosines(qv[q], x[r])
 
 
 def _near_table(out: list[tuple[np.ndarray, ...]], k: int) -> pa.Table:
-    """The k best of what the blocks of a part found for each query."""
+    """For each query the k best of what a part's cells found, ties to the smaller id, each id once."""
     if not out:
         return NEAR.empty_table()
     q, v, score = (np.concatenate(c) for c in zip(*out, strict=True))
-    order = np.lexsort((v, -score, q))
+    order = np.lexsort((-score, v, q))
     q, v, score = q[order], v[order], score[order]
-    order = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (score[1:] != score[:-1])) if len(q) else np.zeros(0, bool))
+    if len(q):
+        once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))
+        q, v, score = q[once], v[once], score[once]
+    order = np.lexsort((v, -score, q))
     q, v, score = q[order], v[order], score[order]
     keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return pa.Table.from_arrays([pa.array(q[keep]), pa.array(v[keep]), pa.array(score[keep])], schema=NEAR)
@@ -219,7 +216,7 @@ def _rank(k: int):
             unit_x = unit(x)
             for lo in range(a, b, 256):
                 q = who[lo : min(b, lo + 256)]
-                out += _best(k, qs[q], _matrix([qraw[i] for i in q.tolist()]), ids[own], x, unit_x)
+                out.append(_best(k, qs[q], _matrix([qraw[i] for i in q.tolist()]), ids[own], x, unit_x))
         return _near_table(out, k)
 
     return rank
@@ -236,7 +233,7 @@ def _scan(k: int):
         qs, qv, out = queries.column("id").to_numpy(), _matrix(queries.column("vector").to_pylist()), []
         unit_x = unit(x)
         for lo in range(0, len(qs), 256):
-            out += _best(k, qs[lo : lo + 256], qv[lo : lo + 256], ids, x, unit_x)
+            out.append(_best(k, qs[lo : lo + 256], qv[lo : lo + 256], ids, x, unit_x))
         return _near_table(out, k)
 
     return scan
@@ -249,7 +246,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     nor do null ids; vectors of different lengths are never compared. Of a repeated id, the row of largest cosine counts. Empty
     input: no rows. Other columns aren't read. Components of any size are taken; numbers of 32 bits are widened for the cosine.
     """
-    parts = 4 * default_parallelism(rows.sparkSession)
+    parts = default_parallelism(rows.sparkSession)
     kind = "array<float>" if all("float" in df.schema[vector_col].dataType.simpleString() for df in (rows, queries)) else "array<double>"
 
     def clean(df: DataFrame) -> DataFrame:
