@@ -134,6 +134,67 @@ r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
 
-_ALL = (op1_substring_dedup, op2_ngram_jaccard_join, op3_suffix_dedup, op4_nearest_neighbours, op5_packing, op6_lm_scoring, op7_hamming_top_k, op8_url_filters, op9_language_id, op10_source_mixing)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quantise import codebooks_digest, vector_codes
+
+    out, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def _op11_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT id, part, CAST(min(v) % 1000 AS INT) AS entry, CAST(min(v) // 1000 AS BIGINT) AS d FROM
+ (SELECT id, x.part, CAST(list_sum(list_transform(list_zip(x.ints, b.ints), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) * 1000 + b.entry AS v FROM x JOIN b{k} b USING (part)) GROUP BY id, part)"""
+
+    def renewed(k: int) -> str:
+        mean = f"SELECT part, entry, place, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (SELECT x.part, entry, place, CAST(sum(ints[place]) AS HUGEINT) AS s, count(*) AS n FROM x JOIN a{k - 1} USING (id, part), range(1, (SELECT max(len(ints)) FROM x) + 1) r(place) GROUP BY ALL)"
+        return f"""m{k} AS (SELECT part, entry, list(m ORDER BY place) AS ints FROM ({mean}) GROUP BY part, entry),
+b{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.ints, b.ints) AS ints FROM b{k - 1} b LEFT JOIN m{k} m USING (part, entry))"""
+
+    steps = ",\n".join(f"{nearest(k - 1)},\n{renewed(k)}" for k in range(1, rounds + 1))
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT id, CAST(part AS INT) AS part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS ints FROM kept, range({parts}) t(part)),
+b0 AS MATERIALIZED (SELECT part, CAST(id - 1 AS INT) AS entry, ints FROM x WHERE id <= {entries}),
+{steps},
+{nearest(rounds)},
+own AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id),
+digest AS (SELECT sha256(string_agg(array_to_string(ints, ','), ',' ORDER BY part, entry)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN own USING (id), digest"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS all_n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (coalesce(sizes.all_n, 0) + v) AS p, 1 + 1000000000 * (total + 1) // (langs.all_n + v) AS q
+ FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN sizes ON sizes.lang = g.lang AND sizes.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_parts AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = o.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = quality_scores(docs, labels, train=~F.col("held_out"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+_ALL = (op1_substring_dedup, op2_ngram_jaccard_join, op3_suffix_dedup, op4_nearest_neighbours, op5_packing, op6_lm_scoring, op7_hamming_top_k, op8_url_filters, op9_language_id, op10_source_mixing, op11_vector_codes, op12_source_divergence, op13_quality_classifier)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op7_hamming_top_k": OP7_SQL, "op8_url_filters": OP8_SQL, "op10_source_mixing": _mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_hamming_top_k": OP7_SQL, "op8_url_filters": OP8_SQL, "op10_source_mixing": _mix_sql(), "op11_vector_codes": _op11_sql(), "op12_source_divergence": OP12_SQL}
