@@ -82,41 +82,3 @@ def can_post(role: Column, is_creator: Column, access: Column) -> Column:
     """By the community's access type: everyone; the creator, admins and moderators; the creator and admins. Unknown roles aren't let in."""
     leads = is_creator | F.coalesce(role == "admin", F.lit(False))
     return F.when(access == "everyone", F.lit(True)).when(access == "moderators", leads | F.coalesce(role == "moderator", F.lit(False))).when(access == "creator", leads).otherwise(F.lit(False))
-
-
-def _rank(kind: Column, words: Column, at: Column) -> Column:
-    return F.struct(kind.alias("kind"), words.alias("words"), at.alias("at"), F.col("name").alias("name")).alias("rank")
-
-
-#: Names up to which the dictionary is broadcast.
-BROADCAST_NAMES = 100_000
-
-
-def detect_city(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, city, state): names marked ``first`` anywhere in the text, then whole one- to three-word names (fewer words
-    first, then the earliest), then spellings, then names inside words.
-
-    names is a table of name, city, state, variant and perhaps first. Whole names are looked up by an equi-join on the
-    text's n-grams; only texts without one are searched for names inside words. Null text: no city. Rows of an equal id share one answer.
-    """
-    if "first" not in names.columns:
-        names = names.withColumn("first", F.lit(False))
-    near = F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.filter(F.split(text, r"""[\s,.!?;:(){}'"\[\]-]+"""), lambda w: w != "")
-    base = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), words.alias("__words"))
-    empty = F.array().cast("array<struct<n:int,at:int,g:string>>")
-
-    def of(n: int) -> Column:
-        gram = lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("__words", i, n), " ").alias("g"))
-        return F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), gram)).otherwise(empty)
-
-    grams = F.flatten(F.array(of(1), of(2), of(3)))
-    exact = base.select("__id", F.explode(grams).alias("g")).where(F.length("g.g") >= 3).join(near, F.col("g.g") == F.col("name")).select("__id", _rank(F.lit(0), F.col("g.n"), F.col("g.at")), "city", "state")
-    exact = exact.groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"), F.min("rank").alias("rank"))
-    rest = base.join(exact.select(F.col("__id").alias("__x")), F.col("__id") == F.col("__x"), "left_anti")
-    inside = rest.join(near.where(F.col("variant") | (F.length("name") >= 5)), F.contains("__text", "name")).select("__id", _rank(F.when(F.col("variant"), 1).otherwise(2), F.lit(0), F.lit(0)), "city", "state")
-    always = base.join(near.where("first"), F.contains("__text", "name")).select("__id", _rank(F.lit(-1), F.lit(0), F.lit(0)), "city", "state")
-    found = exact.select("__id", "rank", "city", "state").unionByName(inside).unionByName(always)
-    found = found.groupBy("__id").agg(F.min_by("city", "rank").alias("city"), F.min_by("state", "rank").alias("state"))
-    return base.select("__id").join(found.withColumnRenamed("__id", "__f"), F.col("__id") == F.col("__f"), "left").select(F.col("__id").alias(id_col), "city", "state")

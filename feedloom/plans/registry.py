@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, replies, text
+from ..functions import dates, names, replies, text
 from ..operators import counters, dml
 from ..operators import relational as rel
-from ..sources.tables import CITIES, Tables, gazetteer, oracle, register
+from ..sources.tables import Tables, gazetteer, oracle, register
 from ..streaming import activity
 from . import chat, feeds, papers, social, threads
 
@@ -86,12 +86,13 @@ def src10_event_source(t):
     return activity.drained(stream, dml.scratch_folder(t.spark)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-_CITY_ROWS = ", ".join(f"('{n}', '{c}', '{s}', {str(n != c).lower()})" for c, s, o in CITIES for n in (c, *o))
-
-
-@query(f"SELECT * FROM (VALUES {_CITY_ROWS}) g(name, city, state, variant)")
+@query(
+    "SELECT lower(name) AS name, lower(n_name) AS city, r_name AS state, n_name LIKE '% %' AS variant, n_nationkey * 1000 + k AS \"at\" FROM (SELECT *, n_name AS name, 0 AS k FROM nation UNION ALL SELECT *, replace(n_name, ' ', ''), 1 FROM nation WHERE n_name LIKE '% %') JOIN region ON n_regionkey = r_regionkey"
+)
 def src12_gazetteer(t):
-    return gazetteer(t.spark).drop("first")
+    spelt = F.when(F.contains("n_name", F.lit(" ")), F.array(F.replace("n_name", F.lit(" "), F.lit(""))))
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("city"), F.col("r_name").alias("state"), spelt.alias("spellings"), F.col("n_nationkey").alias("place"))
+    return gazetteer(t.spark, table=places).drop("first")
 
 
 # ---- changes
@@ -445,10 +446,9 @@ def j17_w4_ring(t):
 
 @query("SELECT id, topic FROM papers, (SELECT DISTINCT category FROM posts) c WHERE contains(lower(c.category), topic)")
 def j18_containment(t):
-    # only different topics meet different categories; papers come back by an equi-join
-    c, p = t.posts.select(F.lower("category").alias("c")).distinct(), t.papers.select(F.col("topic").alias("k")).distinct()
-    met = p.join(c, F.contains("c", F.col("k")))
-    return t.papers.join(met, F.col("topic") == F.col("k")).select("id", "topic")
+    # only different topics meet different categories, in one pass over those; papers come back by an equi-join
+    met = names.contained(t.posts.select(F.lower("category").alias("c")).distinct(), t.papers.select("topic").distinct(), "c", "topic")
+    return t.papers.join(met, F.col("topic") == F.col("name")).select("id", "topic")
 
 
 @query("SELECT cp.post_id, p.authorId, c.name FROM community_posts cp LEFT JOIN posts p ON p.id = cp.post_id LEFT JOIN communities c ON c.id = cp.community_id ORDER BY cp.date_posted DESC, cp.post_id DESC LIMIT 10")
@@ -779,17 +779,17 @@ def udf6_media_url(t):
 
 #: The tables' prose is invented, and so are the places it is searched for: a place, its state, other spellings.
 PLACES = (("thershtion", "North", ("ertion",)), ("onment", "South", ()), ("oiment", "West", ("la elle",)), ("on the it", "East", ()), ("eauou", "West", ()), ("hested", "North", ("shanst",)))
-_PLACE_ROWS = ", ".join(f"('{n}', '{c}', '{s}', {str(n != c).lower()})" for c, s, o in PLACES for n in (c, *o))
+_PLACE_ROWS = ", ".join(f"('{n}', '{c}', '{s}', {str(bool(o)).lower()}, {1000 * k + j})" for k, (c, s, o) in enumerate(PLACES) for j, n in enumerate((c, *o)))
 
 
 @query(
     "SELECT doc_id, arg_min(city, r) AS city, arg_min(state, r) AS state FROM (SELECT d.doc_id, f.city, f.state, f.r FROM d LEFT JOIN f ON f.doc_id = d.doc_id) GROUP BY doc_id",
-    rf"""g AS (SELECT * FROM (VALUES {_PLACE_ROWS}) g(name, city, state, variant)), d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s,.!?;:(){{}}''"\[\]-]+'), lambda w: w <> '') AS w FROM documents),
+    rf"""g AS (SELECT * FROM (VALUES {_PLACE_ROWS}) g(name, city, state, variant, place)), d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s,.!?;:(){{}}''"\[\]-]+'), lambda w: w <> '') AS w FROM documents),
 k AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
-f AS (SELECT doc_id, city, state, (0, len(string_split(name, ' ')), instr(s, ' ' || name || ' '), name) AS r FROM k JOIN g ON contains(s, ' ' || name || ' ') AND length(name) >= 3 UNION ALL SELECT doc_id, city, state, (CASE WHEN variant THEN 1 ELSE 2 END, 0, 0, name) FROM d JOIN g ON contains(t, name) AND (variant OR length(name) >= 5))""",
+f AS (SELECT doc_id, city, state, (0, len(string_split(name, ' ')), instr(s, ' ' || name || ' '), place) AS r FROM k JOIN g ON contains(s, ' ' || name || ' ') AND length(name) >= 3 UNION ALL SELECT doc_id, city, state, (CASE WHEN variant THEN 1 ELSE 2 END, 0, 0, place) FROM d JOIN g ON contains(t, name) AND (variant OR length(name) >= 5))""",
 )
 def udf1_city(t):
-    return text.detect_city(t.documents, gazetteer(t.spark, PLACES), "doc_id", "text")
+    return names.detect_city(t.documents, gazetteer(t.spark, PLACES), "doc_id", "text")
 
 
 @query("SELECT id, CASE postCount % 4 WHEN 0 THEN concat_ws(',', topic, second, language, intent, focus) WHEN 1 THEN topic ELSE 'General' END AS categories FROM papers")

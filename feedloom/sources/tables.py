@@ -127,11 +127,12 @@ CITIES = (("bengaluru", "Karnataka", ("bangalore",)), ("mysuru", "Karnataka", ("
 FIRST_CITY = "belagavi"
 
 
-def gazetteer(spark: SparkSession, cities: tuple = CITIES, path: str | None = None) -> DataFrame:
-    """(name, city, state, variant, first): every spelling of every city; from a Parquet table of (city, state, spellings) where a path is given."""
-    if path is not None:
-        rows = spark.read.parquet(path).select(F.lower("city").alias("city"), "state", F.coalesce("spellings", F.array()).alias("o"))
+def gazetteer(spark: SparkSession, cities: tuple = CITIES, table: DataFrame | None = None) -> DataFrame:
+    """(name, city, state, variant, first, at): every spelling of every city in the table's order, the city's own name first; from a
+    table of (city, state, spellings, place) where one is given. A name is a variant if its city has several spellings."""
+    if table is not None:
+        rows = table.select(F.lower("city").alias("city"), "state", F.coalesce("spellings", F.array()).alias("o"), F.col("place").cast("long").alias("place"))
     else:
-        rows = spark.createDataFrame([(c, s, list(o)) for c, s, o in cities], "city string, state string, o array<string>")
-    names = rows.select("city", "state", F.explode(F.concat(F.array("city"), F.transform("o", F.lower))).alias("name"))
-    return names.select("name", "city", "state", (F.col("name") != F.col("city")).alias("variant"), (F.col("city") == FIRST_CITY).alias("first"))
+        rows = spark.createDataFrame([(c, s, list(o), k) for k, (c, s, o) in enumerate(cities)], "city string, state string, o array<string>, place long")
+    names = rows.select("city", "state", (F.size("o") > 0).alias("variant"), "place", F.posexplode(F.concat(F.array("city"), F.transform("o", F.lower))).alias("k", "name"))
+    return names.select("name", "city", "state", "variant", (F.col("city") == FIRST_CITY).alias("first"), (F.col("place") * 1000 + F.col("k")).alias("at"))
