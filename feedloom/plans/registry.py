@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, replies, text
+from ..functions import dates, fuzzy, names, replies, text
 from ..operators import counters, dml
 from ..operators import relational as rel
 from ..sources.tables import Tables, gazetteer, oracle, register
@@ -771,6 +771,18 @@ def udf5_fuzzy(t):
     return t.part.where(text.similar(F.col("p_name"), F.lit("widgt"))).select("p_partkey")
 
 
+WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark)"
+
+
+@query(
+    "SELECT term, name, CAST(min(levenshtein(term, part)) AS INT) AS edits FROM (SELECT t.word AS term, n.word AS name, substr(n.word, i, len) AS part FROM w t JOIN w n ON length(n.word) >= length(t.word) - k(t.word), LATERAL (SELECT unnest(range(1, length(n.word) + 1)) AS i), LATERAL (SELECT unnest(range(greatest(length(t.word) - k(t.word), 0), length(t.word) + k(t.word) + 1)) AS len)) WHERE levenshtein(term, part) <= floor(0.3 * length(term)) GROUP BY term, name".replace("k(t.word)", "CAST(floor(0.3 * length(t.word)) AS BIGINT)"),
+    WORDS,
+)
+def udf5_fuzzy_terms(t):
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).distinct()
+    return fuzzy.fuzzy_matches(words, words, "word", "word")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'media/images/' WHEN p_size % 3 = 1 THEN 'media/videos/' ELSE 'media/files/' END || p_name AS url FROM part")
 def udf6_media_url(t):
     kind = F.when(F.col("p_size") % 3 == 0, "image").when(F.col("p_size") % 3 == 1, "video").otherwise("pdf")
