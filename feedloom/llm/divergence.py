@@ -233,7 +233,9 @@ def source_divergence(docs: DataFrame, least: int = 3, top: int = 200, text_col:
     """
     text, lang, source = (F.coalesce(column(c).cast("string"), F.lit("")).cast("binary") for c in (text_col, lang_col, source_col))
     plain = docs.select(text.alias("text"), lang.alias("lang"), source.alias("source"), column(id_col).cast("long").alias("document"))
-    records = plain.mapInArrow(_count, _RECORD).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    # sorted first by a hash of language and term, one machine word, so that most comparisons never look at the strings
+    records = plain.mapInArrow(_count, _RECORD).repartition("lang", "term").withColumn("__key", F.xxhash64("lang", "term"))
+    records = records.sortWithinPartitions("__key", "lang", "term", "source", "document").drop("__key", "document")
     rows = written(records.mapInArrow(_runs(least), "lang binary, term binary, source binary, run long, begins long, n long, total long"))
 
     groups = docs.select(lang.alias("lang"), source.alias("source")).distinct()
