@@ -207,23 +207,26 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | float:
     """The model, or the constant score where no two labels differ (0.5 without any).
 
-    Of the labelled rows it takes the first ``sample`` in seeded hash order whose texts have ``sample_bytes`` together; one that does
-    not fit is passed over. What is fitted does not depend on partitions.
+    Of the different (id, text, label) it takes the first ``sample`` in seeded hash order whose texts have ``sample_bytes`` together; one
+    that does not fit is passed over. What is fitted does not depend on partitions.
     """
     right = labels.select(column(id_col).alias("__id"), column(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     text = F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary")
-    both = docs.select(column(id_col).alias("__doc"), text.alias("text")).join(right, F.col("__doc") == F.col("__id"))
-    order = [F.xxhash64("__doc", F.lit(SEED)), F.col("__doc"), F.xxhash64("text"), F.col("label")]
-    some = written(both.orderBy(*order).limit(sample).select(F.monotonically_increasing_id().alias("place"), "label", "text"))
-    sizes = some.select("place", "label", F.octet_length("text").alias("size")).orderBy("place").collect()
-    left, chosen = sample_bytes, []
-    for r in sizes:
+    rows = docs.select(column(id_col).alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    # texts stay where they are: hashes and sizes meet the labels, and the sample, at most that many rows, goes to the texts
+    marks = rows.select("doc", "digest", F.octet_length("text").alias("size")).join(right, F.col("doc") == F.col("__id")).dropDuplicates(["doc", "digest", "label"])
+    order = [F.xxhash64("doc", F.lit(SEED)), F.col("doc"), F.col("digest"), F.col("label")]
+    sizes = written(marks.select("doc", "digest", "size", "label").orderBy(*order).limit(sample).withColumn("place", F.monotonically_increasing_id()))
+    left, chosen = sample_bytes, {}
+    for r in sizes.orderBy("place").collect():
         if r["size"] <= left:
             left -= r["size"]
-            chosen.append(r["place"])
-    if len({r["label"] for r in sizes if r["place"] in set(chosen)}) < 2:
-        return float(np.mean([r["label"] for r in sizes])) if sizes else 0.5
-    rows = some.where(F.col("place").isin(chosen)).repartition(max(2, len(chosen) // 128), "place").mapInArrow(_bags, "place long, label int, bag binary").collect()
+            chosen[r["place"]] = r["label"]
+    if len(set(chosen.values())) < 2:
+        return float(next(iter(chosen.values()), 0.5))
+    some = sizes.where(F.col("place").isin(list(chosen))).withColumnRenamed("digest", "__digest").withColumnRenamed("doc", "__doc")
+    some = rows.join(F.broadcast(some), (F.col("doc") == F.col("__doc")) & (F.col("digest") == F.col("__digest"))).select("place", "label", "text").dropDuplicates(["place"])
+    rows = some.mapInArrow(_bags, "place long, label int, bag binary").collect()
     rows.sort(key=lambda r: r["place"])
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["label"] for r in rows], np.float64))
 
@@ -248,7 +251,7 @@ def _score(at: int, names: list[str], model: Model | float):
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs with ``score``, the estimated chance (0 to 1) that a document's label is 1; the text alone decides it.
 
-    Learns from the rows where ``train`` holds (all by default) that have a label of 0 or 1; several labels of an id each count.
+    Learns from the rows where ``train`` holds (all by default) that have a label of 0 or 1; several labels of an id each count, a repeated one once.
     A null text counts as empty; empty and blank texts are one passage without words and score as the model says. Without
     labels every score is 0.5, with one kind of label it is that label. Bytes that are no UTF-8 are letters. Repeated rows are each
     scored; an empty table has no rows. An input column named score (in any case) is replaced.
