@@ -11,7 +11,7 @@ from ..functions import dates, fuzzy, names, replies, text
 from ..operators import counters, dml
 from ..operators import relational as rel
 from ..sources.tables import Tables, gazetteer, oracle, register
-from ..streaming import activity
+from ..streaming import activity, state
 from . import chat, feeds, papers, social, threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1032,10 +1032,10 @@ def st1_sessions(t):
     return activity.sessions(t.events, "user_id", "ts")
 
 
-@query("SELECT user_id, CAST(sum(CASE WHEN event_type IN ('click', 'signup') THEN 1 ELSE -1 END) AS BIGINT) AS open, sum(CASE WHEN event_type IN ('click', 'signup') THEN 1 ELSE -1 END) > 0 AS online FROM events WHERE event_type IN ('click', 'signup', 'view', 'error') GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS key, bool_or(kind IN ('click', 'signup')) AS online FROM (SELECT user_id, event_id % 3 AS socket, arg_max(event_type, (epoch_ms(ts), event_id)) AS kind FROM events WHERE event_type IN ('click', 'signup', 'view', 'error') GROUP BY 1, 2) GROUP BY user_id")
 def st2_presence(t):
-    e = t.events.where(F.col("event_type").isin("click", "signup", "view", "error"))
-    return activity.presence(e, "user_id", F.when(F.col("event_type").isin("click", "signup"), 1).otherwise(-1))
+    e = t.events.where(F.col("event_type").isin("click", "signup", "view", "error")).withColumn("socket", F.col("event_id") % 3)
+    return state.online(e, "user_id", "socket", F.col("event_type").isin("click", "signup"), "ts", "event_id")
 
 
 @query("SELECT id, isRead OR (sentAt <= roomId * 1000 + 3 AND senderId <> 'user') AS isRead FROM messages")
@@ -1044,22 +1044,24 @@ def st3_read_receipts(t):
     return activity.read_receipts(t.messages, entered).select("id", "isRead")
 
 
-@query("SELECT e.event_id, (SELECT arg_max(o.event_type, (o.ts, o.event_id)) FROM events o WHERE o.user_id = e.user_id AND o.event_type IN ('view', 'error') AND (o.ts, o.event_id) < (e.ts, e.event_id)) IS NOT DISTINCT FROM 'view' AS asRead FROM events e WHERE e.event_type = 'click'")
+@query("SELECT e.event_id, (SELECT arg_max(o.event_type, (epoch_ms(o.ts), o.event_id)) FROM events o WHERE o.user_id = e.user_id AND o.event_type IN ('view', 'error') AND (epoch_ms(o.ts), o.event_id) < (epoch_ms(e.ts), e.event_id)) IS NOT DISTINCT FROM 'view' AS asRead FROM events e WHERE e.event_type = 'click'")
 def st4_delivered_as_read(t):
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(F.col("event_type").isin("view", "error"), F.col("event_type")), ignorenulls=True).over(by)
-    return t.events.withColumn("state", state).where("event_type = 'click'").select("event_id", F.coalesce(F.col("state") == "view", F.lit(False)).alias("asRead"))
+    turns = t.events.where("event_type IN ('view', 'error')")
+    out = state.delivered_as_read(t.events.where("event_type = 'click'"), turns, F.col("event_type") == "view", "user_id", "user_id", "user_id", "ts", "event_id")
+    return out.select("event_id", "asRead")
 
 
-@query("SELECT user_id, k, event_type FROM (SELECT user_id, event_id % 5 AS k, CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(event_type, event_id) END AS event_type FROM events GROUP BY 1, 2) WHERE event_type IS NOT NULL")
+@query("SELECT CAST(user_id AS VARCHAR) AS key, CAST(k AS VARCHAR) AS member, value FROM (SELECT user_id, event_id % 5 AS k, arg_max(event_type, (epoch_ms(ts), event_id)) AS value FROM events GROUP BY 1, 2) WHERE value <> 'error'")
 def st5_last_value(t):
-    e = t.events.select("user_id", (F.col("event_id") % 5).alias("k"), "event_id", F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"))
-    return activity.last_value(e, ["user_id", "k"], "event_type", "event_id")
+    e = t.events.withColumn("k", F.col("event_id") % 5)
+    return state.current(e, ["user_id"], "k", F.nullif(F.col("event_type"), F.lit("error")), "ts", "event_id")
 
 
-@query("SELECT user_id, type, sender_id, coalesce(reference_id, -1) AS ref, max(id) AS id FROM notifications GROUP BY ALL")
+@query("SELECT CAST(user_id AS VARCHAR) AS key, type || ':' || sender_id || ':' || coalesce(CAST(reference_id AS VARCHAR), '-') AS member, CAST(max_by(id, (epoch_ms(createdAt), id)) AS VARCHAR) AS value FROM notifications GROUP BY 1, 2 HAVING max_by(id, (epoch_ms(createdAt), id)) % 6 <> 5")
 def st6_notification_dedupe(t):
-    return t.notifications.groupBy("user_id", "type", "sender_id", F.coalesce("reference_id", F.lit(-1)).alias("ref")).agg(F.max("id").alias("id"))
+    # every sixth event takes its notification back
+    n = t.notifications.withColumn("what", F.concat_ws(":", "type", "sender_id", F.coalesce(F.col("reference_id").cast("string"), F.lit("-"))))
+    return state.current(n, ["user_id"], "what", F.when(F.col("id") % 6 != 5, F.col("id")), "createdAt", "id")
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT userId, postId FROM post_views)")

@@ -37,11 +37,6 @@ def sessions(df: DataFrame, key: str, time: str, gap: str = "20 minutes", late:
     return _marked(df, time, late).groupBy(w, F.col(key)).agg(F.count("*").alias("events")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def presence(df: DataFrame, user: str, delta: Any) -> DataFrame:
-    """(user, open, online): connections minus disconnections; online while any is open."""
-    return df.groupBy(user).agg(F.sum(delta).alias("open")).withColumn("online", F.col("open") > 0)
-
-
 def last_value(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """The last value of each key by the order's columns, which should be total; a null removes it."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last")).select(*keys, F.col("__last")[value].alias(value)).where(F.col(value).isNotNull())
