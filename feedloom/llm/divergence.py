@@ -26,7 +26,7 @@ from .common import column, written
 #: Terms of one document count to this many bytes at a time.
 PIECE = 1 << 20
 #: (language, source, term) entries of a slice.
-ENTRIES = 500_000
+ENTRIES = 1_000_000
 #: Pairs of sources that are looked at together, and sums that are held in a task.
 PAIRS, SUMS = 1 << 20, 200_000
 
@@ -206,8 +206,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-#: Values with no bound on counts: 10^9 times a count can pass 64 bits.
-_WIDE = "CAST(1 + CAST(CAST({n} + 1 AS DECIMAL(20, 0)) * CAST(1000000000 AS DECIMAL(10, 0)) AS DECIMAL(38, 0)) div CAST({all} + v AS DECIMAL(20, 0)) AS BIGINT)"
+#: 10^9 times a count can pass 64 bits; below that, machine words do.
+_WIDE = "1 + CASE WHEN {n} < 9000000000 THEN ({n} + 1) * 1000000000L div ({all} + v) ELSE CAST(CAST({n} + 1 AS DECIMAL(20, 0)) * CAST(1000000000 AS DECIMAL(10, 0)) AS DECIMAL(38, 0)) div CAST({all} + v AS DECIMAL(20, 0)) END"
 
 
 def share(n: str, all_: str) -> F.Column:

@@ -232,3 +232,9 @@ def test_passages_by_hand():
     shapes = x[:, -quality.SHAPES :]
     assert np.allclose(shapes[0, :3], [1 / 4, 3 / 4, 2 / 4]) and np.allclose(shapes[1, :3], [31 / 32, 1 / 32, 1])
     assert [b"".join(quality._blocks(t)) == t for t in (b"", b"x" * 200_000, b"ab " * 60_000)] == [True] * 3
+
+
+def test_shares_of_large_counts(spark):
+    rows = [(n, n * 3 + 5, 7) for n in (0, 8_999_999_998, 8_999_999_999, 9_000_000_000, 10**15)]
+    got = spark.createDataFrame(rows, "n long, whole long, v long").select("n", "whole", divergence.share("n", "whole").alias("p")).collect()
+    assert all(x["p"] == 1 + 10**9 * (x["n"] + 1) // (x["whole"] + 7) for x in got) and len(got) == 5
