@@ -21,7 +21,7 @@ def delivery_minute(text: Column) -> Column:
     """Minutes after midnight of a time like 1:05 PM; null for anything else."""
     h, m, half = (F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})\s*([AaPp])[Mm]\s*$", k) for k in (1, 2, 3))
     hour, minute = (F.nullif(x, F.lit("")).cast("int") for x in (h, m))
-    return F.when(half != "", hour % 12 * 60 + minute + F.when(F.upper(half) == "P", 720).otherwise(0))
+    return F.when((half != "") & hour.between(1, 12) & (minute < 60), hour % 12 * 60 + minute + F.when(F.upper(half) == "P", 720).otherwise(0))
 
 
 def next_delivery(text: Column, now_local: Column) -> Column:

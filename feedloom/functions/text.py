@@ -32,12 +32,12 @@ def description_keywords(text: Column) -> Column:
 def keyword_matrix(texts: DataFrame, text_col: str, least: int = 3) -> DataFrame:
     """(bucket, score, word): ten points for every use of a keyword, by which it has its bucket; hashtags and mentions once each, with fixed scores."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = texts.select(F.explode(tokens(F.col(text_col), least)).alias("word")).groupBy("word").agg((10 * F.count("*")).alias("score"))
-    out = words.select(F.col("score").cast("string").alias("bucket"), "score", "word")
-    for bucket, mark, score in MARKED:
-        marked = texts.select(F.explode(F.regexp_extract_all(low, F.lit(f"({mark}[a-z0-9_]+)"), F.lit(1))).alias("word")).distinct()
-        out = out.unionByName(marked.select(F.lit(bucket).alias("bucket"), F.lit(score).cast("long").alias("score"), "word"))
-    return out
+    said = lambda words, kind: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    marked = [said(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({mark}[a-z0-9_]+)"), F.lit(1))), bucket) for bucket, mark, _ in MARKED]
+    uses = texts.select(F.explode(F.concat(said(tokens(F.col(text_col), least), ""), *marked)).alias("x")).groupBy("x.kind", "x.word").agg(F.count("*").alias("n"))
+    fixed = F.coalesce(*[F.when(F.col("kind") == bucket, F.lit(score).cast("long")) for bucket, _, score in MARKED])
+    out = uses.select("kind", F.coalesce(fixed, 10 * F.col("n")).alias("score"), "word")
+    return out.select(F.when(F.col("kind") == "", F.col("score").cast("string")).otherwise(F.col("kind")).alias("bucket"), "score", "word")
 
 
 def share_found(text: Column, words: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -97,12 +96,6 @@ def transaction(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFram
     return committed(spark, folder, list(tables))
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of the session, spark.checkpoint.dir; where that is unset (tests) a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='feedloom-')}/{uuid.uuid4().hex}"
-
-
 def committed(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of the last transaction in the folder."""
     version = spark.read.text(f"{folder}/current").first()[0]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fuzzy, names, replies, text
-from ..operators import counters, dml
+from ..operators import buckets, closure, counters, dml
 from ..operators import relational as rel
+from ..sources.shared import new_folder
 from ..sources.tables import Tables, gazetteer, oracle, register
 from ..streaming import activity, state
 from . import chat, feeds, papers, social, threads
@@ -83,7 +85,7 @@ def src9_describe(t):
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
 def src10_event_source(t):
     stream = activity.event_stream(t.spark, t.sf_dir, t.events.schema, names="events.parquet")
-    return activity.drained(stream, dml.scratch_folder(t.spark)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return activity.drained(stream, new_folder(t.spark)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 @query(
@@ -115,12 +117,17 @@ def snk3_upsert_columns(t):
     ed = t.editions.select("paperId", "paperDate", "status", "p1")
     new = t.editions.where("paperDate = DATE '2024-01-15' AND isRead").select(*ed.columns).withColumns({"status": F.lit("failed"), "p1": F.lit(-5).cast("long")})
     new = new.unionByName(t.part.select(F.col("p_partkey").alias("paperId"), F.lit("2024-02-01").cast("date").alias("paperDate"), F.lit("failed").alias("status"), F.lit(-1).cast("long").alias("p1")))
-    return dml.upsert(ed, new, ["paperId", "paperDate"], update=["status"]).withColumn("paperDate", F.col("paperDate").cast("string"))
+    folder, key = new_folder(t.spark), ["paperId", "paperDate"]
+    buckets.upsert(ed, folder, ed.schema, key, buckets=16)
+    buckets.upsert(new, folder, ed.schema, key, update=["status"], buckets=16)
+    return buckets.table(t.spark, folder, ed.schema).withColumn("paperDate", F.col("paperDate").cast("string"))
 
 
 @query("SELECT userId, postId, interactionType, max(updatedAt) AS updatedAt FROM interactions GROUP BY ALL")
 def snk4_upsert_latest(t):
-    return t.interactions.groupBy("userId", "postId", "interactionType").agg(F.max("updatedAt").alias("updatedAt"))
+    i = t.interactions.select("userId", "postId", "interactionType", "updatedAt")
+    old = i.where(F.dayofmonth("updatedAt") <= 15).groupBy("userId", "postId", "interactionType").agg(F.min("updatedAt").alias("updatedAt"))
+    return dml.upsert(old, i, ["userId", "postId", "interactionType"], order=[F.desc("updatedAt")])
 
 
 @query("SELECT DISTINCT userId, postId FROM post_views")
@@ -149,11 +156,23 @@ def snk9_counters(t):
     return counters.post_counters(t.interactions)
 
 
-@query("SELECT 'posts' AS name, count(*) AS n FROM posts WHERE NOT inCommunity UNION ALL SELECT 'likes', count(*) FROM post_likes WHERE postId NOT IN (SELECT id FROM posts WHERE inCommunity) UNION ALL SELECT 'comments', count(*) FROM comments WHERE postId NOT IN (SELECT id FROM posts WHERE inCommunity)")
+@query("SELECT postId, CAST(count(*) FILTER (WHERE interactionType = 'read') AS BIGINT) AS views, CAST(count(*) FILTER (WHERE interactionType = 'liked') AS BIGINT) AS likes, CAST(count(*) FILTER (WHERE interactionType = 'saved') AS BIGINT) AS bookmarks, CAST(count(*) FILTER (WHERE interactionType = 'shared') AS BIGINT) AS shared FROM interactions GROUP BY postId HAVING count(*) FILTER (WHERE interactionType IN ('read', 'liked', 'saved', 'shared')) > 0")
+def snk9_maintained(t):
+    folder, posts = new_folder(t.spark), t.orders.count()
+    schema = t.spark.createDataFrame([], counters.POST_SUMS).schema
+    stream = activity.event_stream(t.spark, t.sf_dir, t.events.schema, names="events.parquet")
+    kinds = {"view": "read", "click": "liked", "signup": "saved", "purchase": "shared"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()])
+    deltas = lambda df: counters.post_deltas(df.select((F.col("event_id") % posts).alias("postId"), kind.alias("interactionType")), F.lit(1))
+    counters.maintained(stream, deltas, f"{folder}/sums", schema, ["postId"], f"{folder}/state", in_buckets=16, once=True).awaitTermination()
+    return buckets.table(t.spark, f"{folder}/sums", schema)
+
+
+@query("SELECT 'posts' AS name, count(*) AS n FROM posts WHERE NOT inCommunity UNION ALL SELECT 'likes', count(*) FROM post_likes WHERE postId NOT IN (SELECT id FROM posts WHERE inCommunity) UNION ALL SELECT 'saves', count(*) FROM post_saved WHERE postId NOT IN (SELECT id FROM posts WHERE inCommunity) UNION ALL SELECT 'comments', count(*) FROM comments WHERE postId NOT IN (SELECT id FROM posts WHERE inCommunity) UNION ALL SELECT 'relations', count(*) FROM post_relations WHERE ancestorId NOT IN (SELECT id FROM posts WHERE inCommunity) AND descendantId NOT IN (SELECT id FROM posts WHERE inCommunity) UNION ALL SELECT 'users', CAST(sum(posts) - (SELECT count(*) FROM posts WHERE inCommunity AND authorId IN (SELECT id FROM users)) AS BIGINT) FROM users")
 def snk10_cascade(t):
-    out = dml.cascade(t.posts, F.col("inCommunity"), "id", {"likes": (t.post_likes, ["postId"]), "comments": (t.comments, ["postId"])})
-    parts = [out[k].agg(F.count("*").alias("n")).select(F.lit("posts" if k == "parents" else k).alias("name"), "n") for k in out]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = closure.delete_posts(t.posts, F.col("inCommunity"), t.users, t.post_relations, {"likes": t.post_likes, "saves": t.post_saved, "comments": t.comments})
+    n = lambda name: (F.sum("posts") if name == "users" else F.count("*")).alias("n")
+    return reduce(DataFrame.unionByName, [df.agg(n(name)).select(F.lit(name).alias("name"), "n") for name, df in out.items()])
 
 
 @query("SELECT id, deleted OR (roomId = 2 AND senderId = 'user') AS deleted, senderDeleted OR roomId = 4 AS senderDeleted FROM messages")
@@ -181,16 +200,16 @@ def snk14_schema_change(t):
 @query("SELECT 'memberships' AS name, count(*) AS n, count(*) FILTER (WHERE role = 'moderator') AS moderators FROM memberships WHERE status <> 'banned' UNION ALL SELECT 'communities', count(*), count(*) FILTER (WHERE post_access_type = 'moderators') FROM communities")
 def snk15_transaction(t):
     new = {"memberships": dml.delete_where(t.memberships, F.col("status") == "banned"), "communities": t.communities}
-    held = dml.transaction(new, dml.scratch_folder(t.spark))
+    held = dml.transaction(new, new_folder(t.spark))
     m = held["memberships"].agg(F.count("*").alias("n"), F.count_if(F.col("role") == "moderator").alias("moderators"))
     c = held["communities"].agg(F.count("*").alias("n"), F.count_if(F.col("post_access_type") == "moderators").alias("moderators"))
     return m.select(F.lit("memberships").alias("name"), "*").unionByName(c.select(F.lit("communities").alias("name"), "*"))
 
 
-@query("SELECT m.id, roomId, senderId, count(*) OVER (PARTITION BY roomId, senderId) AS fan FROM messages m")
+@query("SELECT m.id, m.roomId, m.senderId, s.sent FROM messages m LEFT JOIN (SELECT senderId, count(*) AS sent FROM messages WHERE NOT deleted GROUP BY senderId) s ON s.senderId = m.senderId")
 def snk16_fan_out_rows(t):
-    n = t.messages.groupBy("roomId", "senderId").agg(F.count("*").alias("fan"))
-    return t.messages.join(n, ["roomId", "senderId"]).select("id", "roomId", "senderId", "fan")
+    senders = t.messages.where("not deleted").groupBy("senderId").agg(F.count("*").alias("sent"))
+    return activity.with_sender(t.messages, senders).select("id", "roomId", "senderId", "sent")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type HAVING count(*) % 2 = 1")
@@ -434,6 +453,11 @@ def j15_closure_children(t):
     return t.comments.where("parentId is not null").select(F.col("parentId").alias("ancestorId"), F.col("id").alias("descendantId"), F.lit(1).alias("depth"))
 
 
+@query("SELECT ancestorId, descendantId, depth FROM (WITH RECURSIVE c AS (SELECT parentId AS ancestorId, id AS descendantId, 1 AS depth FROM post_parents UNION ALL SELECT p.parentId, c.descendantId, c.depth + 1 FROM c JOIN post_parents p ON p.id = c.ancestorId) SELECT * FROM c)")
+def j15_closure(t):
+    return closure.closure(t.post_parents)
+
+
 @query("SELECT roomId, id FROM messages QUALIFY row_number() OVER (PARTITION BY roomId ORDER BY sentAt DESC, id DESC) = 1")
 def j16_w1_latest_per_group(t):
     return rel.latest(t.messages, ["roomId"], F.desc("sentAt"), F.desc("id")).select("roomId", "id")
@@ -959,12 +983,12 @@ def q14_o15_message_page(t):
 
 @query(
     "SELECT CAST(score AS VARCHAR) AS bucket, score, word FROM (SELECT word, 10 * count(*) AS score FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: length(w) >= 3 AND w NOT IN ('and', 'are', 'for', 'from', 'has', 'its', 'that', 'the', 'this', 'was', 'were', 'will', 'with'))) AS word FROM d) GROUP BY word) UNION ALL SELECT DISTINCT 'hashtags', 100, unnest(regexp_extract_all(lower(text), '(#[a-z0-9_]+)', 1)) FROM d UNION ALL SELECT DISTINCT 'mentions', 80, unnest(regexp_extract_all(lower(text), '(@[a-z0-9_]+)', 1)) FROM d",
-    """l AS (SELECT postId, interactionType FROM interactions WHERE userId = 7 ORDER BY updatedAt DESC, id DESC LIMIT 200), ids AS (SELECT postId FROM l WHERE interactionType IN ('liked', 'saved', 'read') UNION SELECT descendantId FROM post_relations JOIN l ON ancestorId = postId WHERE depth = 1 AND interactionType IN ('saved', 'read')), d AS (SELECT * FROM documents WHERE doc_id IN (SELECT postId FROM ids))""",
+    """l AS (SELECT postId, interactionType FROM interactions WHERE userId = 7 ORDER BY updatedAt DESC, id DESC LIMIT 200), ids AS (SELECT postId FROM l WHERE interactionType IN ('recommended', 'commented', 'liked', 'saved', 'read') UNION SELECT descendantId FROM post_relations JOIN l ON ancestorId = postId WHERE depth = 1 AND interactionType IN ('recommended', 'saved', 'read')), d AS (SELECT * FROM documents WHERE doc_id IN (SELECT postId FROM ids))""",
 )
 def q15_udf2_keyword_matrix(t):
     last = t.interactions.where("userId = 7").orderBy(F.desc("updatedAt"), F.desc("id")).limit(200).select("postId", "interactionType")
-    below = t.post_relations.where("depth = 1").join(last.where("interactionType IN ('saved', 'read')"), F.col("ancestorId") == F.col("postId")).select(F.col("descendantId").alias("postId"))
-    ids = last.where("interactionType IN ('liked', 'saved', 'read')").select("postId").unionByName(below).distinct()
+    below = t.post_relations.where("depth = 1").join(last.where("interactionType IN ('recommended', 'saved', 'read')"), F.col("ancestorId") == F.col("postId")).select(F.col("descendantId").alias("postId"))
+    ids = last.where("interactionType IN ('recommended', 'commented', 'liked', 'saved', 'read')").select("postId").unionByName(below).distinct()
     return text.keyword_matrix(t.documents.join(ids, F.col("doc_id") == F.col("postId"), "left_semi"), "text")
 
 

@@ -27,7 +27,7 @@ VIEWS: dict[str, str] = {
  FROM {orders} LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS views, count(*) AS likes, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS comments,
  count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS shared, count(CASE WHEN l_linenumber > 5 THEN 1 END) AS bookmarks FROM {lineitem} GROUP BY l_orderkey) c ON c.l_orderkey = o_orderkey""",
     "interactions": """SELECT event_id AS id, user_id AS userId, event_id % (SELECT count(*) FROM {orders}) AS postId,
- CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'liked' WHEN 'signup' THEN 'saved' WHEN 'purchase' THEN 'shared' ELSE 'reported' END AS interactionType, ts AS updatedAt FROM {events}""",
+ CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'liked' WHEN 'signup' THEN 'saved' WHEN 'purchase' THEN 'shared' ELSE CASE WHEN event_id % 2 = 0 THEN 'recommended' ELSE 'reported' END END AS interactionType, ts AS updatedAt FROM {events}""",
     "post_views": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'read'",
     "post_likes": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'liked'",
     "post_saved": "SELECT userId, postId, updatedAt FROM {interactions} WHERE interactionType = 'saved'",
@@ -44,6 +44,7 @@ VIEWS: dict[str, str] = {
     "story_likes": "SELECT user_id AS userId, (event_id * 11) % (SELECT count(*) FROM {events}) AS storyId FROM {events} WHERE event_type = 'click'",
     "story_elements": "SELECT storyId, k AS z_index, CASE WHEN (storyId + k) % 2 = 0 THEN 'text' ELSE 'image' END AS element_type, storyId % 300 AS position_x, CASE WHEN k = 2 THEN NULL ELSE k * 10 END AS position_y FROM {stories} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) ks",
     "post_relations": "SELECT o_orderkey AS ancestorId, o_orderkey + 1 AS descendantId, 1 AS depth FROM {orders} WHERE o_orderpriority = '2-HIGH' UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM {orders}",
+    "post_parents": "SELECT o_orderkey AS id, CAST(floor(o_orderkey / 2) AS BIGINT) AS parentId FROM {orders} WHERE o_orderkey > 1",
     "communities": "SELECT n_nationkey AS id, n_name AS name, n_nationkey AS creator_id, CASE n_nationkey % 3 WHEN 0 THEN 'everyone' WHEN 1 THEN 'creator' ELSE 'moderators' END AS post_access_type, CASE n_nationkey % 4 WHEN 0 THEN 'private' ELSE 'public' END AS visibility FROM {nation}",
     "memberships": "SELECT c_custkey AS user_id, c_nationkey AS community_id, CASE WHEN c_custkey % 10 = 0 THEN 'moderator' ELSE 'member' END AS role, CASE WHEN c_custkey % 11 = 0 THEN 'left' WHEN c_custkey % 23 = 0 THEN 'banned' ELSE 'active' END AS status FROM {customer}",
     "community_posts": "SELECT c_nationkey AS community_id, o_orderkey AS post_id, o_orderdate AS date_posted, o_orderkey % 13 = 0 AS pinned, o_orderkey % 17 = 0 AS removed FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '5-LOW'",

@@ -66,9 +66,14 @@ def collapsed(df: DataFrame, keys: list[str], time: str, action: str, id_: str,
     return _marked(df, time, "10 seconds").groupBy(F.window(F.col(time), window), *keys).agg(F.max_by(action, F.struct(time, id_)).alias(action)).select(*keys, F.col("window.start").alias("window_start"), action)
 
 
+def with_sender(rows: DataFrame, senders: DataFrame) -> DataFrame:
+    """Rows with what is known of their sender; null where nothing is."""
+    return rows.join(senders, "senderId", "left")
+
+
 def fan_out(stream: DataFrame, senders: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that gives each micro-batch, with its sender's row, to write."""
-    return stream.writeStream.foreachBatch(lambda df, k: write(df.join(senders, "senderId", "left"), k)).option("checkpointLocation", checkpoint).start()
+    return stream.writeStream.foreachBatch(lambda df, k: write(with_sender(df, senders), k)).option("checkpointLocation", checkpoint).start()
 
 
 class Inactivity(StatefulProcessor):

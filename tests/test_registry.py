@@ -67,7 +67,7 @@ def test_scores_by_hand(spark):
 
 
 def test_delivery_times(spark):
-    cases = {"11:00 AM": 660, "1:00 PM": 780, "12:00 AM": 0, "12:00 PM": 720, "12:05 AM": 5, "x": None, None: None}
+    cases = {"11:00 AM": 660, "1:00 PM": 780, "12:00 AM": 0, "12:00 PM": 720, "12:05 AM": 5, "x": None, "25:99 PM": None, "13:00 AM": None, "0:30 AM": None, "1:60 PM": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["m"] for r in df.select("t", dates.delivery_minute(F.col("t")).alias("m")).collect()} == cases
 
