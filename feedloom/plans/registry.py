@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, fuzzy, names, replies, text
 from ..operators import buckets, closure, counters, dml
 from ..operators import relational as rel
+from ..sources import events as live
 from ..sources.shared import new_folder
 from ..sources.tables import Tables, gazetteer, oracle, register
 from ..streaming import activity, state
@@ -88,6 +89,16 @@ def src10_event_source(t):
     return activity.drained(stream, new_folder(t.spark)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+@query("SELECT event, problem, count(*) AS n, max(event_id) AS last FROM (SELECT *, CASE event_type WHEN 'view' THEN 'openChat' WHEN 'error' THEN 'closeChat' WHEN 'click' THEN 'userOnline' WHEN 'signup' THEN 'connection' ELSE 'dance' END AS event, CASE WHEN event_type = 'purchase' THEN 'unknown event' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'no userId' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'data' END AS problem FROM events) GROUP BY event, problem")
+def src10_events_by_kind(t):
+    named = {"view": "openChat", "error": "closeChat", "click": "userOnline", "signup": "connection", "purchase": "dance"}
+    kind, id_ = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in named.items()]), F.col("event_id")
+    user = F.when((kind == "closeChat") & (id_ % 3 == 0), F.lit(None).cast("string")).when((kind == "connection") & (id_ % 5 == 0), "x").otherwise(F.col("user_id").cast("string"))
+    data = F.struct(F.col("user_id").cast("string").alias("roomId"), user.alias("userId"), id_.cast("string").alias("socketId"))
+    lines = t.events.select(F.to_json(F.struct(kind.alias("event"), id_.alias("id"), F.col("ts").alias("at"), data.alias("data"))).alias("value"))
+    return live.read_events(lines).groupBy("event", "problem").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
 @query(
     "SELECT lower(name) AS name, lower(n_name) AS city, r_name AS state, n_name LIKE '% %' AS variant, n_nationkey * 1000 + k AS \"at\" FROM (SELECT *, n_name AS name, 0 AS k FROM nation UNION ALL SELECT *, replace(n_name, ' ', ''), 1 FROM nation WHERE n_name LIKE '% %') JOIN region ON n_regionkey = r_regionkey"
 )

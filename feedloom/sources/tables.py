@@ -6,6 +6,7 @@ The views are plain SQL that Spark and the test oracle both run; ``{name}`` stan
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 from time import sleep
 
@@ -67,21 +68,74 @@ VIEWS: dict[str, str] = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 64, attempts: int = 5, wait: float = 1.0, **options: str) -> DataFrame:
-    """A database table, read in ranges of ``key`` where one is given. A connection that fails is tried again, each time after twice the wait."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if key is not None and bounds is not None:
-        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    for n in range(attempts):
+#: What tells a lost connection from any other error: classes of JDBC and of the network, and the class of SQL states.
+LOST = ("java.sql.SQLTransientException", "java.sql.SQLTransientConnectionException", "java.sql.SQLRecoverableException", "java.sql.SQLNonTransientConnectionException", "java.net.ConnectException", "java.net.SocketException", "java.net.SocketTimeoutException", "java.net.UnknownHostException")
+LOST_STATE = "08"
+#: Seconds that are waited for a connection at most.
+LONGEST_WAIT = 30.0
+
+
+def lost_connection(error: Exception) -> bool:
+    """Whether an error of Spark's comes from a connection that failed."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None:
+        names = {c.getName() for c in (cause.getClass(), cause.getClass().getSuperclass()) if c is not None}
+        if names & set(LOST):
+            return True
+        if hasattr(cause, "getSQLState") and "SQLException" in " ".join(names) and str(cause.getSQLState() or "").startswith(LOST_STATE):
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def patiently(work, attempts: int = 5, wait: float = 1.0):
+    """What work returns; a lost connection is tried again, each time after twice the wait, other errors are not."""
+    for n in range(1, attempts + 1):
         try:
-            return reader.load()
-        except (Py4JJavaError, PySparkException):
-            if n + 1 == attempts:
+            return work()
+        except (Py4JJavaError, PySparkException) as e:
+            if n == attempts or not lost_connection(e):
                 raise
-            sleep(wait * 2**n)
+            sleep(min(LONGEST_WAIT, wait * 2 ** (n - 1)))
     raise ValueError("attempts must be at least 1")
 
 
+def balanced_ranges(keys: DataFrame, key: str, name: str, partitions: int) -> list[str]:
+    """SQL conditions, on a column by its name there, that part rows by ranges of a numeric key which hold about as many rows each; a value that fills several ranges has one
+    to itself, nulls come with the first."""
+    marks = [F.lit(k / partitions) for k in range(1, partitions)]
+    found = keys.agg(F.percentile_approx(key, F.array(*marks), 100 * partitions).alias("q")).first()["q"] if marks else []
+    cuts = sorted(set(found or []))
+    # a value that is cut at again and again ends its own range as well
+    heavy = [a for a, n in Counter(found or []).items() if n > 1]
+    edges = [(c, "<") for c in cuts] + [(c, "<=") for c in heavy]
+    edges.sort()
+    below = [f"{name} {op} {c}" for c, op in edges]
+    above = [f"{name} {'>=' if op == '<' else '>'} {c}" for c, op in edges]
+    if not edges:
+        return ["1 = 1"]
+    return [f"{below[0]} OR {name} IS NULL", *[f"{a} AND {b}" for a, b in zip(above, below[1:], strict=False)], above[-1]]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 64, attempts: int = 5, wait: float = 1.0, **options: str) -> DataFrame:
+    """A database table, read in balanced ranges of a numeric ``key`` where one is given.
+
+    The ranges come from the key's quantiles, for which the key alone is read once, in even ranges between its ends. A connection
+    that is lost is tried again with a wait of at most 30 s; any other error, like a table that isn't there, is one at once.
+    """
+    plain = lambda what, **more: patiently(lambda: spark.read.format("jdbc").options(url=url, dbtable=what, **options, **more).load(), attempts, wait)
+    if key is None or partitions < 2:
+        return plain(table)
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = patiently(lambda: plain(f"(SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}) ends").first(), attempts, wait)
+    low, high = (next(v for k, v in ends.asDict().items() if k.lower() == n) for n in ("lo", "hi"))
+    if low is None or low == high:
+        return plain(table)
+    keys = plain(f"(SELECT {name} FROM {table}) ks", partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+    ranges = patiently(lambda: balanced_ranges(keys, key, name, partitions), attempts, wait)
+    return patiently(lambda: spark.read.jdbc(url, table, predicates=ranges, properties=options), attempts, wait)
+
+
 def register(spark: SparkSession, sf_dir: str) -> list[str]:
     """Every base table as a temporary view of its name."""
     for name in BASE:

@@ -246,20 +246,6 @@ def test_inactivity_alerts(spark, tmp_path):
     assert sorted(r["key"] for r in spark.table("idle").collect()) == ["a", "b"]
 
 
-def test_jdbc_reads_in_ranges_and_tries_again(spark, monkeypatch):
-    from feedloom.sources import tables
-
-    url = "jdbc:derby:memory:people;create=true"
-    spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id int, name string").write.jdbc(url, "people", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    df = tables.read_jdbc(spark, url, "people", "id", (0, 50), 5, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    assert df.rdd.getNumPartitions() == 5 and sorted(r["id"] for r in df.collect()) == list(range(50))
-    waits = []
-    monkeypatch.setattr(tables, "sleep", waits.append)
-    with pytest.raises(Exception):
-        tables.read_jdbc(spark, url, "nobody", attempts=3, wait=0.5, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    assert waits == [0.5, 1.0]
-
-
 def test_shorts_feed_with_a_named_short(spark):
     rows = [(i, i % 4, True, i == 9, "c", 1, 0, 0, 0, 0) for i in range(30)]
     posts = spark.createDataFrame(rows, "id long, authorId long, isShort boolean, inCommunity boolean, category string, views long, likes long, comments long, shared long, bookmarks long").withColumn("createdAt", F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz"))
