@@ -15,7 +15,7 @@ from ..sources import events as live
 from ..sources.shared import new_folder
 from ..sources.tables import Tables, gazetteer, oracle, register
 from ..streaming import activity, state
-from . import chat, feeds, papers, social, threads
+from . import chat, everyone, feeds, papers, social, threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -459,6 +459,11 @@ def j14_two_hop(t):
     return rel.two_hop(t.follows, 7)
 
 
+@query("SELECT a.followerId AS viewer, b.followingId AS id, count(*) AS paths, row_number() OVER (PARTITION BY a.followerId ORDER BY count(*) DESC, b.followingId) AS place FROM follows a JOIN follows b ON b.followerId = a.followingId WHERE b.followingId <> a.followerId AND NOT EXISTS (SELECT 1 FROM follows c WHERE c.followerId = a.followerId AND c.followingId = b.followingId) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.followerId ORDER BY count(*) DESC, b.followingId) <= 4")
+def j14_two_hops_of_all(t):
+    return everyone.two_hops(t.follows, 4)
+
+
 @query("SELECT parentId AS ancestorId, id AS descendantId, 1 AS depth FROM comments WHERE parentId IS NOT NULL")
 def j15_closure_children(t):
     return t.comments.where("parentId is not null").select(F.col("parentId").alias("ancestorId"), F.col("id").alias("descendantId"), F.lit(1).alias("depth"))
@@ -891,6 +896,23 @@ def q2_home_feed(t):
     return feeds.home_feed(t.posts, t.users, t.follows, 1400, [1, 2], AS_OF, limit=30, exclude=[3, 4])
 
 
+EDGES = "edges AS (SELECT id AS viewer, id AS author FROM users UNION SELECT followerId, followingId FROM follows WHERE followerId IN (SELECT id FROM users))"
+
+
+@query(
+    "SELECT viewer, place, id, false AS isBackfill, 0.0 AS score FROM m UNION ALL SELECT viewer, place, id, true, score FROM fill",
+    AUTHORED
+    + f""", {EDGES}, b AS (SELECT * FROM ap WHERE NOT isShort AND NOT inCommunity),
+m AS (SELECT viewer, id, row_number() OVER (PARTITION BY viewer ORDER BY createdAt DESC, id DESC) AS place FROM edges JOIN b ON authorId = author QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY createdAt DESC, id DESC) <= 30),
+short AS (SELECT u.id AS viewer, count(m.id) AS n FROM users u LEFT JOIN m ON m.viewer = u.id GROUP BY u.id HAVING count(m.id) < 30),
+others AS (SELECT viewer, n, b.*, row_number() OVER (PARTITION BY viewer ORDER BY createdAt DESC, id DESC) AS r FROM short JOIN b ON NOT EXISTS (SELECT 1 FROM edges e WHERE e.viewer = short.viewer AND e.author = b.authorId)),
+scored AS (SELECT viewer, n, id, createdAt, round(0.3 * exp(-0.05 * {AGE}) + 0.4 * ln({ENG} + 1) / 10 + 0.2 * {CRED}, 6) AS score FROM others WHERE r <= 90),
+fill AS (SELECT viewer, n + row_number() OVER (PARTITION BY viewer ORDER BY score DESC, createdAt DESC, id DESC) AS place, id, score FROM scored QUALIFY n + row_number() OVER (PARTITION BY viewer ORDER BY score DESC, createdAt DESC, id DESC) <= 30)""",
+)
+def q2_home_feeds_of_all(t):
+    return everyone.home_feeds(t.posts, t.users, t.follows, AS_OF, limit=30)
+
+
 @query(
     "SELECT id, score, createdAt FROM s WHERE score < 0.3 OR (score = 0.3 AND createdAt < TIMESTAMP '2000-01-01') ORDER BY score DESC, createdAt DESC, id LIMIT 25",
     AUTHORED + f", s AS (SELECT id, createdAt, round(0.4 * exp(-0.05 * {AGE}) + 0.4 * {ENG} / 100 + 0.2 * (0.4 * CAST(coalesce(verified, false) AS INT) + 0.25 * 0.5 + (1.0 / 11) * 0.1), 6) AS score FROM ap)",
@@ -964,6 +986,14 @@ def q9_o12_story_tray(t):
     return social.story_tray(t.users, t.follows, t.stories, t.story_views, 7, "2024-01-15 12:00:00")
 
 
+@query(
+    "SELECT viewer, row_number() OVER (PARTITION BY viewer ORDER BY author <> viewer, viewedAll, latest DESC, author) AS place, author AS id, stories, viewedAll, latest FROM tray",
+    f"{EDGES}, live AS (SELECT * FROM stories WHERE createdAt BETWEEN TIMESTAMP '2024-01-14 12:00:00' AND TIMESTAMP '2024-01-15 12:00:00'), tray AS (SELECT viewer, author, count(*) AS stories, bool_and(v.storyId IS NOT NULL) AS viewedAll, max(createdAt) AS latest FROM edges JOIN live s ON s.userId = author LEFT JOIN (SELECT DISTINCT userId, storyId FROM story_views) v ON v.userId = viewer AND v.storyId = s.storyId GROUP BY viewer, author)",
+)
+def q9_story_trays_of_all(t):
+    return everyone.story_trays(t.users, t.follows, t.stories, t.story_views, "2024-01-15 12:00:00")
+
+
 @query(
     "SELECT storyId, createdAt, storyId IN (SELECT storyId FROM story_views WHERE userId = 7) AS isViewed, storyId IN (SELECT storyId FROM story_likes WHERE userId = 7) AS isLiked, (SELECT count(DISTINCT v.userId) FROM story_views v WHERE v.storyId = s.storyId AND v.userId <> o.id) AS views, (SELECT string_agg(z_index || ':' || element_type || ':' || coalesce(position_x, 0) || ':' || coalesce(position_y, 0), ',' ORDER BY z_index) FROM story_elements e WHERE e.storyId = s.storyId) AS elements, prev_id, next_id FROM stories s JOIN o ON s.userId = o.id LEFT JOIN r ON r.id = o.id WHERE createdAt BETWEEN TIMESTAMP '2024-01-14 12:00:00' AND TIMESTAMP '2024-01-15 12:00:00'",
     """o AS (SELECT userId AS id FROM stories WHERE createdAt BETWEEN TIMESTAMP '2024-01-14 12:00:00' AND TIMESTAMP '2024-01-15 12:00:00' ORDER BY storyId LIMIT 1), p AS (SELECT 0 AS later, 7 AS id UNION SELECT 1, followingId FROM follows WHERE followerId = 7),
