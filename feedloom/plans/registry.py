@@ -945,8 +945,8 @@ PCRED = "(0.5 * CAST(coalesce(verified, false) AS INT) + 0.3 * coalesce(follower
  + 0.10 * ln(0.10 * views + 0.20 * likes + 0.35 * comments + 0.35 * shared + 1) / 15 + 0.05 * {PCRED} + 0.03 * CAST(followed AS INT) + 0.02 * CASE WHEN coalesce(contains(content, excluded), false) THEN 0.1 ELSE 1.0 END, 6) AS score FROM kw)""",
 )
 def q4_paper_recommendation(t):
-    chosen = t.papers.where("status = 'active'").select("id", "authorId", "postCount", "description", replies.metadata(F.col("reply")).alias("metadata"))
-    return papers.recommend(chosen, t.posts, t.users, t.follows, t.post_views, AS_OF)
+    chosen = papers.spread(t.papers.where("status = 'active'")).select("id", "authorId", "postCount", "description", replies.metadata(F.col("reply")).alias("metadata"))
+    return papers.recommend(chosen, t.posts, t.users, t.follows, t.post_views, AS_OF, readers=t.people)
 
 
 @query(
@@ -956,7 +956,7 @@ def q4_paper_recommendation(t):
  + 0.20 * least((0.4 * likes + 0.6 * comments + 0.8 * shared) / 100, 1.0) + 0.10 * CAST(followed AS INT), 6) AS score FROM kw)""",
 )
 def q5_scheduled_recommendation(t):
-    return papers.recommend_scheduled(t.papers.where("status = 'active'"), t.posts, t.users, t.follows, t.post_views, AS_OF)
+    return papers.recommend_scheduled(t.papers.where("status = 'active'"), t.posts, t.users, t.follows, t.post_views, AS_OF, readers=t.people)
 
 
 @query(f"SELECT id, createdAt FROM posts WHERE NOT isShort AND createdAt BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS AND TIMESTAMP '{AS_OF}' AND id NOT IN (SELECT postId FROM post_views WHERE userId = 7) ORDER BY createdAt DESC, id DESC LIMIT 20")

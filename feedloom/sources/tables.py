@@ -19,10 +19,10 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 VIEWS: dict[str, str] = {
     "follows": "SELECT DISTINCT o_custkey AS followerId, l_suppkey AS followingId FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey",
-    "users": """SELECT c_custkey AS id, c_name AS username, c_mktsegment = 'BUILDING' AS verified, c_nationkey AS state, c_acctbal AS balance, c_mktsegment AS interest,
- coalesce(f.n, 0) AS followers, coalesce(p.n, 0) AS posts FROM {customer}
- LEFT JOIN (SELECT followingId, count(*) AS n FROM {follows} GROUP BY followingId) f ON f.followingId = c_custkey
- LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) p ON p.o_custkey = c_custkey""",
+    "people": "SELECT c_custkey AS id, c_name AS username, c_mktsegment = 'BUILDING' AS verified, c_nationkey AS state, c_acctbal AS balance, c_mktsegment AS interest FROM {customer}",
+    "users": """SELECT u.*, coalesce(f.n, 0) AS followers, coalesce(p.n, 0) AS posts FROM {people} u
+ LEFT JOIN (SELECT followingId, count(*) AS n FROM {follows} GROUP BY followingId) f ON f.followingId = u.id
+ LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) p ON p.o_custkey = u.id""",
     "posts": """SELECT o_orderkey AS id, o_custkey AS authorId, o_orderdate AS createdAt, o_orderstatus = 'P' AS isShort, o_orderpriority = '5-LOW' AS inCommunity,
  o_orderpriority AS category, lower(o_orderpriority) AS content, coalesce(views, 0) AS views, coalesce(likes, 0) AS likes, coalesce(comments, 0) AS comments, coalesce(shared, 0) AS shared, coalesce(bookmarks, 0) AS bookmarks
  FROM {orders} LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS views, count(*) AS likes, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS comments,

@@ -218,9 +218,11 @@ def test_read_receipts_by_members(spark):
     assert {r["id"]: r["isRead"] for r in activity.read_receipts(m, e).collect()} == {1: False, 2: True, 3: True, 4: False}
 
 
-def test_paper_candidates_skip_what_was_viewed(spark):
+@pytest.mark.parametrize("at_once", [100_000, 5])
+def test_paper_candidates_skip_what_was_viewed(spark, monkeypatch, at_once):
     from feedloom.plans import papers
 
+    monkeypatch.setattr(papers, "POSTS_AT_ONCE", at_once)
     posts = spark.createDataFrame([(i, False) for i in range(40)], "id long, isShort boolean").withColumn("createdAt", F.timestamp_seconds(F.floor(F.col("id") / 3) * 3000).cast("timestamp_ntz"))
     p = spark.createDataFrame([(1, 7, 2), (2, 8, 1), (3, 7, 30), (4, 9, 0), (5, None, 1)], "id long, authorId long, postCount int")
     views = spark.createDataFrame([(7, 39), (7, 38), (7, 36), (7, 36), (7, 2), (8, 0)], "userId long, postId long")
