@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence, in DataFrame operations only.
 
 Rules name a host and a path prefix; the longest rule that fits a URL decides. Pages also state other names of
-themselves: canonical links and refresh redirects, taken relative to the page's URL (<base> isn't read), and a table of
+themselves: canonical links and refresh redirects, taken relative to the page's base, and a table of
 redirects may be given. Connected components over
 those edges are sets of aliases. A URL that no rule fits takes its aliases' decision: allowed if a rule allows one of
 them, else blocked if a rule blocks one, else ``default``. So blocks spread to aliases, and an explicit allow has
@@ -19,8 +19,15 @@ from .common import connected_components
 
 #: A list of rules becomes one expression; more than this many are to be given as a table.
 MOST_RULES = 2_000
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Comments and elements whose text is no markup; tags of interest with their attributes; an attribute, its name and its value.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_TAG = rf"(?is)<(?:link|meta|base)(?=[\s/>])(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+|=)*+>"
+_ATTRIBUTE = rf"(?s)[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+"
+_NAME = r"(?s)^([^\s=]++)"
+_SET = r"(?s)^[^\s=]++\s*+=\s*+(.*)$"
+_QUOTED = r"""(?s)^(["'])(.*)\1$"""
+_UP_TO_QUOTE = r"""(?s)^(["'])(.*?)(?:\1.*)?$"""
 
 
 def host_of(url: Column) -> Column:
@@ -45,15 +52,39 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
-#: Entities that stand in the attributes of links.
-ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+#: Named entities of characters that stand in attributes and URLs.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "Tab": "\t", "NewLine": "\n", "excl": "!", "num": "#", "dollar": "$", "percnt": "%", "lpar": "(", "rpar": ")", "ast": "*", "plus": "+", "comma": ",", "period": ".", "sol": "/", "colon": ":", "semi": ";", "equals": "=", "quest": "?", "commat": "@", "lowbar": "_"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its numeric entities, decimal and hexadecimal, and the named ones above resolved, each once; numbers that are no character become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for n, c in ENTITIES.items() for x in (f"&{n};", c)])
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#[xX]?0*([0-9a-fA-F]{1,7});?$", 1)
+        number = F.coalesce(F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"), F.lit(0))
+        code = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), number).otherwise(F.lit(0xFFFD))
+        return F.when(x.startswith("&#"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(names, x), x))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z]+;|&(?!#[0-9xX])|&|[^&]++)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^&#(?:[xX][0-9a-fA-F]|[0-9])") | x.rlike("^&[A-Za-z]"), part(x)).otherwise(x)), "")
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """The value of the first of a tag's attributes of that name, as it is written; null where there is none."""
+    own = F.filter(attributes, lambda x: F.lower(F.regexp_extract(x, _NAME, 1)) == name)
+    return F.regexp_replace(F.regexp_extract(F.get(own, 0), _SET, 1), _QUOTED, "$2")
 
 
 def _plain(target: Column) -> Column:
-    """The target with its entities resolved, &amp; last, without white space around."""
-    for entity, c in ENTITIES.items():
-        target = F.replace(target, F.lit(entity), F.lit(c))
-    return F.trim(target)
+    """A URL as a browser takes it: without line ends and tabs inside, and without control characters and spaces around."""
+    return F.regexp_replace(F.regexp_replace(target, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def _refresh(content: Column) -> Column:
+    """The target that a refresh names after its seconds, in quotes or not."""
+    rest = F.regexp_replace(F.regexp_replace(content, r"(?s)^\s*[\d.]*\s*[;,]?\s*", ""), r"(?is)^url\s*=\s*", "")
+    return F.regexp_replace(rest, _UP_TO_QUOTE, "$2")
 
 
 def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,12 +142,25 @@ def _resolved(base: Column, target: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): a page's URL and each canonical or refresh target that it states."""
+    """(a, b): a page's URL and each canonical or refresh target that it states.
+
+    Comments and the text of scripts and the like are cut out; tags are taken apart attribute by attribute, a value ending where its quote does;
+    a rel is a list of words. Targets are relative to the first <base href> if there is one, itself relative to the page's URL.
+    """
     html = F.col(html_col)
-    links = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url_col).alias("u"), F.explode(F.array_distinct(links)).alias("t"))
-    named = named.withColumn("t", _plain(F.col("t"))).where("u is not null and t <> ''")
-    return named.select(_node(F.col("u")).alias("a"), _node(_resolved(F.col("u"), F.col("t"))).alias("b")).where("a is not null and b is not null")
+    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    held = pages.where(F.col(url_col).isNotNull() & html.rlike("(?i)<(?:link|meta)")).select(F.col(url_col).alias("u"), tags.alias("tags"))
+    # step by step, so that no expression is written out in another several times
+    of = lambda tag: F.regexp_extract_all(F.regexp_replace(tag, r"(?is)^<[a-z]+", ""), F.lit(_ATTRIBUTE), F.lit(0))
+    bases = F.filter(F.transform(F.filter("tags", lambda x: F.lower(x).startswith("<base")), lambda x: attribute(of(x), "href")), lambda x: x.isNotNull())
+    held = held.withColumn("base", _plain(unescaped(F.get(bases, 0)))).withColumn("tag", F.explode(F.array_distinct("tags"))).drop("tags")
+    held = held.where(~F.lower("tag").startswith("<base")).withColumn("link", F.lower("tag").startswith("<link")).withColumn("own", of(F.col("tag")))
+    held = held.select("u", "base", "link", F.when(F.col("link"), attribute(F.col("own"), "rel")).otherwise(attribute(F.col("own"), "http-equiv")).alias("kind"), F.when(F.col("link"), attribute(F.col("own"), "href")).otherwise(attribute(F.col("own"), "content")).alias("t"))
+    held = held.where("t IS NOT NULL AND kind IS NOT NULL").withColumn("words", F.split(F.lower(F.trim(F.regexp_replace(unescaped(F.col("kind")), r"\s+", " "))), " "))
+    held = held.where((F.col("link") & F.array_contains("words", "canonical")) | (~F.col("link") & (F.array_join("words", " ") == "refresh")))
+    held = held.withColumn("t", unescaped(F.col("t"))).withColumn("t", F.when(F.col("link"), F.col("t")).otherwise(_refresh(F.col("t")))).withColumn("t", _plain(F.col("t"))).where("t <> ''")
+    held = held.withColumn("base", F.coalesce(_resolved(F.col("u"), F.col("base")), F.col("u"))).withColumn("t", _resolved(F.col("base"), F.col("t")))
+    return held.select(_node(F.col("u")).alias("a"), _node(F.col("t")).alias("b")).where("a is not null and b is not null").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
