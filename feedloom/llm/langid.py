@@ -3,7 +3,7 @@
 Every letter has a random +1/-1 vector. An n-gram's vector binds (multiplies) its letters' vectors, each rotated by
 its place; a document bundles (sums) the vectors of its n-grams, damped by the square root of their counts. A
 language's prototype is the sum of the unit vectors of its training documents; a document takes the language of
-the prototype at the largest cosine. Training gathers one vector per language and task, combined before they meet.
+the prototype at the largest cosine. Training gathers one vector per language and task, combined before they meet, in two steps.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ MOST_LANGUAGES = 10_000
 #: Texts and characters that are bundled at once.
 ROWS, CHARS = 256, 1_000_000
 UNKNOWN = "und"
+#: Groups for each language in which tasks' sums are added before the groups' are.
+_SALTS = 512
 
 
 @cache
@@ -141,7 +144,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, t in zip(names.tolist(), total, strict=True):
                 sums[name] = sums[name] + t if name in sums else t
     sums = {k: v for k, v in sums.items() if v.any()}
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "vector"])
+    salt = TaskContext.get().partitionId() % _SALTS
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([salt] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "salt", "vector"])
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -152,7 +156,8 @@ def _sum(table: pa.Table) -> pa.Table:
 def prototypes(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from the rows whose text and language aren't null."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = rows.mapInArrow(_train, "lang string, vector binary").groupBy("lang").applyInArrow(_sum, "lang string, vector binary").limit(MOST_LANGUAGES + 1).collect()
+    taught, summed = rows.mapInArrow(_train, "lang string, salt int, vector binary"), "lang string, vector binary"
+    found = taught.groupBy("lang", "salt").applyInArrow(_sum, summed).groupBy("lang").applyInArrow(_sum, summed).limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found.sort(key=lambda r: r["lang"])
