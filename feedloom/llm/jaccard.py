@@ -1,8 +1,10 @@
 """N-gram Jaccard join by token-combination prefixes: exact components of near-duplicate documents.
 
 A document is the set of its ``shingle``-word shingles. Two documents link when their Jaccard similarity is at
-least ``percent`` / 100. Shingles are put in one global order, rare before frequent; how frequent comes from
-a sketch of ``CLASSES`` hash classes counted over all documents, whose size is fixed. Two sets that link share
+least ``percent`` / 100. Shingles are put in one global order, rare before frequent; how frequent comes first from
+a sketch of ``CLASSES`` hash classes counted over all documents, whose size is fixed. A shingle that the sketch calls rare
+but that so many different sets hold in their prefixes that one bucket can't compare them (``ALL_OF``) is found there,
+exactly; all of these are frequent in the next drawing of the index, whose prefixes pass them by. Two sets that link share
 at least e shingles among their first n - ceil(t n) + e in that order (the prefix, extended by e - 1). Either one of
 those is rare, and rare shingles are indexed singly; or all are frequent, and pairs of frequent shingles are
 indexed. Documents of up to PAIRS_UP_TO shingles extend by one and index every pair. For larger ones e grows with the size, by classes of
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,13 @@ from .textcore import U64, mix
 CLASS_BITS = 20
 CLASSES = 1 << CLASS_BITS
 _RANGES = 64
+#: Groups in which tasks' counts are added before the groups' are.
+_SALTS = 512
 #: A class is frequent when it holds so many times the mean number of shingles.
 FREQUENT = 4
+#: Times the index is drawn at most. Each drawing but the last leaves the rare shingles that too many sets hold to the next,
+#: where they are frequent: TOLD of them at most (8 bytes each, sent to every task), those of the most sets first.
+DRAWN, TOLD = 4, 1 << 21
 #: Documents of at most so many shingles index all pairs of frequent shingles; each class of sizes above is twice as large,
 #: and extends the prefix by one shingle for so many of it.
 PAIRS_UP_TO, EXTENDED = 400, 8
@@ -55,6 +63,8 @@ BITS_PER = 7
 ROUNDS = (8, 1)
 #: Steps of a size's logarithm in the index, and bytes of an entry's hash; entries that fall together are told apart later.
 SIZE_STEPS, ENTRY_BYTES = 2000, 5
+#: Entries of pairs have this bit, single ones don't.
+_OF_TWO = U64(1 << 63)
 _PAIR, _SINGLE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
 
@@ -77,32 +87,44 @@ def _count(k: int):
                 h, _ = shingles(buf, off, k)
                 total += np.bincount((h >> U64(64 - CLASS_BITS)).astype(np.int64), minlength=CLASSES)
         if total.any():
-            rows = total.astype(np.uint32).reshape(_RANGES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["range", "counts"])
+            rows, salt = total.reshape(_RANGES, -1), TaskContext.get().partitionId() % _SALTS
+            yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([salt] * _RANGES, pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["range", "salt", "counts"])
 
     return count
 
 
 def _total(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("counts"))
+    return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def frequency_classes(source: DataFrame, k: int) -> np.ndarray:
     """For each hash class 0 if it is rare, else 1 and more with its count: CLASSES bytes, whatever the input."""
-    rows = source.mapInArrow(_count(k), "range int, counts binary").groupBy("range").applyInArrow(_total, "range int, counts binary").collect()
+    counted, summed = source.mapInArrow(_count(k), "range int, salt int, counts binary"), "range int, counts binary"
+    rows = counted.groupBy("range", "salt").applyInArrow(_total, summed).groupBy("range").applyInArrow(_total, summed).collect()
     counts = np.zeros((_RANGES, CLASSES // _RANGES))
     for r in rows:
-        counts[r["range"]] = np.frombuffer(r["counts"], np.int64)
+        counts[r["range"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     counts = counts.reshape(-1)
     over = counts / max(counts.mean(), 1e-9) / FREQUENT
     often = (over > 1) & (counts >= 16)
     return np.where(often, 1 + np.minimum(np.log2(np.maximum(over, 1)) * 4, 60), 0).astype(np.uint8)
 
 
-def ordered_sets(h: np.ndarray, first: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
-    """Each row's distinct shingles in the global order: class in the high byte, then the hash."""
-    token = (h >> U64(8)) | (classes[(h >> U64(64 - CLASS_BITS)).astype(np.int64)].astype(U64) << U64(56))
+def _single(token: np.ndarray) -> np.ndarray:
+    return mix(token) & ~_OF_TWO
+
+
+def ordered_sets(h: np.ndarray, first: np.ndarray, classes: np.ndarray, told: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each row's distinct shingles in the global order: class in the high byte, then the hash.
+
+    ``told`` are the entries (their last ENTRY_BYTES bytes), in order, of shingles that are frequent whatever their class."""
+    low = h >> U64(8)
+    token = low | (classes[(h >> U64(64 - CLASS_BITS)).astype(np.int64)].astype(U64) << U64(56))
+    if told is not None and len(told):
+        e = _single(low) >> U64(64 - 8 * ENTRY_BYTES)
+        hit = told[np.minimum(np.searchsorted(told, e), len(told) - 1)] == e
+        token = np.where(hit, low | U64(255 << 56), token)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         t = np.sort(token[a:b])
@@ -131,7 +153,7 @@ def _pairs(often: np.ndarray, groups: int, k: int) -> np.ndarray:
         i, j = np.repeat(np.arange(len(often)), later), tc.ranges(np.arange(len(often)) + 1, later)
     else:
         i, j = np.triu_indices(len(often), 1)
-    return mix(often[i] * _PAIR ^ mix(often[j]) ^ U64(k))
+    return mix(often[i] * _PAIR ^ mix(often[j]) ^ U64(k)) | _OF_TWO
 
 
 def entries(t: np.ndarray, percent: int) -> np.ndarray:
@@ -144,7 +166,7 @@ def entries(t: np.ndarray, percent: int) -> np.ndarray:
         rare = max(rare, first)
         if len(lead) - first > 1:
             out.append(_pairs(lead[first:], e - 1, k))
-    return np.concatenate([mix(t[:rare]), *out])
+    return np.concatenate([_single(t[:rare]), *out])
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +216,12 @@ def _unpack(b: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token.view(U64).reshape(-1), np.repeat(key, count), np.repeat(code, count)
 
 
-def _index(k: int, percent: int, buckets: int, classes: np.ndarray):
+def _index(k: int, percent: int, buckets: int, classes: np.ndarray, told: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, buf, off, _ in tc.slices(batch.column(0), batch.column(1)):
                 h, first = shingles(buf, off, k)
-                sets = ordered_sets(h, first, classes)
+                sets = ordered_sets(h, first, classes, told)
                 n = np.array([len(t) for t in sets])
                 f1 = np.array([mix(t).sum() if len(t) else 0 for t in sets], U64)
                 f2 = np.array([np.bitwise_xor.reduce(mix(t ^ _PAIR)) if len(t) else 0 for t in sets], U64)
@@ -262,8 +284,12 @@ def _meet(percent: int):
     return meet
 
 
-#: Documents with one entry up to which pairs are tested at once, and one against all; more are only chained by size.
+#: Documents with one entry up to which pairs are tested at once, and, of different colours, one against all. A single shingle
+#: of more is left to the next drawing; pairs of more, and all of them in the last drawing, are chained by size.
 PAIRS_OF, ALL_OF = 64, 5_000
+#: Distances in the order of sizes at which documents with one entry are compared before it is counted how many colours they have.
+_BESIDE = (1, 2, 3, 5, 8, 13)
+STARS = pa.schema([*LINK, ("sets", pa.int64())])
 
 
 class _Bitmaps:
@@ -295,9 +321,10 @@ class _Bitmaps:
         return good
 
 
-def _prune(percent: int):
+def _prune(percent: int, last: bool = True):
     def prune(table: pa.Table) -> pa.Table:
-        """One bucket of shared entries: colours whose documents may link, as stars of connected ones."""
+        """One bucket of shared entries: colours whose documents may link, as stars of connected ones; and, where this isn't
+        the last drawing, single entries of too many different sets (as a) with the number of those (sets)."""
         docs, n, colour = (table.column(c).to_numpy() for c in ("id", "n", "colour"))
         maps = _Bitmaps(table.column("bits").to_pylist(), n, percent)
         shared = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("shared").chunks for x in chunk]
@@ -323,7 +350,8 @@ def _prune(percent: int):
             x, y = key // len(docs), key % len(docs)
             good = maps.near(x, y)
             pairs.append((x[good], y[good]))
-        met = set()
+        met: dict[tuple[bytes, bool], int] = {}
+        heavy: list[tuple[int, int]] = []
         if pairs:
             x, to = _labels(*(label[np.concatenate(c)] for c in zip(*pairs, strict=True)))
             joined = np.arange(len(docs))
@@ -331,16 +359,33 @@ def _prune(percent: int):
             label = joined[label]
         for a, m in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
             g = who[a : a + m]
-            if (name := g.tobytes()) in met:
+            single = not e[a] >> U64(8 * ENTRY_BYTES - 1)
+            if (name := (g.tobytes(), single)) in met:
+                if single and met[name]:
+                    heavy.append((int(e[a]), met[name]))
                 continue
-            met.add(name)
+            met[name] = 0
             if m > ALL_OF:
+                for k in _BESIDE:
+                    x, y = g[:-k], g[k:]
+                    x, y = (c[label[x] != label[y]] for c in (x, y))
+                    near = maps.near(x, y)
+                    if near.any():
+                        pairs.append((x[near], y[near]))
+                        joined = np.arange(len(docs))
+                        joined.put(*_labels(label[x[near]], label[y[near]]))
+                        label = joined[label]
+            colours = len(np.unique(label[g]))
+            if m > ALL_OF and colours > ALL_OF and not last and single:
+                met[name] = colours
+                heavy.append((int(e[a]), colours))
+                continue
+            if m > ALL_OF and colours > ALL_OF:
                 on = 100 * maps.n[g[:-1]] >= percent * maps.n[g[1:]]
                 pairs.append((g[:-1][on], g[1:][on]))
                 continue
             low = np.searchsorted(maps.n[g], maps.n[g] * percent / 100)
-            own = label[g]
-            apart = len(np.unique(own))
+            own, apart = label[g], colours
             for k in range(1, m):
                 if apart == 1:
                     break
@@ -356,9 +401,9 @@ def _prune(percent: int):
                         own = label[g]
         a, b = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
         a, b = colour[a], colour[b]
-        if not (a != b).any():
-            return LINK.empty_table()
-        return _link_table(*_labels(a, b))
+        stars = _link_table(*_labels(a, b)) if (a != b).any() else LINK.empty_table()
+        entry, sets = zip(*heavy, strict=True) if heavy else ((), ())
+        return pa.concat_tables([stars.append_column("sets", pa.nulls(len(stars), pa.int64())), pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (entry, [None] * len(entry), sets)], schema=STARS)])
 
     return prune
 
@@ -528,6 +573,24 @@ def _wide_links(sets: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(rest)
 
 
+def _drawn(index: DataFrame, percent: int, last: bool, stars: DataFrame | None) -> tuple[DataFrame, list[int]]:
+    """Stars of candidates by one drawing of the index, those known already included, and the single entries left to the next."""
+    # entries are filed under a set's hash; the smallest id of equal sets stands for all of them
+    bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("f1", "d.id", "n", "d.bits")
+    left, heavy = F.col("bucket").isNotNull(), []
+    for divisor in ROUNDS:
+        met = index.where(left & (F.col("bucket") % divisor == 0)).select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(percent), "bucket int, f long, shared binary")
+        left = left & (F.col("bucket") % divisor != 0)
+        coloured = bits.withColumn("colour", F.col("id")) if stars is None else bits.join(stars.select(F.col("a").alias("id"), F.col("b").alias("colour")), "id", "left").withColumn("colour", F.coalesce("colour", "id"))
+        met = met.join(coloured, met["f"] == coloured["f1"]).select("bucket", "id", "n", "bits", "shared", "colour")
+        near = written(met.groupBy("bucket").applyInArrow(_prune(percent, last), "a long, b long, sets long"))
+        heavy += [(r["sets"], r["a"]) for r in near.where("sets is not null").orderBy(F.desc("sets"), "a").limit(TOLD).collect()]
+        links = near.where("sets is null").select("a", "b")
+        links = links if stars is None else links.unionByName(stars)
+        stars = written(connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stars, [a for _, a in sorted(heavy, reverse=True)[:TOLD]]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of docs with a non-null id.
 
@@ -543,20 +606,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets or 2 * default_parallelism(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     classes = frequency_classes(source, shingle)
-    index = written(source.mapInArrow(_index(shingle, percent, buckets, classes), "bucket int, entries binary, id long, n long, f1 long, f2 long, lead long"))
+    told, stars = np.zeros(0, U64), None
+    for drawing in range(1, DRAWN + 1):
+        index = written(source.mapInArrow(_index(shingle, percent, buckets, classes, told), "bucket int, entries binary, id long, n long, f1 long, f2 long, lead long"))
+        stars, heavy = _drawn(index, percent, drawing == DRAWN, stars)
+        if not heavy:
+            break
+        told = np.union1d(told, np.array(heavy, U64))
     rows = index.where("id is not null").select("id", "n", "f1", "f2", "lead")
-    # entries are filed under a set's hash; the smallest id of equal sets stands for all of them
-    bits = index.where("id is not null and n > 1").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", F.col("entries").alias("bits"))).alias("d")).select("f1", "d.id", "n", "d.bits")
-    stars = None
-    left = F.col("bucket").isNotNull()
-    for divisor in ROUNDS:
-        met = index.where(left & (F.col("bucket") % divisor == 0)).select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(percent), "bucket int, f long, shared binary")
-        left = left & (F.col("bucket") % divisor != 0)
-        coloured = bits.withColumn("colour", F.col("id")) if stars is None else bits.join(stars.select(F.col("a").alias("id"), F.col("b").alias("colour")), "id", "left").withColumn("colour", F.coalesce("colour", "id"))
-        met = met.join(coloured, met["f"] == coloured["f1"]).select("bucket", "id", "n", "bits", "shared", "colour")
-        near = met.groupBy("bucket").applyInArrow(_prune(percent), "a long, b long")
-        near = near if stars is None else near.unionByName(stars)
-        stars = written(connected_components(near).select(F.col("node").alias("a"), F.col("component").alias("b")))
     groups = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     sizes = rows.groupBy("id").agg(F.max("n").alias("n"))
     total = groups.join(sizes, groups["node"] == sizes["id"]).groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))

@@ -622,6 +622,58 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in want.items()} and len(set(want.values())) > 2
 
 
+@pytest.mark.parametrize("told", [1 << 21, 3])
+def test_jaccard_shared_phrase_makes_no_group(spark, monkeypatch, told):
+    """A phrase of many documents that the sketch calls rare is frequent in the next drawing; whatever is told, links are kept."""
+    from feedloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "ALL_OF", 64)
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    monkeypatch.setattr(jaccard, "TOLD", told)
+    seen, drawn = [], jaccard._drawn
+
+    def spied(index, percent, last, stars):
+        stars, heavy = drawn(index, percent, last, stars)
+        seen.append((max([r["n"] for r in stars.groupBy("b").agg(F.count("*").alias("n")).collect()] or [0]) + 1, len(heavy), last))
+        return stars, heavy
+
+    monkeypatch.setattr(jaccard, "_drawn", spied)
+    r = random.Random(31)
+    phrase = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        own = [f"w{r.randrange(10**9)}" for _ in range(r.randint(90, 170))]
+        at = r.randrange(len(own))
+        rows.append((i, " ".join([*own[:at], *phrase, *own[at:]])))
+    for i in range(0, 60, 3):
+        w = rows[i][1].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((240 + i, " ".join(w)))
+    # near copies of one text, more of them than are compared at once, stay together
+    base = [f"b{i}" for i in range(120)]
+    rows += [(400 + i, " ".join(["x%d" % i if j == i % 120 else w for j, w in enumerate(base)])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(docs, shingle=4, percent=85).collect()}
+    assert got == plain_near(dict(rows), 4, 85)
+    assert seen[0][1] and len(seen) > 1
+    if told > 3:
+        assert not seen[-1][2] and max(n for n, _, _ in seen) <= 152
+
+
+def test_jaccard_and_language_sums_in_two_steps(spark, docs_dir, monkeypatch):
+    from feedloom.llm import jaccard, langid
+
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet").repartition(5)
+    source = docs.select(F.col("doc_id").alias("id"), "text")
+    found = []
+    for salts in (1, 3):
+        monkeypatch.setattr(jaccard, "_SALTS", salts)
+        monkeypatch.setattr(langid, "_SALTS", salts)
+        found.append((jaccard.frequency_classes(source, 4), langid.prototypes(docs, "text", "lang")))
+    assert (found[0][0] == found[1][0]).all() and found[0][1][0] == found[1][1][0]
+    assert np.allclose(found[0][1][1], found[1][1][1], atol=1e-6)
+
+
 def test_jaccard_index_entries_survive_packing():
     from feedloom.llm import jaccard
 
