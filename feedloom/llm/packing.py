@@ -28,8 +28,8 @@ from .common import default_parallelism
 SENTENCE_PENALTY, CUT_PENALTY = 8, 48
 #: Tokens that the dynamic programme works on at once, unless one document is longer.
 PIECE = 1_000_000
-#: Words whose ids a task keeps.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps, about 100 bytes each and 20 MB in all: workers outlive their tasks.
+KEPT_WORDS = 200_000
 #: ASCII marks that follow a word as one token string, without the apostrophe.
 MARKS = b".,;:!?|*#%&$@-_()[]\""
 
@@ -99,8 +99,6 @@ class WordTokenizer:
         return out + self.encode(tail + b"\xff") if tail else out
 
     def __call__(self, text: bytes) -> np.ndarray:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
         if any(m in text for m in self.marks):
             return np.frombuffer(b"".join(self.added[p] if p in self.added else self._plain(p) for p in self.taken_out.split(text)), np.uint16)
         return np.frombuffer(self._plain(text), np.uint16)
@@ -119,6 +117,8 @@ class _Kept(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = np.array(self.owner.word(word), np.uint16).tobytes()
         if len(word) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
             self[word] = ids
         return ids
 

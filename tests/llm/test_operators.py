@@ -560,6 +560,46 @@ def test_pipeline_equals_plain_stages(spark, docs_dir):
     assert got == want and len(left) < len(docs) and any(n > 1 for n in copies.values())
 
 
+def test_pipeline_sends_bounded_batches(spark, docs_dir):
+    """Rows go to Python by bytes, whatever a session's default lets through; a bound that the session has stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline as p
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{docs_dir}/documents.parquet")
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    try:
+        for name, stage in [x for x in p.STAGES if x[0] != "mixing"]:
+            spark.conf.unset(key)
+            stage(spark, docs, docs_dir)
+            got = wide.mapInArrow(sizes, "bytes long, rows long").collect()
+            assert sum(r["rows"] for r in got) == 3000 and max(r["bytes"] for r in got) < 8_000_000, name
+        spark.conf.set(key, "1m")
+        p.by_language(spark, docs, docs_dir)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_tokenizer_keeps_a_bounded_number_of_words():
+    """Also within one text; ids stay the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from feedloom.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, text = packing.WordTokenizer(path), " ".join(f"Word{k}a the" for k in range(250_000))
+    got = ours(text.encode()).tolist()
+    assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert len(ours.kept) <= 200_000
+    assert ours(b"the Word7a").tolist() == ours.library.encode("the Word7a", add_special_tokens=False).ids and len(ours.kept) <= 200_000
+
+
 def test_repeated_ids_with_different_texts(spark):
     from feedloom.llm.substring import substring_dedup
     from feedloom.llm.suffix import suffix_dedup
