@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the caller writes a stage's
 rows as Parquet and reads them again as the next stage's docs. All but the last return the columns of documents, and pass
 through others that docs may have. An empty table gives an empty table in every stage; rows are judged one by one where their ids repeat,
-but for the two that look for repeats, where rows of one id count as one document. Stages with Python in them bound the
-session's Arrow batches, since executors keep their JVM and their Python workers from one stage to the next.
+but for the two that look for repeats, where rows of one id count as one document. Stages bound the session's Arrow
+and Parquet batches, since executors keep their JVM and their Python workers from one stage to the next.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it; null languages and sources are leaves of their own, texts of no token go."""
+    bounded_batches(spark)
     copies = mix_sources(docs, **mix_arguments()).where("mix_copies > 0")
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*[column(c) for c in docs.columns])
 

@@ -570,19 +570,22 @@ def test_pipeline_sends_bounded_batches(spark, docs_dir):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
 
-    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{docs_dir}/documents.parquet")
+    key, read, docs = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize", spark.read.parquet(f"{docs_dir}/documents.parquet")
     wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
     try:
-        for name, stage in [x for x in p.STAGES if x[0] != "mixing"]:
-            spark.conf.unset(key)
+        for name, stage in p.STAGES:
+            for k in (key, read):
+                spark.conf.unset(k)
             stage(spark, docs, docs_dir)
+            assert int(spark.conf.get(read)) <= 512, name
             got = wide.mapInArrow(sizes, "bytes long, rows long").collect()
             assert sum(r["rows"] for r in got) == 3000 and max(r["bytes"] for r in got) < 8_000_000, name
         spark.conf.set(key, "1m")
         p.by_language(spark, docs, docs_dir)
         assert spark.conf.get(key) == "1m"
     finally:
-        spark.conf.unset(key)
+        for k in (key, read):
+            spark.conf.unset(k)
 
 
 def test_tokenizer_keeps_a_bounded_number_of_words():
