@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators import hops
 from ..operators import ranking as rk
 from ..operators import relational as rel
+from ..sources.shared import written
 from .feeds import with_author
 
 #: Rows of a key that are left together.
 TOGETHER = 100_000
+#: Ids of followees' lists that a task holds at once, and edges of a block of viewers.
+LISTS, EDGES = 1 << 23, 4_000_000
 
 
 def dealt(edges: DataFrame, key: str, by: str, rows: DataFrame, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +68,49 @@ def home_feeds(posts: DataFrame, users: DataFrame, follows: DataFrame, as_of: st
     return mine.select("viewer", "place", "id", F.lit(False).alias("isBackfill"), F.lit(0.0).alias("score")).unionByName(fill)
 
 
-def two_hops(follows: DataFrame, n: int, together: int = TOGETHER) -> DataFrame:
-    """(viewer, id, paths, place): for every user the n whom most followees follow, as relational.two_hop; most paths first, then the smaller id."""
-    e = follows.where("followerId IS NOT NULL AND followingId IS NOT NULL").select("followerId", "followingId").distinct()
-    first, second = dealt(e.select(F.col("followerId").alias("viewer"), F.col("followingId").alias("via")), "via", "viewer", e.select(F.col("followerId").alias("via"), F.col("followingId").alias("id")), together)
-    paths = first.join(second, ["via", "part"]).where("id <> viewer").groupBy("viewer", "id").agg(F.count("*").alias("paths"))
-    new = paths.join(e.select(F.col("followerId").alias("viewer"), F.col("followingId").alias("id")), ["viewer", "id"], "left_anti")
+def _numbered(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with long numbers, in the order of the ids, in place of ids of any other type; and (number, id)."""
+    ids = e.select(F.col("followerId").alias("id")).unionByName(e.select(F.col("followingId").alias("id"))).distinct()
+    names = written(ids.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("number"), "id"))
+    for c in ("followerId", "followingId"):
+        e = e.withColumnRenamed(c, "id").join(names, "id").withColumnRenamed("number", c).drop("id")
+    return e, names
+
+
+def two_hops(follows: DataFrame, n: int, together: int = LISTS, edges: int = EDGES) -> DataFrame:
+    """(viewer, id, paths, place): for every user the n whom most followees follow, as relational.two_hop; most paths first, then the smaller id.
+
+    Paths are many times the edges, so they never travel: neighbouring viewers of about ``edges`` edges are a block, and what goes to it is each list that
+    one of them needs, once, in as many shards of ids as hold ``together`` of them each. There paths are counted, and only n rows of a viewer leave a shard.
+    """
+    e, names = follows.where("followerId IS NOT NULL AND followingId IS NOT NULL").select("followerId", "followingId").distinct(), None
+    if not all(isinstance(f.dataType, IntegralType) for f in e.schema):
+        e, names = _numbered(e)
+    # written, since another sample of the ranges would be other blocks
+    pairs = e.select(F.col("followerId").cast("long"), F.col("followingId").cast("long")).repartitionByRange("followerId").sortWithinPartitions("followerId", "followingId")
+    lists = written(pairs.mapInArrow(hops.packed, "part int, id long, n int, ids array<long>"))
+    parts, all_parts = lists.groupBy("part").agg(F.sum("n").alias("n")), Window.orderBy("part")
+    total = F.sum("n").over(all_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    share = F.least(F.lit(edges), F.ceil(total / (3 * follows.sparkSession.sparkContext.defaultParallelism)))
+    before = F.coalesce(F.sum("n").over(all_parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = lists.join(F.broadcast(parts.select("part", F.floor(before / share).cast("int").alias("block"))), "part").select("block", "id", "ids")
+    needed = own.select("block", F.explode("ids").alias("id")).distinct()
+    shards = needed.join(lists.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("block").agg(F.ceil(F.sum("n") / together).cast("int").alias("shards"))
+
+    def dealt_out(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(shards), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+
+    inside = F.when(F.col("shards") == 1, F.col("ids")).otherwise(F.filter("ids", lambda x: F.pmod(F.xxhash64(x), "shards") == F.col("shard")))
+    theirs = dealt_out(needed.join(lists.select("id", "ids"), "id")).select("block", "shard", F.lit(0).alias("kind"), "id", inside.alias("ids")).where(F.size("ids") > 0)
+    cells = theirs.unionByName(dealt_out(own).select("block", "shard", F.lit(1).alias("kind"), "id", "ids")).repartition("block", "shard").sortWithinPartitions("block", "shard", "kind", "id")
+    found = cells.mapInArrow(hops.counted(n), "viewer long, id long, paths long")
     by = Window.partitionBy("viewer").orderBy(F.col("paths").desc(), "id")
-    return new.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+    best = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+    if names is not None:
+        for c in ("viewer", "id"):
+            best = best.withColumnRenamed(c, "number").join(names.withColumnRenamed("id", c), "number").drop("number")
+    viewer, id_ = (follows.schema[c].dataType for c in ("followerId", "followingId"))
+    return best.select(F.col("viewer").cast(viewer), F.col("id").cast(id_), "paths", "place")
 
 
 def story_trays(users: DataFrame, follows: DataFrame, stories: DataFrame, views: DataFrame, as_of: str, together: int = TOGETHER) -> DataFrame:
