@@ -86,8 +86,9 @@ def two_hops(follows: DataFrame, n: int, together: int = LISTS, edges: int = EDG
     e, names = follows.where("followerId IS NOT NULL AND followingId IS NOT NULL").select("followerId", "followingId").distinct(), None
     if not all(isinstance(f.dataType, IntegralType) for f in e.schema):
         e, names = _numbered(e)
-    # written, since another sample of the ranges would be other blocks
-    pairs = e.select(F.col("followerId").cast("long"), F.col("followingId").cast("long")).repartitionByRange("followerId").sortWithinPartitions("followerId", "followingId")
+    # few edges can be many paths, so small partitions stay apart; written, since another sample of the ranges would be other blocks
+    spread = int(follows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = e.select(F.col("followerId").cast("long"), F.col("followingId").cast("long")).repartitionByRange(spread, "followerId").sortWithinPartitions("followerId", "followingId")
     lists = written(pairs.mapInArrow(hops.packed, "part int, id long, n int, ids array<long>"))
     parts, all_parts = lists.groupBy("part").agg(F.sum("n").alias("n")), Window.orderBy("part")
     total = F.sum("n").over(all_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -102,7 +103,7 @@ def two_hops(follows: DataFrame, n: int, together: int = LISTS, edges: int = EDG
 
     inside = F.when(F.col("shards") == 1, F.col("ids")).otherwise(F.filter("ids", lambda x: F.pmod(F.xxhash64(x), "shards") == F.col("shard")))
     theirs = dealt_out(needed.join(lists.select("id", "ids"), "id")).select("block", "shard", F.lit(0).alias("kind"), "id", inside.alias("ids")).where(F.size("ids") > 0)
-    cells = theirs.unionByName(dealt_out(own).select("block", "shard", F.lit(1).alias("kind"), "id", "ids")).repartition("block", "shard").sortWithinPartitions("block", "shard", "kind", "id")
+    cells = theirs.unionByName(dealt_out(own).select("block", "shard", F.lit(1).alias("kind"), "id", "ids")).repartition(spread, "block", "shard").sortWithinPartitions("block", "shard", "kind", "id")
     found = cells.mapInArrow(hops.counted(n), "viewer long, id long, paths long")
     by = Window.partitionBy("viewer").orderBy(F.col("paths").desc(), "id")
     best = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
